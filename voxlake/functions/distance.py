@@ -11,8 +11,9 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-SPLIT_TYPE = "struct<sub:int,ins:int,del:int>"
+SPLIT_TYPE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("sub", "ins", "del")])
 
 
 def _columns(reference: Sequence[str], hypothesis: Sequence[str], keep: bool):
@@ -73,7 +74,7 @@ def error_split(reference: Sequence[str], hypothesis: Sequence[str]) -> tuple[in
     return sub, ins + j, dele + i
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _distance_udf(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     return pd.Series([0 if r is None else edit_distance(r, h) for r, h in zip(reference, hypothesis)], dtype="int32")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -69,3 +70,17 @@ def runs(tokens: Column, flag: Callable[[Column], Column]) -> Column:
         tokens,
         lambda t: let(F.struct(t.alias("items"), F.transform(t, flag).alias("flags")), with_flags),
     )
+
+
+def lookup(table: dict[str, Column], key: Column, cells: int = 64) -> Column:
+    """Value of ``key`` in a constant dictionary, null if absent.
+
+    A map column is searched linearly; hashing the key to one of ``cells`` small maps keeps that short.
+    """
+    parts: list[list[Column]] = [[] for _ in range(cells)]
+    for word, value in table.items():
+        parts[zlib.crc32(word.encode()) % cells] += [F.lit(word), value]
+    typed = F.create_map(*next(p for p in parts if p))
+    empty = F.map_filter(typed, lambda k, v: F.lit(False))
+    maps = F.array(*[F.create_map(*p) if p else empty for p in parts])
+    return F.try_element_at(F.get(maps, (F.crc32(key.cast("binary")) % cells).cast("int")), key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voxlake.functions.expr import let, runs, words_of
+from voxlake.functions.expr import let, lookup, runs, words_of
 
 # Russian cardinals, value -> (scale, forms).
 CARDINALS: dict[int, tuple[int, str]] = {
@@ -104,67 +104,59 @@ def number_words(ordinals: bool) -> dict[str, tuple[int, int]]:
     return table
 
 
-def _lookup_map(ordinals: bool) -> Column:
-    table = number_words(ordinals)
-    return F.map_from_arrays(
-        F.array(*[F.lit(w) for w in table]),
-        F.array(*[F.struct(F.lit(v).cast("bigint").alias("v"), F.lit(s).cast("bigint").alias("s")) for v, s in table.values()]),
-    )
+def _number(word: Column, ordinals: bool) -> Column:
+    big = lambda n: F.lit(n).cast("bigint")
+    values = {w: F.struct(big(v).alias("v"), big(s).alias("s")) for w, (v, s) in number_words(ordinals).items()}
+    return lookup(values, word)
 
 
-def _fold_number_run(words: Column, table: Column) -> Column:
+def _fold_number_run(words: Column, ordinals: bool) -> Column:
     """Digit tokens for one run made of number words only."""
-    big = F.lit(0).cast("bigint")
+    zero = F.lit(0).cast("bigint")
     start = F.struct(
         F.array().cast("array<string>").alias("out"),
-        big.alias("below"),
-        big.alias("above"),
-        big.alias("scale"),
+        zero.alias("below"),
+        zero.alias("above"),
+        zero.alias("scale"),
     )
 
-    def step(acc: Column, word: Column) -> Column:
-        return let(
-            F.struct(acc.alias("a"), F.element_at(table, word).alias("n")),
-            lambda x: _advance(x["a"], x["n"]["v"], x["n"]["s"]),
+    def step(acc: Column, number: Column) -> Column:
+        value, scale = number["v"], number["s"]
+        multiplies = scale >= 1000
+        restarts = ~multiplies & (acc["below"] > 0) & (scale >= acc["scale"])
+        return F.struct(
+            F.when(restarts, F.array_append(acc["out"], (acc["above"] + acc["below"]).cast("string")))
+            .otherwise(acc["out"])
+            .alias("out"),
+            F.when(multiplies, zero).when(restarts, value).otherwise(acc["below"] + value).alias("below"),
+            F.when(multiplies, acc["above"] + F.greatest(acc["below"], F.lit(1).cast("bigint")) * scale)
+            .when(restarts, zero)
+            .otherwise(acc["above"])
+            .alias("above"),
+            scale.alias("scale"),
         )
 
     def finish(acc: Column) -> Column:
         return F.array_append(acc["out"], (acc["above"] + acc["below"]).cast("string"))
 
-    return F.aggregate(words, start, step, finish)
-
-
-def _advance(acc: Column, value: Column, scale: Column) -> Column:
-    multiplies = scale >= 1000
-    restarts = (acc["below"] > 0) & (scale >= acc["scale"])
-    zero = F.lit(0).cast("bigint")
-    return F.struct(
-        F.when(~multiplies & restarts, F.array_append(acc["out"], (acc["above"] + acc["below"]).cast("string")))
-        .otherwise(acc["out"])
-        .alias("out"),
-        F.when(multiplies, zero).when(restarts, value).otherwise(acc["below"] + value).alias("below"),
-        F.when(multiplies, acc["above"] + F.greatest(acc["below"], F.lit(1).cast("bigint")) * scale)
-        .when(restarts, zero)
-        .otherwise(acc["above"])
-        .alias("above"),
-        scale.alias("scale"),
-    )
+    return F.aggregate(F.transform(words, lambda w: _number(w, ordinals)), start, step, finish)
 
 
 def words_to_numbers(tokens: Column, *, ordinals: bool = True, fold_case: bool = False) -> Column:
     """Replace runs of Russian number words by digit tokens; a jump up in scale starts a new number."""
     key = F.lower if fold_case else (lambda c: c)
-    # The table is a constant; foldable expressions are evaluated once per query, not per row.
-    table = _lookup_map(ordinals)
-    known = F.array(*[F.lit(w) for w in number_words(ordinals)])
+    known = list(number_words(ordinals))
+
+    def is_number(token: Column) -> Column:
+        return key(token).isin(known)
 
     def convert(run: Column) -> Column:
-        return F.when(
-            run["flag"], _fold_number_run(F.transform(run["items"], key), table)
-        ).otherwise(run["items"])
+        return F.when(run["flag"], _fold_number_run(F.transform(run["items"], key), ordinals)).otherwise(run["items"])
 
-    converted = F.flatten(F.transform(runs(tokens, lambda t: F.map_contains_key(table, key(t))), convert))
-    return F.when(F.arrays_overlap(F.transform(tokens, key), known), converted).otherwise(tokens)
+    def build(ts: Column) -> Column:
+        return F.when(F.exists(ts, is_number), F.flatten(F.transform(runs(ts, is_number), convert))).otherwise(ts)
+
+    return let(tokens, build)
 
 
 def is_digits(token: Column) -> Column:
@@ -179,7 +171,10 @@ def merge_digit_groups(tokens: Column) -> Column:
         short = F.forall(run["items"], lambda t: F.length(t) <= 3)
         return F.when(run["flag"] & short, F.array(F.array_join(run["items"], ""))).otherwise(run["items"])
 
-    return F.flatten(F.transform(runs(tokens, is_digits), merge))
+    def build(ts: Column) -> Column:
+        return F.when(F.exists(ts, is_digits), F.flatten(F.transform(runs(ts, is_digits), merge))).otherwise(ts)
+
+    return let(tokens, build)
 
 
 def apply_itn(text: Column) -> Column:
@@ -260,17 +255,21 @@ def resolve_ordinals(tokens: Column) -> Column:
             used_up = (i > 0) & (t == "й") & ordinal(i - 1).isNotNull()
             return F.coalesce(ordinal(i), F.when(~used_up, t))
 
-        return F.filter(F.transform(ts, replace), lambda t: t.isNotNull())
+        resolved = F.filter(F.transform(ts, replace), lambda t: t.isNotNull())
+        return F.when(F.array_contains(ts, "й"), resolved).otherwise(ts)
 
     return let(tokens, build)
 
 
 def cardinals_to_words(tokens: Column) -> Column:
-    """Digit tokens (as far as 64-bit numbers go) spelled out, one token per word."""
-    fits = lambda t: t.rlike(r"^0*[0-9]{1,19}$") | t.rlike(r"^0*1[0-7][0-9]{18}$")
-    return F.flatten(
-        F.transform(
-            tokens,
-            lambda t: F.when(fits(t), F.split(number_to_words(t.cast("decimal(38,0)")), " ")).otherwise(F.array(t)),
-        )
-    )
+    """Digit tokens (as far as unsigned 64-bit numbers go) spelled out, one token per word."""
+
+    def spell(t: Column) -> Column:
+        plain = F.regexp_replace(t, "^0+(?=.)", "")
+        size = F.length(plain)
+        # Equal lengths compare like numbers.
+        fits = (size < 20) | ((size == 20) & (plain <= "18446744073709551615"))
+        small = F.split(number_to_words(plain.cast("int")), " ")
+        return F.when(size <= 6, small).when(fits, F.array(plain)).otherwise(F.array(t))
+
+    return F.flatten(F.transform(tokens, lambda t: F.when(t.rlike("^[0-9]+$"), spell(t)).otherwise(F.array(t))))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voxlake.functions.expr import SPACE_CLASS, let, literal_map, trimmed, words_of
+from voxlake.functions.expr import SPACE_CLASS, let, literal_map, lookup, trimmed, words_of
 from voxlake.functions.numbers import (
     cardinals_to_words,
     is_digits,
@@ -99,27 +99,21 @@ def tokenize_mixed(text: Column) -> Column:
 
 def drop_ordinal_suffixes(tokens: Column) -> Column:
     """Drop an ordinal suffix that stands right after a digit token."""
-    suffixes = F.array(*[F.lit(s) for s in ORDINAL_SUFFIXES])
     return let(
         tokens,
-        lambda ts: F.filter(
-            ts,
-            lambda t, i: ~((i > 0) & F.array_contains(suffixes, t) & F.coalesce(is_digits(F.get(ts, i - 1)), F.lit(False))),
-        ),
+        lambda ts: F.filter(ts, lambda t, i: ~(t.isin(ORDINAL_SUFFIXES) & (i > 0) & is_digits(F.get(ts, i - 1)))),
     )
 
 
 def strip_empty_tokens(tokens: Column) -> Column:
     """Trim symbols at token ends and drop tokens that say nothing."""
-    empty = F.array(*[F.lit(w) for w in ["", *EMPTY_WORDS]])
-    return F.filter(
-        F.transform(tokens, lambda t: F.trim(t, F.lit(SYMBOLS))), lambda t: ~F.array_contains(empty, t)
-    )
+    return F.filter(F.transform(tokens, lambda t: F.trim(t, F.lit(SYMBOLS))), lambda t: ~t.isin(["", *EMPTY_WORDS]))
 
 
 def map_anglicisms(tokens: Column) -> Column:
     """Latin brand names to their Cyrillic spelling."""
-    return F.transform(tokens, lambda t: F.coalesce(F.try_element_at(literal_map(ANGLICISMS), t), t))
+    table = {latin: F.lit(cyrillic) for latin, cyrillic in ANGLICISMS.items()}
+    return F.transform(tokens, lambda t: F.when(t.isin(list(ANGLICISMS)), lookup(table, t)).otherwise(t))
 
 
 def normalize_for_wer(text: Column) -> Column:

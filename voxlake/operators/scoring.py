@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.functions.distance import wer_percent, word_edit_distance, word_errors
+from voxlake.functions.predicates import DUAL_MONO_CORRELATION
 from voxlake.functions.timing import DURATION_BUCKETS, REF_WORD_BUCKETS, WER_BUCKETS, bucket_label
 from voxlake.operators.joins import latest_per_key, safe_join
 
@@ -319,3 +320,9 @@ def wer_distribution(details: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+
+
+def dual_mono(samples: DataFrame, keys: list[str]) -> DataFrame:
+    """Correlation of the two channels ``left, right``; zero for silent ones. Above 0.98 they are one signal."""
+    found = samples.groupBy(*keys).agg(F.coalesce(F.corr("left", "right"), F.lit(0.0)).alias("correlation"))
+    return found.withColumn("dual_mono", F.col("correlation") > DUAL_MONO_CORRELATION)

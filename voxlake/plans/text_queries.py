@@ -194,7 +194,7 @@ _LABELS = "LOWER_O UPPER_PERIOD UPPER_TOTAL_TIRE LOWER_TIRE UPPER_TIRE LOWER_MNO
 
 @query(
     "tx16_apply_label",
-    f"""WITH {sql.WORDS}, l AS (SELECT recording_id, word_idx, lower(word) AS w, length(word) % 9 AS k FROM words)
+    f"""WITH {sql.WORDS}, l AS (SELECT recording_id, word_idx, replace(lower(word), 'ß', 'ss') AS w, length(word) % 9 AS k FROM words)
 SELECT recording_id, word_idx, CASE k WHEN 0 THEN w WHEN 1 THEN upper(w[1]) || w[2:] || '.' WHEN 2 THEN upper(w) || ' —'
   WHEN 3 THEN w || '—' WHEN 4 THEN upper(w[1]) || w[2:] || ' —' WHEN 5 THEN w || '...' WHEN 6 THEN upper(w[1]) || w[2:] || '?!'
   ELSE w END AS rendered FROM l""",
@@ -202,7 +202,7 @@ SELECT recording_id, word_idx, CASE k WHEN 0 THEN w WHEN 1 THEN upper(w[1]) || w
 def tx16(spark, sf_dir):
     labels = F.array(*[F.lit(x) for x in _LABELS])
     rows = words(spark, sf_dir).select(
-        "recording_id", "word_idx", F.lower("word").alias("w"), F.get(labels, F.length("word") % 9).alias("label")
+        "recording_id", "word_idx", F.replace(F.lower("word"), F.lit("ß"), F.lit("ss")).alias("w"), F.get(labels, F.length("word") % 9).alias("label")
     )
     return rows.select("recording_id", "word_idx", text.apply_label(F.col("w"), F.col("label")).alias("rendered"))
 
