@@ -23,5 +23,5 @@ for name, fn in catalog.QUERIES.items():
         else:
             verdict = f"rows {len(fn(spark, sf_dir).collect())}"
     except Exception as e:  # noqa: BLE001
-        verdict = "ERROR " + str(e)[:1500]
+        verdict = "ERROR " + str(e)[:900].replace("\n", " ")
     print(f"{name}: {verdict} ({time.time() - t:.1f}s)", flush=True)

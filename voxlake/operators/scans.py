@@ -20,9 +20,14 @@ def index_block(index: str, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(F.col(index) / rows)
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds since the epoch of a zoneless timestamp, whatever the session's time zone."""
+    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+
+
 def time_block(ts: str, seconds: int) -> Column:
     """Block number for a timestamp order."""
-    return F.floor(F.unix_micros(F.col(ts)) / (seconds * 1_000_000))
+    return F.floor(micros(F.col(ts)) / (seconds * 1_000_000))
 
 
 def scan(
@@ -131,10 +136,42 @@ def islands(
     """Number the runs that begin where ``starts`` holds.
 
     ``look_back`` names the previous-row values ``starts`` may use; the first row of a key always starts one.
+    Inside a block only the first row's flag is open; it is settled on the block summaries.
     """
-    marked = scan(df, keys, order, block, lags={**look_back, "_seen": F.lit(True)})
-    begins = (F.col("_seen").isNull() | F.coalesce(starts, F.lit(False))).cast("bigint")
-    return scan(marked, keys, order, block, sums={island: begins}).drop("_seen", *look_back)
+    inputs = {f"_in_{n}": c for n, c in look_back.items()}
+    base = df.withColumns({BLOCK: block, **inputs})
+    inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    flag = F.coalesce(starts, F.lit(False)).cast("bigint")
+    local = base.withColumns(
+        {"_head": F.lag(F.lit(False), 1, True).over(inside), **{n: F.lag(f"_in_{n}").over(inside) for n in look_back}}
+    ).withColumn("_flag", F.when(F.col("_head"), F.lit(0).cast("bigint")).otherwise(flag))
+
+    at = F.struct(*[F.col(c) for c in order])
+    rest = [c for c in df.columns if c not in keys]
+    per_block = local.groupBy(*keys, BLOCK).agg(
+        F.sum("_flag").alias("_n"),
+        F.min_by(F.struct(*rest), at).alias("_first"),
+        F.max_by(F.struct(F.lit(True).alias("_seen"), *inputs), at).alias("_tail"),
+    )
+    over_blocks = Window.partitionBy(*keys).orderBy(BLOCK)
+    edges = per_block.withColumn("_before", F.lag("_tail").over(over_blocks)).select(
+        *keys,
+        BLOCK,
+        "_n",
+        F.col("_before").isNull().alias("_opens"),
+        "_first.*",
+        *[F.col(f"_before._in_{n}").alias(n) for n in look_back],
+    )
+    edges = edges.withColumn("_first_flag", F.when(F.col("_opens"), F.lit(1).cast("bigint")).otherwise(flag))
+    earlier = F.sum(F.col("_n") + F.col("_first_flag")).over(over_blocks.rowsBetween(Window.unboundedPreceding, -1))
+    carry = edges.select(
+        *[F.col(k).alias(f"_k_{k}") for k in [*keys, BLOCK]],
+        (F.coalesce(earlier, F.lit(0)) + F.col("_first_flag")).alias("_carry"),
+    )
+    matched = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in [*keys, BLOCK]]
+    running = F.sum("_flag").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    numbered = local.withColumn("_running", running).join(carry, matched, "left")
+    return numbered.select(*df.columns, (F.col("_carry") + F.col("_running")).alias(island))
 
 
 def gather_text(

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from voxlake.operators.scans import BLOCK, scan
+from voxlake.session import materialize
 
 
 @dataclass(frozen=True)
@@ -72,7 +73,9 @@ def greedy_spans(
 
     ``forced`` marks rows that start a span regardless of the limits.
     """
-    marked = df.withColumns({BLOCK: block, "_forced": F.coalesce(forced, F.lit(True))})
+    # The rows are read by three passes below.
+    df = materialize(df.withColumn("_forced", F.coalesce(forced, F.lit(True))), "span-rows")
+    marked = df.withColumn(BLOCK, block)
     needed = list(dict.fromkeys([*keys, BLOCK, order, "_forced", *[c for x in limits for c in (x.measure, x.anchor)]]))
     slim = marked.select(*needed)
     anchor_type = T.ArrayType(T.DoubleType())
@@ -162,4 +165,4 @@ def greedy_spans(
     entries = tables.groupBy(*keys).applyInPandas(chain, entry_schema)
     opened = slim.join(entries, [*keys, BLOCK], "left").groupBy(*keys, BLOCK).applyInPandas(finish, out_schema)
     placed = df.join(opened, [*keys, order])
-    return scan(placed, keys, [order], block, lasts={span: F.col(span)})
+    return scan(materialize(placed.drop("_forced"), "placed-spans"), keys, [order], block, lasts={span: F.col(span)})

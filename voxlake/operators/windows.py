@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxlake.functions.timing import SAMPLE_RATE, ms_to_samples
 from voxlake.operators.joins import safe_join
 from voxlake.operators.scans import BLOCK_ROWS, index_block, islands, scan
+from voxlake.session import materialize
 
 # Window geometry in samples, and in words for labelling.
 SINGLE_PASS_SAMPLES = 480_000
@@ -107,7 +108,9 @@ def speech_regions(
     """
     silence, speech, pad = (ms_to_samples(ms) for ms in (min_silence_ms, min_speech_ms, pad_ms))
     ends = F.max(total) if total else (F.max("frame_idx") + 1) * frame_samples
-    lengths = frames.groupBy(*keys).agg(ends.alias("_total"), F.max("frame_idx").alias("_last"))
+    lengths = materialize(
+        frames.groupBy(*keys).agg(ends.alias("_total"), F.max("frame_idx").alias("_last")), "signal-lengths"
+    )
     loud = frames.filter(F.col("prob") >= F.lit(threshold)).select(*keys, "frame_idx")
     runs = islands(
         loud,
@@ -122,6 +125,8 @@ def speech_regions(
     # A run that reaches the last frame ends with the signal, not with the frame.
     end = F.when(F.col("_b") == F.col("_last"), F.col("_total")).otherwise((F.col("_b") + 1) * frame_samples)
     raw = measured.filter(F.col("_total") > 0).select(*keys, (F.col("_a") * frame_samples).alias("start"), end.alias("end"))
+    # The runs are far fewer than the frames and are passed over several times from here on.
+    raw = materialize(raw, "speech-runs")
     block = F.floor(F.col("start") / (BLOCK_ROWS * frame_samples))
     merged = _merge_touching(raw, keys, block, F.greatest(F.col("start") - F.col("_prev"), F.lit(0)) >= silence)
     kept = safe_join(merged.filter(F.col("end") - F.col("start") >= speech), lengths, keys)
@@ -130,7 +135,7 @@ def speech_regions(
         F.greatest(F.col("start") - pad, F.lit(0).cast("bigint")).alias("start"),
         F.least(F.col("end") + pad, F.col("_total")).alias("end"),
     )
-    final = _merge_touching(padded, keys, block, F.col("start") > F.col("_prev"))
+    final = _merge_touching(materialize(padded, "padded-regions"), keys, block, F.col("start") > F.col("_prev"))
     return scan(final, keys, ["start"], block, row_number="_rn").select(
         *keys, (F.col("_rn") - 1).alias("region_idx"), "start", "end"
     )

@@ -12,6 +12,7 @@ from voxlake.functions.timing import SAMPLE_RATE, frame_to_seconds
 from voxlake.operators.joins import lookup_join, safe_join
 from voxlake.operators.scans import gather_text, index_block, islands, scan
 from voxlake.operators.spans import Limit, greedy_spans
+from voxlake.session import materialize
 
 WORD_BOUNDARY = "▁"
 PAUSE_SECONDS = 0.9
@@ -152,6 +153,7 @@ def remap_compressed(points: DataFrame, regions: DataFrame, keys: list[str], sec
     it stays as it is.
     """
     length = (F.col("end") - F.col("start")).cast("double")
+    regions = materialize(regions, "kept-regions")
     laid = scan(regions, keys, ["region_idx"], index_block("region_idx"), sums={"_through": length})
     anchors = laid.select(
         *keys,
@@ -163,7 +165,7 @@ def remap_compressed(points: DataFrame, regions: DataFrame, keys: list[str], sec
     )
     target = F.greatest(F.col(seconds) * SAMPLE_RATE, F.lit(0.0))
     probes = points.withColumns({"_pos": target, "_kind": F.lit(-1), "_row": F.lit(0).cast("bigint")})
-    both = probes.unionByName(anchors, allowMissingColumns=True)
+    both = materialize(probes.unionByName(anchors, allowMissingColumns=True), "timeline")
     # A point on a region's start belongs to the region before it: points sort first.
     found = scan(
         both,
@@ -309,5 +311,5 @@ def caption_cues(
 
 def number_cues(cues: DataFrame, keys: list[str]) -> DataFrame:
     """Cues with a dense zero-based ``cue_idx``."""
-    numbered = scan(cues, keys, ["cue_start", "cue_part"], index_block("cue_start"), row_number="_rn")
+    numbered = scan(materialize(cues, "cues"), keys, ["cue_start", "cue_part"], index_block("cue_start"), row_number="_rn")
     return numbered.withColumn("cue_idx", F.col("_rn") - 1).drop("_rn")

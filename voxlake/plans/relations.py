@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from voxlake.functions.expr import words_of
 from voxlake.functions.text import normalize_unicode
 from voxlake.operators.scans import scan, time_block
+from voxlake.session import materialize
 
 DAY = 86_400
 
@@ -83,11 +84,12 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
     numbered = scan(events, ["user_id"], ["ts", "event_id"], time_block("ts", DAY), row_number="_rn")
     peak = events.groupBy("user_id").agg(F.max("value").alias("_peak"))
-    return numbered.join(peak, "user_id").select(
+    rows = numbered.join(peak, "user_id").select(
         F.col("user_id").alias("recording_id"),
         (F.col("_rn") - 1).alias("frame_idx"),
         (F.col("value") / F.col("_peak")).alias("prob"),
     )
+    return materialize(rows, "frames")
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
