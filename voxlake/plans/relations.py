@@ -106,9 +106,10 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders and their lines as job events: submitted, progress per line, finished with the last line.
+    """Orders and their lines as job events: submitted, an attempt per line, finished with the last line.
 
-    The order status decides how a job ends: ``F`` done, ``P`` failed, ``O`` still running.
+    A line counts no earlier than its order. The order status decides how a job ends: ``F`` done, ``P`` failed,
+    ``O`` still running.
     """
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_totalprice")
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity")
@@ -121,7 +122,10 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("error"),
         F.round(F.col("o_totalprice")).cast("bigint").alias("body_bytes"),
     )
-    progress = lines.select(
+    dated = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).withColumn(
+        "l_shipdate", F.greatest("l_shipdate", "o_orderdate")
+    )
+    progress = dated.select(
         F.col("l_orderkey").alias("job_id"),
         F.col("l_shipdate").alias("ts"),
         F.col("l_linenumber").cast("int").alias("seq"),
@@ -130,7 +134,7 @@ def job_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(None).cast("string").alias("error"),
         F.lit(None).cast("bigint").alias("body_bytes"),
     )
-    last = lines.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("ts"))
+    last = dated.groupBy("l_orderkey").agg(F.max("l_shipdate").alias("ts"))
     ended = orders.filter(F.col("o_orderstatus") != "O").join(last, F.col("o_orderkey") == F.col("l_orderkey"))
     terminal = ended.select(
         F.col("o_orderkey").alias("job_id"),
