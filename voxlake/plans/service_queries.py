@@ -251,16 +251,15 @@ def st06(spark, sf_dir):
 @query(
     "st07_job_lifecycle",
     """WITH l AS (SELECT l_orderkey, count(*) AS attempts, sum(l_quantity) AS processed FROM lineitem GROUP BY 1)
-SELECT o_orderkey AS job_id, CASE WHEN attempts IS NULL AND o_orderstatus = 'O' THEN 'queued' WHEN o_orderstatus = 'F' THEN 'done'
+SELECT o_orderkey AS job_id, CASE WHEN attempts IS NULL THEN 'queued' WHEN o_orderstatus = 'F' THEN 'done'
   WHEN o_orderstatus = 'P' AND attempts <= 2 THEN 'queued' WHEN o_orderstatus = 'P' THEN 'failed' ELSE 'processing' END AS status,
-  coalesce(attempts, 0)::INT AS attempts, coalesce(processed, 0) AS processed_seconds FROM orders LEFT JOIN l ON l_orderkey = o_orderkey
-  WHERE NOT (attempts IS NULL AND o_orderstatus <> 'O') OR true""",
+  coalesce(attempts, 0)::INT AS attempts, coalesce(processed, 0) AS processed_seconds FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""",
 )
 def st07(spark, sf_dir):
     return folds.job_states(job_events(spark, sf_dir)).select("job_id", "status", "attempts", "processed_seconds")
 
 
-_JOBS = """j AS (SELECT o_orderkey AS job_id, o_orderdate AS enq, CASE WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'P' AND n <= 2 THEN 'queued'
+_JOBS = """j AS (SELECT o_orderkey AS job_id, o_orderdate AS enq, CASE WHEN n IS NULL THEN 'queued' WHEN o_orderstatus = 'F' THEN 'done' WHEN o_orderstatus = 'P' AND n <= 2 THEN 'queued'
   WHEN o_orderstatus = 'P' THEN 'failed' WHEN n IS NULL THEN 'queued' ELSE 'processing' END AS status, round(o_totalprice)::BIGINT AS body
   FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
 
