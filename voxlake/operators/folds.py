@@ -63,6 +63,107 @@ def ordered_fold(
     return placed.mapInPandas(run, schema)
 
 
+class Hangover(Fold):
+    """Utterance endpoint: fires on the frame where silence after speech first lasts long enough.
+
+    Speech once seen stays seen, and silence keeps adding up after the endpoint; only new speech arms it again.
+    Rows are ``(row_id, prob)``.
+    """
+
+    def __init__(self, *, threshold: float = 0.5, min_silence: int = 8000, frame: int = 512):
+        self.threshold, self.min_silence, self.frame = threshold, min_silence, frame
+
+    def start(self, key):
+        return False, 0, False
+
+    def step(self, state, key, row):
+        seen, silence, armed = state
+        row_id, prob = row
+        if prob >= self.threshold:
+            return (True, 0, True), ()
+        if not seen:
+            return state, ()
+        silence += self.frame
+        fires = armed and silence >= self.min_silence
+        return (True, silence, armed and not fires), [(row_id,)] if fires else ()
+
+
+class Segmenter(Fold):
+    """Speech regions frame by frame; equal to the batch regions, with a bounded look-ahead.
+
+    A region is released once no later frame can reach it. Rows are ``(prob,)``; a null probability ends the
+    signal, as does ``finish``. Output is ``(region_idx, start, end)``.
+    """
+
+    def __init__(self, *, threshold=0.5, min_silence=8000, min_speech=4000, pad=1600, frame: int = 512):
+        self.threshold, self.min_silence, self.min_speech = threshold, min_silence, min_speech
+        self.pad, self.frame = pad, frame
+
+    def start(self, key):
+        # pos; open speech [a, b) with its run still going; padded region waiting for a neighbour; next number
+        return {"pos": 0, "open": None, "run": False, "held": None, "next": 0}
+
+    def step(self, state, key, row):
+        prob = row[0]
+        if prob is None or prob != prob:
+            out = self._close(state)
+            state.update(self.start(key))
+            return state, out
+        begin, end = state["pos"], state["pos"] + self.frame
+        state["pos"], out = end, []
+        if prob >= self.threshold:
+            if state["open"] and not state["run"] and begin - state["open"][1] >= self.min_silence:
+                out += self._settle(state)
+            state["open"] = [state["open"][0] if state["open"] else begin, end]
+            state["run"] = True
+        else:
+            state["run"] = False
+            if state["open"] and end - state["open"][1] >= self.min_silence:
+                out += self._settle(state)
+        earliest = (state["open"][0] if state["open"] else end) - self.pad
+        if state["held"] and earliest > state["held"][1]:
+            out += self._release(state)
+        return state, out
+
+    def _settle(self, state):
+        a, b = state["open"]
+        state["open"] = None
+        if b - a < self.min_speech:
+            return []
+        start, end, out = max(a - self.pad, 0), b + self.pad, []
+        if state["held"] and start <= state["held"][1]:
+            state["held"][1] = max(state["held"][1], end)
+        else:
+            out = self._release(state)
+            state["held"] = [start, end]
+        return out
+
+    def _release(self, state):
+        if not state["held"]:
+            return []
+        start, end = state["held"]
+        state["held"] = None
+        state["next"] += 1
+        return [(state["next"] - 1, start, min(end, state["pos"]))]
+
+    def _close(self, state):
+        out = self._settle(state) if state["open"] else []
+        return out + self._release(state)
+
+    def finish(self, state, key):
+        return self._close(state)
+
+
+class RunningGauge(Fold):
+    """Running sum of deltas. Rows are ``(row_id, delta)``."""
+
+    def start(self, key):
+        return 0
+
+    def step(self, state, key, row):
+        return state + int(row[1]), [(row[0], state + int(row[1]))]
+
+
 class TokenBucket(Fold):
     """Capacity ``burst``, refill ``rpm`` per minute, one token per request; state is (tokens, last refill)."""
 
@@ -189,10 +290,10 @@ class Settle(Fold):
         gone = state and state["status"] != "in_flight" and poll > state["poll"] + 1
         if state is None or gone:
             status = "done" if poll == 0 else "pending"
-            return {"sig": (size, mtime), "stable": 0, "status": status, "dirty": False, "poll": poll}, ()
+            return {"sig": [size, mtime], "stable": 0, "status": status, "dirty": False, "poll": poll}, ()
         state["poll"] = poll
-        if state["sig"] != (size, mtime):
-            state.update(sig=(size, mtime), stable=0)
+        if state["sig"] != [size, mtime]:
+            state.update(sig=[size, mtime], stable=0)
             if state["status"] == "in_flight":
                 state["dirty"] = True
             else:

@@ -1,4 +1,11 @@
 """All registered queries."""
 
-from voxlake.plans import corpus_queries, score_queries, service_queries, text_queries, word_queries  # noqa: F401
+from voxlake.plans import (  # noqa: F401
+    corpus_queries,
+    score_queries,
+    service_queries,
+    stream_queries,
+    text_queries,
+    word_queries,
+)
 from voxlake.plans.registry import ORACLES, QUERIES  # noqa: F401
