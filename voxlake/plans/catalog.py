@@ -2,6 +2,8 @@
 
 from voxlake.plans import (  # noqa: F401
     corpus_queries,
+    flagship,
+    pipeline_queries,
     score_queries,
     service_queries,
     stream_queries,
