@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.operators.joins import safe_join
+from voxlake.session import materialize
 
 CELLS = 4096
 LEVELS = 2
@@ -25,7 +26,7 @@ def _pick_ranks(counts: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFra
             F.col("_hi") > F.col("_lo"),
             F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS), F.lit(CELLS - 1)),
         ).otherwise(F.lit(0).cast("bigint"))
-        work = safe_join(work, span, cell_keys).withColumn(cell, place).drop("_lo", "_hi")
+        work = materialize(safe_join(work, span, cell_keys).withColumn(cell, place).drop("_lo", "_hi"), "cells")
         sizes = work.groupBy(*cell_keys, cell).agg(F.sum("_n").alias("_m"))
         through = F.sum("_m").over(Window.partitionBy(*cell_keys).orderBy(cell))
         sizes = sizes.withColumn("_before", through - F.col("_m"))
@@ -34,6 +35,7 @@ def _pick_ranks(counts: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFra
         )
         ranks = ranks.select(*cell_keys, cell, "name", (F.col("rank") - F.col("_before")).alias("rank"))
         cell_keys = [*cell_keys, cell]
+        ranks = materialize(ranks, "ranks")
         work = safe_join(work, ranks.select(*cell_keys).distinct(), cell_keys, "left_semi")
     through = F.sum("_n").over(Window.partitionBy(*cell_keys).orderBy("_v"))
     placed = work.withColumn("_before", through - F.col("_n"))
@@ -46,7 +48,8 @@ def _pick_ranks(counts: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFra
 def _counted(df: DataFrame, keys: list[str], value: Column) -> tuple[DataFrame, list[str]]:
     keyed = df.select(*(keys or [F.lit(0).alias("_all")]), value.cast("double").alias("_v"))
     group = keys or ["_all"]
-    return keyed.filter(F.col("_v").isNotNull()).groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n")), group
+    counts = keyed.filter(F.col("_v").isNotNull()).groupBy(*group, "_v").agg(F.count(F.lit(1)).alias("_n"))
+    return materialize(counts, "value-counts"), group
 
 
 def percentiles(df: DataFrame, keys: list[str], value: Column, points: dict[str, float]) -> DataFrame:

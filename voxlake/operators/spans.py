@@ -30,33 +30,45 @@ class Limit:
     most: float
 
 
-def _first_over(measure: np.ndarray, anchor: float, most: float, start: int, stop: int) -> int:
-    """First row in [start, stop) with ``measure - anchor > most`` (``stop`` if none)."""
-    window = measure[start:stop]
-    if len(window) > 1 and not (window[1:] >= window[:-1]).all():
-        over = np.flatnonzero(window - anchor > most)
-        return start + int(over[0]) if len(over) else stop
-    at = start + int(np.searchsorted(window, anchor + most, side="right"))
-    while at > start and measure[at - 1] - anchor > most:
-        at -= 1
-    while at < stop and not measure[at] - anchor > most:
-        at += 1
-    return at
-
-
-def _next_start(measures, anchors, limits, start: int, stop: int) -> int:
-    return min(_first_over(m, a, lim, start, stop) for m, a, lim in zip(measures, anchors, limits))
-
-
-def _segments(forced: np.ndarray) -> list[tuple[int, int]]:
-    edges = [0, *(np.flatnonzero(forced[1:]) + 1), len(forced)]
-    return list(zip(edges, edges[1:]))
-
-
-def _arrays(pdf: pd.DataFrame, limits: list[Limit]):
-    measures = [pdf[x.measure].to_numpy("float64") for x in limits]
-    anchors = [pdf[x.anchor].to_numpy("float64") for x in limits]
-    return measures, anchors, [x.most for x in limits]
+class _Rows:
+    """One block's rows as arrays, with the search for the row that overruns a span."""
+
+    def __init__(self, pdf: pd.DataFrame, limits: list[Limit]):
+        self.forced = pdf["_forced"].to_numpy("bool")
+        self.measures = [pdf[x.measure].to_numpy("float64") for x in limits]
+        self.anchors = [pdf[x.anchor].to_numpy("float64") for x in limits]
+        self.most = [float(x.most) for x in limits]
+        self.rising = [bool((m[1:] >= m[:-1]).all()) for m in self.measures]
+        edges = [0, *(np.flatnonzero(self.forced[1:]) + 1).tolist(), len(self.forced)]
+        self.segments = list(zip(edges, edges[1:]))
+
+    def anchor(self, i: int) -> list[float]:
+        return [float(a[i]) for a in self.anchors]
+
+    def next_start(self, anchor: list[float], start: int, stop: int) -> int:
+        """First row in [start, stop) with ``measure - anchor > most`` for some limit (``stop`` if none)."""
+        best = stop
+        for m, a, most, rising in zip(self.measures, anchor, self.most, self.rising):
+            if rising:
+                at = start + int(m[start:best].searchsorted(a + most, side="right"))
+                # The sum may round; the comparison below is the rule.
+                while at > start and m[at - 1] - a > most:
+                    at -= 1
+                while at < best and not m[at] - a > most:
+                    at += 1
+            else:
+                over = np.flatnonzero(m[start:best] - a > most)
+                at = start + int(over[0]) if len(over) else best
+            best = min(best, at)
+        return best
+
+    def last_start(self, i: int, stop: int) -> int:
+        """Start of the span that is open at ``stop`` when one starts at ``i``."""
+        while True:
+            following = self.next_start(self.anchor(i), i + 1, stop)
+            if following >= stop:
+                return i
+            i = following
 
 
 def greedy_spans(
@@ -93,35 +105,23 @@ def greedy_spans(
 
     def tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        measures, anchors, most = _arrays(pdf, limits)
-        segments = _segments(pdf["_forced"].to_numpy("bool"))
-        head_stop = segments[0][1]
-
-        def last_start(i: int, stop: int) -> int:
-            while True:
-                nxt = _next_start(measures, [a[i] for a in anchors], most, i + 1, stop)
-                if nxt >= stop:
-                    return i
-                i = nxt
-
-        # Candidate first breaks inside the head: 0..head_stop (head_stop: the open span covers the head).
-        exit_of = np.full(head_stop + 1, -1, dtype="int64")
-        if len(segments) > 1 or pdf["_forced"].iloc[0]:
-            exit_of[:] = last_start(*segments[-1])
+        rows = _Rows(pdf, limits)
+        head = rows.segments[0][1]
+        # Candidate first breaks inside the head: 0..head (head: the open span covers it).
+        exit_of = np.full(head + 1, -1, dtype="int64")
+        if len(rows.segments) > 1 or rows.forced[0]:
+            exit_of[:] = rows.last_start(*rows.segments[-1])
         else:
-            for p in range(head_stop - 1, -1, -1):
-                nxt = _next_start(measures, [a[p] for a in anchors], most, p + 1, head_stop)
-                exit_of[p] = p if nxt >= head_stop else exit_of[nxt]
+            for p in range(head - 1, -1, -1):
+                following = rows.next_start(rows.anchor(p), p + 1, head)
+                exit_of[p] = p if following >= head else exit_of[following]
         bounds, exits = [], []
-        for p in range(head_stop + 1):
-            if p and exit_of[p] == exit_of[p - 1]:
-                continue
+        for p in [0, *(np.flatnonzero(np.diff(exit_of)) + 1).tolist()]:
             # Reaching break p means no row before p overran.
-            bounds.append([float("-inf")] * len(most) if p == 0 else [float(m[:p].max()) for m in measures])
-            exits.append(None if exit_of[p] < 0 else [float(a[exit_of[p]]) for a in anchors])
+            bounds.append([float(m[:p].max()) if p else float("-inf") for m in rows.measures])
+            exits.append(None if exit_of[p] < 0 else rows.anchor(exit_of[p]))
         first = pdf.iloc[0]
-        row = {**{k: first[k] for k in keys}, BLOCK: first[BLOCK], "bounds": bounds, "exits": exits}
-        return pd.DataFrame([row])
+        return pd.DataFrame([{**{k: first[k] for k in keys}, BLOCK: first[BLOCK], "bounds": bounds, "exits": exits}])
 
     def chain(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(BLOCK)
@@ -141,22 +141,20 @@ def greedy_spans(
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        measures, anchors, most = _arrays(pdf, limits)
+        rows = _Rows(pdf, limits)
         positions = pdf[order].to_numpy()
         starts = np.zeros(len(pdf), dtype=bool)
         entry = pdf["entry"].iloc[0]
-        for n, (lo, hi) in enumerate(_segments(pdf["_forced"].to_numpy("bool"))):
+        for n, (lo, hi) in enumerate(rows.segments):
             i = lo
-            if n == 0 and entry is not None and not pdf["_forced"].iloc[0]:
-                i = _next_start(measures, list(entry), most, lo, hi)
+            if n == 0 and entry is not None and not rows.forced[0]:
+                i = rows.next_start(list(entry), lo, hi)
             while i < hi:
                 starts[i] = True
-                i = _next_start(measures, [a[i] for a in anchors], most, i + 1, hi)
+                i = rows.next_start(rows.anchor(i), i + 1, hi)
         out = pdf[keys].copy()
         out[order] = positions
-        out[span] = pd.array(np.where(starts, positions, -1), dtype="Int64")
-        out.loc[~starts, span] = pd.NA
-        out[span] = out[span].ffill()
+        out[span] = pd.Series(np.where(starts, positions, -1), index=pdf.index, dtype="Int64").mask(~starts).ffill()
         return out
 
     # Rows before a block's first own start belong to a span opened in an earlier block; a key's entry row is

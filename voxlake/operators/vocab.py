@@ -5,14 +5,13 @@ A vocabulary is a dictionary of at most ``MAX_PIECES`` entries, checked before i
 
 from __future__ import annotations
 
-import unicodedata
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxlake.functions.expr import words_of
+
 WORD_BOUNDARY = "▁"
 SPECIAL = ("<blk>", "<unk>", "")
 MAX_PIECES = 1_000_000
@@ -74,31 +73,18 @@ def phrase_to_pieces(phrase: Column, vocab: dict[str, int]) -> Column:
     return encode(phrase)
 
 
-def _is_control(c: str) -> bool:
-    return c not in "\t\n\r" and unicodedata.category(c) in ("Cc", "Cf", "Co")
-
-
-def _is_ideograph(c: str) -> bool:
-    # The code point ranges set apart as single characters.
-    ranges = (
-        (0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x20000, 0x2A6DF), (0x2A700, 0x2B73F),
-        (0x2B740, 0x2B81F), (0x2B820, 0x2CEAF), (0xF900, 0xFAFF), (0x2F800, 0x2FA1F),
-    )
-    return any(lo <= ord(c) <= hi for lo, hi in ranges)
-
-
-def _is_punctuation(c: str) -> bool:
-    return c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" or unicodedata.category(c).startswith("P")
+# Characters set apart as words of their own (punctuation of any script, the ASCII symbols, and the
+# ideograph ranges), and characters dropped (controls other than tab and line ends, format, private use, U+FFFD).
+APART = (
+    r"[\p{P}$+<=>^`|~\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{2A700}-\x{2B73F}\x{2B740}-\x{2B81F}"
+    r"\x{2B820}-\x{2CEAF}\x{F900}-\x{FAFF}\x{2F800}-\x{2FA1F}]"
+)
+DROPPED = r"[[\p{Cc}\p{Cf}\p{Co}\x{FFFD}]&&[^\t\n\r]]"
 
 
-def split_words(text: str) -> list[str]:
+def split_words(text: Column) -> Column:
     """Words of cleaned text, with every punctuation mark and ideograph on its own."""
-    spaced = []
-    for c in text:
-        if c in "\0�" or _is_control(c):
-            continue
-        spaced.append(f" {c} " if _is_punctuation(c) or _is_ideograph(c) else c)
-    return "".join(spaced).split()
+    return words_of(F.regexp_replace(F.regexp_replace(text, DROPPED, ""), f"({APART})", " $1 "))
 
 
 def word_pieces(word: str, vocab: dict[str, int], longest: int, unknown: int) -> list[int]:
@@ -114,37 +100,35 @@ def word_pieces(word: str, vocab: dict[str, int], longest: int, unknown: int) ->
     return ids or [unknown]
 
 
-def subword_tokens(documents: DataFrame, key: str, text: str, vocab: dict[str, int]) -> DataFrame:
-    """Tokens ``position, word_idx, token_id`` of whole documents."""
+def subword_ids(text: Column, vocab: dict[str, int]) -> Column:
+    """Piece ids of every word: one array per word. Repeated words are looked up once per batch."""
     known = _checked(vocab)
     longest, unknown = max(map(len, known), default=0), known[UNKNOWN]
-    schema = T.StructType(
-        [documents.schema[key]]
-        + [T.StructField(n, T.IntegerType()) for n in ("position", "word_idx", "token_id")]
+
+    @F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+    def encode(batch: pd.Series) -> pd.Series:
+        seen = {w: word_pieces(w, known, longest, unknown) for w in {w for words in batch if words is not None for w in words}}
+        return pd.Series([None if words is None else [seen[w] for w in words] for words in batch])
+
+    return encode(split_words(text))
+
+
+def subword_tokens(documents: DataFrame, key: str, text: str, vocab: dict[str, int]) -> DataFrame:
+    """Tokens ``position, word_idx, token_id`` of whole documents."""
+    words = documents.select(key, subword_ids(F.col(text), vocab).alias("_w"))
+    flat = F.flatten(F.transform("_w", lambda ids, w: F.transform(ids, lambda i: F.struct(w.alias("w"), i.alias("i")))))
+    return words.select(key, F.posexplode(flat).alias("position", "_t")).select(
+        key, "position", F.col("_t.w").alias("word_idx"), F.col("_t.i").alias("token_id")
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, list[int]] = {}
-        for pdf in batches:
-            for name, body in zip(pdf[key], pdf[text]):
-                words, ids = [], []
-                for w, word in enumerate(split_words(body or "")):
-                    pieces = seen.get(word)
-                    if pieces is None:
-                        pieces = word_pieces(word, known, longest, unknown)
-                        if len(seen) < 100_000:
-                            seen[word] = pieces
-                    words += [w] * len(pieces)
-                    ids += pieces
-                yield pd.DataFrame({key: [name] * len(ids), "position": range(len(ids)), "word_idx": words, "token_id": ids})
-
-    return documents.select(key, text).mapInPandas(run, schema)
-
-
-def token_counts(tokens: DataFrame, key: str, unknown: int) -> DataFrame:
-    """Tokens, words and unknown pieces per document."""
-    return tokens.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_tokens"),
-        (F.max("word_idx") + 1).cast("bigint").alias("n_words"),
-        F.count_if(F.col("token_id") == unknown).alias("n_unknown"),
+
+def token_counts(documents: DataFrame, key: str, text: str, vocab: dict[str, int]) -> DataFrame:
+    """Tokens, words and unknown pieces per document, without a shuffle."""
+    words = documents.select(key, subword_ids(F.col(text), vocab).alias("_w"))
+    total = lambda f: F.aggregate("_w", F.lit(0).cast("bigint"), lambda acc, ids: acc + f(ids))
+    return words.select(
+        key,
+        total(F.size).alias("n_tokens"),
+        F.size("_w").cast("bigint").alias("n_words"),
+        total(lambda ids: F.size(F.filter(ids, lambda i: i == vocab[UNKNOWN]))).alias("n_unknown"),
     )

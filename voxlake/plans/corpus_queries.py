@@ -87,9 +87,7 @@ def sc04(spark, sf_dir):
 @query(
     "sc05_jn01_transcript_join",
     """SELECT doc_id::VARCHAR AS utt_id, md5(lower(trim(regexp_replace(text, '\\s+', ' ', 'g')))) AS digest, '/audio/' || doc_id || '.flac' AS path
-FROM documents WHERE quality_known AND trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''""".replace(
-        "FROM documents WHERE quality_known AND", "FROM documents JOIN labels USING (doc_id) WHERE"
-    ),
+FROM documents JOIN labels USING (doc_id) WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''""",
 )
 def sc05(spark, sf_dir):
     body = F.regexp_replace("text", r"\s+", " ")
@@ -350,16 +348,32 @@ def _letters() -> dict[str, int]:
     return {p: i for i, p in enumerate(pieces)}
 
 
-@query("tx21_subword_counts")
+_SPLIT = f"""(SELECT doc_id, unnest({sql.words("regexp_replace(regexp_replace(text, '[\\x{00AD}\\x{200B}-\\x{200F}\\x{FEFF}]', '', 'g'), '([\\p{P}$+<=>^`|~])', ' \\1 ', 'g')")}) AS w FROM documents)"""
+
+
+@query(
+    "tx21_subword_counts",
+    f"""WITH t AS {_SPLIT},
+s AS (SELECT doc_id, w, length(w) <= 100 AND regexp_full_match(w, '[A-Za-z]+') AS latin, length(w) = 1 AND contains('.,!?;:\'\'"()-', w) AS mark FROM t),
+k AS (SELECT doc_id, CASE WHEN latin THEN length(w) - CASE WHEN starts_with(w, 'the') THEN 2 ELSE 0 END - 3 * len(regexp_extract_all(CASE WHEN starts_with(w, 'the')
+  THEN w[4:] ELSE w[2:] END, 'tion')) ELSE 1 END AS n, NOT latin AND NOT mark AS unk FROM s)
+SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS n_tokens, count(n) AS n_words, coalesce(count_if(unk), 0) AS n_unknown FROM documents d LEFT JOIN k USING (doc_id) GROUP BY 1""".replace(
+        "\\'\\'", "''"
+    ),
+)
 def tx21(spark, sf_dir):
-    known = _letters()
-    tokens = vocab.subword_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", known)
-    return vocab.token_counts(tokens, "doc_id", known["[UNK]"])
+    return vocab.token_counts(table(spark, sf_dir, "documents"), "doc_id", "text", _letters())
+
+
+@query("tx21_subword_tokens")
+def tx21_tokens(spark, sf_dir):
+    tokens = vocab.subword_tokens(table(spark, sf_dir, "documents"), "doc_id", "text", _letters())
+    return tokens.groupBy("token_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
     "tx19_phrase_pieces",
-    """SELECT p_partkey, len(regexp_replace(p_name, '\\s', '', 'g')) + CASE WHEN contains(p_name, ' ') THEN 0 ELSE 0 END AS n_pieces FROM part""",
+    """SELECT p_partkey, len(regexp_replace(p_name, '\\s', '', 'g')) AS n_pieces FROM part""",
 )
 def tx19(spark, sf_dir):
     known = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789#-_.,")}

@@ -13,9 +13,22 @@ from voxlake.session import materialize
 DAY = 86_400
 
 
+TEXT_TABLES = ("documents", "pages")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the given tables. Text tables that come in too few files are spread over the cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in TEXT_TABLES else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Repartition a table of fewer files than cores, for work that costs far more per row than a shuffle.
+
+    A large table has many files and stays as it is.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
 
 
 def utterances(spark: SparkSession, sf_dir: str, normalizer=normalize_unicode) -> DataFrame:

@@ -8,7 +8,7 @@ from voxlake.functions import numbers, text
 from voxlake.functions.expr import words_of
 from voxlake.plans import sql
 from voxlake.plans.registry import query
-from voxlake.plans.relations import table, utterances, words
+from voxlake.plans.relations import spread, table, utterances, words
 
 
 def _joined(tokens):
@@ -42,16 +42,14 @@ _digest_query(
 
 @query(
     "tx04_words_to_numbers",
-    f"""SELECT o_orderkey, o_custkey, spoken,
-  CASE WHEN o_orderkey >= 1000000 OR o_custkey >= 1000000 THEN o_orderkey || ' и ' || o_custkey
-  ELSE o_orderkey || ' и ' || o_custkey END AS numbers
-FROM (SELECT o_orderkey, o_custkey, {sql.spelled('o_orderkey')} || ' и ' || {sql.spelled('o_custkey')} AS spoken FROM orders)""",
+    f"""SELECT o_orderkey, o_custkey, {sql.spelled('o_orderkey')} || ' и ' || {sql.spelled('o_custkey')} AS spoken,
+  o_orderkey || ' и ' || o_custkey AS numbers FROM orders""",
 )
 def tx04(spark, sf_dir):
     spoken = F.concat_ws(
         " и ", numbers.number_to_words(F.col("o_orderkey")), numbers.number_to_words(F.col("o_custkey"))
     )
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", spoken.alias("spoken"))
+    rows = spread(table(spark, sf_dir, "orders")).select("o_orderkey", "o_custkey", spoken.alias("spoken"))
     return rows.withColumn("numbers", _joined(numbers.words_to_numbers(words_of(F.col("spoken")))))
 
 
@@ -118,7 +116,7 @@ def tx08(spark, sf_dir):
   || ' ' || trim(regexp_replace(replace(lower(o_orderpriority), '-', ' '), '^[0-9]', '')) AS normalized FROM orders""",
 )
 def tx12(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    rows = spread(table(spark, sf_dir, "orders")).select("o_orderkey", "o_orderpriority")
     said = F.concat_ws(" ", numbers.number_to_words(F.col("o_orderkey")), F.col("o_orderpriority"), F.lit("рублей!"))
     return rows.select("o_orderkey", _joined(text.normalize_for_wer(said)).alias("normalized"))
 
@@ -145,8 +143,7 @@ def tx12_documents(spark, sf_dir):
 
 @query(
     "tx13_apply_itn",
-    """SELECT o_orderkey, 'Заказ ' || o_orderkey || ', клиент ' || o_custkey || ' ' || o_orderpriority AS written FROM orders
-WHERE false UNION ALL SELECT o_orderkey, 'Заказ, ' || o_orderkey || ' клиент ' || o_custkey || ' ' || o_orderpriority FROM orders""",
+    "SELECT o_orderkey, 'Заказ, ' || o_orderkey || ' клиент ' || o_custkey || ' ' || o_orderpriority AS written FROM orders",
 )
 def tx13(spark, sf_dir):
     said = F.concat_ws(
@@ -157,7 +154,7 @@ def tx13(spark, sf_dir):
         numbers.number_to_words(F.col("o_custkey")),
         F.col("o_orderpriority"),
     )
-    return table(spark, sf_dir, "orders").select("o_orderkey", numbers.apply_itn(said).alias("written"))
+    return spread(table(spark, sf_dir, "orders")).select("o_orderkey", numbers.apply_itn(said).alias("written"))
 
 
 @query(
@@ -185,7 +182,7 @@ def tx15(spark, sf_dir):
         (F.col("o_custkey") % 900 + 100).cast("string"),
         F.lit(" 250!"),
     )
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", written.alias("written"))
+    rows = spread(table(spark, sf_dir, "orders")).select("o_orderkey", written.alias("written"))
     return rows.select("o_orderkey", _joined(text.normalize_spelled(F.col("written"))).alias("normalized"))
 
 
