@@ -9,15 +9,18 @@ chained per key, and the blocks are finished in parallel with their known entry
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxlake.operators.scans import BLOCK, scan
+from voxlake.operators.joins import safe_join
+from voxlake.operators.scans import BLOCK
 from voxlake.session import materialize
 
 
@@ -33,13 +36,16 @@ class Limit:
 class _Rows:
     """One block's rows as arrays, with the search for the row that overruns a span."""
 
-    def __init__(self, pdf: pd.DataFrame, limits: list[Limit]):
-        self.forced = pdf["_forced"].to_numpy("bool")
-        self.measures = [pdf[x.measure].to_numpy("float64") for x in limits]
-        self.anchors = [pdf[x.anchor].to_numpy("float64") for x in limits]
+    def __init__(self, column: Callable, limits: list[Limit], changed: np.ndarray | None):
+        numbers = lambda name: np.asarray(column(name), dtype="float64")
+        self.forced = np.asarray(column("_forced"), dtype="bool")
+        self.measures = [numbers(x.measure) for x in limits]
+        self.anchors = [numbers(x.anchor) for x in limits]
         self.most = [float(x.most) for x in limits]
-        self.rising = [bool((m[1:] >= m[:-1]).all()) for m in self.measures]
-        edges = [0, *(np.flatnonzero(self.forced[1:]) + 1).tolist(), len(self.forced)]
+        breaks = self.forced if changed is None else self.forced | changed
+        # Rows that fall behind the row before them, other than where a segment begins.
+        self.rising = [not ((m[1:] < m[:-1]) & ~breaks[1:]).any() for m in self.measures]
+        edges = [0, *(np.flatnonzero(breaks[1:]) + 1).tolist(), len(self.forced)]
         self.segments = list(zip(edges, edges[1:]))
 
     def anchor(self, i: int) -> list[float]:
@@ -83,43 +89,77 @@ def greedy_spans(
 ) -> DataFrame:
     """Add ``span``: the ``order`` value of the row that opens each row's span.
 
-    ``forced`` marks rows that start a span regardless of the limits.
+    ``forced`` marks rows that start a span regardless of the limits; the first row of a key must be one.
+    ``order`` is an integer and ``block`` must not decrease along it.
     """
-    # The rows are read by three passes below.
-    df = materialize(df.withColumn("_forced", F.coalesce(forced, F.lit(True))), "span-rows")
-    marked = df.withColumn(BLOCK, block)
-    needed = list(dict.fromkeys([*keys, BLOCK, order, "_forced", *[c for x in limits for c in (x.measure, x.anchor)]]))
-    slim = marked.select(*needed)
+    rows = materialize(df.withColumns({"_forced": F.coalesce(forced, F.lit(True)), BLOCK: block}), "span-rows")
+    entries = _block_entries(rows, keys, order, limits)
+    known = safe_join(rows, entries, [*keys, BLOCK], "left").withColumn("_group", F.xxhash64(*keys, BLOCK))
+    placed = known.repartition(*keys, BLOCK).sortWithinPartitions(*keys, BLOCK, order)
+    schema = T.StructType(
+        [f for f in placed.schema if f.name not in ("_forced", BLOCK, "_group", "entry")]
+        + [T.StructField(span, T.LongType())]
+    )
+    names = schema.names[:-1]
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, opened, open_at = None, None, -1
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            groups = np.stack([batch.column("_group").to_numpy(), batch.column(BLOCK).to_numpy()])
+            changed = np.concatenate([[tuple(groups[:, 0]) != group], (np.diff(groups) != 0).any(axis=0)])
+            data = _Rows(batch.column, limits, changed)
+            positions = batch.column(order).to_numpy()
+            out = np.full(batch.num_rows, -1, dtype="int64")
+            for lo, hi in data.segments:
+                if changed[lo]:
+                    entry = batch.column("entry")[lo].as_py()
+                    opened, open_at = (entry[:-1], int(entry[-1])) if entry else (None, -1)
+                i = lo if data.forced[lo] else data.next_start(opened, lo, hi)
+                out[lo:i] = open_at
+                while i < hi:
+                    opened, open_at = data.anchor(i), int(positions[i])
+                    following = data.next_start(opened, i + 1, hi)
+                    out[i:following] = open_at
+                    i = following
+            group = tuple(groups[:, -1])
+            columns = [batch.column(n) for n in names] + [pa.array(out)]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+    return placed.mapInArrow(finish, schema)
+
+
+def _block_entries(rows: DataFrame, keys: list[str], order: str, limits: list[Limit]) -> DataFrame:
+    """The anchor and position of the span that is open when a block begins, for keys of several blocks."""
+    spread = rows.groupBy(*keys).agg(F.min(BLOCK).alias("_lo"), F.max(BLOCK).alias("_hi")).filter("_lo <> _hi")
+    columns = dict.fromkeys([*keys, BLOCK, order, "_forced", *[c for x in limits for c in (x.measure, x.anchor)]])
+    slim = safe_join(rows.select(*columns), spread.select(*keys), keys, "left_semi")
     anchor_type = T.ArrayType(T.DoubleType())
-    key_fields = [slim.schema[k] for k in keys]
     table_schema = T.StructType(
-        [
-            *key_fields,
-            slim.schema[BLOCK],
-            T.StructField("bounds", T.ArrayType(anchor_type)),
-            T.StructField("exits", T.ArrayType(anchor_type)),
-        ]
+        [slim.schema[k] for k in (*keys, BLOCK)]
+        + [T.StructField("bounds", T.ArrayType(anchor_type)), T.StructField("exits", T.ArrayType(anchor_type))]
     )
-    entry_schema = T.StructType([*key_fields, slim.schema[BLOCK], T.StructField("entry", anchor_type)])
-    out_schema = T.StructType([*key_fields, slim.schema[order], T.StructField(span, slim.schema[order].dataType)])
+    entry_schema = T.StructType([slim.schema[k] for k in (*keys, BLOCK)] + [T.StructField("entry", anchor_type)])
 
     def tabulate(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
-        rows = _Rows(pdf, limits)
-        head = rows.segments[0][1]
+        data = _Rows(lambda n: pdf[n], limits, None)
+        positions = pdf[order].to_numpy()
+        head = data.segments[0][1]
         # Candidate first breaks inside the head: 0..head (head: the open span covers it).
         exit_of = np.full(head + 1, -1, dtype="int64")
-        if len(rows.segments) > 1 or rows.forced[0]:
-            exit_of[:] = rows.last_start(*rows.segments[-1])
+        if len(data.segments) > 1 or data.forced[0]:
+            exit_of[:] = data.last_start(*data.segments[-1])
         else:
             for p in range(head - 1, -1, -1):
-                following = rows.next_start(rows.anchor(p), p + 1, head)
+                following = data.next_start(data.anchor(p), p + 1, head)
                 exit_of[p] = p if following >= head else exit_of[following]
         bounds, exits = [], []
         for p in [0, *(np.flatnonzero(np.diff(exit_of)) + 1).tolist()]:
             # Reaching break p means no row before p overran.
-            bounds.append([float(m[:p].max()) if p else float("-inf") for m in rows.measures])
-            exits.append(None if exit_of[p] < 0 else rows.anchor(exit_of[p]))
+            bounds.append([float(m[:p].max()) if p else float("-inf") for m in data.measures])
+            exits.append(None if exit_of[p] < 0 else [*data.anchor(exit_of[p]), float(positions[exit_of[p]])])
         first = pdf.iloc[0]
         return pd.DataFrame([{**{k: first[k] for k in keys}, BLOCK: first[BLOCK], "bounds": bounds, "exits": exits}])
 
@@ -139,28 +179,5 @@ def greedy_spans(
         out["entry"] = entries
         return out
 
-    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        rows = _Rows(pdf, limits)
-        positions = pdf[order].to_numpy()
-        starts = np.zeros(len(pdf), dtype=bool)
-        entry = pdf["entry"].iloc[0]
-        for n, (lo, hi) in enumerate(rows.segments):
-            i = lo
-            if n == 0 and entry is not None and not rows.forced[0]:
-                i = rows.next_start(list(entry), lo, hi)
-            while i < hi:
-                starts[i] = True
-                i = rows.next_start(rows.anchor(i), i + 1, hi)
-        out = pdf[keys].copy()
-        out[order] = positions
-        out[span] = pd.Series(np.where(starts, positions, -1), index=pdf.index, dtype="Int64").mask(~starts).ffill()
-        return out
-
-    # Rows before a block's first own start belong to a span opened in an earlier block; a key's entry row is
-    # always forced, so blocks beyond the first get the position from the scan below.
     tables = slim.groupBy(*keys, BLOCK).applyInPandas(tabulate, table_schema)
-    entries = tables.groupBy(*keys).applyInPandas(chain, entry_schema)
-    opened = slim.join(entries, [*keys, BLOCK], "left").groupBy(*keys, BLOCK).applyInPandas(finish, out_schema)
-    placed = df.join(opened, [*keys, order])
-    return scan(materialize(placed.drop("_forced"), "placed-spans"), keys, [order], block, lasts={span: F.col(span)})
+    return tables.groupBy(*keys).applyInPandas(chain, entry_schema)
