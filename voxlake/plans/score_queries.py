@@ -143,21 +143,22 @@ def ag02(spark, sf_dir):
     return out.withColumns({"audio_sec": F.round("audio_sec", 4), "proc_sec": F.round("proc_sec", 4), "rtf": F.round("rtf", 6)})
 
 
-def lcg_sql(source: str, order: str, measures: list[str], value: str) -> str:
-    """Interval of one group of rows, with the generator run in unsigned 128-bit arithmetic."""
+def lcg_sql(source: str, order: str, measures: list[str], value: str, group: str = "1") -> str:
+    """Intervals of groups of rows, with the generator run in unsigned 128-bit arithmetic."""
     sums = ", ".join(f"sum({m})::BIGINT AS {m}" for m in measures)
-    return f"""rows0 AS (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS idx FROM {source}),
-size AS (SELECT count(*)::UHUGEINT AS n FROM rows0),
+    return f"""rows0 AS (SELECT *, {group} AS g, row_number() OVER (PARTITION BY {group} ORDER BY {order}) - 1 AS idx FROM {source}),
+size AS (SELECT g, count(*)::UHUGEINT AS n FROM rows0 GROUP BY 1),
 modulus AS (SELECT 18446744073709551616::UHUGEINT AS m),
-steps AS (WITH RECURSIVE g(k, a, c) AS (SELECT 1, 6364136223846793005::UHUGEINT, 1::UHUGEINT
+steps AS (WITH RECURSIVE t(k, a, c) AS (SELECT 1, 6364136223846793005::UHUGEINT, 1::UHUGEINT
   UNION ALL SELECT k + 1, (a * 6364136223846793005::UHUGEINT) % m, (c * 6364136223846793005::UHUGEINT + 1::UHUGEINT) % m
-  FROM g, size, modulus WHERE k < n) SELECT * FROM g),
-hop AS (SELECT a, c FROM steps, size WHERE k = n),
-seeds AS (WITH RECURSIVE r(replicate, s) AS (SELECT 0, 123456789::UHUGEINT
-  UNION ALL SELECT replicate + 1, (s * hop.a + hop.c) % m FROM r, hop, modulus WHERE replicate < 999) SELECT * FROM r),
-draws AS (SELECT replicate, (((s * a + c) % m) // 4294967296::UHUGEINT) % n AS idx FROM seeds, steps, modulus, size),
-replicates AS (SELECT replicate, {sums} FROM draws JOIN rows0 ON rows0.idx = draws.idx::BIGINT GROUP BY 1),
-ranked AS (SELECT list_sort(list({value})) AS v FROM replicates)"""
+  FROM t, modulus WHERE k < (SELECT max(n) FROM size)) SELECT * FROM t),
+hop AS (SELECT g, n, a, c FROM steps JOIN size ON k = n),
+seeds AS (WITH RECURSIVE r(g, replicate, s) AS (SELECT g, 0, 123456789::UHUGEINT FROM size
+  UNION ALL SELECT r.g, replicate + 1, (s * hop.a + hop.c) % m FROM r JOIN hop ON hop.g = r.g, modulus WHERE replicate < 999) SELECT * FROM r),
+draws AS (SELECT seeds.g, replicate, (((s * a + c) % m) // 4294967296::UHUGEINT) % n AS idx FROM seeds JOIN size ON size.g = seeds.g
+  JOIN steps ON k <= n, modulus),
+replicates AS (SELECT draws.g, replicate, {sums} FROM draws JOIN rows0 ON rows0.g = draws.g AND rows0.idx = draws.idx::BIGINT GROUP BY 1, 2),
+ranked AS (SELECT g, list_sort(list({value})) AS v FROM replicates GROUP BY 1)"""
 
 
 @query(
@@ -170,7 +171,11 @@ def ag03(spark, sf_dir):
     return bootstrap.wer_interval(rows, [], ["sample_idx"], F.floor(F.col("sample_idx") / 1_000_000))
 
 
-@query("ag03_bootstrap_ci_by_dataset")
+@query(
+    "ag03_bootstrap_ci_by_dataset",
+    f"""WITH {SCORED}, {lcg_sql('details', 'sample_idx', ['ref_words', 'errors'], sql.wer('errors', 'ref_words'), 'dataset')}
+SELECT g AS dataset, v[26] AS ci_low, v[976] AS ci_high FROM ranked""",
+)
 def ag03_by_dataset(spark, sf_dir):
     rows = details(spark, sf_dir).select("dataset", "sample_idx", "ref_words", "errors")
     return bootstrap.wer_interval(rows, ["dataset"], ["sample_idx"], F.floor(F.col("sample_idx") / 1_000_000))

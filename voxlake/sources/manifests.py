@@ -222,7 +222,9 @@ def write_manifest(samples: DataFrame, path: str, header: dict[str, str | int],
     fields = [c for c in ("filename", "reference", "duration") if c in samples.columns]
     packed = numbered.groupBy("_shard").agg(F.array_sort(F.collect_list(F.struct("_rn", *fields))).alias("_s"))
     listed = F.transform("_s", lambda s: F.struct(*[s[f].alias(f) for f in fields])).alias("samples")
-    packed.select(*[F.lit(v).alias(k) for k, v in header.items()], listed).repartition("audio_root", F.size("samples")).write.json(path)
+    rows = packed.select(F.col("_shard").alias("shard"), *[F.lit(v).alias(k) for k, v in header.items()], listed)
+    # One manifest per file: a multi-line reader takes one document from each.
+    rows.repartition("shard").write.partitionBy("shard").json(path)
 
 
 def read_speech_shards(spark: SparkSession, paths: str | list[str]) -> DataFrame:
