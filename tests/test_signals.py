@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from voxlake.operators import folds, windows
 from voxlake.operators import words as ops
 from voxlake.operators.bootstrap import MASK, MULTIPLIER, SEED, bootstrap_sums, draw_indices, wer_interval
-from voxlake.operators.blocks import plan_blocks
+from voxlake.operators.blocks import Backward, Forward, balanced_blocks
 from voxlake.operators.quantiles import order_statistic, percentiles
 
 
@@ -224,15 +224,27 @@ def brute_blocks(seconds, target, lo, hi):
     return best
 
 
-@pytest.mark.parametrize("seed", range(25))
-def test_blocks_are_optimal(seed):
-    import numpy as np
-
-    rng = random.Random(seed)
-    seconds = [float(rng.randint(1, 12)) for _ in range(rng.randint(1, 9))]
-    plan = plan_blocks(np.array(seconds), 15.0, 8.0, 20.0)
+def check_plan(seconds, plan):
     cost, want = brute_blocks(seconds, 15.0, 8.0, 20.0)
-    assert (plan is None) == (want is None)
+    assert bool(plan) == (want is not None)
     if plan:
         assert sum((sum(seconds[a:b]) - 15.0) ** 2 for a, b in plan) == pytest.approx(cost)
         assert [a for a, _ in plan] == [0, *[b for _, b in plan[:-1]]] and plan[-1][1] == len(seconds)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_blocks_are_optimal(seed):
+    rng = random.Random(seed)
+    seconds = [float(rng.randint(1, 12)) for _ in range(rng.randint(1, 9))]
+    pointers = run_fold(Forward(15.0, 8.0, 20.0), [(s,) for s in seconds])
+    check_plan(seconds, sorted((a - 1, b) for a, b in run_fold(Backward(), pointers[::-1])))
+
+
+def test_blocks_of_many_recordings(spark):
+    rng = random.Random(1)
+    data = {k: [float(rng.randint(1, 12)) for _ in range(rng.randint(1, 9))] for k in range(12)}
+    rows = [(k, 10 * i, s) for k, seconds in data.items() for i, s in enumerate(seconds)]
+    out = balanced_blocks(spark.createDataFrame(rows, "k int, seg bigint, seconds double"), ["k"], "seg", target=15.0, min_len=8.0, max_len=20.0)
+    found = out.orderBy("k", "block_idx").collect()
+    for k, seconds in data.items():
+        check_plan(seconds, [(r["first_segment"] // 10, r["last_segment"] // 10 + 1) for r in found if r["k"] == k])

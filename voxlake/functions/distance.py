@@ -75,12 +75,12 @@ def error_split(reference: Sequence[str], hypothesis: Sequence[str]) -> tuple[in
 
 
 @F.pandas_udf(T.IntegerType())
-def _distance_udf(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
+def distance_udf(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
     return pd.Series([0 if r is None else edit_distance(r, h) for r, h in zip(reference, hypothesis)], dtype="int32")
 
 
 @F.pandas_udf(SPLIT_TYPE)
-def _split_udf(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
+def split_udf(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
     rows = [(0, 0, 0) if r is None else error_split(r, h) for r, h in zip(reference, hypothesis)]
     return pd.DataFrame(rows, columns=["sub", "ins", "del"], dtype="int32")
 
@@ -88,7 +88,7 @@ def _split_udf(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
 def word_edit_distance(reference: Column, hypothesis: Column) -> Column:
     """Distance of two word arrays; trivial pairs are settled without shipping their words to Python."""
     hard = (F.size(reference) > 0) & (F.size(hypothesis) > 0) & (reference != hypothesis)
-    shipped = _distance_udf(F.when(hard, reference), F.when(hard, hypothesis))
+    shipped = distance_udf(F.when(hard, reference), F.when(hard, hypothesis))
     return F.when(hard, shipped).when(reference == hypothesis, 0).otherwise(
         F.greatest(F.size(reference), F.size(hypothesis))
     )
@@ -97,7 +97,7 @@ def word_edit_distance(reference: Column, hypothesis: Column) -> Column:
 def word_errors(reference: Column, hypothesis: Column) -> Column:
     """Struct of substitutions, insertions and deletions."""
     hard = (F.size(reference) > 0) & (F.size(hypothesis) > 0) & (reference != hypothesis)
-    shipped = _split_udf(F.when(hard, reference), F.when(hard, hypothesis))
+    shipped = split_udf(F.when(hard, reference), F.when(hard, hypothesis))
     equal = reference == hypothesis
     trivial = F.struct(
         F.lit(0).alias("sub"),

@@ -95,5 +95,6 @@ def mono_fallback_reason(channels: Column, correlation: Column) -> Column:
 
 def prefer_split(df: DataFrame, path: Column, split: str) -> DataFrame:
     """Rows of the named split if there are any, else all rows."""
-    has = df.agg(F.coalesce(F.max(path.contains(split)), F.lit(False)).alias("_has"))
-    return df.crossJoin(F.broadcast(has)).filter(~F.col("_has") | path.contains(split)).drop("_has")
+    named = path.contains(split)
+    any_named = df.agg(F.coalesce(F.max(named), F.lit(False))).scalar()
+    return df.filter(~any_named | named)

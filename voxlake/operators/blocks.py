@@ -1,60 +1,97 @@
-"""Length-balanced blocks of consecutive segments."""
+"""Length-balanced blocks of consecutive segments.
+
+The least-cost tiling is found by dynamic programming along a recording. Both passes stream over sorted rows: the
+first keeps only the boundaries a block can still reach back to and writes one pointer per segment, the second
+follows the pointers from the end. No recording is held in memory.
+"""
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voxlake.operators.folds import Fold, ordered_fold
+from voxlake.operators.scans import scan
+
 SLACK = 1e-6
 
 
-def plan_blocks(seconds: np.ndarray, target: float, min_len: float, max_len: float) -> list[tuple[int, int]] | None:
-    """Blocks with the least squared deviation from ``target``, every one inside the band; None if impossible."""
-    n = len(seconds)
-    best, came_from = np.full(n + 1, np.inf), np.full(n + 1, -1)
-    best[0] = 0.0
-    for end in range(1, n + 1):
-        # Lengths of the blocks that end here, shortest first, added in the same order as they grow.
-        length, start = 0.0, end
-        while start:
-            start -= 1
-            length += seconds[start]
-            if length > max_len + SLACK:
+class Forward(Fold):
+    """Cheapest tiling up to every segment; output is (position, position before the block that ends there)."""
+
+    def __init__(self, target: float, min_len: float, max_len: float):
+        self.target, self.min_len, self.max_len = target, min_len, max_len
+
+    def start(self, key):
+        # Open boundaries, nearest first: [segments before it, seconds of the segment before it, cost up to it].
+        return {"n": 0, "open": [[0, 0.0, 0.0]]}
+
+    def step(self, state, key, row):
+        seconds = float(row[0])
+        state["n"] += 1
+        length, best, source, reach = 0.0, float("inf"), -1, 0
+        later = seconds
+        for at, before, cost in state["open"]:
+            length += later
+            if length > self.max_len + SLACK:
                 break
-            if length + SLACK >= min_len and best[start] + (length - target) ** 2 < best[end]:
-                best[end], came_from[end] = best[start] + (length - target) ** 2, start
-    if not np.isfinite(best[n]):
+            reach += 1
+            deviation = length - self.target
+            if length + SLACK >= self.min_len and cost + deviation * deviation < best:
+                best, source = cost + deviation * deviation, at
+            later = before
+        # Boundaries beyond the longest block cannot be reached from later segments either.
+        state["open"] = [[state["n"], seconds, best], *state["open"][:reach]]
+        return state, [(state["n"], source)]
+
+
+class Backward(Fold):
+    """Follows the pointers from the last segment; output is (first position, last position) of each block."""
+
+    def start(self, key):
         return None
-    out, end = [], n
-    while end:
-        out.append((int(came_from[end]), end))
-        end = int(came_from[end])
-    return out[::-1]
+
+    def step(self, state, key, row):
+        position, source = int(row[0]), int(row[1])
+        if state is not None and position != state:
+            return state, ()
+        if source < 0:
+            # Only the last segment can lack a pointer on the path: then there is no tiling at all.
+            return -1, ()
+        return source, [(source + 1, position)]
 
 
 def balanced_blocks(
     segments: DataFrame, keys: list[str], order: str, *, target: float, min_len: float, max_len: float
 ) -> DataFrame:
-    """Blocks ``block_idx, first_segment, last_segment, seconds`` per recording; a recording without a tiling drops out."""
-    schema = T.StructType(
-        [segments.schema[k] for k in keys]
-        + [
-            T.StructField("block_idx", T.LongType()),
-            T.StructField("first_segment", segments.schema[order].dataType),
-            T.StructField("last_segment", segments.schema[order].dataType),
-            T.StructField("seconds", T.DoubleType()),
-        ]
+    """Blocks ``block_idx, first_segment, last_segment, seconds`` of least squared deviation from ``target``.
+
+    Every block is inside the band; a recording without such a tiling drops out.
+    """
+    long = lambda name: T.StructField(name, T.LongType())
+    rows = segments.select(*keys, order, "seconds")
+    pointers = ordered_fold(
+        rows, keys, [order], ["seconds"], Forward(target, min_len, max_len), [long("position"), long("source")]
+    ).withColumn("_back", -F.col("position"))
+    spans = ordered_fold(
+        pointers, keys, ["_back"], ["position", "source"], Backward(), [long("first_position"), long("last_position")]
     )
+    return _with_segments(rows, spans, keys, order)
 
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        seconds, at = pdf["seconds"].to_numpy("float64"), pdf[order].to_numpy()
-        plan = plan_blocks(seconds, target, min_len, max_len) or []
-        rows = [
-            [pdf[k].iloc[0] for k in keys] + [i, at[a], at[b - 1], float(seconds[a:b].sum())] for i, (a, b) in enumerate(plan)
-        ]
-        return pd.DataFrame(rows, columns=schema.names)
 
-    return segments.select(*keys, order, "seconds").groupBy(*keys).applyInPandas(solve, schema)
+def _with_segments(rows: DataFrame, spans: DataFrame, keys: list[str], order: str) -> DataFrame:
+    block: Column = F.floor(F.col(order) / 65_536)
+    numbered = scan(rows, keys, [order], block, row_number="_position", sums={"_through": F.col("seconds")})
+    edge = numbered.select(*keys, "_position", F.col(order).alias("_at"), "_through", (F.col("_through") - F.col("seconds")).alias("_before"))
+    first = edge.select(*keys, F.col("_position").alias("first_position"), F.col("_at").alias("first_segment"), "_before")
+    last = edge.select(*keys, F.col("_position").alias("last_position"), F.col("_at").alias("last_segment"), "_through")
+    joined = spans.join(first, [*keys, "first_position"]).join(last, [*keys, "last_position"])
+    ranked = scan(joined, keys, ["first_position"], F.floor(F.col("first_position") / 65_536), row_number="_rn")
+    return ranked.select(
+        *keys,
+        (F.col("_rn") - 1).alias("block_idx"),
+        "first_segment",
+        "last_segment",
+        (F.col("_through") - F.col("_before")).alias("seconds"),
+    )

@@ -10,8 +10,6 @@ BROADCAST_ROWS = 100_000
 
 def safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a null key matches a null key; the right side's key columns are dropped."""
-    if not keys:
-        return left.crossJoin(F.broadcast(right))
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     on = [left[k].eqNullSafe(renamed[f"_r_{k}"]) for k in keys]
     joined = left.join(renamed, on, how)
@@ -20,7 +18,7 @@ def safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
 
 def lookup_join(left: DataFrame, dimension: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
     """Join a dictionary. It is broadcast only after counting it; a larger one is shuffled like any table."""
-    small = len(dimension.limit(BROADCAST_ROWS + 1).select(F.lit(1)).take(BROADCAST_ROWS + 1)) <= BROADCAST_ROWS
+    small = dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     return left.join(F.broadcast(dimension) if small else dimension, on, how)
 
 
@@ -29,19 +27,3 @@ def latest_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     best = F.max(F.struct(order.alias("_at"), F.struct(*rest).alias("_row"))).alias("_best")
     return df.groupBy(*keys).agg(best).select(*keys, "_best._row.*")
-
-
-def first_matching(
-    left: DataFrame,
-    right: DataFrame,
-    keys: list[str],
-    condition: Column,
-    rank: Column,
-    value: Column,
-    out: str,
-    identity: list[str],
-) -> DataFrame:
-    """Left join that keeps, for each left row, the value of the lowest-ranked match."""
-    hits = left.join(right, [*keys], "inner").filter(condition)
-    picked = hits.groupBy(*identity).agg(F.min(F.struct(rank.alias("r"), value.alias("v"))).alias("_hit"))
-    return left.join(picked, identity, "left").withColumn(out, F.col("_hit.v")).drop("_hit")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.functions.distance import wer_percent
+from voxlake.functions.expr import words_of
+from voxlake.functions.table_functions import register_sql
 from voxlake.operators import blocks, scoring, windows
 from voxlake.operators.joins import safe_join
 from voxlake.operators.scans import index_block, scan
@@ -125,3 +127,17 @@ def sg08(spark, sf_dir):
     )
     errors = F.col("sub") + F.col("ins") + F.col("del")
     return sums.withColumn("wer", wer_percent(errors, F.col("ref_words")))
+
+
+@query(
+    "ud05_sql_functions",
+    f"""WITH s AS (SELECT doc_id, len({sql.words('text')}) AS n FROM documents), k AS (SELECT *, (greatest(n - 250, 0) + 209) // 210 AS last FROM s WHERE n > 0)
+SELECT doc_id, last + 1 AS windows, n AS kept_words FROM k""",
+)
+def ud05(spark, sf_dir):
+    register_sql(spark)
+    table(spark, sf_dir, "documents").select("doc_id", F.size(words_of(F.col("text"))).alias("n")).createOrReplaceTempView("voxlake_sizes")
+    return spark.sql(
+        "SELECT doc_id, count(*) AS windows, sum(keep_end - keep_start) AS kept_words "
+        "FROM voxlake_sizes, LATERAL label_windows(n) GROUP BY doc_id"
+    )

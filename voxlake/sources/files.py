@@ -65,14 +65,14 @@ def parse_wav_header(head: bytes) -> tuple[int, int, int] | None:
 
 
 @F.pandas_udf(WAV_TYPE)
-def _wav_header(heads: pd.Series) -> pd.DataFrame:
+def wav_header_udf(heads: pd.Series) -> pd.DataFrame:
     rows = [parse_wav_header(bytes(h)) if h is not None else None for h in heads]
     return pd.DataFrame([r or (None, None, None) for r in rows], columns=WAV_TYPE.names).astype("Int64")
 
 
 def wav_header(content: Column) -> Column:
     """Struct of rate, channels and frames; only the first four kilobytes leave the JVM."""
-    return _wav_header(F.substring(content, 1, HEADER_BYTES))
+    return wav_header_udf(F.substring(content, 1, HEADER_BYTES))
 
 
 def pcm_frames(recordings: DataFrame, content: str, *, chunk_ms: int = 100, rate: int = 16_000) -> DataFrame:
