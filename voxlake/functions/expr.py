@@ -43,44 +43,54 @@ def literal_map(entries: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for pair in entries.items() for x in pair])
 
 
-def runs(tokens: Column, flag: Callable[[Column], Column]) -> Column:
-    """Split an array into maximal runs of equal ``flag``: ``array<struct<flag, items>>``.
+def flagged(tokens: Column, flags: Callable[[Column], Column], body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``struct<items, flags>``, the flags computed once per token array."""
+    return let(
+        tokens, lambda ts: let(F.struct(ts.alias("items"), flags(ts).alias("flags")), body)
+    )
+
+
+def runs(pair: Column) -> Column:
+    """Maximal runs of equal flag of a flagged array: ``array<struct<flag, items>>``.
 
     Linear in the array length, unlike a fold that appends to an array.
     """
+    items, flags = pair["items"], pair["flags"]
+    starts = F.filter(
+        F.transform(flags, lambda f, i: F.when((i == 0) | (f != F.get(flags, i - 1)), i + 1)), lambda p: p.isNotNull()
+    )
 
-    def with_flags(pair: Column) -> Column:
-        items, flags = pair["items"], pair["flags"]
-        starts = F.filter(
-            F.transform(flags, lambda f, i: F.when((i == 0) | (f != F.get(flags, i - 1)), i + 1)),
-            lambda p: p.isNotNull(),
-        )
-        return let(
-            starts,
-            lambda st: F.transform(
-                st,
-                lambda s, k: F.struct(
-                    F.get(flags, s - 1).alias("flag"),
-                    F.slice(items, s, F.coalesce(F.get(st, k + 1), F.size(items) + 1) - s).alias("items"),
-                ),
-            ),
+    def cut(st: Column) -> Column:
+        end = lambda k: F.coalesce(F.get(st, k + 1), F.size(items) + 1)
+        return F.transform(
+            st,
+            lambda s, k: F.struct(F.get(flags, s - 1).alias("flag"), F.slice(items, s, end(k) - s).alias("items")),
         )
 
-    return let(
-        tokens,
-        lambda t: let(F.struct(t.alias("items"), F.transform(t, flag).alias("flags")), with_flags),
-    )
+    return let(starts, cut)
+
+
+def member_flags(tokens: Column, words: list[str], *, fold_case: bool = False) -> Column:
+    """Whether each token is one of many constant words, as one expression with a hashed set."""
+    token = "lower(t)" if fold_case else "t"
+    return F.call_function("transform", tokens, F.expr(f"t -> {token} IN ({', '.join(map(quoted, words))})"))
+
+
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def lookup(table: dict[str, Column], key: Column, cells: int = 64) -> Column:
-    """Value of ``key`` in a constant dictionary, null if absent.
+def lookup(table: dict[str, str], key: Column, cells: int = 64) -> Column:
+    """Value of ``key`` in a constant dictionary of SQL literals, null if absent.
 
-    A map column is searched linearly; hashing the key to one of ``cells`` small maps keeps that short.
+    A map column is searched linearly; hashing the key to one of ``cells`` small maps keeps that short. The
+    dictionary goes to the JVM as one expression, which is much faster to build than a column per entry.
     """
-    parts: list[list[Column]] = [[] for _ in range(cells)]
+    parts: list[list[str]] = [[] for _ in range(cells)]
     for word, value in table.items():
-        parts[zlib.crc32(word.encode()) % cells] += [F.lit(word), value]
-    typed = F.create_map(*next(p for p in parts if p))
-    empty = F.map_filter(typed, lambda k, v: F.lit(False))
-    maps = F.array(*[F.create_map(*p) if p else empty for p in parts])
+        parts[zlib.crc32(word.encode()) % cells] += [quoted(word), value]
+    some = next(p for p in parts if p)
+    empty = f"map_filter(map({', '.join(some)}), (k, v) -> false)"
+    maps = F.expr(f"array({', '.join(f'map({chr(44).join(p)})' if p else empty for p in parts)})")
     return F.try_element_at(F.get(maps, (F.crc32(key.cast("binary")) % cells).cast("int")), key)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voxlake.functions.expr import let, lookup, runs, words_of
+from voxlake.functions.expr import flagged, let, lookup, member_flags, runs, words_of
 
 # Russian cardinals, value -> (scale, forms).
 CARDINALS: dict[int, tuple[int, str]] = {
@@ -105,9 +105,8 @@ def number_words(ordinals: bool) -> dict[str, tuple[int, int]]:
 
 
 def _number(word: Column, ordinals: bool) -> Column:
-    big = lambda n: F.lit(n).cast("bigint")
-    values = {w: F.struct(big(v).alias("v"), big(s).alias("s")) for w, (v, s) in number_words(ordinals).items()}
-    return lookup(values, word)
+    entries = number_words(ordinals).items()
+    return lookup({w: f"named_struct('v', {v}L, 's', {scale}L)" for w, (v, scale) in entries}, word)
 
 
 def _fold_number_run(words: Column, ordinals: bool) -> Column:
@@ -147,16 +146,14 @@ def words_to_numbers(tokens: Column, *, ordinals: bool = True, fold_case: bool =
     key = F.lower if fold_case else (lambda c: c)
     known = list(number_words(ordinals))
 
-    def is_number(token: Column) -> Column:
-        return key(token).isin(known)
-
     def convert(run: Column) -> Column:
         return F.when(run["flag"], _fold_number_run(F.transform(run["items"], key), ordinals)).otherwise(run["items"])
 
-    def build(ts: Column) -> Column:
-        return F.when(F.exists(ts, is_number), F.flatten(F.transform(runs(ts, is_number), convert))).otherwise(ts)
-
-    return let(tokens, build)
+    return flagged(
+        tokens,
+        lambda ts: member_flags(ts, known, fold_case=fold_case),
+        lambda p: F.when(F.exists(p["flags"], lambda f: f), F.flatten(F.transform(runs(p), convert))).otherwise(p["items"]),
+    )
 
 
 def is_digits(token: Column) -> Column:
@@ -171,10 +168,11 @@ def merge_digit_groups(tokens: Column) -> Column:
         short = F.forall(run["items"], lambda t: F.length(t) <= 3)
         return F.when(run["flag"] & short, F.array(F.array_join(run["items"], ""))).otherwise(run["items"])
 
-    def build(ts: Column) -> Column:
-        return F.when(F.exists(ts, is_digits), F.flatten(F.transform(runs(ts, is_digits), merge))).otherwise(ts)
-
-    return let(tokens, build)
+    return flagged(
+        tokens,
+        lambda ts: F.transform(ts, is_digits),
+        lambda p: F.when(F.exists(p["flags"], lambda f: f), F.flatten(F.transform(runs(p), merge))).otherwise(p["items"]),
+    )
 
 
 def apply_itn(text: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from voxlake.functions.expr import SPACE_CLASS, let, literal_map, lookup, trimmed, words_of
+from voxlake.functions.expr import SPACE_CLASS, let, literal_map, lookup, quoted, trimmed, words_of
 from voxlake.functions.numbers import (
     cardinals_to_words,
     is_digits,
@@ -112,7 +112,7 @@ def strip_empty_tokens(tokens: Column) -> Column:
 
 def map_anglicisms(tokens: Column) -> Column:
     """Latin brand names to their Cyrillic spelling."""
-    table = {latin: F.lit(cyrillic) for latin, cyrillic in ANGLICISMS.items()}
+    table = {latin: quoted(cyrillic) for latin, cyrillic in ANGLICISMS.items()}
     return F.transform(tokens, lambda t: F.when(t.isin(list(ANGLICISMS)), lookup(table, t)).otherwise(t))
 
 

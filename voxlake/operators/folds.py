@@ -344,15 +344,27 @@ class Assembler(Fold):
         return kept, [(row_id, "partial", full, None)] if full else []
 
 
-def assemble(decodes: DataFrame, keys: list[str], order: list[str], row_id: str, fold: Assembler) -> DataFrame:
-    """Messages ``row_id, type, text, endpoint_reason`` of every session."""
+def assemble(
+    decodes: DataFrame, keys: list[str], order: list[str], row_id: str, fold: Assembler, *, block: Column
+) -> DataFrame:
+    """Messages ``row_id, type, text, endpoint_reason`` of every session.
+
+    An endpoint empties the assembler, so sessions are cut there and each utterance is folded on its own.
+    """
+    ended = F.lit(False)
+    if fold.mode != "manual":
+        ended = F.col("vad") | F.col("blank") if fold.mode == "auto" and not fold.vad_attached else F.col("vad")
+    utterances = islands(
+        decodes, keys, order, block, look_back={"_ended": F.coalesce(ended, F.lit(False))}, starts=F.col("_ended"), island="utterance"
+    )
     fields = [
         decodes.schema[row_id],
         T.StructField("type", T.StringType()),
         T.StructField("text", T.StringType()),
         T.StructField("endpoint_reason", T.StringType()),
     ]
-    return ordered_fold(decodes, keys, order, [row_id, "text", "over_cap", "blank", "vad"], fold, fields)
+    columns = [row_id, "text", "over_cap", "blank", "vad"]
+    return ordered_fold(utterances, [*keys, "utterance"], order, columns, fold, fields).drop("utterance")
 
 
 class StrideGate(Fold):

@@ -25,6 +25,11 @@ def micros(ts: Column) -> Column:
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
 
 
+def instant(ts: Column) -> Column:
+    """A zoneless timestamp read as UTC, whatever the session's time zone."""
+    return F.timestamp_micros(micros(ts))
+
+
 def time_block(ts: str, seconds: int) -> Column:
     """Block number for a timestamp order."""
     return F.floor(micros(F.col(ts)) / (seconds * 1_000_000))

@@ -316,7 +316,8 @@ walk AS (SELECT conv_id, turn, n, live AS full_text, vad, CASE WHEN vad THEN ''
 SELECT conv_id, turn, CASE WHEN vad THEN 'final' ELSE 'partial' END AS type, md5(full_text) AS digest, CASE WHEN vad THEN 'vad' END AS endpoint_reason FROM walk WHERE full_text <> ''""",
 )
 def st03(spark, sf_dir):
-    out = folds.assemble(_decodes(spark, sf_dir), ["conv_id"], ["turn"], "turn", folds.Assembler("auto", vad_attached=True))
+    fold = folds.Assembler("auto", vad_attached=True)
+    out = folds.assemble(_decodes(spark, sf_dir), ["conv_id"], ["turn"], "turn", fold, block=F.floor(F.col("turn") / 1024))
     return out.select("conv_id", "turn", "type", F.md5("text").alias("digest"), "endpoint_reason")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxlake.functions.expr import SPACES, is_blank
+from voxlake.functions.expr import SPACES, is_blank, trimmed
 from voxlake.operators.joins import safe_join
 from voxlake.operators.scans import index_block, scan
 
@@ -194,8 +194,9 @@ def find_transcripts(lines: DataFrame, audio: DataFrame) -> DataFrame:
     second = second.select(F.lit(2).alias("_layout"), "_b.audio", "_b.reference")
 
     texts = lines.filter(F.col("path").endswith(".txt") & ~F.col("path").endswith(".trans.txt"))
-    # One reference per file: only files of one line count as references here.
-    whole = texts.groupBy("path").agg(F.max_by(body, "line_no").alias("reference"), F.count(F.lit(1)).alias("_n")).filter("_n = 1")
+    # A reference is one value, so a file's lines are put together here.
+    body_lines = F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda x: x["value"])
+    whole = texts.groupBy("path").agg(trimmed(F.array_join(body_lines, "\n")).alias("reference"))
     third = whole.withColumn("_stem", F.regexp_replace("path", r"\.txt$", "")).join(ranked.select("_stem", "audio"), "_stem")
     third = third.filter("reference <> ''").select(F.lit(3).alias("_layout"), "audio", "reference")
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from voxlake.functions.predicates import is_counted_partial
 from voxlake.operators import folds
+from voxlake.operators.scans import instant, micros
 from voxlake.session import STATE_STORE, scratch_path
 from voxlake.streaming.ordered import stream_fold
 
@@ -62,7 +63,7 @@ def assemble(decodes: DataFrame, keys: list[str], ts: str, order: list[str], row
 
 def decode_windows(chunks: DataFrame, keys: list[str], ts: str, *, window: str = "2500 milliseconds", stride: str = "800 milliseconds", delay: str = "1 second") -> DataFrame:
     """Audio that arrived in each sliding decode window, by event time."""
-    timed = chunks.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    timed = chunks.withColumn("_ts", instant(F.col(ts))).withWatermark("_ts", delay)
     return timed.groupBy(*keys, F.window("_ts", window, stride).alias("window")).agg(F.sum("samples").alias("samples"))
 
 
@@ -87,7 +88,7 @@ class LiveJobs(folds.JobLifecycle):
 
 def job_states(events: DataFrame, ts: str = "ts", *, max_retries: int = 2, ttl_ms: int | None = None) -> DataFrame:
     """Every state change of live jobs; the state of a job leaves the store after ``ttl_ms`` without events."""
-    timed = events.withColumn("event_us", F.unix_micros(F.col(ts).cast("timestamp")))
+    timed = events.withColumn("event_us", micros(F.col(ts)))
     columns = ["event", "event_us", "processed_seconds", "error", "body_bytes"]
     fold = LiveJobs(max_retries)
     return stream_fold(timed, ["job_id"], ts, ["seq"], columns, fold, folds.JOB_FIELDS, ttl_ms=ttl_ms)
@@ -104,7 +105,7 @@ def settled_files(polls: DataFrame, ts: str, *, settle_polls: int = 2) -> DataFr
 
 def session_latency(messages: DataFrame, keys: list[str], ts: str, *, gap: str, delay: str = "0 seconds") -> DataFrame:
     """First partial and last final of each session, once the watermark has closed it."""
-    timed = messages.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    timed = messages.withColumn("_ts", instant(F.col(ts))).withWatermark("_ts", delay)
     counted = is_counted_partial(F.col("type"), F.col("text"))
     at = F.unix_millis("_ts")
     sessions = timed.groupBy(*keys, F.session_window("_ts", gap).alias("session")).agg(
@@ -124,7 +125,7 @@ def session_latency(messages: DataFrame, keys: list[str], ts: str, *, gap: str,
 
 def event_rate(events: DataFrame, keys: list[str], ts: str, *, window: str, slide: str, delay: str = "0 seconds") -> DataFrame:
     """Events per sliding window; windows are emitted when the watermark has passed them."""
-    timed = events.withColumn("_ts", F.col(ts).cast("timestamp")).withWatermark("_ts", delay)
+    timed = events.withColumn("_ts", instant(F.col(ts))).withWatermark("_ts", delay)
     counted = timed.groupBy(*keys, F.window("_ts", window, slide).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     seconds = (F.unix_millis("w.end") - F.unix_millis("w.start")) / 1000.0
     return counted.select(*keys, F.unix_seconds("w.end").alias("eval_s"), "n", (F.col("n") / seconds).alias("rate"))

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from voxlake.operators.folds import Fold
+from voxlake.operators.scans import instant
 
 
 class OrderedFold(StatefulProcessor):
@@ -83,7 +84,7 @@ def stream_fold(
     """Fold ``columns`` of every key along event time and ``order``; output is the keys and ``fields``."""
     schema = T.StructType([stream.schema[k] for k in keys] + fields)
     # The engine hands rows over as named tuples, which do not keep names that begin with an underscore.
-    timed = stream.withColumn("ev_ts", F.col(ts).cast("timestamp")).withWatermark("ev_ts", delay)
+    timed = stream.withColumn("ev_ts", instant(F.col(ts))).withWatermark("ev_ts", delay)
     timed = timed.withColumns({"ev_ms": F.unix_millis("ev_ts"), "ev_us": F.unix_micros("ev_ts")})
     needed = list(dict.fromkeys([*keys, "ev_ts", "ev_ms", "ev_us", *order, *columns]))
     processor = OrderedFold(fold, schema.names, ["ev_us", *order], columns, ttl_ms)
