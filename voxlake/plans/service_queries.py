@@ -336,14 +336,50 @@ def st05(spark, sf_dir):
     return folds.decode_steps(chunks, ["conv_id"], ["turn"], "turn", folds.StrideGate())
 
 
-@query("st09_settled_files")
-def st09(spark, sf_dir):
-    """Each customer is a file, each of its orders a poll that sees the priority as size."""
-    rows = table(spark, sf_dir, "orders").select(
+_POLLS = f"""polls AS (SELECT '/in/' || o_custkey || '.wav' AS path, epoch_us(o_orderdate) // {DAY * 1_000_000} AS poll, max(length(o_orderpriority)) AS size FROM orders GROUP BY 1, 2)"""
+SETTLED = f"""WITH {_POLLS}, l AS (SELECT *, lag(poll) OVER w AS pp, lag(size) OVER w AS ps FROM polls WINDOW w AS (PARTITION BY path ORDER BY poll))
+SELECT path, min(poll) AS scheduled_poll FROM l WHERE pp = poll - 1 AND ps = size GROUP BY 1"""
+
+
+def polls(spark, sf_dir) -> DataFrame:
+    """Each customer is a file, each day with an order a poll that sees the longest priority as its size."""
+    orders = table(spark, sf_dir, "orders").select(
         F.concat(F.lit("/in/"), F.col("o_custkey"), F.lit(".wav")).alias("path"),
         F.floor(micros(F.col("o_orderdate")) / (DAY * 1_000_000)).alias("poll"),
-        F.lit("seen").alias("kind"),
+        F.col("o_orderdate").alias("ts"),
         F.length("o_orderpriority").cast("bigint").alias("size"),
-        F.lit(0).cast("bigint").alias("mtime"),
     )
-    return folds.settled_files(rows, settle_polls=1)
+    seen = orders.groupBy("path", "poll").agg(F.max("ts").alias("ts"), F.max("size").alias("size"))
+    return seen.withColumns({"kind": F.lit("seen"), "mtime": F.lit(0).cast("bigint")})
+
+
+@query("st09_settled_files", SETTLED)
+def st09(spark, sf_dir):
+    return folds.settled_files(polls(spark, sf_dir), settle_polls=1)
+
+
+_ISLANDS = """m AS (SELECT *, CASE WHEN firing IS DISTINCT FROM lag(firing) OVER (PARTITION BY path ORDER BY eval_s) THEN 1 ELSE 0 END AS b FROM evals),
+i AS (SELECT *, sum(b) OVER (PARTITION BY path ORDER BY eval_s) AS g FROM m)"""
+
+
+@query(
+    "st12_pool_alerts",
+    f"""WITH evals AS (SELECT event_type AS path, epoch_us(ts) // 3600000000 * 3600 AS eval_s, greatest(count(*) - 2, 0) AS available, count(*) <= 2 AS firing FROM events GROUP BY 1, 2),
+{_ISLANDS} SELECT path, eval_s, available, firing, firing AND eval_s - min(eval_s) OVER (PARTITION BY path, g) >= 3600 AS alert FROM i""",
+)
+def st12_pool(spark, sf_dir):
+    hour = (F.floor(telemetry.seconds_of(F.col("ts")) / HOUR) * HOUR).alias("eval_s")
+    busy = requests(spark, sf_dir).groupBy("path", hour).agg(F.count(F.lit(1)).alias("n"))
+    samples = busy.select("path", "eval_s", F.greatest(F.col("n") - 2, F.lit(0)).alias("available"))
+    return telemetry.pool_alerts(samples, ["path"], for_seconds=HOUR)
+
+
+@query(
+    "st12_timeout_alerts",
+    f"""WITH {_WINDOWS.format(keys='event_type AS path', step=HOUR, sums='count(*) AS n', source='events', by='1, 2', cover=2)},
+evals AS (SELECT path, (last + 1) * 3600 AS eval_s, sum(n)::BIGINT AS n, sum(n)::BIGINT / 7200e0 AS rate, sum(n)::BIGINT / 7200e0 > 8e-4 AS firing FROM spread GROUP BY 1, 2),
+{_ISLANDS} SELECT path, eval_s, n, rate, firing, firing AND eval_s - min(eval_s) OVER (PARTITION BY path, g) >= 7200 AS alert FROM i""",
+)
+def st12_timeouts(spark, sf_dir):
+    rows = requests(spark, sf_dir)
+    return telemetry.timeout_alerts(rows, ["path"], window_s=2 * HOUR, step_s=HOUR, above=8e-4, for_seconds=2 * HOUR)

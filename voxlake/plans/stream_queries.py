@@ -11,6 +11,7 @@ from voxlake.operators.scans import micros
 from voxlake.plans import sql
 from voxlake.plans.registry import query
 from voxlake.plans.relations import job_events, table
+from voxlake.plans.service_queries import SETTLED, polls
 from voxlake.session import scratch_path
 from voxlake.streaming import operators as live
 
@@ -168,3 +169,26 @@ def st15(spark, sf_dir):
     source = live.read_table_stream(spark, sf_dir, "documents.parquet", table(spark, sf_dir, "documents").schema)
     score = lambda rows: rows.select("doc_id", F.size(words_of(F.col("text"))).cast("bigint").alias("n_words"))
     return live.ingest(source, score, "ingest", keys=["doc_id"])
+
+
+@query(
+    "st05_live_windows",
+    """WITH h AS (SELECT user_id, event_id % 10 AS samples, epoch_us(ts) // 21600000000 AS step FROM events),
+s AS (SELECT user_id, samples, unnest([step, step + 1]) AS last FROM h)
+SELECT user_id, (last + 1) * 21600 AS window_end_s, sum(samples)::BIGINT AS samples FROM s
+WHERE (last + 1) * 21600 <= (SELECT max(epoch_us(ts)) / 1e6 FROM events) GROUP BY 1, 2""",
+)
+def st05(spark, sf_dir):
+    chunks = events_stream(spark, sf_dir).select("user_id", "ts", (F.col("event_id") % 10).alias("samples"))
+    windows = live.decode_windows(chunks, ["user_id"], "ts", window="12 hours", stride="6 hours", delay="0 seconds")
+    shown = windows.select("user_id", F.unix_seconds("window.end").alias("window_end_s"), "samples")
+    return live.run_available(shown, "decode-windows")
+
+
+@query("st09_live_settle", SETTLED)
+def st09(spark, sf_dir):
+    listing = polls(spark, sf_dir)
+    path = scratch_path(spark, "listings")
+    listing.write.parquet(path)
+    stream = live.read_table_stream(spark, path, "*.parquet", listing.schema)
+    return live.run_available(live.settled_files(stream, "ts", settle_polls=1), "settled")
