@@ -38,6 +38,27 @@ def test_scan_equals_sequential(spark):
             assert got["after"] == (mine[p + 1][3] if p + 1 < len(mine) else None)
 
 
+def test_totals_reach_every_row(spark):
+    df = spark.createDataFrame(series(3), "k string, i bigint, v int, w int")
+    out = scan(df, ["k"], ["i"], index_block("i", 4), totals={"top": (F.max, F.col("v")), "all": (F.sum, F.col("v"))})
+    want = {r["k"]: (r["t"], r["s"]) for r in df.groupBy("k").agg(F.max("v").alias("t"), F.sum("v").alias("s")).collect()}
+    assert {(r["k"], r["top"], r["all"]) for r in out.collect()} == {(k, *v) for k, v in want.items()}
+
+
+def test_micros_ignore_the_session_zone(spark):
+    from voxlake.operators.scans import instant, micros
+
+    df = spark.createDataFrame([("2024-07-01 12:00:00.123456",), ("1969-12-31 23:59:59.5",)], ["s"])
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        ts = F.col("s").cast("timestamp_ntz")
+        rows = df.select(micros(ts).alias("m"), F.unix_micros(instant(ts)).alias("i")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [tuple(r) for r in rows] == [(1719835200123456, 1719835200123456), (-500000, -500000)]
+
+
 def test_scan_keeps_null_keys(spark):
     df = spark.createDataFrame([(None, 0, 1), (None, 9, 2), ("a", 3, 5)], "k string, i bigint, v int")
     out = scan(df, ["k"], ["i"], index_block("i", 2), sums={"s": F.col("v")})

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from voxlake.operators.joins import safe_join
 from voxlake.operators.scans import scan
+from voxlake.session import materialize
 
 # Generator seed, multiplier and increment.
 SEED = 123456789
@@ -79,12 +80,14 @@ def bootstrap_sums(
 ) -> DataFrame:
     """Sums of ``measures`` in every replicate of every group: ``keys, replicate, measures``."""
     group = keys or ["_all"]
-    rows = df if keys else df.withColumn("_all", F.lit(0))
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    sized = safe_join(rows.select(*group, *order, *measures), sizes, group)
-    small = _small_groups(sized.filter(F.col("_n") <= max_group), group, order, measures, iterations)
-    numbered = scan(sized.filter(F.col("_n") > max_group), group, order, block, row_number="_rn")
-    large = _large_groups(numbered, sizes.filter(F.col("_n") > max_group), group, measures, iterations)
+    slim = df.select(*(keys or [F.lit(0).alias("_all")]), *order, *measures)
+    # Scored rows are dear to compute and are read by both routes.
+    rows = materialize(slim, "bootstrap-rows")
+    sizes = materialize(rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")), "bootstrap-sizes")
+    few, many = sizes.filter(F.col("_n") <= max_group), sizes.filter(F.col("_n") > max_group)
+    small = _small_groups(safe_join(rows, few, group), group, order, measures, iterations)
+    numbered = scan(safe_join(rows, many, group), group, order, block, row_number="_rn")
+    large = _large_groups(numbered, many, group, measures, iterations)
     return small.unionByName(large).select(*keys, "replicate", *measures)
 
 

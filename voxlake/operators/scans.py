@@ -8,6 +8,8 @@ values back. Rows are shuffled once on (key, block); only the summaries are ever
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ def index_block(index: str, rows: int = BLOCK_ROWS) -> Column:
 
 def micros(ts: Column) -> Column:
     """Microseconds since the epoch of a zoneless timestamp, whatever the session's time zone."""
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    since = ts - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return (since.cast("interval second").cast("decimal(18,6)") * 1_000_000).cast("bigint")
 
 
 def instant(ts: Column) -> Column:
@@ -46,20 +49,24 @@ def scan(
     lags: dict[str, Column] | None = None,
     leads: dict[str, Column] | None = None,
     lasts: dict[str, Column] | None = None,
+    totals: dict[str, tuple[Callable[[str], Column], Column]] | None = None,
     row_number: str | None = None,
 ) -> DataFrame:
     """Add running columns along ``order`` within ``keys``.
 
     ``sums`` and ``maxima`` include the current row. ``lags`` and ``leads`` look one row back and ahead.
-    ``lasts`` is the latest non-null value up to and including the row. ``row_number`` counts from one.
+    ``lasts`` is the latest non-null value up to and including the row. ``totals`` are (aggregate, value) over the
+    whole key, such as ``(F.max, F.col("x"))``, which reach the rows by block and so need no join on the key.
+    ``row_number`` counts from one.
     ``block`` must not decrease along ``order``.
     """
     sums, maxima, lags = dict(sums or {}), dict(maxima or {}), dict(lags or {})
-    leads, lasts = dict(leads or {}), dict(lasts or {})
+    leads, lasts, totals = dict(leads or {}), dict(lasts or {}), dict(totals or {})
     if row_number:
         sums[row_number] = F.lit(1).cast("bigint")
     # A constant is not moved into the window's own sort, so inputs become columns first.
     inputs = {f"_in_{n}": c for d in (sums, maxima, lags, leads, lasts) for n, c in d.items()}
+    inputs |= {f"_in_{n}": c for n, (_, c) in totals.items()}
     base = df.withColumns({BLOCK: block, **inputs})
     at = F.struct(*[F.col(c) for c in order])
 
@@ -75,6 +82,8 @@ def scan(
     for n in lasts:
         value = F.col(f"_in_{n}")
         summary[f"_s_{n}"] = F.max(F.when(value.isNotNull(), F.struct(at.alias("at"), value.alias("v"))))
+    for n, (aggregate, _) in totals.items():
+        summary[f"_s_{n}"] = aggregate(f"_in_{n}")
     per_block = base.groupBy(*keys, BLOCK).agg(*[c.alias(n) for n, c in summary.items()])
 
     over_blocks = Window.partitionBy(*keys).orderBy(BLOCK)
@@ -90,6 +99,8 @@ def scan(
         carried["_c_head"] = F.lead("_s_head").over(over_blocks)
     for n in lasts:
         carried[f"_c_{n}"] = F.last(f"_s_{n}", ignorenulls=True).over(before)
+    for n, (aggregate, _) in totals.items():
+        carried[f"_c_{n}"] = aggregate(f"_s_{n}").over(Window.partitionBy(*keys))
     carry = per_block.select(*keys, BLOCK, *[c.alias(n) for n, c in carried.items()])
 
     inside = Window.partitionBy(*keys, BLOCK).orderBy(*order)
@@ -124,6 +135,8 @@ def scan(
         done[n] = F.when(F.col("_final"), F.col(f"_c_head.v.{n}")).otherwise(F.col(f"_l_{n}"))
     for n in lasts:
         done[n] = F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}.v"))
+    for n in totals:
+        done[n] = F.col(f"_c_{n}")
     kept = [c for c in df.columns if c not in done]
     return joined.select(*kept, *[c.alias(n) for n, c in done.items()])
 

@@ -95,9 +95,15 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user as a frame probability sequence: value over the user's largest value."""
     events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    numbered = scan(events, ["user_id"], ["ts", "event_id"], time_block("ts", DAY), row_number="_rn")
-    peak = events.groupBy("user_id").agg(F.max("value").alias("_peak"))
-    rows = numbered.join(peak, "user_id").select(
+    numbered = scan(
+        events,
+        ["user_id"],
+        ["ts", "event_id"],
+        time_block("ts", DAY),
+        totals={"_peak": (F.max, F.col("value"))},
+        row_number="_rn",
+    )
+    rows = numbered.select(
         F.col("user_id").alias("recording_id"),
         (F.col("_rn") - 1).alias("frame_idx"),
         (F.col("value") / F.col("_peak")).alias("prob"),

@@ -18,6 +18,8 @@ def build_session(app: str = "voxlake", cpus: int | str = "*", **conf: str) -> S
         .appName(app)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # Facts of a key are joined to its rows; a hot key's rows are split even if that costs another shuffle.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.ui.enabled", "false")
