@@ -37,7 +37,7 @@ HEADLINE = [
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
-    spark = build_session("voxlake-bench", os.environ.get("BENCH_CPUS", "8"))
+    spark = build_session("voxlake-bench", os.environ.get("BENCH_CPUS", "8"), **{"spark.sql.shuffle.partitions": "8"})
     spark.sparkContext.setLogLevel("ERROR")
     # One small query first, so that starting the JVM and the Python workers is not charged to the first entry.
     catalog.QUERIES["tx10_word_edit_distance"](spark, sf_dir).write.format("noop").mode("overwrite").save()

@@ -4,8 +4,9 @@ from voxlake.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = build_session("voxlake-tests", 4, **{"spark.sql.shuffle.partitions": "4"})
+def spark(tmp_path_factory):
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = build_session("voxlake-tests", 4, **{"spark.sql.shuffle.partitions": "4", "spark.checkpoint.dir": shared})
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()

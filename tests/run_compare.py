@@ -9,7 +9,7 @@ from voxlake.plans import catalog  # noqa: E402
 from voxlake.session import build_session  # noqa: E402
 
 sf_dir, prefixes = sys.argv[1], sys.argv[2:]
-spark = build_session(cpus=8)
+spark = build_session(cpus=8, **{"spark.sql.shuffle.partitions": "8"})
 spark.sparkContext.setLogLevel("ERROR")
 con = connect(sf_dir)
 for name, fn in catalog.QUERIES.items():
