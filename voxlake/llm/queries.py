@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import exact_dedup, line_dedup
+from voxlake.llm import byte_bpe, exact_dedup, line_dedup
 from voxlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -33,3 +33,11 @@ def line_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_exact_dedup", exact_dedup.ORACLE)
 def exact_dedup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
+
+
+@query("op8_byte_bpe")
+def byte_bpe_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.token_digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
