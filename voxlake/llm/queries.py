@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import byte_bpe, chat_format, exact_dedup, line_dedup
+from voxlake.llm import byte_bpe, chat_format, exact_dedup, line_dedup, ngram_join
 from voxlake.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def chat_format_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     return chat_format.read_back(chat_format.expand_turns(conversations.unionByName(more)))
+
+
+@query("op10_ngram_join")
+def ngram_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
