@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import byte_bpe, chat_format, exact_dedup, line_dedup, ngram_join
-from voxlake.llm.common import table
+from voxlake.llm import byte_bpe, chat_format, exact_dedup, language_id, line_dedup, ngram_join, toxicity
+from voxlake.llm.common import id_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,3 +55,29 @@ def chat_format_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_ngram_join")
 def ngram_join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"), n=3, num=90, den=100)
+
+
+@query("op3_language_id")
+def language_id_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = id_bucket("doc_id", 3) == 1
+    dictionaries = language_id.fit_dictionaries(docs.filter(~held_out).select("lang", "text"))
+    out = language_id.predict_languages(docs, dictionaries)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op9_toxicity")
+def toxicity_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity_scores(spark, docs, sf_dir)
+
+
+def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Scores of ``docs`` by a model fitted on the labels of ids whose bucket is not 2."""
+    held_out = id_bucket("doc_id", 4) == 2
+    labels = table(spark, sf_dir, "labels").filter(~held_out).select("doc_id", "toxic")
+    model = toxicity.language_model(toxicity.trigram_counts(docs))
+    weights = toxicity.fit_words(docs, labels, model)
+    out = toxicity.score_documents(docs, model, weights)
+    predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0)
+    return out.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
