@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import byte_bpe, chat_format, exact_dedup, language_id, line_dedup, ngram_join, toxicity
+from voxlake.llm import byte_bpe, chat_format, decontamination, exact_dedup, language_id, line_dedup, ngram_join, toxicity
 from voxlake.llm.common import id_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -81,3 +81,8 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     out = toxicity.score_documents(docs, model, weights)
     predicted = F.when(F.col("score") >= 0.3, 1).otherwise(0)
     return out.select("doc_id", held_out.alias("held_out"), "score", predicted.alias("predicted"))
+
+
+@query("op2_decontamination")
+def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
