@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import byte_bpe, chat_format, decontamination, exact_dedup, language_id, line_dedup, ngram_join, toxicity
+from voxlake.llm import byte_bpe, chat_format, decontamination, exact_dedup, language_id, line_dedup, ngram_join, site_style, toxicity
 from voxlake.llm.common import id_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,9 @@ def toxicity_scores(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 @query("op2_decontamination")
 def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op1_site_style")
+def site_style_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = site_style.extract(table(spark, sf_dir, "pages"))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
