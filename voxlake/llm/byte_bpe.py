@@ -279,7 +279,7 @@ def encode_documents(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": pd.Series(enc.encode(pdf["text"].tolist()), dtype=object)})
 
-    return _texts(docs).mapInPandas(run, "doc_id long, ids array<int>")
+    return _with_ids(_texts(docs).mapInPandas(run, "doc_id string, ids array<int>"))
 
 
 def decode_documents(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
@@ -291,7 +291,7 @@ def decode_documents(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFram
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "bytes": [enc.decode(np.asarray(x)) for x in pdf["ids"]]})
 
-    return encoded.select("doc_id", "ids").mapInPandas(run, "doc_id long, bytes binary")
+    return _with_ids(encoded.select(F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(run, "doc_id string, bytes binary"))
 
 
 def token_digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
@@ -309,8 +309,13 @@ def token_digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
                 "decoded_sha256": [hashlib.sha256(enc.decode(x)).hexdigest() for x in each],
             })
 
-    return _texts(docs).mapInPandas(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _with_ids(_texts(docs).mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"))
+
+
+def _with_ids(rows: DataFrame) -> DataFrame:
+    """Ids pass through Python as text: numbers beside nulls would turn into floating point."""
+    return rows.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -91,7 +91,8 @@ def predict_languages(docs: DataFrame, dictionaries: dict[str, bytes]) -> DataFr
             lang, score, rejected = zip(*found) if found else ((), (), ())
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": list(lang), "score": list(score), "rejected": list(rejected)})
 
-    schema = "doc_id long, lang_pred string, score double, rejected boolean"
-    return docs.select("doc_id", "text").mapInPandas(run, schema)
+    schema = "doc_id string, lang_pred string, score double, rejected boolean"
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, schema)
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 

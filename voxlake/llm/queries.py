@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import byte_bpe, chat_format, decontamination, exact_dedup, language_id, line_dedup, ngram_join, site_style, toxicity
+from voxlake.llm import byte_bpe, chat_format, decontamination, exact_dedup, language_id, line_dedup, ngram_join, ngram_lm, site_style, toxicity
 from voxlake.llm.common import id_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -92,3 +92,9 @@ def decontamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def site_style_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = site_style.extract(table(spark, sf_dir, "pages"))
     return out.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op6_ngram_lm", ngram_lm.ORACLE)
+def ngram_lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_lm.stupid_backoff(table(spark, sf_dir, "documents"))
+    return out.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})

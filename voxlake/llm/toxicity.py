@@ -236,7 +236,8 @@ def score_documents(docs: DataFrame, model: np.ndarray, weights: dict[str, float
                 scores.append(1 - (1 - BASE) * math.exp(-total))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scores})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, score double")
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, score double")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def restore_documents(docs: DataFrame, model: np.ndarray) -> DataFrame:
@@ -248,4 +249,5 @@ def restore_documents(docs: DataFrame, model: np.ndarray) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "restored": [None if t is None else restorer.text(t) for t in pdf["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, restored string")
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, "doc_id string, restored string")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
