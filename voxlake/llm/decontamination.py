@@ -21,7 +21,7 @@ from voxlake.llm.common import MEMO, gram_hashes, members, small_batches
 
 #: Words of a seed.
 SEED_WORDS = 3
-#: The share of an item's n-grams, rarest first, that are seeds. Those as rare as the last one count too.
+#: The share of an item's n-grams in the corpus, rarest first, that are seeds. Those as rare as the last one count too.
 RARE_SHARE = 0.75
 #: Diagonals of one passage. Around the seeds' diagonals a passage reaches as far on both sides.
 BAND = 32
@@ -133,10 +133,11 @@ def contaminated(
     found = hits(docs, bit_table(grams), n).join(grams.select("gram").distinct(), "gram")
     spread = found.groupBy("gram", "doc_id").agg(F.collect_list("p").alias("ps"))
     counts = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    known = grams.join(counts, "gram", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    # N-grams that no document has are no seeds; ranking them too would push out what an edited copy has left.
+    known = grams.join(counts, "gram")
     by_item = Window.partitionBy("item_id")
     rank = F.rank().over(by_item.orderBy("df")) / F.count(F.lit(1)).over(by_item)
-    seeds = known.withColumn("r", rank).filter((F.col("r") <= rare_share) & (F.col("df") > 0)).select("gram", "item_id", "q")
+    seeds = known.withColumn("r", rank).filter(F.col("r") <= rare_share).select("gram", "item_id", "q")
     joined = spread.join(seeds, "gram").select("doc_id", "item_id", "q", F.explode("ps").alias("p"))
     bands = joined.groupBy("doc_id", "item_id", F.floor((F.col("p") - F.col("q")) / BAND).cast("int").alias("band")).agg(
         F.count(F.lit(1)).alias("n_seeds")
