@@ -39,7 +39,12 @@ def fit_dictionaries(labelled: DataFrame, snippets: int = SNIPPETS, chars: int =
     start = F.pmod(F.xxhash64("text"), F.greatest(F.lit(1), F.length("text") - chars)).cast("int") + 1
     parts = rows.select("lang", F.substring(F.col("text"), start, F.lit(chars)).alias("part"))
     ranked = parts.select("lang", "part", F.xxhash64("part").alias("h"))
-    first = ranked.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "part"))).filter(F.col("r") <= snippets)
+    # Low hashes first. About twice the snippets pass the sieve, so that ranking stays small however many rows there are.
+    sieve = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    slots = 1 << 30
+    few = ranked.join(sieve, "lang").filter(F.pmod("h", F.lit(slots)) * F.col("n") <= F.lit(2.0 * snippets * slots) + 100.0 * slots)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(slots)), "part"))
+    first = few.withColumn("r", place).filter(F.col("r") <= snippets)
     by_lang: dict[str, list] = {}
     for row in first.select("lang", "r", "part").collect():
         by_lang.setdefault(row.lang, []).append((row.r, row.part))
