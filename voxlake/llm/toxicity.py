@@ -135,19 +135,31 @@ class Restorer:
             out.append(letter)
         return "".join(reversed(out))
 
+    @staticmethod
+    def core(word: str) -> str:
+        """A word in lower case without what stands around it."""
+        return word.lower().strip("*|+·—–…«»“”’‘¡,.;:?()[]\"'").rstrip("!")
+
+    @staticmethod
+    def hidden(core: str) -> bool:
+        return bool(INNER.search(core)) and (any(c in LOOK_ALIKES for c in core) or bool(REPEATED.search(core)))
+
     def word(self, word: str) -> str:
         """A word as it was meant, in lower case; plain words stay."""
-        word = word.lower().strip("!|*+$@€£¡¢§·—–…«»“”’‘")
-        if not INNER.search(word):
-            return word
-        if any(c in LOOK_ALIKES for c in word) or REPEATED.search(word):
-            return self.decode(word)
-        return word
+        core = self.core(word)
+        return self.decode(core) if self.hidden(core) else core
 
     def text(self, text: str) -> str:
-        """The whole text with hidden words restored; white space stays as it is."""
-        joined = SPACED.sub(lambda m: self.decode(m[0].lower()), text)
-        return re.sub(r"\S+", lambda m: m[0] if (w := self.word(m[0])) == m[0].lower() else w, joined)
+        """The whole text with hidden words restored; all else stays as it is."""
+
+        def restored(m: re.Match) -> str:
+            core = self.core(m[0])
+            if not self.hidden(core):
+                return m[0]
+            before, _, after = m[0].lower().partition(core)
+            return before + self.decode(core) + after
+
+        return re.sub(r"\S+", restored, SPACED.sub(lambda m: self.decode(m[0].lower()), text))
 
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a text, and those its spaced-out letters spell."""
