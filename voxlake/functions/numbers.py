@@ -8,100 +8,201 @@ from pyspark.sql import functions as F
 from voxlake.functions.expr import flagged, let, lookup, member_flags, runs, words_of
 
 # Russian cardinals, value -> (scale, forms).
-CARDINALS: dict[int, tuple[int, str]] = {
-    0: (1, "ноль ноля нолю нолем нолём ноле"),
-    1: (1, "один одна одно одного одной одному одном одним"),
-    2: (1, "два две двух двум двумя"),
-    3: (1, "три трех трёх трем трём тремя"),
-    4: (1, "четыре четырёх четырех четырём четырем четырьмя"),
-    5: (1, "пять пяти пятью"),
-    6: (1, "шесть шести шестью"),
-    7: (1, "семь семи семью"),
-    8: (1, "восемь восьми восьмью"),
-    9: (1, "девять девяти девятью"),
-    10: (10, "десять десяти десятью"),
-    11: (10, "одиннадцать одиннадцати"),
-    12: (10, "двенадцать двенадцати"),
-    13: (10, "тринадцать тринадцати"),
-    14: (10, "четырнадцать четырнадцати"),
-    15: (10, "пятнадцать пятнадцати"),
-    16: (10, "шестнадцать шестнадцати"),
-    17: (10, "семнадцать семнадцати"),
-    18: (10, "восемнадцать восемнадцати"),
-    19: (10, "девятнадцать девятнадцати"),
-    20: (10, "двадцать двадцати"),
-    30: (10, "тридцать тридцати"),
-    40: (10, "сорок сорока"),
-    50: (10, "пятьдесят пятидесяти"),
-    60: (10, "шестьдесят шестидесяти"),
-    70: (10, "семьдесят семидесяти"),
-    80: (10, "восемьдесят восьмидесяти"),
-    90: (10, "девяносто девяноста"),
-    100: (100, "сто ста"),
-    200: (100, "двести двухсот"),
-    300: (100, "триста трехсот трёхсот"),
-    400: (100, "четыреста четырёхсот"),
-    500: (100, "пятьсот пятисот"),
-    600: (100, "шестьсот шестисот"),
-    700: (100, "семьсот семисот"),
-    800: (100, "восемьсот восьмисот"),
-    900: (100, "девятьсот девятисот"),
-    1000: (1000, "тысяча тысячи тысяч тысяче тысячу тысячей тысячам тысячами тысячах"),
+CARDINALS: dict[int, tuple[int, list[str]]] = {
+    0: (1, ["ноль", "ноля", "нолю", "нолем", "нолём", "ноле"]),
+    1: (1, ["один", "одна", "одно", "одного", "одной", "одному", "одном", "одним"]),
+    2: (1, ["два", "две", "двух", "двум", "двумя"]),
+    3: (1, ["три", "трех", "трёх", "трем", "трём", "тремя"]),
+    4: (1, ["четыре", "четырёх", "четырех", "четырём", "четырем", "четырьмя"]),
+    5: (1, ["пять", "пяти", "пятью"]),
+    6: (1, ["шесть", "шести", "шестью"]),
+    7: (1, ["семь", "семи", "семью"]),
+    8: (1, ["восемь", "восьми", "восьмью"]),
+    9: (1, ["девять", "девяти", "девятью"]),
+    10: (10, ["десять", "десяти", "десятью"]),
+    11: (10, ["одиннадцать", "одиннадцати"]),
+    12: (10, ["двенадцать", "двенадцати"]),
+    13: (10, ["тринадцать", "тринадцати"]),
+    14: (10, ["четырнадцать", "четырнадцати"]),
+    15: (10, ["пятнадцать", "пятнадцати"]),
+    16: (10, ["шестнадцать", "шестнадцати"]),
+    17: (10, ["семнадцать", "семнадцати"]),
+    18: (10, ["восемнадцать", "восемнадцати"]),
+    19: (10, ["девятнадцать", "девятнадцати"]),
+    20: (10, ["двадцать", "двадцати"]),
+    30: (10, ["тридцать", "тридцати"]),
+    40: (10, ["сорок", "сорока"]),
+    50: (10, ["пятьдесят", "пятидесяти"]),
+    60: (10, ["шестьдесят", "шестидесяти"]),
+    70: (10, ["семьдесят", "семидесяти"]),
+    80: (10, ["восемьдесят", "восьмидесяти"]),
+    90: (10, ["девяносто", "девяноста"]),
+    100: (100, ["сто", "ста"]),
+    200: (100, ["двести", "двухсот"]),
+    300: (100, ["триста", "трехсот", "трёхсот"]),
+    400: (100, ["четыреста", "четырёхсот"]),
+    500: (100, ["пятьсот", "пятисот"]),
+    600: (100, ["шестьсот", "шестисот"]),
+    700: (100, ["семьсот", "семисот"]),
+    800: (100, ["восемьсот", "восьмисот"]),
+    900: (100, ["девятьсот", "девятисот"]),
+    1000: (1000, ["тысяча", "тысячи", "тысяч", "тысяче", "тысячу", "тысячей", "тысячам", "тысячами", "тысячах"]),
     1000000: (
         1000000,
-        "миллион миллиона миллионов миллиону миллионе миллионам миллионами миллионах",
+        [
+            "миллион", "миллиона", "миллионов", "миллиону", "миллионе", "миллионам", "миллионами", "миллионах",
+        ],
     ),
 }
 
-# Ordinal stems; the endings below complete them.
-HARD_ENDINGS = "ый ая ое ого ой ому ом ым"
-ORDINAL_STEMS: dict[int, tuple[int, str, str]] = {
-    1: (1, "перв", HARD_ENDINGS),
-    2: (1, "втор", "ой ая ое ого ому ом ым"),
-    3: (1, "трет", "ий ья ье ьего ьей ьему ьем ьим"),
-    4: (1, "четверт", HARD_ENDINGS),
-    5: (1, "пят", HARD_ENDINGS),
-    6: (1, "шест", "ой ая ое ого ому ом ым"),
-    7: (1, "седьм", "ой ая ое ого ому ом ым"),
-    8: (1, "восьм", "ой ая ое ого ому ом ым"),
-    9: (1, "девят", "ый ая ое ого ой ому ым"),
-    11: (10, "одиннадцат", HARD_ENDINGS),
-    12: (10, "двенадцат", HARD_ENDINGS),
-    13: (10, "тринадцат", HARD_ENDINGS),
-    14: (10, "четырнадцат", HARD_ENDINGS),
-    15: (10, "пятнадцат", HARD_ENDINGS),
-    16: (10, "шестнадцат", HARD_ENDINGS),
-    17: (10, "семнадцат", HARD_ENDINGS),
-    18: (10, "восемнадцат", HARD_ENDINGS),
-    19: (10, "девятнадцат", HARD_ENDINGS),
-    20: (10, "двадцат", HARD_ENDINGS),
-    30: (10, "тридцат", HARD_ENDINGS),
-    40: (10, "сороков", HARD_ENDINGS),
-    50: (10, "пятидесят", HARD_ENDINGS),
-    60: (10, "шестидесят", HARD_ENDINGS),
-    70: (10, "семидесят", HARD_ENDINGS),
-    80: (10, "восьмидесят", HARD_ENDINGS),
-    90: (10, "девяност", HARD_ENDINGS),
-    100: (100, "сот", HARD_ENDINGS),
-    200: (100, "двухсот", HARD_ENDINGS),
-    300: (100, "трёхсот трехсот", "ый ая ое"),
-    400: (100, "четырёхсот четырехсот", "ый ая ое"),
-    500: (100, "пятисот", "ый ая ое"),
-    600: (100, "шестисот", "ый ая ое"),
-    700: (100, "семисот", "ый ая ое"),
-    800: (100, "восьмисот", "ый ая ое"),
-    900: (100, "девятисот", "ый ая ое"),
+# Russian ordinals, value -> (scale, forms).
+ORDINALS: dict[int, tuple[int, list[str]]] = {
+    1: (1, ["первый", "первая", "первое", "первого", "первой", "первому", "первом", "первым"]),
+    2: (1, ["второй", "вторая", "второе", "второго", "второму", "втором", "вторым"]),
+    3: (1, ["третий", "третья", "третье", "третьего", "третьей", "третьему", "третьем", "третьим"]),
+    4: (1, ["четвертый", "четвертая", "четвертое", "четвертого", "четвертой", "четвертому", "четвертом", "четвертым"]),
+    5: (1, ["пятый", "пятая", "пятое", "пятого", "пятой", "пятому", "пятом", "пятым"]),
+    6: (1, ["шестой", "шестая", "шестое", "шестого", "шестому", "шестом", "шестым"]),
+    7: (1, ["седьмой", "седьмая", "седьмое", "седьмого", "седьмому", "седьмом", "седьмым"]),
+    8: (1, ["восьмой", "восьмая", "восьмое", "восьмого", "восьмому", "восьмом", "восьмым"]),
+    9: (1, ["девятый", "девятая", "девятое", "девятого", "девятой", "девятому", "девятым"]),
+    11: (
+        10,
+        [
+            "одиннадцатый", "одиннадцатая", "одиннадцатое", "одиннадцатого", "одиннадцатой", "одиннадцатому",
+            "одиннадцатом", "одиннадцатым",
+        ],
+    ),
+    12: (
+        10,
+        [
+            "двенадцатый", "двенадцатая", "двенадцатое", "двенадцатого", "двенадцатой", "двенадцатому",
+            "двенадцатом", "двенадцатым",
+        ],
+    ),
+    13: (
+        10,
+        [
+            "тринадцатый", "тринадцатая", "тринадцатое", "тринадцатого", "тринадцатой", "тринадцатому",
+            "тринадцатом", "тринадцатым",
+        ],
+    ),
+    14: (
+        10,
+        [
+            "четырнадцатый", "четырнадцатая", "четырнадцатое", "четырнадцатого", "четырнадцатой", "четырнадцатому",
+            "четырнадцатом", "четырнадцатым",
+        ],
+    ),
+    15: (
+        10,
+        [
+            "пятнадцатый", "пятнадцатая", "пятнадцатое", "пятнадцатого", "пятнадцатой", "пятнадцатому",
+            "пятнадцатом", "пятнадцатым",
+        ],
+    ),
+    16: (
+        10,
+        [
+            "шестнадцатый", "шестнадцатая", "шестнадцатое", "шестнадцатого", "шестнадцатой", "шестнадцатому",
+            "шестнадцатом", "шестнадцатым",
+        ],
+    ),
+    17: (
+        10,
+        [
+            "семнадцатый", "семнадцатая", "семнадцатое", "семнадцатого", "семнадцатой", "семнадцатому",
+            "семнадцатом", "семнадцатым",
+        ],
+    ),
+    18: (
+        10,
+        [
+            "восемнадцатый", "восемнадцатая", "восемнадцатое", "восемнадцатого", "восемнадцатой", "восемнадцатому",
+            "восемнадцатом", "восемнадцатым",
+        ],
+    ),
+    19: (
+        10,
+        [
+            "девятнадцатый", "девятнадцатая", "девятнадцатое", "девятнадцатого", "девятнадцатой", "девятнадцатому",
+            "девятнадцатом", "девятнадцатым",
+        ],
+    ),
+    20: (
+        10,
+        [
+            "двадцатый", "двадцатая", "двадцатое", "двадцатого", "двадцатой", "двадцатому", "двадцатом", "двадцатым",
+        ],
+    ),
+    30: (
+        10,
+        [
+            "тридцатый", "тридцатая", "тридцатое", "тридцатого", "тридцатой", "тридцатому", "тридцатом", "тридцатым",
+        ],
+    ),
+    40: (
+        10,
+        [
+            "сороковый", "сороковая", "сороковое", "сорокового", "сороковой", "сороковому", "сороковом", "сороковым",
+        ],
+    ),
+    50: (
+        10,
+        [
+            "пятидесятый", "пятидесятая", "пятидесятое", "пятидесятого", "пятидесятой", "пятидесятому",
+            "пятидесятом", "пятидесятым",
+        ],
+    ),
+    60: (
+        10,
+        [
+            "шестидесятый", "шестидесятая", "шестидесятое", "шестидесятого", "шестидесятой", "шестидесятому",
+            "шестидесятом", "шестидесятым",
+        ],
+    ),
+    70: (
+        10,
+        [
+            "семидесятый", "семидесятая", "семидесятое", "семидесятого", "семидесятой", "семидесятому",
+            "семидесятом", "семидесятым",
+        ],
+    ),
+    80: (
+        10,
+        [
+            "восьмидесятый", "восьмидесятая", "восьмидесятое", "восьмидесятого", "восьмидесятой", "восьмидесятому",
+            "восьмидесятом", "восьмидесятым",
+        ],
+    ),
+    90: (
+        10,
+        [
+            "девяностый", "девяностая", "девяностое", "девяностого", "девяностой", "девяностому", "девяностом",
+            "девяностым",
+        ],
+    ),
+    100: (100, ["сотый", "сотая", "сотое", "сотого", "сотой", "сотому", "сотом", "сотым"]),
+    200: (
+        100,
+        [
+            "двухсотый", "двухсотая", "двухсотое", "двухсотого", "двухсотой", "двухсотому", "двухсотом", "двухсотым",
+        ],
+    ),
+    300: (100, ["трёхсотый", "трёхсотая", "трёхсотое", "трехсотый", "трехсотая", "трехсотое"]),
+    400: (100, ["четырёхсотый", "четырёхсотая", "четырёхсотое", "четырехсотый", "четырехсотая", "четырехсотое"]),
+    500: (100, ["пятисотый", "пятисотая", "пятисотое"]),
+    600: (100, ["шестисотый", "шестисотая", "шестисотое"]),
+    700: (100, ["семисотый", "семисотая", "семисотое"]),
+    800: (100, ["восьмисотый", "восьмисотая", "восьмисотое"]),
+    900: (100, ["девятисотый", "девятисотая", "девятисотое"]),
 }
 
 
 def number_words(ordinals: bool) -> dict[str, tuple[int, int]]:
     """Word -> (value, scale). The evaluation table has ordinals, the live table has cardinals only."""
-    table = {form: (v, scale) for v, (scale, forms) in CARDINALS.items() for form in forms.split()}
-    if ordinals:
-        for value, (scale, stems, endings) in ORDINAL_STEMS.items():
-            for stem in stems.split():
-                table.update({stem + ending: (value, scale) for ending in endings.split()})
-    return table
+    tables = [CARDINALS, ORDINALS] if ordinals else [CARDINALS]
+    return {form: (value, scale) for table in tables for value, (scale, forms) in table.items() for form in forms}
 
 
 def _number(word: Column, ordinals: bool) -> Column:

@@ -1,14 +1,11 @@
 """Functions for SQL users: scalar functions on Arrow batches and table functions for the window plans.
 
-DataFrame code does not need these; it uses the built-in expressions of ``operators.windows``.
+The table functions are SQL themselves, so the optimizer sees through them. DataFrame code uses ``operators.windows``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 from pyspark.sql import SparkSession
-from pyspark.sql.functions import udtf
 
 from voxlake.functions.distance import distance_udf, split_udf
 from voxlake.operators.windows import (
@@ -18,47 +15,34 @@ from voxlake.operators.windows import (
     WINDOW_SAMPLES,
     stride_samples,
 )
-from voxlake.sources.files import wav_header_udf
-
-
-class AudioWindows:
-    """``audio_windows(total)``: decode windows of a recording of ``total`` samples."""
 
-    def eval(self, total: int) -> Iterator[tuple]:
-        if total is None or total <= 0:
-            return
-        if total <= SINGLE_PASS_SAMPLES:
-            yield 0, 0, total
-            return
-        start = n = 0
-        while True:
-            end = min(start + WINDOW_SAMPLES, total)
-            yield n, start, end
-            if end == total:
-                return
-            start, n = start + stride_samples(), n + 1
+LABEL_STRIDE, LABEL_HALF = LABEL_WINDOW_WORDS - LABEL_OVERLAP_WORDS, LABEL_OVERLAP_WORDS // 2
 
+AUDIO_WINDOWS = f"""
+CREATE OR REPLACE TEMPORARY FUNCTION audio_windows(total BIGINT)
+RETURNS TABLE (chunk_id BIGINT, start_sample BIGINT, end_sample BIGINT)
+RETURN SELECT k, k * {stride_samples()},
+  CASE WHEN total <= {SINGLE_PASS_SAMPLES} THEN total ELSE least(k * {stride_samples()} + {WINDOW_SAMPLES}, total) END
+FROM (SELECT explode(sequence(0L, CASE WHEN total <= {SINGLE_PASS_SAMPLES} THEN 0L
+  ELSE (greatest(total - {WINDOW_SAMPLES}, 0L) + {stride_samples() - 1}) DIV {stride_samples()} END)) AS k)
+WHERE total > 0
+"""
 
-class LabelWindows:
-    """``label_windows(n_words)``: word windows and the range each one labels."""
-
-    def eval(self, n_words: int) -> Iterator[tuple]:
-        half, n = LABEL_OVERLAP_WORDS // 2, 0
-        while n_words:
-            start = n * (LABEL_WINDOW_WORDS - LABEL_OVERLAP_WORDS)
-            end = min(start + LABEL_WINDOW_WORDS, n_words)
-            yield n, start, end, start + half if n else 0, n_words if end == n_words else end - half
-            if end == n_words:
-                return
-            n += 1
+LABEL_WINDOWS = f"""
+CREATE OR REPLACE TEMPORARY FUNCTION label_windows(n_words BIGINT)
+RETURNS TABLE (window_idx BIGINT, start BIGINT, end BIGINT, keep_start BIGINT, keep_end BIGINT)
+RETURN SELECT k, k * {LABEL_STRIDE}, least(k * {LABEL_STRIDE} + {LABEL_WINDOW_WORDS}, n_words),
+  CASE WHEN k = 0 THEN 0L ELSE k * {LABEL_STRIDE} + {LABEL_HALF} END,
+  CASE WHEN k = last THEN n_words ELSE k * {LABEL_STRIDE} + {LABEL_WINDOW_WORDS - LABEL_HALF} END
+FROM (SELECT explode(sequence(0L, last)) AS k, last FROM
+  (SELECT (greatest(n_words - {LABEL_WINDOW_WORDS}, 0L) + {LABEL_STRIDE - 1}) DIV {LABEL_STRIDE} AS last))
+WHERE n_words > 0
+"""
 
 
 def register_sql(spark: SparkSession) -> None:
     """Make the functions available to SQL."""
     spark.udf.register("word_edit_distance", distance_udf)
     spark.udf.register("word_errors", split_udf)
-    spark.udf.register("wav_header", wav_header_udf)
-    windows = "chunk_id BIGINT, start_sample BIGINT, end_sample BIGINT"
-    spark.udtf.register("audio_windows", udtf(AudioWindows, returnType=windows))
-    labels = "window_idx BIGINT, start BIGINT, end BIGINT, keep_start BIGINT, keep_end BIGINT"
-    spark.udtf.register("label_windows", udtf(LabelWindows, returnType=labels))
+    spark.sql(AUDIO_WINDOWS)
+    spark.sql(LABEL_WINDOWS)

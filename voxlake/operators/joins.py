@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 100_000
-
-
 def safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
     """Equi-join in which a null key matches a null key; the right side's key columns are dropped."""
     renamed = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
@@ -17,9 +14,8 @@ def safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "in
 
 
 def lookup_join(left: DataFrame, dimension: DataFrame, on: str | list[str], how: str = "left") -> DataFrame:
-    """Join a dictionary. It is broadcast only after counting it; a larger one is shuffled like any table."""
-    small = dimension.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    return left.join(F.broadcast(dimension) if small else dimension, on, how)
+    """Join a dictionary. Whether it is broadcast is left to the optimizer's size check."""
+    return left.join(dimension, on, how)
 
 
 def latest_per_key(df: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,16 +82,19 @@ def gauge_values(changes: DataFrame, keys: list[str], order: Column) -> DataFram
 def windowed_sums(
     df: DataFrame, keys: list[str], second: Column, sums: dict[str, Column], *, window_s: int, step_s: int
 ) -> DataFrame:
-    """Sums over sliding windows ``(end_s - window_s, end_s]``-style, one row per window that saw a row.
+    """Sums over the windows ``[eval_s - window_s, eval_s)`` that end at whole steps, one row per window that saw a row.
 
-    Rows are summed per step first; only those few rows are copied into the windows that cover them.
+    Rows are summed per unit first, the common divisor of window and step, so that a window is covered exactly. Only those
+    few rows are copied into the windows that cover them.
     """
-    step = F.floor(second / step_s).alias("_step")
-    per_step = df.groupBy(*keys, step).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    cover = window_s // step_s
-    spread = per_step.withColumn("_last", F.explode(F.sequence(F.col("_step"), F.col("_step") + cover - 1)))
-    summed = spread.groupBy(*keys, "_last").agg(*[F.sum(n).alias(n) for n in sums])
-    return summed.select(*keys, ((F.col("_last") + 1) * step_s).alias("eval_s"), *sums)
+    unit = math.gcd(window_s, step_s)
+    per_unit = df.groupBy(*keys, F.floor(second / unit).alias("_unit")).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
+    # A window that ends at step k covers the unit if k * step_s lies behind it and at most a window away.
+    first = F.floor(F.col("_unit") * unit / step_s) + 1
+    last = F.floor((F.col("_unit") * unit + window_s) / step_s)
+    spread = per_unit.filter(first <= last).withColumn("_end", F.explode(F.sequence(first, last)))
+    summed = spread.groupBy(*keys, "_end").agg(*[F.sum(n).alias(n) for n in sums])
+    return summed.select(*keys, (F.col("_end") * step_s).alias("eval_s"), *sums)
 
 
 def seconds_of(ts: Column) -> Column:
@@ -135,13 +140,15 @@ def error_alerts(
     group = keys or ["_all"]
     rated = ratios if keys else ratios.withColumn("_all", F.lit(0))
     firing = materialize(rated.withColumn("firing", F.col("ratio") > above), "evaluations")
-    out = sustained(firing, group, for_seconds=for_seconds, block_s=step_s * 4096)
+    out = sustained(firing, group, for_seconds=for_seconds, block_s=step_s * 4096, step_s=step_s)
     return out.select(*keys, "eval_s", "errors", "total", "firing", "alert")
 
 
-def pool_alerts(samples: DataFrame, keys: list[str], *, for_seconds: int, ts: str = "eval_s") -> DataFrame:
+def pool_alerts(
+    samples: DataFrame, keys: list[str], *, for_seconds: int, ts: str = "eval_s", step_s: int | None = None
+) -> DataFrame:
     """Pool exhaustion: no session available at every sample for ``for_seconds``."""
-    return sustained(samples.withColumn("firing", F.col("available") == 0), keys, for_seconds=for_seconds, ts=ts)
+    return sustained(samples.withColumn("firing", F.col("available") == 0), keys, for_seconds=for_seconds, ts=ts, step_s=step_s)
 
 
 def timeout_alerts(
@@ -150,7 +157,7 @@ def timeout_alerts(
     """Sustained rate of timeout events above a threshold per second."""
     rates = event_rate(events, keys, window_s=window_s, step_s=step_s)
     firing = materialize(rates.withColumn("firing", F.col("rate") > above), "timeout-rates")
-    return sustained(firing, keys, for_seconds=for_seconds, block_s=step_s * 4096)
+    return sustained(firing, keys, for_seconds=for_seconds, block_s=step_s * 4096, step_s=step_s)
 
 
 def active_sessions(changes: DataFrame, keys: list[str], *, block_s: int = 86_400) -> DataFrame:

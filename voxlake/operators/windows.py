@@ -257,18 +257,25 @@ def latest_speaker(rows: DataFrame, keys: list[str], order: list[str], block: Co
     return scan(rows, keys, order, block, lasts={"live_speaker": F.col("speaker")})
 
 
-def sustained(evaluations: DataFrame, keys: list[str], *, for_seconds: int, ts: str = "eval_s", block_s: int = 86_400) -> DataFrame:
+def sustained(
+    evaluations: DataFrame, keys: list[str], *, for_seconds: int, ts: str = "eval_s", block_s: int = 86_400, step_s: int | None = None
+) -> DataFrame:
     """Evaluations at which ``firing`` has held at every evaluation of the last ``for_seconds``.
 
-    The condition must have been seen true that long: a series that begins true waits like any other.
+    The condition must have been seen true that long: a series that begins true waits like any other. With ``step_s``, the
+    distance of evaluations, a missing evaluation is an absent value and starts the wait anew.
     """
+    look_back, starts = {"_prev": F.col("firing")}, F.col("firing") != F.col("_prev")
+    if step_s is not None:
+        look_back["_prev_at"] = F.col(ts)
+        starts = starts | (F.col(ts) - F.col("_prev_at") > step_s)
     marked = islands(
         evaluations,
         keys,
         [ts],
         F.floor(F.col(ts) / block_s),
-        look_back={"_prev": F.col("firing")},
-        starts=F.col("firing") != F.col("_prev"),
+        look_back=look_back,
+        starts=starts,
     )
     began = marked.filter("firing").groupBy(*keys, "island").agg(F.min(ts).alias("_since"))
     joined = safe_join(marked, began, [*keys, "island"], "left")

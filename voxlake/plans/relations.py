@@ -11,28 +11,19 @@ from voxlake.operators.scans import scan, time_block
 from voxlake.session import materialize
 
 DAY = 86_400
-
-
-TEXT_TABLES = ("documents", "pages")
+TEXT_TABLES = ("documents", "pages", "orders")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the given tables. Text tables that come in too few files are spread over the cores."""
+    """One of the given tables. Text tables with fewer splits than cores are dealt out: their rows cost far more than a
+    shuffle. The plan of the scan tells the splits; nothing is read or listed for it."""
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(rows) if name in TEXT_TABLES else rows
-
-
-def spread(rows: DataFrame) -> DataFrame:
-    """Repartition a table of fewer files than cores, for work that costs far more per row than a shuffle.
-
-    A large table has many files and stays as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if len(rows.inputFiles()) < cores else rows
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if name in TEXT_TABLES and rows.rdd.getNumPartitions() < cores else rows
 
 
 def utterances(spark: SparkSession, sf_dir: str, normalizer=normalize_unicode) -> DataFrame:
-    """User turns paired with the assistant turn that follows, whole texts on both sides."""
+    """User turns with the assistant turn that follows, whole texts on both sides; without one the hypothesis is empty."""
     turns = table(spark, sf_dir, "conversations")
     user = turns.filter(F.col("role") == "user").select(
         "conv_id", "turn", F.col("text").alias("reference"), (F.col("turn") + 1).alias("_next")
@@ -40,7 +31,8 @@ def utterances(spark: SparkSession, sf_dir: str, normalizer=normalize_unicode) -
     reply = turns.filter(F.col("role") == "assistant").select(
         F.col("conv_id").alias("_conv"), F.col("turn").alias("_turn"), F.col("text").alias("hypothesis")
     )
-    paired = user.join(reply, (F.col("conv_id") == F.col("_conv")) & (F.col("_next") == F.col("_turn")))
+    paired = user.join(reply, (F.col("conv_id") == F.col("_conv")) & (F.col("_next") == F.col("_turn")), "left")
+    paired = paired.withColumn("hypothesis", F.coalesce("hypothesis", F.lit("")))
     return paired.select(
         "conv_id",
         "turn",

@@ -93,7 +93,7 @@ _RATIO = _WINDOWS.format(
 _ALERTS = f"""{_RATIO},
 evals AS (SELECT (last + 1) * 3600 AS eval_s, sum(e)::BIGINT AS errors, sum(t)::BIGINT AS total, sum(e)::DOUBLE / sum(t) > 22e-2 AS firing
   FROM spread GROUP BY 1),
-m AS (SELECT *, CASE WHEN firing IS DISTINCT FROM lag(firing) OVER (ORDER BY eval_s) THEN 1 ELSE 0 END AS b FROM evals),
+m AS (SELECT *, CASE WHEN firing IS DISTINCT FROM lag(firing) OVER (ORDER BY eval_s) OR eval_s - lag(eval_s) OVER (ORDER BY eval_s) > 3600 THEN 1 ELSE 0 END AS b FROM evals),
 i AS (SELECT *, sum(b) OVER (ORDER BY eval_s) AS g FROM m)"""
 
 
@@ -358,7 +358,8 @@ def st09(spark, sf_dir):
     return folds.settled_files(polls(spark, sf_dir), settle_polls=1)
 
 
-_ISLANDS = """m AS (SELECT *, CASE WHEN firing IS DISTINCT FROM lag(firing) OVER (PARTITION BY path ORDER BY eval_s) THEN 1 ELSE 0 END AS b FROM evals),
+_ISLANDS = """m AS (SELECT *, CASE WHEN firing IS DISTINCT FROM lag(firing) OVER (PARTITION BY path ORDER BY eval_s)
+  OR eval_s - lag(eval_s) OVER (PARTITION BY path ORDER BY eval_s) > 3600 THEN 1 ELSE 0 END AS b FROM evals),
 i AS (SELECT *, sum(b) OVER (PARTITION BY path ORDER BY eval_s) AS g FROM m)"""
 
 
@@ -371,7 +372,7 @@ def st12_pool(spark, sf_dir):
     hour = (F.floor(telemetry.seconds_of(F.col("ts")) / HOUR) * HOUR).alias("eval_s")
     busy = requests(spark, sf_dir).groupBy("path", hour).agg(F.count(F.lit(1)).alias("n"))
     samples = busy.select("path", "eval_s", F.greatest(F.col("n") - 2, F.lit(0)).alias("available"))
-    return telemetry.pool_alerts(samples, ["path"], for_seconds=HOUR)
+    return telemetry.pool_alerts(samples, ["path"], for_seconds=HOUR, step_s=HOUR)
 
 
 @query(

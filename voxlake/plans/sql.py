@@ -76,9 +76,9 @@ def wer(errors: str, ref: str) -> str:
 
 def utterances(tokens=unicode_words) -> str:
     return (
-        f"utt AS (SELECT u.conv_id, u.turn, u.text AS reference, a.text AS hypothesis, {tokens('u.text')} AS ref, "
-        f"{tokens('a.text')} AS hyp FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id "
-        "AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
+        f"utt AS (SELECT u.conv_id, u.turn, u.text AS reference, coalesce(a.text, '') AS hypothesis, {tokens('u.text')} AS ref, "
+        f"""{tokens("coalesce(a.text, '')")} AS hyp FROM conversations u LEFT JOIN conversations a ON a.conv_id = u.conv_id """
+        "AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')"
     )
 
 

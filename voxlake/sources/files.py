@@ -2,21 +2,13 @@
 
 from __future__ import annotations
 
-import struct
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Audio extensions accepted by batch runs.
 EXTENSIONS = ["wav", "mp3", "m4a", "ogg", "flac", "webm"]
 HEADER_BYTES = 4096
 
-WAV_TYPE = T.StructType(
-    [T.StructField("rate", T.LongType()), T.StructField("channels", T.IntegerType()), T.StructField("frames", T.LongType())]
-)
-
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Every file below ``root``: ``path, len, mtime``; contents are not read."""
@@ -45,34 +37,55 @@ def sniff_container(content: Column) -> Column:
     )
 
 
-def parse_wav_header(head: bytes) -> tuple[int, int, int] | None:
-    """Rate, channels and frames from the chunk headers."""
-    if len(head) < 12 or head[:4] != b"RIFF" or head[8:12] != b"WAVE":
-        return None
-    channels = rate = bits = 0
-    at = 12
-    while at + 8 <= len(head):
-        name, size = head[at : at + 4], struct.unpack_from("<I", head, at + 4)[0]
-        body = at + 8
-        if name == b"fmt " and body + 16 <= len(head):
-            channels, rate = struct.unpack_from("<HI", head, body + 2)
-            bits = struct.unpack_from("<H", head, body + 14)[0]
-        elif name == b"data":
-            width = bits // 8 * max(channels, 1)
-            return (rate, channels, size // width) if width and rate else None
-        at = body + size + size % 2
-    return None
+#: As many chunks as fit into the header bytes.
+MAX_CHUNKS = HEADER_BYTES // 8
 
 
-@F.pandas_udf(WAV_TYPE)
-def wav_header_udf(heads: pd.Series) -> pd.DataFrame:
-    rows = [parse_wav_header(bytes(h)) if h is not None else None for h in heads]
-    return pd.DataFrame([r or (None, None, None) for r in rows], columns=WAV_TYPE.names).astype("Int64")
+def _unsigned(content: Column, at: Column, size: int) -> Column:
+    """Little-endian number of ``size`` bytes that begins at byte ``at`` (from zero); null beyond the end."""
+    raw = F.substring(content, at.cast("int") + 1, F.lit(size))
+    bytes_ = F.split(F.regexp_replace(F.hex(raw), "(..)(?=.)", "$1,"), ",")
+    return F.when(F.octet_length(raw) == size, F.conv(F.array_join(F.reverse(bytes_), ""), 16, 10).cast("bigint"))
 
 
 def wav_header(content: Column) -> Column:
-    """Struct of rate, channels and frames; only the first four kilobytes leave the JVM."""
-    return wav_header_udf(F.substring(content, 1, HEADER_BYTES))
+    """Struct of rate, channels and frames, null where the bytes are no WAV file with sample data.
+
+    A RIFF file is a list of chunks: a name of four bytes, a size, and the content padded to an even size. The walk keeps
+    the place of the next chunk and the format seen last, until it meets the data chunk.
+    """
+    head = F.substring(content, 1, HEADER_BYTES)
+    riff = (F.hex(F.substring(head, 1, 4)) == "52494646") & (F.hex(F.substring(head, 9, 4)) == "57415645")
+    none = F.lit(None).cast("bigint")
+    start = F.struct(
+        F.lit(12).cast("bigint").alias("at"), none.alias("rate"), none.alias("channels"), none.alias("bits"), none.alias("size")
+    )
+
+    def walk(state: Column, _: Column) -> Column:
+        at = state["at"]
+        name = F.hex(F.substring(head, at.cast("int") + 1, F.lit(4)))
+        size = _unsigned(head, at + 4, 4)
+        is_format, is_data = name == "666D7420", name == "64617461"
+        done = state["size"].isNotNull() | size.isNull()
+        moved = F.struct(
+            (at + 8 + size + size % 2).alias("at"),
+            F.when(is_format, _unsigned(head, at + 12, 4)).otherwise(state["rate"]).alias("rate"),
+            F.when(is_format, _unsigned(head, at + 10, 2)).otherwise(state["channels"]).alias("channels"),
+            F.when(is_format, _unsigned(head, at + 22, 2)).otherwise(state["bits"]).alias("bits"),
+            F.when(is_data, size).alias("size"),
+        )
+        return F.when(done, state).otherwise(moved)
+
+    def finish(state: Column) -> Column:
+        width = F.floor(state["bits"] / 8) * F.greatest(state["channels"], F.lit(1))
+        whole = riff & (width > 0) & (state["rate"] > 0) & state["size"].isNotNull()
+        return F.struct(
+            F.when(whole, state["rate"]).alias("rate"),
+            F.when(whole, state["channels"].cast("int")).alias("channels"),
+            F.when(whole, F.floor(state["size"] / width)).alias("frames"),
+        )
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_CHUNKS)), start, walk, finish)
 
 
 def pcm_frames(recordings: DataFrame, content: str, *, chunk_ms: int = 100, rate: int = 16_000) -> DataFrame:

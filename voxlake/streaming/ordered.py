@@ -29,7 +29,7 @@ class OrderedFold(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at_ms BIGINT, row STRING", self.ttl_ms)
+        self.waiting = handle.getListState("waiting", "at_ms BIGINT, row STRING")  # rows not folded yet never expire
         self.folded = handle.getValueState("folded", "value STRING", self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
