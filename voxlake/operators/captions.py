@@ -1,6 +1,6 @@
 """Caption and document rendering.
 
-A rendered recording is a set of parts (nearly always one) of bounded size; see ``scans.gather_text``.
+A rendered recording is a set of parts of bounded size that make up the document in order; see ``scans.gather_text``.
 """
 
 from __future__ import annotations
@@ -74,7 +74,7 @@ def render_markdown(words: DataFrame, keys: list[str], *, language: str = "ru",
     last = text.groupBy(*keys).agg(F.max("part").alias("_last"))
     framed = safe_join(safe_join(text, last, keys), _front_matter(words, keys, language), keys)
     body = F.concat(
-        F.when(F.col("part") == 0, F.concat(F.col("_head"), F.lit("# Transcript\n\n"))).otherwise(" "),
+        F.when(F.col("part") == 0, F.concat(F.col("_head"), F.lit("# Transcript\n\n"))).otherwise(""),
         F.col("text"),
         F.when(F.col("part") == F.col("_last"), F.lit("\n\n")).otherwise(""),
     )

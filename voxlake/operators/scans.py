@@ -206,8 +206,9 @@ def gather_text(
 ) -> DataFrame:
     """Join the texts of each key in order, in parts of at most ``part_rows`` rows: ``keys, part, text``.
 
-    Nearly every key has part 0 alone. A key too long for one value comes as several consecutive parts, so no
-    task builds an unbounded string and no row is lost. ``index`` names a dense zero-based order column;
+    The parts of a key, put together in order as they are, are its whole text: a part after the first begins with the
+    separator. No task builds an unbounded string and no row is lost; :func:`whole_text` makes one value where one is
+    wanted. ``index`` names a dense zero-based order column;
     without it rows are numbered by a scan over ``block``.
     """
     if index is None:
@@ -221,6 +222,13 @@ def gather_text(
         F.struct(number.alias("n"), text.alias("t")).alias("_piece"),
     )
     pieces = F.array_sort(F.collect_list("_piece"))
-    return parts.groupBy(*keys, "part").agg(
-        F.array_join(F.transform(pieces, lambda p: p["t"]), separator).alias(out)
-    )
+    joined = parts.groupBy(*keys, "part").agg(F.array_join(F.transform(pieces, lambda p: p["t"]), separator).alias(out))
+    if not separator:
+        return joined
+    return joined.withColumn(out, F.concat(F.when(F.col("part") > 0, separator).otherwise(""), F.col(out)))
+
+
+def whole_text(parts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """One value per key from its parts, however many."""
+    pieces = F.array_sort(F.collect_list(F.struct("part", F.col(text).alias("t"))))
+    return parts.groupBy(*keys).agg(F.array_join(F.transform(pieces, lambda p: p["t"]), "").alias(text))

@@ -59,7 +59,10 @@ def ids_to_text(ids: DataFrame, vocab: DataFrame, keys: list[str], blank_id: int
     known = vocab.filter((F.col("piece") != "<unk>") & (F.col("token_id") != blank_id))
     named = lookup_join(ids, known, "token_id", "inner")
     joined = gather_text(named, keys, ["tok_idx"], F.col("piece"), "", block=index_block("tok_idx"))
-    return joined.withColumn("text", F.trim(F.replace("text", F.lit(WORD_BOUNDARY), F.lit(" "))))
+    spaced = safe_join(joined, joined.groupBy(*keys).agg(F.max("part").alias("_last")), keys)
+    text = F.replace("text", F.lit(WORD_BOUNDARY), F.lit(" "))
+    text = F.when(F.col("part") == 0, F.ltrim(text)).otherwise(text)
+    return spaced.withColumn("text", F.when(F.col("part") == F.col("_last"), F.rtrim(text)).otherwise(text)).drop("_last")
 
 
 def overlapping_chunks(words: DataFrame, window_s: float = 24.0, stride_s: float = 22.0) -> DataFrame:

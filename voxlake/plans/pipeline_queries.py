@@ -37,7 +37,7 @@ placed AS (SELECT w.*, CASE WHEN last = 0 OR i < 230 THEN 0 ELSE least((i - 20)
 bad AS (SELECT p.doc_id, p.i // 210 AS win FROM w p JOIN k USING (doc_id) WHERE p.i % 210 = 0 AND p.word = 'und' AND p.i // 210 <= last),
 r AS (SELECT p.doc_id, p.i, CASE WHEN b.win IS NOT NULL THEN word WHEN length(word) = 7 THEN upper(word[1]) || word[2:] || ',' WHEN length(word) > 7
   THEN upper(word[1]) || word[2:] ELSE word END AS s FROM placed p LEFT JOIN bad b ON b.doc_id = p.doc_id AND b.win = p.win)
-SELECT doc_id, i // 65536 AS part, md5(string_agg(s, ' ' ORDER BY i)) AS digest FROM r GROUP BY 1, 2""",
+SELECT doc_id, i // 65536 AS part, md5(CASE WHEN i // 65536 > 0 THEN ' ' ELSE '' END || string_agg(s, ' ' ORDER BY i)) AS digest FROM r GROUP BY 1, 2""",
 )
 def sg07(spark, sf_dir):
     plain = F.replace(F.lower(F.regexp_replace("text", "[0-9]+", "x")), F.lit("ß"), F.lit("ss"))

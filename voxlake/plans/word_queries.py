@@ -10,7 +10,7 @@ from voxlake.functions.expr import words_of
 from voxlake.operators import blocks, captions, scoring, windows
 from voxlake.operators import words as ops
 from voxlake.operators.joins import safe_join
-from voxlake.operators.scans import time_block
+from voxlake.operators.scans import time_block, whole_text
 from voxlake.plans import sql
 from voxlake.plans.registry import query
 from voxlake.plans.relations import DAY, channel_pairs, frames, table, turns, words
@@ -217,19 +217,24 @@ def tk05(spark, sf_dir):
     "tx27_result_json",
     f"""WITH RECURSIVE {_BREAKS}, m AS (SELECT recording_id, max("end") AS duration, count(*) AS n,
   string_agg(word, ' ' ORDER BY word_idx) AS text FROM words GROUP BY 1)
-SELECT recording_id, duration, md5(text) AS digest, n AS n_words, false AS has_confidence FROM m""",
+SELECT recording_id, duration, md5(text) AS digest, n AS n_words, n AS json_words, false AS has_confidence FROM m""",
 )
 def tx27(spark, sf_dir):
     rows = words(spark, sf_dir)
-    text = captions.render_txt(rows, REC).filter("part = 0")
-    facts = rows.groupBy("recording_id").agg(F.max("end").alias("duration_s"), F.count(F.lit(1)).alias("n_words"))
+    text = whole_text(captions.render_txt(rows, REC), REC, "document")
+    timed = F.array_sort(F.collect_list(F.struct("word_idx", "word", "start", "end")))
+    listed = F.transform(timed, lambda w: F.struct(w["word"].alias("word"), w["start"].alias("start"), w["end"].alias("end")))
+    facts = rows.groupBy("recording_id").agg(
+        F.max("end").alias("duration_s"), F.count(F.lit(1)).alias("n_words"), listed.alias("words")
+    )
     joined = safe_join(text, facts, REC)
-    made = captions.result_json(F.col("document"), F.col("duration_s"), F.lit(None).cast("double"), F.lit(None).cast("string"))
+    made = captions.result_json(F.col("document"), F.col("duration_s"), F.lit(None).cast("double"), F.col("words"))
     return joined.select("recording_id", "n_words", made.alias("j")).select(
         "recording_id",
         F.get_json_object("j", "$.duration").cast("double").alias("duration"),
         F.md5(F.get_json_object("j", "$.text")).alias("digest"),
         "n_words",
+        F.json_array_length(F.get_json_object("j", "$.words")).cast("bigint").alias("json_words"),
         F.col("j").contains("confidence").alias("has_confidence"),
     )
 
