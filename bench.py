@@ -27,11 +27,9 @@ HEADLINE = [
     "jn03_assign_speakers",
     "jn11_duplicate_contents",
     "ag16_cumulative_histogram",
-    "st06_rate_limit",
     "st11_event_rate",
     "st12_wn15_error_alerts",
     "tx21_subword_counts",
-    "tx31_mel_features",
 ]
 
 
