@@ -1,7 +1,8 @@
 """Exact order statistics and interpolated percentiles of groups of any size.
 
-Values are counted per (group, value) first, then narrowed twice to the few histogram cells that hold the
-wanted ranks, so that no task ever sorts a whole group.
+Values are counted per (group, value) first. The counts are partitioned by range of (group, value), so that each partition
+holds a stretch of a group's order; the totals of the partitions say which of them holds a wanted rank, and only that one is
+looked through. No task ever sorts a whole group, and outliers do not crowd the others together.
 """
 
 from __future__ import annotations
@@ -12,34 +13,22 @@ from pyspark.sql import functions as F
 from voxlake.operators.joins import safe_join
 from voxlake.session import materialize
 
-CELLS = 4096
-LEVELS = 2
-
 
 def _pick_ranks(counts: DataFrame, ranks: DataFrame, keys: list[str]) -> DataFrame:
     """``ranks`` (keys, name, rank) with the value at each zero-based rank; ``counts`` is (keys, _v, _n)."""
-    cell_keys, work = list(keys), counts
-    for level in range(LEVELS):
-        cell = f"_cell{level}"
-        span = work.groupBy(*cell_keys).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        place = F.when(
-            F.col("_hi") > F.col("_lo"),
-            F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CELLS), F.lit(CELLS - 1)),
-        ).otherwise(F.lit(0).cast("bigint"))
-        work = materialize(safe_join(work, span, cell_keys).withColumn(cell, place).drop("_lo", "_hi"), "cells")
-        sizes = work.groupBy(*cell_keys, cell).agg(F.sum("_n").alias("_m"))
-        through = F.sum("_m").over(Window.partitionBy(*cell_keys).orderBy(cell))
-        sizes = sizes.withColumn("_before", through - F.col("_m"))
-        ranks = safe_join(ranks, sizes, cell_keys).filter(
-            (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_m"))
-        )
-        ranks = ranks.select(*cell_keys, cell, "name", (F.col("rank") - F.col("_before")).alias("rank"))
-        cell_keys = [*cell_keys, cell]
-        ranks = materialize(ranks, "ranks")
-        work = safe_join(work, ranks.select(*cell_keys).distinct(), cell_keys, "left_semi")
-    through = F.sum("_n").over(Window.partitionBy(*cell_keys).orderBy("_v"))
-    placed = work.withColumn("_before", through - F.col("_n"))
-    hits = safe_join(ranks, placed, cell_keys).filter(
+    # Written, so that a partition keeps its number.
+    placed = materialize(counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id()), "ranges")
+    totals = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_m"))
+    through = F.sum("_m").over(Window.partitionBy(*keys).orderBy("_part"))
+    totals = totals.withColumn("_before", through - F.col("_m"))
+    found = safe_join(ranks, totals, keys).filter(
+        (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_m"))
+    )
+    found = found.select(*keys, "_part", "name", (F.col("rank") - F.col("_before")).alias("rank"))
+    stretch = safe_join(placed, found.select(*keys, "_part").distinct(), [*keys, "_part"], "left_semi")
+    inside = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy("_v"))
+    ordered = stretch.withColumn("_before", inside - F.col("_n"))
+    hits = safe_join(found, ordered, [*keys, "_part"]).filter(
         (F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_before") + F.col("_n"))
     )
     return hits.select(*keys, "name", F.col("_v").alias("value"))
@@ -80,3 +69,19 @@ def order_statistic(df: DataFrame, keys: list[str], value: Column, rank: Column,
     totals = counts.groupBy(*group).agg(F.sum("_n").alias("n"))
     ranks = totals.select(*group, F.lit(out).alias("name"), rank.cast("bigint").alias("rank"))
     return _pick_ranks(counts, ranks, group).select(*keys, F.col("value").alias(out))
+
+
+def latency_rollup(df: DataFrame, series: dict[str, Column], points: dict[str, float]) -> DataFrame:
+    """``series, n, max`` and percentiles of several series at once, one row each.
+
+    A series is a column of numbers or of lists, whose numbers are pooled. Nulls and negative values (an onset before its
+    reference) do not count. A series without values has n = 0 and nulls.
+    """
+    pooled = [
+        F.struct(F.lit(name).alias("series"), (v if dict(df.select(v.alias("v")).dtypes)["v"].startswith("array") else F.array(v)).alias("vs"))
+        for name, v in series.items()
+    ]
+    rows = df.select(F.explode(F.array(*pooled)).alias("s")).select("s.series", F.explode("s.vs").alias("v")).filter("v >= 0")
+    names = df.sparkSession.createDataFrame([(name,) for name in series], "series string")
+    found = names.join(percentiles(rows, ["series"], F.col("v"), points), "series", "left")
+    return found.withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))

@@ -264,6 +264,26 @@ def ag07(spark, sf_dir):
     return quantiles.percentiles(events, ["event_type"], F.col("value"), {"p50": 0.5, "p95": 0.95})
 
 
+@query(
+    "ag07_latency_rollup",
+    f"""WITH v AS (SELECT 'first_partial' AS series, value - 20 AS v FROM events UNION ALL
+  SELECT 'partial_lag', unnest([value, value * 2]) FROM events WHERE event_type = 'click' UNION ALL
+  SELECT 'final_lag', value * 3 FROM events WHERE event_type = 'purchase'),
+s AS (SELECT series, list_sort(list(v)) AS v FROM v WHERE v >= 0 GROUP BY 1)
+SELECT n.series, coalesce(len(v), 0) AS n, v[-1] AS max, {sql.quantile('v', 0.5)} AS p50, {sql.quantile('v', 0.95)} AS p95
+FROM (VALUES ('first_partial'), ('partial_lag'), ('final_lag'), ('never_seen')) n(series) LEFT JOIN s ON s.series = n.series""",
+)
+def ag07_rollup(spark, sf_dir):
+    value, kind = F.col("value"), F.col("event_type")
+    series = {
+        "first_partial": value - 20,
+        "partial_lag": F.when(kind == "click", F.array(value, value * 2)),
+        "final_lag": F.when(kind == "purchase", value * 3),
+        "never_seen": F.when(kind == "none", value),
+    }
+    return quantiles.latency_rollup(table(spark, sf_dir, "events"), series, {"p50": 0.5, "p95": 0.95})
+
+
 @query(
     "ag08_outcome_counts",
     """SELECT date_trunc('day', ts)::DATE::VARCHAR AS day, count(*) AS n, count_if(event_type = 'error') AS n_timeout,
