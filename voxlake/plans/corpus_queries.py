@@ -175,13 +175,15 @@ def sc08(spark, sf_dir):
 
 @query(
     "sc10_pcm_frames",
-    """WITH d AS (SELECT doc_id, strlen(text) AS n FROM documents), e AS (SELECT *, unnest(range(0, (n + 3199) // 3200)) AS chunk_idx FROM d WHERE n > 0)
-SELECT doc_id, chunk_idx, least(3200, n - chunk_idx * 3200) AS n_bytes FROM e""",
+    """WITH d AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FROM documents), e AS (SELECT *, unnest(range(0, (n + 3199) // 3200)) AS chunk_idx FROM d WHERE n > 0)
+SELECT doc_id, chunk_idx, least(3200, n - chunk_idx * 3200) AS n_bytes, md5(substring(h, chunk_idx * 6400 + 1, 6400)) AS digest FROM e""",
 )
 def sc10(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("pcm"))
     framed = files.pcm_frames(rows, "pcm")
-    return framed.select("doc_id", "chunk_idx", F.octet_length("frame").cast("bigint").alias("n_bytes"))
+    return framed.select(
+        "doc_id", "chunk_idx", F.octet_length("frame").cast("bigint").alias("n_bytes"), F.md5(F.hex("frame")).alias("digest")
+    )
 
 
 @query(
@@ -194,7 +196,7 @@ def sc11(spark, sf_dir):
 
 @query(
     "sc13_document_sink",
-    "SELECT 'format=txt' AS format, role, count(*) AS documents, sum(length(replace(text, chr(10), ' ')))::BIGINT AS n_chars FROM conversations GROUP BY 2",
+    "SELECT 'format=txt' AS format, role, count(*) AS documents, sum(length(replace(text, chr(10), ' ')))::BIGINT AS n_chars, min(md5(replace(text, chr(10), ' '))) AS first_digest, max(md5(replace(text, chr(10), ' '))) AS last_digest FROM conversations GROUP BY 2",
 )
 def sc13(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select(
@@ -204,7 +206,8 @@ def sc13(spark, sf_dir):
     sinks.write_documents(rows, path)
     back = spark.read.text(path)
     return back.groupBy(F.concat(F.lit("format="), F.col("format")).alias("format"), F.col("output").alias("role")).agg(
-        F.count(F.lit(1)).alias("documents"), F.sum(F.length("value")).alias("n_chars")
+        F.count(F.lit(1)).alias("documents"), F.sum(F.length("value")).alias("n_chars"),
+        F.min(F.md5("value")).alias("first_digest"), F.max(F.md5("value")).alias("last_digest"),
     )
 
 
@@ -333,12 +336,12 @@ class UpperCaseModel:
     "ud01_st16_model_run",
     f"""WITH d AS (SELECT text, min(lang) AS lang FROM documents GROUP BY 1), u AS (SELECT {_KEY.format(t='text')} AS cache_key, text, lang FROM d)
 SELECT cache_key, CASE WHEN lang = 'de' THEN 0e0 ELSE length(text) / 64e0 END AS proc_sec, CASE WHEN lang = 'de' THEN 'failed' ELSE 'processed' END AS status,
-  CASE WHEN lang = 'de' THEN 'worker panicked' END AS error, CASE WHEN lang = 'de' THEN 3 ELSE 1 END AS attempts, false AS cached FROM u""",
+  CASE WHEN lang = 'de' THEN 'worker panicked' END AS error, CASE WHEN lang = 'de' THEN 3 ELSE 1 END AS attempts, false AS cached, CASE WHEN lang = 'en' THEN md5(upper(text)) WHEN lang <> 'de' THEN md5(text) END AS digest FROM u""",
 )
 def ud01(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").groupBy("text").agg(F.min("lang").alias("lang"))
     out = corpus.transcribe_table(docs, UpperCaseModel, engine="engine", config="beam=1", content="text", columns=["text", "lang"], retries=2)
-    return out.drop("text")
+    return out.withColumn("digest", F.md5("text")).drop("text")
 
 
 def _letters() -> dict[str, int]:
@@ -373,13 +376,15 @@ def tx21_tokens(spark, sf_dir):
 
 @query(
     "tx19_phrase_pieces",
-    """SELECT p_partkey, len(regexp_replace(p_name, '\\s', '', 'g')) AS n_pieces FROM part""",
+    """WITH p AS (SELECT p_partkey, regexp_replace(lower(p_name), '\\s', '', 'g') AS s FROM part)
+SELECT p_partkey, len(s) AS n_pieces,
+  array_to_string(list_transform(string_split(s, ''), lambda c: strpos('abcdefghijklmnopqrstuvwxyz0123456789#-_.,', c) - 1), ' ') AS pieces FROM p""",
 )
 def tx19(spark, sf_dir):
     known = {c: i for i, c in enumerate("abcdefghijklmnopqrstuvwxyz0123456789#-_.,")}
     found = vocab.phrase_to_pieces(F.col("p_name"), known)
     rows = table(spark, sf_dir, "part").select("p_partkey", "p_name", found.alias("f"))
-    return rows.select("p_partkey", F.size("f.pieces").cast("bigint").alias("n_pieces"))
+    return rows.select("p_partkey", F.size("f.pieces").cast("bigint").alias("n_pieces"), F.array_join("f.pieces", " ").alias("pieces"))
 
 
 def _pcm(spark, sf_dir) -> DataFrame:
