@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import MEMO, gram_hashes, members, small_batches
+from voxlake.session import materialize
 
 #: Words of a seed.
 SEED_WORDS = 3
@@ -130,7 +131,8 @@ def contaminated(
     docs = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
     items = items.filter("item_id is not null and text is not null").select("item_id", "text")
     grams = item_grams(items, n)
-    found = hits(docs, bit_table(grams), n).join(grams.select("gram").distinct(), "gram")
+    # Few rows pass; they are written once, or each of their uses below would read the documents again.
+    found = materialize(hits(docs, bit_table(grams), n).join(grams.select("gram").distinct(), "gram"), "hits")
     spread = found.groupBy("gram", "doc_id").agg(F.collect_list("p").alias("ps"))
     counts = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     # N-grams that no document has are no seeds; ranking them too would push out what an edited copy has left.
@@ -142,7 +144,7 @@ def contaminated(
     bands = joined.groupBy("doc_id", "item_id", F.floor((F.col("p") - F.col("q")) / BAND).cast("int").alias("band")).agg(
         F.count(F.lit(1)).alias("n_seeds")
     )
-    asked = bands.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "band", "n_seeds")).alias("asked"))
+    asked = materialize(bands.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "band", "n_seeds")).alias("asked")), "asked")
     lengths = items.select("item_id", F.size(F.split("text", r"\s+")).alias("reach"))
     longest = lengths.agg(F.max("reach")).first()[0] or 0
     texts = members(docs, F.col("doc_id"), asked, F.col("doc_id")).join(asked, "doc_id")
