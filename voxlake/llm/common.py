@@ -12,7 +12,7 @@ BATCH_ROWS = 256
 #: Bits of a membership table. Its size is fixed, so it may be broadcast whatever the input is.
 MEMBER_BITS = 1 << 22
 #: Entries of a worker's memo of words.
-MEMO = 300_000
+MEMO = 500_000
 
 MIX1 = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)

@@ -176,9 +176,10 @@ def prefixes(docs: DataFrame, counters, n: int, num: int, den: int) -> DataFrame
 def check_pairs(docs: DataFrame, pairs: DataFrame, counters, n: int, num: int, den: int) -> DataFrame:
     """Those of the pairs ``a, b`` that link. Partners of an ``a`` are checked in blocks, one trie a block."""
     small_batches(docs.sparkSession)
+    pairs = materialize(pairs, "pairs")
     many = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / TRIE_SETS).cast("int").alias("blocks"))
     blocks = pairs.join(many, "a").select("a", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block"), F.col("b").alias("doc"))
-    wanted = blocks.unionByName(blocks.select("a", "block", F.col("a").alias("doc")).distinct())
+    wanted = materialize(blocks.unionByName(blocks.select("a", "block", F.col("a").alias("doc")).distinct()), "wanted")
     texts = members(_texts(docs).filter("doc_id is not null"), F.col("doc_id"), wanted, F.col("doc"))
     rows = texts.join(wanted, texts.doc_id == wanted.doc).select("a", "block", "doc", "text")
 
@@ -219,15 +220,16 @@ def components(links: DataFrame) -> DataFrame:
     """
     edges = materialize(links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(edges.groupBy("a").agg(F.least("a", F.min("b")).alias("label")), "labels")
+    total = None
     while True:
-        over = edges.join(labels.select(F.col("a").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        near = labels.join(over, "a").select("a", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = labels.select(F.col("a").alias("label"), F.col("label").alias("next"))
-        jumped = near.join(step, "label").select("a", "old", F.least("label", "next").alias("label"))
-        labels = materialize(jumped, "labels")
-        if labels.filter("label < old").isEmpty():
+        state = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if state == total:  # labels only ever fall
             return labels.select(F.col("a").alias("doc"), F.col("label").alias("component"))
-        labels = labels.select("a", "label")
+        total = state
+        of = labels.select(F.col("a").alias("b"), F.col("label").alias("near"))
+        over = edges.join(of, "b").select("a", F.col("near").alias("label"))
+        jumped = labels.join(of, F.col("label") == F.col("b")).select("a", F.col("near").alias("label"))
+        labels = materialize(over.unionByName(jumped).groupBy("a").agg(F.min("label").alias("label")), "labels")
 
 
 def classes(docs: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
@@ -257,7 +259,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     def least(n_: Column, m: Column) -> Column:
         return F.ceil((n_ + m) * num / F.lit(num + den)).cast("int")
 
-    own = prefixes(docs, counters, n, num, den).join(same.select("doc").distinct(), "doc")
+    own = materialize(prefixes(docs, counters, n, num, den), "prefixes").join(same.select("doc"), "doc")
     tokens = own.select("doc", "size", F.posexplode("tokens").alias("pos", "token"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
     by_doc = tokens.join(common, "token").groupBy("doc", "size").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))
@@ -266,9 +268,15 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
         by_doc.select("doc", "size", F.size("t").alias("k"), F.posexplode("t.token").alias("s", "token")), "prefixes"
     )
 
-    leaders = shared.groupBy("token").agg(F.min(F.struct(-F.col("k"), "doc")).alias("first"))
-    led = shared.join(leaders.select("token", F.col("first.doc").alias("lead")), "token").filter("doc != lead")
-    best = led.groupBy("doc", "lead").agg(F.count(F.lit(1)).alias("c")).groupBy("doc").agg(F.max(F.struct("c", -F.col("lead"))).alias("m"))
+    leaders = shared.groupBy("token").agg(F.min(F.struct(-F.col("k"), "doc", "size")).alias("m"))
+    led = shared.join(leaders.select("token", F.col("m.doc").alias("lead"), F.col("m.size").alias("other")), "token")
+    likely = (
+        led.filter((F.col("doc") != F.col("lead")) & (F.least("size", "other") * den >= F.greatest("size", "other") * num))
+        .groupBy("doc", "size", "lead", "other")
+        .agg(F.count(F.lit(1)).alias("c"))
+        .filter(F.col("c") + F.greatest(prefix_rest(F.col("size")), prefix_rest(F.col("other"))) >= least(F.col("size"), F.col("other")))
+    )
+    best = likely.groupBy("doc").agg(F.max(F.struct("c", -F.col("lead"))).alias("m"))
     first = best.select((-F.col("m.col2")).alias("a"), F.col("doc").alias("b"))
     links = materialize(check_pairs(docs, first, counters, n, num, den), "links")
 
@@ -277,7 +285,7 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     label = label.join(above, "up", "left").select(F.col("b").alias("doc"), F.coalesce("top", "up").alias("label"))
     placed = shared.join(label, "doc", "left").withColumn("label", F.coalesce("label", "doc"))
     mixed = placed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("token")
-    open_ = placed.join(mixed, "token").withColumn("rest", prefix_rest(F.col("size")))
+    open_ = materialize(placed.join(mixed, "token").withColumn("rest", prefix_rest(F.col("size"))), "open")
     x, y = open_.alias("x"), open_.alias("y")
     c = {k: (F.col(f"x.{k}"), F.col(f"y.{k}")) for k in ("doc", "size", "k", "s", "label", "rest")}
     in_prefix = F.least(*c["s"]) + 1 + F.least(c["k"][0] - c["s"][0] - 1, c["k"][1] - c["s"][1] - 1)
