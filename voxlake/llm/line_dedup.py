@@ -9,10 +9,11 @@ keep: 64 lines to a word, and only words with a line to drop are stored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import bit, has_bit
+from voxlake.session import materialize
 
 #: ASCII white space, stripped at both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -47,11 +48,15 @@ def drop_words(rows: DataFrame, least_docs: int, keep_first: bool) -> DataFrame:
     marks = rows.groupBy("h1", "h2", "doc_id", F.shiftright("pos", 6).alias("word")).agg(
         F.bit_or(bit(F.col("pos"))).alias("bits"), F.min("pos").alias("pos")
     )
-    opens = marks.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("pos"))
-    seen = opens.groupBy("h1", "h2").agg(
+    # The row that opens a (hash, document) run has its first position. The partitioning still holds, nothing moves. What
+    # comes out is written, so that the frequent lines join it as a table of their own, which adaptive execution broadcasts
+    # if it is small, or else splits where a line is hot.
+    first = F.row_number().over(Window.partitionBy("h1", "h2", "doc_id").orderBy("word")) == 1
+    marks = materialize(marks.withColumn("opens", first), "lines")
+    seen = marks.filter("opens").groupBy("h1", "h2").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")
     )
-    frequent = seen.filter(F.col("n") >= least_docs)
+    frequent = materialize(seen.filter(F.col("n") >= least_docs), "frequent")
     dropped = marks.select("h1", "h2", "doc_id", "word", "bits").join(frequent, ["h1", "h2"])
     if keep_first:
         stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.shiftright("first.pos", 6) == F.col("word"))
