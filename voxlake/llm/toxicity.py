@@ -28,6 +28,8 @@ SAMPLE_ROWS = 20_000
 MODEL_FEATURES = 20_000
 #: Documents a feature must be in, and the least share of toxic ones among them.
 SUPPORT, SHARE, STEM_SHARE = 8, 0.8, 0.93
+#: What makes a feature strong: its share of toxic documents, and the part of all toxic documents it is in.
+STRONG_SHARE, STRONG_PART = 0.95, 0.015
 #: Score of a text without any marked word.
 BASE = 0.02
 
@@ -177,7 +179,8 @@ def fit_words(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample_rows
     """Weight -log(1 - p) of each feature that marks toxic texts.
 
     ``labels``: ``doc_id, toxic``. About ``sample_rows`` labelled rows are used, chosen by a hash of the id; copies
-    count once.
+    count once. The fit has two rounds: strong features first, then what the toxic texts without a strong one have in
+    common. Whatever else a text with a strong feature says needs no blame.
     """
     small_batches(docs.sparkSession)
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -193,7 +196,12 @@ def fit_words(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample_rows
         single = single.dropDuplicates([k])
     rows = rows.join(F.broadcast(single.select("doc_id").distinct()), "doc_id")
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def counts(strong: frozenset) -> DataFrame:
+        tallied = rows.mapInPandas(lambda batches: tally(batches, strong), "feature string, pos long, neg long")
+        total = tallied.groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+        return total.withColumn("p", F.col("pos") / (F.col("pos") + F.col("neg") + 1.0))
+
+    def tally(batches: Iterator[pd.DataFrame], strong: frozenset) -> Iterator[pd.DataFrame]:
         restorer, memo, seen = Restorer(model), {}, {}
         for pdf in batches:
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
@@ -202,6 +210,8 @@ def fit_words(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample_rows
                     if w not in memo:
                         memo[w] = features(restorer.word(w.decode("utf-8", "replace")))
                     found.update(memo[w])
+                if toxic > 0 and not strong.isdisjoint(found):
+                    continue
                 for f in found:
                     seen.setdefault(f, [0, 0])[0 if toxic > 0 else 1] += 1
             if len(seen) > MEMO:
@@ -209,13 +219,16 @@ def fit_words(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample_rows
                 memo, seen = {}, {}
         yield pd.DataFrame([(f, p, n) for f, (p, n) in seen.items()], columns=["feature", "pos", "neg"])
 
-    counts = rows.mapInPandas(tally, "feature string, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    p = F.col("pos") / (F.col("pos") + F.col("neg") + 1.0)
+    def top(found: DataFrame) -> dict[str, float]:
+        kept = found.orderBy(F.desc("pos"), "feature").limit(MODEL_FEATURES).collect()
+        return {r.feature: -math.log(1 - r.p) for r in kept}
+
+    least_pos = max(SUPPORT, STRONG_PART * sample.filter("toxic > 0").count())
+    strong = top(counts(frozenset()).filter((F.col("pos") >= least_pos) & (F.col("p") >= STRONG_SHARE)))
     # First letters say little about any one of their words, so they have to be surer.
     least = F.when(F.col("feature").endswith("*"), STEM_SHARE).otherwise(SHARE)
-    top = counts.filter((F.col("pos") >= SUPPORT) & (p >= least)).select("feature", "pos", p.alias("p"))
-    kept = top.orderBy(F.desc("pos"), "feature").limit(MODEL_FEATURES).collect()
-    return {r.feature: -math.log(1 - r.p) for r in kept}
+    weak = top(counts(frozenset(strong)).filter((F.col("pos") >= SUPPORT) & (F.col("p") >= least)))
+    return weak | strong
 
 
 def score_documents(docs: DataFrame, model: np.ndarray, weights: dict[str, float]) -> DataFrame:
