@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from voxlake.functions.predicates import is_address
 from voxlake.functions.table_functions import register_sql
 from voxlake.operators import captions, telemetry, windows, words
 from voxlake.operators.scans import whole_text
@@ -51,3 +52,10 @@ def test_window_functions_in_sql(spark):
     spark.createDataFrame([(1, 2_000_000), (2, 480_000), (3, 1), (4, 0), (5, None)], "id int, total bigint").createOrReplaceTempView("t")
     got = spark.sql("SELECT id, chunk_id, start_sample, end_sample FROM t, LATERAL audio_windows(total)").collect()
     assert {tuple(r) for r in got} == want
+
+
+def test_addresses(spark):
+    good = ["1.2.3.4", "::", "::1", "1::", "fe80::1:2", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7::", "::ffff:10.0.0.1", "1:2:3:4:5:6:1.2.3.4"]
+    bad = ["", ":", ":::", "1::2::3", "1:2:3", "1:2:3:4:5:6:7:8:9", "::12345", "1.2.3", "256.1.1.1", "::1.2.3.300", "g::1", "1:2:3:4:5:6:7:8::", None]
+    rows = spark.createDataFrame([(a,) for a in [*good, *bad]], "a string").select("a", is_address(F.col("a")).alias("ok")).collect()
+    assert [r["a"] for r in rows if r["ok"]] == good

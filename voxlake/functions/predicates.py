@@ -40,12 +40,18 @@ def outside_context(start: Column, window_start: Column, context_s: Column | flo
 
 _OCTET = r"(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _IPV4 = rf"^{_OCTET}(\.{_OCTET}){{3}}$"
-_IPV6 = r"^(?=.*:)[0-9A-Fa-f:]*(:[0-9]{1,3}(\.[0-9]{1,3}){3})?$"
+_GROUP = "[0-9A-Fa-f]{1,4}"
+_IPV6_FULL = rf"^{_GROUP}(:{_GROUP}){{7}}$"
+_IPV6_SHORT = rf"^({_GROUP}(:{_GROUP})*)?::({_GROUP}(:{_GROUP})*)?$"
 
 
 def is_address(value: Column) -> Column:
     """IPv4 or IPv6 text."""
-    return F.coalesce(value.rlike(_IPV4) | value.rlike(_IPV6), F.lit(False))
+    # An IPv4 tail stands for two groups; a double colon for at least one.
+    grouped = F.regexp_replace(value, rf":{_OCTET}(\.{_OCTET}){{3}}$", ":0:0")
+    groups = F.size(F.filter(F.split(grouped, ":"), lambda g: g != ""))
+    v6 = grouped.rlike(_IPV6_FULL) | (grouped.rlike(_IPV6_SHORT) & (groups <= 7))
+    return F.coalesce(value.rlike(_IPV4) | v6, F.lit(False))
 
 
 def is_trusted_peer(peer: Column) -> Column:

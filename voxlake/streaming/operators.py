@@ -15,9 +15,10 @@ from voxlake.session import STATE_STORE, scratch_path
 from voxlake.streaming.ordered import stream_fold
 
 
-def read_table_stream(spark: SparkSession, folder: str, file: str, schema: T.StructType) -> DataFrame:
-    """Parquet files of ``folder`` that match ``file`` as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
+def read_table_stream(spark: SparkSession, folder: str, file: str, schema: T.StructType, batch_files: int = 256) -> DataFrame:
+    """Parquet files of ``folder`` that match ``file`` as a stream, so many files a batch."""
+    source = spark.readStream.schema(schema).option("pathGlobFilter", file).option("maxFilesPerTrigger", batch_files)
+    return source.parquet(folder)
 
 
 def run_available(stream: DataFrame, label: str) -> DataFrame:
