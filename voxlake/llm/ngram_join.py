@@ -32,10 +32,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import Words, gram_hashes, members, small_batches
+from voxlake.llm.ngram_lm import pack, unpack
 from voxlake.session import materialize
 
 #: Counters of the table behind the global order, in chunks that are added up apart. 4 MB, whatever the input is.
 COUNTERS, CHUNK = 1 << 20, 1 << 14
+#: Bits of the table of repeated prefix n-grams (at most 262144 rows), and n-grams a task holds before it sends them.
+TOKEN_BITS, HELD_TOKENS = 1 << 24, 1 << 22
 #: Candidates of one trie.
 TRIE_SETS = 128
 
@@ -173,6 +176,45 @@ def prefixes(docs: DataFrame, counters, n: int, num: int, den: int) -> DataFrame
     return _texts(docs).filter("doc_id is not null").mapInPandas(run, "doc long, size int, tokens array<long>")
 
 
+def repeated_tokens(own: DataFrame) -> DataFrame:
+    """``token``: those that more than one row of ``own`` has in its ``tokens``.
+
+    A task sends each of its distinct tokens once, sorted and packed by range of hash, with the places of those it saw more
+    than once.
+    """
+    parts = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def slices(held):
+            known, counts = np.unique(np.concatenate(held), return_counts=True)
+            ends = np.searchsorted(known, np.array([(k << 64) // parts for k in range(1, parts)], np.uint64)).tolist()
+            rows = []
+            for k, (a, b) in enumerate(zip([0, *ends], [*ends, len(known)])):
+                if a < b:
+                    rows.append((k, pack(known[a:b]), np.flatnonzero(counts[a:b] > 1).astype("<u4").tobytes()))
+            return pd.DataFrame(rows, columns=["slice", "grams", "again"])
+
+        held, size = [], 0
+        for pdf in batches:
+            held += [np.asarray(x, np.int64).view(np.uint64) for x in pdf["tokens"]]
+            size += sum(map(len, pdf["tokens"]))
+            if size >= HELD_TOKENS:
+                yield slices(held)
+                held, size = [], 0
+        if size:
+            yield slices(held)
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        each = [unpack(x) for x in pdf["grams"]]
+        twice = [g[np.frombuffer(x, "<u4")] for g, x in zip(each, pdf["again"])]  # counts as two
+        known, counts = np.unique(np.concatenate(each + twice), return_counts=True)
+        return pd.DataFrame({"token": known[counts > 1].view(np.int64)})
+
+    small_batches(own.sparkSession)
+    sent = own.select("tokens").mapInPandas(send, "slice int, grams binary, again binary")
+    return sent.groupBy("slice").applyInPandas(merge, "token long")
+
+
 def check_pairs(docs: DataFrame, pairs: DataFrame, counters, n: int, num: int, den: int) -> DataFrame:
     """Those of the pairs ``a, b`` that link. Partners of an ``a`` are checked in blocks, one trie a block."""
     small_batches(docs.sparkSession)
@@ -259,9 +301,10 @@ def jaccard_components(docs: DataFrame, n: int = 3, num: int = 90, den: int = 10
     def least(n_: Column, m: Column) -> Column:
         return F.ceil((n_ + m) * num / F.lit(num + den)).cast("int")
 
-    own = materialize(prefixes(docs, counters, n, num, den), "prefixes").join(same.select("doc"), "doc")
+    own = materialize(prefixes(docs, counters, n, num, den).join(same.select("doc"), "doc"), "prefixes")
+    common = materialize(repeated_tokens(own), "common")
     tokens = own.select("doc", "size", F.posexplode("tokens").alias("pos", "token"))
-    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token")
+    tokens = members(tokens, F.col("token"), common, F.col("token"), TOKEN_BITS)  # most n-grams stop here
     by_doc = tokens.join(common, "token").groupBy("doc", "size").agg(F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("t"))
     # k: how many of the prefix any other class has; s: the place among those.
     shared = materialize(
