@@ -81,7 +81,7 @@ def test_islands_equal_sequential(spark):
 def test_gather_text_in_parts(spark):
     df = spark.createDataFrame([("a", i, f"w{i}") for i in range(10)], "k string, i bigint, t string").repartition(4)
     parts = gather_text(df, ["k"], ["i"], F.col("t"), " ", index="i", part_rows=4).orderBy("part").collect()
-    assert " ".join(p["text"] for p in parts) == " ".join(f"w{i}" for i in range(10)) and len(parts) == 3
+    assert "".join(p["text"] for p in parts) == " ".join(f"w{i}" for i in range(10)) and len(parts) == 3
 
 
 def brute_spans(rows, most):
