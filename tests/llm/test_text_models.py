@@ -92,6 +92,15 @@ def test_contaminated(spark, docs, odd_docs):
     assert decontamination.contaminated(docs([]), bench).collect() == decontamination.contaminated(docs(pairs), bench.limit(0)).collect() == []
 
 
+def test_edited_copy_next_to_verbatim_copies(spark, docs):
+    item = [f"w{i}" for i in range(40)]
+    edited = ["edited" if i % 4 == 3 else w for i, w in enumerate(item)]
+    texts = [*[item] * 5, edited]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = decontamination.contaminated(docs([(i, f"x{i} y{i} " + " ".join(w)) for i, w in enumerate(texts)]), bench).collect()
+    assert {r.doc_id: r.score for r in got} == {**dict.fromkeys(range(5), 1.0), 5: pytest.approx(51 / 80)}
+
+
 def test_languages(docs, odd_docs):
     said = {"a": "der die und nicht ist ein von zu das mit", "b": "the of and to in that is was for it"}
     rng = random.Random(4)

@@ -1,8 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Texts become words without case and punctuation. The n-grams of the test items are marked in a bit table of fixed size; one
-pass over the documents keeps the n-grams that may be an item's, and a join finds those that are. Of each item the rarer
-n-grams (by documents of the corpus) are its seeds; what much of the corpus says is no evidence. A seed joins a passage, the
+pass over the documents keeps the n-grams that may be an item's, and a join finds those that are. Each of them is a seed,
+common ones too: what an edited copy has left may be just what the verbatim copies made common. A seed joins a passage, the
 stretch of a document around the seed's diagonal, to its item. The local alignment of both says how much of the item is
 there, word changes, insertions and deletions included.
 """
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import MEMO, gram_hashes, members, small_batches
@@ -22,8 +22,6 @@ from voxlake.session import materialize
 
 #: Words of a seed.
 SEED_WORDS = 3
-#: The share of an item's n-grams in the corpus, rarest first, that are seeds. Those as rare as the last one count too.
-RARE_SHARE = 0.75
 #: Diagonals of one passage. Around the seeds' diagonals a passage reaches as far on both sides.
 BAND = 32
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -71,7 +69,8 @@ def local_alignment(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 def item_grams(items: DataFrame, n: int) -> DataFrame:
-    """``gram, item_id, q``: every n-gram of the items; items of fewer words have the one of all their words."""
+    """``gram, item_id, q, size``: every n-gram of the items and the words of its item; items of fewer words than n have the
+    one of all their words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = PlainWords()
@@ -79,9 +78,10 @@ def item_grams(items: DataFrame, n: int) -> DataFrame:
             for item, text in zip(pdf["item_id"], pdf["text"]):
                 w = words.of(text)
                 grams = gram_hashes(w, min(n, len(w))) if len(w) else np.empty(0, np.uint64)
-                yield pd.DataFrame({"gram": grams.view(np.int64), "item_id": np.full(len(grams), item, np.int64), "q": np.arange(len(grams))})
+                same = {"item_id": np.full(len(grams), item, np.int64), "size": np.full(len(grams), len(w))}
+                yield pd.DataFrame({"gram": grams.view(np.int64), "q": np.arange(len(grams)), **same})
 
-    return items.select("item_id", "text").mapInPandas(run, "gram long, item_id long, q int")
+    return items.select("item_id", "text").mapInPandas(run, "gram long, q int, item_id long, size int")
 
 
 def bit_table(grams: DataFrame) -> np.ndarray:
@@ -117,9 +117,7 @@ def hits(docs: DataFrame, table: np.ndarray, n: int) -> DataFrame:
     return docs.mapInPandas(run, "doc_id long, p int, gram long")
 
 
-def contaminated(
-    docs: DataFrame, items: DataFrame, n: int = SEED_WORDS, rare_share: float = RARE_SHARE, least_score: float = LEAST_SCORE
-) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, n: int = SEED_WORDS, least_score: float = LEAST_SCORE) -> DataFrame:
     """``doc_id, item_id, score, n_seeds, start_word, end_word``: documents that say a test item, wholly or edited.
 
     ``score`` is the alignment score as a share of the item's own; the best passage of a document and item is reported, by
@@ -130,23 +128,15 @@ def contaminated(
     small_batches(docs.sparkSession)
     docs = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
     items = items.filter("item_id is not null and text is not null").select("item_id", "text")
-    grams = item_grams(items, n)
+    grams = materialize(item_grams(items, n), "grams")
     # Few rows pass; they are written once, or each of their uses below would read the documents again.
     found = materialize(hits(docs, bit_table(grams), n).join(grams.select("gram").distinct(), "gram"), "hits")
-    spread = found.groupBy("gram", "doc_id").agg(F.collect_list("p").alias("ps"))
-    counts = spread.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    # N-grams that no document has are no seeds; ranking them too would push out what an edited copy has left.
-    known = grams.join(counts, "gram")
-    by_item = Window.partitionBy("item_id")
-    rank = F.rank().over(by_item.orderBy("df")) / F.count(F.lit(1)).over(by_item)
-    seeds = known.withColumn("r", rank).filter(F.col("r") <= rare_share).select("gram", "item_id", "q")
-    joined = spread.join(seeds, "gram").select("doc_id", "item_id", "q", F.explode("ps").alias("p"))
+    joined = found.join(grams, "gram").select("doc_id", "item_id", "q", "size", "p")
     bands = joined.groupBy("doc_id", "item_id", F.floor((F.col("p") - F.col("q")) / BAND).cast("int").alias("band")).agg(
-        F.count(F.lit(1)).alias("n_seeds")
+        F.count(F.lit(1)).alias("n_seeds"), F.max("size").alias("size")
     )
-    asked = materialize(bands.groupBy("doc_id").agg(F.collect_list(F.struct("item_id", "band", "n_seeds")).alias("asked")), "asked")
-    lengths = items.select("item_id", F.size(F.split("text", r"\s+")).alias("reach"))
-    longest = lengths.agg(F.max("reach")).first()[0] or 0
+    wanted = F.collect_list(F.struct("item_id", "band", "n_seeds", "size"))
+    asked = materialize(bands.groupBy("doc_id").agg(wanted.alias("asked")), "asked")
     texts = members(docs, F.col("doc_id"), asked, F.col("doc_id")).join(asked, "doc_id")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,7 +147,7 @@ def contaminated(
                 w = words.of(text)
                 for x in wanted:
                     start = max(0, (x["band"] - 1) * BAND)
-                    passage = w[start : (x["band"] + 2) * BAND + longest]
+                    passage = w[start : (x["band"] + 2) * BAND + x["size"]]
                     rows.append((doc, x["item_id"], x["n_seeds"], start, passage.view(np.int64)))
             yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_seeds", "start", "passage"])
 
@@ -166,10 +156,15 @@ def contaminated(
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = PlainWords()
         for pdf in batches:
-            rows = []
+            rows, said = [], {}
             for doc, item, seeds_, start, passage, text in pdf.itertuples(index=False):
-                w, p = words.of(text), np.asarray(passage, np.int64).view(np.uint64)
+                if text not in said:
+                    said[text] = words.of(text)
+                w, p = said[text], np.asarray(passage, np.int64).view(np.uint64)
                 p = p[: 3 * BAND + len(w)]
+                # No alignment scores more than all words of the item that the passage has.
+                if np.isin(w, p).sum() < least_score * len(w):
+                    continue
                 score, end = local_alignment(w, p)
                 if score >= least_score * MATCH * len(w):
                     _, back = local_alignment(w[::-1], p[:end][::-1])
