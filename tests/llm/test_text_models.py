@@ -101,6 +101,17 @@ def test_edited_copy_next_to_verbatim_copies(spark, docs):
     assert {r.doc_id: r.score for r in got} == {**dict.fromkeys(range(5), 1.0), 5: pytest.approx(51 / 80)}
 
 
+def test_short_items_are_found(spark, docs):
+    bench = spark.createDataFrame([(k, " ".join(f"i{k}w{j}" for j in range(k))) for k in range(1, 7)], "item_id long, text string")
+    said = {r.item_id: f"before it {r.text} after it" for r in bench.collect()}
+    said[7] = "i6w0 i6w1 i6w2 other i6w4 i6w5"
+    said[8] = "i1w0"
+    got = decontamination.contaminated(docs(said.items()), bench).collect()
+    want = {(k, k): 1.0 for k in range(1, 7)} | {(7, 6): 0.75, (8, 1): 1.0}
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want
+    assert all((r.start_word, r.end_word) == (2, 2 + r.item_id) for r in got if r.doc_id < 7)
+
+
 def test_languages(docs, odd_docs):
     said = {"a": "der die und nicht ist ein von zu das mit", "b": "the of and to in that is was for it"}
     rng = random.Random(4)

@@ -69,8 +69,8 @@ def local_alignment(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
 
 
 def item_grams(items: DataFrame, n: int) -> DataFrame:
-    """``gram, item_id, q, size``: every n-gram of the items and the words of its item; items of fewer words than n have the
-    one of all their words."""
+    """``gram, item_id, q, size, k``: every n-gram of the items, with the words of its item and of itself; items of fewer
+    words than n have the one of all their words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = PlainWords()
@@ -78,10 +78,10 @@ def item_grams(items: DataFrame, n: int) -> DataFrame:
             for item, text in zip(pdf["item_id"], pdf["text"]):
                 w = words.of(text)
                 grams = gram_hashes(w, min(n, len(w))) if len(w) else np.empty(0, np.uint64)
-                same = {"item_id": np.full(len(grams), item, np.int64), "size": np.full(len(grams), len(w))}
+                same = {"item_id": np.full(len(grams), item, np.int64), "size": np.full(len(grams), len(w)), "k": np.full(len(grams), min(n, len(w)))}
                 yield pd.DataFrame({"gram": grams.view(np.int64), "q": np.arange(len(grams)), **same})
 
-    return items.select("item_id", "text").mapInPandas(run, "gram long, q int, item_id long, size int")
+    return items.select("item_id", "text").mapInPandas(run, "gram long, q int, item_id long, size int, k int")
 
 
 def bit_table(grams: DataFrame) -> np.ndarray:
@@ -94,8 +94,8 @@ def bit_table(grams: DataFrame) -> np.ndarray:
     return table.view(np.uint8)
 
 
-def hits(docs: DataFrame, table: np.ndarray, n: int) -> DataFrame:
-    """``doc_id, p, gram``: the n-grams of the documents whose slot is marked."""
+def hits(docs: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFrame:
+    """``doc_id, p, gram``: the n-grams of the documents, of all lengths that items have, whose slot is marked."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(table)
 
@@ -105,12 +105,13 @@ def hits(docs: DataFrame, table: np.ndarray, n: int) -> DataFrame:
             ids, places, grams = [], [], []
             for doc, text in zip(pdf["doc_id"], pdf["text"]):
                 w = words.of(text)
-                g = gram_hashes(w, min(n, len(w))) if len(w) else w
-                slot = g & np.uint64(TABLE_BITS - 1)
-                at = np.flatnonzero(marks[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-                ids.append(np.full(len(at), doc, np.int64))
-                places.append(at)
-                grams.append(g[at].view(np.int64))
+                for k in sizes:
+                    g = gram_hashes(w, k)
+                    slot = g & np.uint64(TABLE_BITS - 1)
+                    at = np.flatnonzero(marks[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+                    ids.append(np.full(len(at), doc, np.int64))
+                    places.append(at)
+                    grams.append(g[at].view(np.int64))
             if ids:
                 yield pd.DataFrame({"doc_id": np.concatenate(ids), "p": np.concatenate(places), "gram": np.concatenate(grams)})
 
@@ -121,16 +122,17 @@ def contaminated(docs: DataFrame, items: DataFrame, n: int = SEED_WORDS, least_s
     """``doc_id, item_id, score, n_seeds, start_word, end_word``: documents that say a test item, wholly or edited.
 
     ``score`` is the alignment score as a share of the item's own; the best passage of a document and item is reported, by
-    its words in the document (words without letters or digits are not counted). Null or empty texts say nothing and are
-    never said. Rows that share an id are one document. Documents and items with a null id are left out. Other columns are
+    its words in the document (words without letters or digits are not counted). An item of fewer than ``n`` words is found
+    where all its words stand together. Null or empty texts say nothing and are never said. Rows that share an id are one document. Documents and items with a null id are left out. Other columns are
     ignored; empty tables give no rows.
     """
     small_batches(docs.sparkSession)
     docs = docs.filter("doc_id is not null and text is not null").select("doc_id", "text")
     items = items.filter("item_id is not null and text is not null").select("item_id", "text")
     grams = materialize(item_grams(items, n), "grams")
+    sizes = sorted(r.k for r in grams.select("k").distinct().collect())  # n, and less for items of fewer words
     # Few rows pass; they are written once, or each of their uses below would read the documents again.
-    found = materialize(hits(docs, bit_table(grams), n).join(grams.select("gram").distinct(), "gram"), "hits")
+    found = materialize(hits(docs, bit_table(grams), sizes).join(grams.select("gram").distinct(), "gram"), "hits")
     joined = found.join(grams, "gram").select("doc_id", "item_id", "q", "size", "p")
     bands = joined.groupBy("doc_id", "item_id", F.floor((F.col("p") - F.col("q")) / BAND).cast("int").alias("band")).agg(
         F.count(F.lit(1)).alias("n_seeds"), F.max("size").alias("size")
