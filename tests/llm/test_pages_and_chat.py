@@ -18,6 +18,17 @@ def test_main_text():
     assert site_style.main_text(site_style.parse("</div></p>"), set()) == ""
 
 
+def test_images_and_formulas_do_not_swallow_the_page():
+    for icon in (
+        '<svg class="icon"/>', "<math/>", "<svg><title/><path d='M0'/></svg>", "<svg><title>Icon</title><path d='M0'>", "<svg><desc>no",
+        "<svg><style>a > b {}</style><g/></svg>", "<object data='x'/>",
+    ):
+        page = f"<body><div>{icon}</div><article><p>Before</p>{icon}<p>the <b>story</b></p></article><p>out</p></body>"
+        assert site_style.main_text(site_style.parse(page), set()) == "Before the story"
+    page = "<article>so <math><mi>x</mi><annotation>TeX</annotation></math> is <object data='f'><p>a film</p></object>it</article>"
+    assert site_style.main_text(site_style.parse(page), set()) == "so x is a film it"
+
+
 def test_site_tree_drops_what_a_site_repeats(spark):
     rows = [
         (i, f"http://www.s.org/{i}", f"<body><div class=intro>Welcome to the site</div><div class=tale><p>story {i} {i * 7}</p></div></body>")
