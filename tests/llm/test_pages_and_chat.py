@@ -29,6 +29,17 @@ def test_images_and_formulas_do_not_swallow_the_page():
     assert site_style.main_text(site_style.parse(page), set()) == "so x is a film it"
 
 
+def test_names_do_not_drop_the_article():
+    story = "<article><p>story</p></article>"
+    for page in (
+        f"<body class='has-sidebar search'>{story}</body>", f"<div class='content no-sidebar'>{story}</div>", f"<div class='widget'>{story}</div>",
+        "<article id='notice-12'>story</article><div class=sidebar>x</div>", "<div class='layout-with-banner search-enabled'><p>story</p></div>",
+        "<div class='banner'><main>story</main></div><div class='related'><article>x</article></div>", "<div class='content widget'><p>story</p></div>",
+        f"{story}<div class='comments'><article class='comment'>x</article></div>", "<article><div class='notice'>story</div></article>",
+    ):
+        assert site_style.main_text(site_style.parse(page), set()) == "story", page
+
+
 def test_site_tree_drops_what_a_site_repeats(spark):
     rows = [
         (i, f"http://www.s.org/{i}", f"<body><div class=intro>Welcome to the site</div><div class=tale><p>story {i} {i * 7}</p></div></body>")
