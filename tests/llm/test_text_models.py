@@ -129,6 +129,14 @@ def test_languages(docs, odd_docs):
     assert language_id.predict_languages(docs([(1, "abc")]), {}).collect()[0].lang_pred == "und"
 
 
+def test_copies_do_not_fill_a_dictionary(spark):
+    texts = [f"text number {i}" for i in range(300)]
+    for copied in texts[:3]:
+        frame = spark.createDataFrame([("a", t) for t in [*texts, *[copied] * 3000]], "lang string, text string")
+        found = language_id.fit_dictionaries(frame, snippets=50)["a"].decode().split("\n")
+        assert len(found) == len(set(found)) == 50
+
+
 def test_hidden_words_are_restored(docs):
     texts = [(i, "such a worthless idiot and a moron they said that stupid things happen") for i in range(50)]
     restorer = toxicity.Restorer(toxicity.language_model(toxicity.trigram_counts(docs(texts))))

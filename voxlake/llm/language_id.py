@@ -30,7 +30,7 @@ LETTER = re.compile(r"[^\W\d_]")
 
 
 def fit_dictionaries(labelled: DataFrame, snippets: int = SNIPPETS, chars: int = SNIPPET_CHARS) -> dict[str, bytes]:
-    """A dictionary for each language of ``lang, text``, from the snippets that come first by a hash of their text.
+    """A dictionary for each language of ``lang, text``, from the distinct snippets that come first by a hash of their text.
 
     The sample is bounded by ``snippets * chars`` characters a language and is all that comes to the driver. Rows without a
     language or without a letter are left out.
@@ -40,7 +40,9 @@ def fit_dictionaries(labelled: DataFrame, snippets: int = SNIPPETS, chars: int =
     parts = rows.select("lang", F.substring(F.col("text"), start, F.lit(chars)).alias("part"))
     ranked = parts.select("lang", "part", F.xxhash64("part").alias("h"))
     # Low hashes first. About twice the snippets pass the sieve, so that ranking stays small however many rows there are.
-    sieve = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    # Copies of a snippet are one: they are combined before the shuffle and count once.
+    ranked = ranked.distinct()
+    sieve = ranked.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     slots = 1 << 30
     few = ranked.join(sieve, "lang").filter(F.pmod("h", F.lit(slots)) * F.col("n") <= F.lit(2.0 * snippets * slots) + 100.0 * slots)
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(slots)), "part"))
