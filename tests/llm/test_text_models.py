@@ -145,6 +145,19 @@ def test_hidden_words_are_restored(docs):
     assert restorer.text("An  1d10t, i d i o t!") == "An  idiot, idiot!"
 
 
+def test_spaced_words_are_restored(docs):
+    said = "you are such a dumb idiot and a moron they said i scumbag that i think things happen to a person like i am"
+    restorer = toxicity.Restorer(toxicity.language_model(toxicity.trigram_counts(docs([(i, said) for i in range(50)]))))
+    for shown, meant in (
+        ("you are a m o r o n", "you are a moron"), ("so I m o r o n", "so i moron"), ("d u m b i d i o t", "dumb idiot"),
+        ("d u m b  i d i o t", "dumb idiot"), ("i d ! o t", "idiot"), ("$ c u m b a g", "scumbag"), ("m/o/r/o/n", "moron"),
+        ("m|o|r|o|n", "moron"), ("m, o, r, o, n", "moron"), ("m~o~r~o~n", "moron"), ("m.0.r.0.n", "moron"),
+        ("i d i o t ! now", "idiot ! now"), ("1/2/3 and 4, 5, 6", "1/2/3 and 4, 5, 6"),
+    ):
+        assert restorer.text(shown) == meant
+        assert {w.encode() for w in meant.split() if w in ("moron", "dumb", "idiot", "scumbag")} <= restorer.words(shown)
+
+
 def test_toxicity(spark, docs, odd_docs):
     rng = random.Random(6)
     plain = ["apple", "river", "stone", "cloud", "house", "green", "table", "light"]

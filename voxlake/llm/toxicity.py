@@ -2,7 +2,7 @@
 
 Writers hide words by look-alike characters, by spaces or dots between letters, and by repeating letters. A hidden word
 spells a lattice: every observed character is a choice of letters, a run of one letter may stand for one or two, separators
-stand for nothing. The Viterbi path through the lattice under a character trigram model is the restored word. The restored
+between letters stand for nothing or end a word. The Viterbi path through the lattice under a character trigram model is the restored word or words. The restored
 text is scored by words that mark toxic texts.
 
 The character model counts every text of the corpus. The word weights are fitted on a bounded sample of labelled rows.
@@ -40,7 +40,12 @@ LOOK_ALIKES = {
 }
 LETTERS = "abcdefghijklmnopqrstuvwxyzßäöüéèêëçñáíóúàâîïôûùœæãõåø"
 CLASSES, OTHER, TABLE_SIZE = 64, 63, 0x250
-SPACED = re.compile(r"(?<!\w)[^\W_](?:[ .\-_*·]{1,2}[^\W_]){2,}(?!\w)")
+#: What stands for a letter when letters are spaced out (signs that may be punctuation not at the ends), and what spaces.
+SIGN, EDGE, SPACE = r"(?:[^\W_]|[@$€£¢§!|+¡*])", r"(?:[^\W_]|[@$€£¢§])", r"[ .\-_*·/|,~]{1,2}"
+SPACED = re.compile(rf"(?<!\w){EDGE}(?:{SPACE}{SIGN})+{SPACE}{EDGE}(?!\w)")
+SPACED_SIGN = re.compile(rf"({SIGN})({SPACE}(?={SIGN})|\Z)")
+#: Log weight of a space inside a word that is wider than others between its letters.
+WIDE = -3.0
 REPEATED = re.compile(r"([^\W\d_])\1\1")
 INNER = re.compile(r"[^\W\d_]")
 #: ASCII punctuation that ends a word; look-alikes and word characters stay.
@@ -97,7 +102,7 @@ class Restorer:
 
     def __init__(self, model: np.ndarray):
         self.model = model.tolist()
-        self.code = {c: 1 + i for i, c in enumerate(LETTERS)}
+        self.code = {c: 1 + i for i, c in enumerate(LETTERS)} | {" ": 0}
 
     def decode(self, shown: str) -> str:
         """The best path through the lattice of ``shown`` (lower case)."""
@@ -108,17 +113,35 @@ class Restorer:
                 j += 1
             runs.append((shown[i], j - i))
             i = j
+        # A separator stands for nothing.
+        return self.best([self.options(c, n) for c, n in runs if c.isalpha() or c in LOOK_ALIKES])
+
+    def spaced(self, shown: str) -> list[str]:
+        """The words on the best path of spaced-out letters: each space is inside a word or ends one."""
+        parts = SPACED_SIGN.findall(shown.lower())
+        narrow = min(len(space) for _, space in parts[:-1])
+        steps = []
+        for c, space in parts:
+            if c.isalpha() or c in LOOK_ALIKES:
+                steps.append(self.options(c, 1))
+            if space:
+                steps.append([("", WIDE if len(space) > narrow else 0.0), (" ", 0.0)])
+        return self.best(steps).split()
+
+    @staticmethod
+    def options(c: str, n: int) -> list[tuple[str, float]]:
+        """What a run of ``n`` equal characters may stand for, with log weights."""
+        if c.isalpha():
+            return [(c * k, p) for k, p in {1: -0.3, 2: -1.0, n: -2.0 if n > 2 else -0.1}.items() if k <= n]
+        alike = LOOK_ALIKES[c]
+        return [(a * k, -math.log(len(alike)) - (0.3 if k == 1 else 1.0)) for a in alike for k in range(1, min(n, 2) + 1)]
+
+    def best(self, steps: list[list[tuple[str, float]]]) -> str:
+        """The best choice of letters, one option a step."""
         code, model = self.code, self.model
         # (class before last, last class) -> (log probability, path); a path is a linked list of letters.
         beam = {(0, 0): (0.0, None)}
-        for c, n in runs:
-            if c.isalpha():
-                options = [(c * k, p) for k, p in {1: -0.3, 2: -1.0, n: -2.0 if n > 2 else -0.1}.items() if k <= n]
-            elif c in LOOK_ALIKES:
-                alike = LOOK_ALIKES[c]
-                options = [(a * k, -math.log(len(alike)) - (0.3 if k == 1 else 1.0)) for a in alike for k in range(1, min(n, 2) + 1)]
-            else:
-                continue  # a separator stands for nothing
+        for options in steps:
             found: dict = {}
             for (a, b), (score, path) in beam.items():
                 for letters, p in options:
@@ -161,13 +184,21 @@ class Restorer:
             before, _, after = m[0].lower().partition(core)
             return before + self.decode(core) + after
 
-        return re.sub(r"\S+", restored, SPACED.sub(lambda m: self.decode(m[0].lower()), text))
+        def joined(m: re.Match) -> str:
+            words = self.spaced(m[0]) if INNER.search(m[0]) else []
+            return " ".join(words) if any(len(w) > 1 for w in words) else m[0]
+
+        return re.sub(r"\S+", restored, SPACED.sub(joined, text))
 
     def words(self, text: str) -> set[str]:
         """The distinct restored words of a text, and those its spaced-out letters spell."""
         raw = text.encode("utf-8", "replace").translate(BREAKS).lower().split()
         found = set(raw)
-        return found | {self.decode(m[0].lower()).encode() for m in SPACED.finditer(text)}
+        for m in SPACED.finditer(text):
+            if INNER.search(m[0]):
+                words = self.spaced(m[0])
+                found.update(w.encode() for w in (*words, "".join(words)))
+        return found
 
 
 def features(word: str) -> list[str]:
