@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +32,31 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
+@contextmanager
+def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
+    """Within, Arrow batches have at most ``rows`` rows; for Python steps that see whole texts and run inside the block."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def text_chunks(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
+    """A batch of texts in order, cut where ``size`` bytes are reached; a longer text is a chunk of its own."""
+    held, n = [], 0
+    for text in texts:
+        if held and n + len(text) > size:
+            yield held
+            held, n = [], 0
+        held.append(text)
+        n += len(text)
+    if held:
+        yield held
+
+
 def id_bucket(column: str, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo ``modulus``; null ids count as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxlake.llm import byte_bpe, chat_format, decontamination, exact_dedup, language_id, line_dedup, ngram_join, ngram_lm, site_style, toxicity
+from voxlake.llm import byte_bpe, chat_format, decontamination, divergence, exact_dedup, importance, language_id, line_dedup, ngram_join, ngram_lm, site_style, stable_projection, toxicity
 from voxlake.llm.common import id_bucket, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,3 +98,20 @@ def site_style_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ngram_lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = ngram_lm.stupid_backoff(table(spark, sf_dir, "documents"))
     return out.withColumns({"log_score": F.round("log_score", 4), "mean_log_score": F.round("mean_log_score", 6)})
+
+
+@query("op12_importance_resampling", importance.ORACLE)
+def importance_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_source_divergence", divergence.ORACLE)
+def divergence_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+@query("op11_stable_projection")
+def stable_projection_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    queries = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    return stable_projection.nearest(rows, queries, k=20)
