@@ -13,6 +13,7 @@ from voxlake.operators.joins import safe_join
 from voxlake.operators.scans import BLOCK_ROWS, gather_text
 from voxlake.operators.words import number_cues
 
+# The headers of the formats.
 VTT_HEADER = "WEBVTT\n\n"
 TABLE_HEADER = "| Word | Start | End | Confidence | Speaker |\n|------|-------|-----|------------|---------|\n"
 
@@ -110,6 +111,54 @@ def result_json(text: Column, duration: Column, confidence: Column, words: Colum
     return F.to_json(F.struct(text.alias("text"), words.alias("words"), duration.alias("duration"), confidence.alias("confidence")))
 
 
+def _escaped(text: Column) -> Column:
+    """Text as it stands between the quotes of a JSON string."""
+    quoted = F.to_json(F.array(text))
+    return F.substring(quoted, F.lit(3), F.length(quoted) - 4)
+
+
+def render_json(words: DataFrame, keys: list[str]) -> DataFrame:
+    """The result of :func:`result_json` without a confidence, in parts: ``keys, section, part, document``.
+
+    Text, words and duration are sections, so a recording of any length is written without being one value.
+    """
+    text = gather_text(words, keys, ["word_idx"], _escaped(F.col("word")), " ", index="word_idx", out="document")
+    item = F.to_json(F.struct("word", "start", "end"))
+    items = gather_text(words, keys, ["word_idx"], item, ",", index="word_idx", out="document")
+    last = words.groupBy(*keys).agg(F.max("end").alias("duration"))
+    number = F.regexp_extract(F.to_json(F.struct("duration")), r":(.*)\}$", 1)
+
+    def opened(parts: DataFrame, section: int, head: str) -> DataFrame:
+        body = F.concat(F.when(F.col("part") == 0, head).otherwise(""), F.col("document"))
+        return parts.select(*keys, F.lit(section).alias("section"), "part", body.alias("document"))
+
+    tail = last.select(
+        *keys, F.lit(2).alias("section"), F.lit(0).cast("bigint").alias("part"),
+        F.concat(F.lit('],"duration":'), number, F.lit("}")).alias("document"),
+    )
+    return opened(text, 0, '{"text":"').unionByName(opened(items, 1, '","words":[')).unionByName(tail)
+
+
+def render_outputs(words: DataFrame, cues: DataFrame, keys: list[str], formats: list[str]) -> DataFrame:
+    """``keys, format, section, part, document`` in each of ``formats``: json, txt, srt, vtt, md."""
+    made = {
+        "json": lambda: render_json(words, keys),
+        "txt": lambda: render_txt(words, keys),
+        "srt": lambda: render_srt(cues, keys),
+        "vtt": lambda: render_vtt(cues, keys),
+        "md": lambda: render_markdown(words, keys),
+    }
+    parts = []
+    for name in formats:
+        rows = made[name]()
+        section = F.col("section") if "section" in rows.columns else F.lit(0)
+        parts.append(rows.select(*keys, F.lit(name).alias("format"), section.alias("section"), "part", "document"))
+    out = parts[0]
+    for rows in parts[1:]:
+        out = out.unionByName(rows)
+    return out
+
+
 def verbose_segments(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Segments in the verbose layout: seek in hundredths and a pseudo log-probability from the mean confidence."""
     numbered = number_cues(

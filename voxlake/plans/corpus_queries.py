@@ -13,6 +13,9 @@ from voxlake.plans.registry import query
 from voxlake.plans.relations import table
 from voxlake.session import scratch_path
 from voxlake.sources import files, manifests, messages, sinks
+from voxlake.sources.document_files import write_files
+from voxlake.sources.message_log import read_message_log
+from voxlake.sources.wav_headers import read_wav_headers
 
 HEADER = {"dataset": "documents", "audio_root": "/audio/documents", "slice_seed": 42, "license": "CC0", "source": "driver"}
 
@@ -139,6 +142,34 @@ def sc09(spark, sf_dir):
     return header.select("id", "reference", "h.rate", "h.channels", "h.frames", (F.col("h.frames") / F.col("h.rate")).alias("seconds"))
 
 
+@query(
+    "sc07_sc09_wav_files",
+    """SELECT vec_id, CASE WHEN vec_id % 7 <> 0 THEN 8000 * (1 + vec_id % 3) END AS rate, CASE WHEN vec_id % 7 <> 0 THEN 1 + vec_id % 2 END AS channels,
+  CASE WHEN vec_id % 7 <> 0 THEN vec_id * 11 // (2 * (1 + vec_id % 2)) END AS frames, 52 + vec_id % 9000 + vec_id % 2 + 2 * len(embedding) AS len FROM embeddings""",
+)
+def sc09_files(spark, sf_dir):
+    """Files with a comment chunk of up to 9,000 bytes, some with the data before the format, some of another container."""
+    number = files._little_endian
+    vec, padded = F.col("vec_id"), F.col("vec_id") % 9000
+    channels = 1 + vec % 2
+    comment = F.concat(F.lit("4C495354"), number(padded, 4), F.repeat(F.lit("20"), (padded + vec % 2).cast("int")))
+    form = F.concat(
+        F.lit("666D7420"), number(F.lit(16), 4), number(F.lit(1), 2), number(channels, 2), number(8000 * (1 + vec % 3), 4),
+        number(16000 * (1 + vec % 3) * channels, 4), number(2 * channels, 2), number(F.lit(16), 2),
+    )
+    samples = F.array_join(F.transform("embedding", lambda v: number(F.round(v * 32767).cast("bigint"), 2)), "")
+    long = F.concat(F.lit("64617461"), number(vec * 11, 4), samples)  # says more than there is, as recorders that were cut off do
+    magic = F.when(vec % 7 == 0, "4F676753").otherwise("52494646")
+    first = vec % 5 == 0
+    body = F.when(first, F.concat(form, comment, long)).otherwise(F.concat(comment, form, long))
+    whole = F.concat(magic, F.lit("00000000"), F.lit("57415645"), body)
+    clips = table(spark, sf_dir, "embeddings").select(F.concat(vec.cast("string"), F.lit(".wav")).alias("output"), F.unhex(whole).alias("document"))
+    path = scratch_path(spark, "clips")
+    write_files(clips, path, [])
+    name = F.regexp_extract("path", r"([^/]*)\.wav$", 1).cast("bigint")
+    return read_wav_headers(spark, path).select(name.alias("vec_id"), "rate", "channels", "frames", "len")
+
+
 def _listing(spark, sf_dir) -> DataFrame:
     suffix = F.get(F.array(*map(F.lit, ["wav", "MP3", "txt", "Flac", "json", "webm"])), (F.col("doc_id") % 6).cast("int"))
     path = F.concat(F.lit("/in/"), F.col("lang"), F.lit("/"), F.col("source"), F.lit("."), suffix)
@@ -223,6 +254,31 @@ def sc15(spark, sf_dir):
     return messages.parse_messages(table(spark, sf_dir, "events").select("event_id", value.alias("value"))).select("event_id", "type", "text")
 
 
+@query(
+    "sc15_message_log",
+    """SELECT CASE role WHEN 'user' THEN 'partial' WHEN 'assistant' THEN 'final' ELSE 'unknown' END AS kind, count(*) AS messages,
+  count(DISTINCT conv_id) AS sessions, sum(length(text))::BIGINT AS n_chars, max(md5(text)) AS last_digest FROM conversations WHERE turn % 5 <> 4 GROUP BY 1
+UNION ALL SELECT 'undecodable', count(*), 0, 0, NULL FROM conversations WHERE turn % 5 = 4 HAVING count(*) > 0""",
+)
+def sc15_log(spark, sf_dir):
+    """Turns as event lines in log files, read as a stream; what is no message is counted, not lost."""
+    kind = F.when(F.col("role") == "user", "partial").when(F.col("role") == "assistant", "final").otherwise("other")
+    message = F.to_json(F.struct(kind.alias("type"), "text", F.col("conv_id").cast("string").alias("code")))
+    line = F.when(F.col("turn") % 5 == 4, "data: {broken").when(F.col("turn") % 2 == 0, F.concat(F.lit("data: "), message)).otherwise(message)
+    path = scratch_path(spark, "log")
+    table(spark, sf_dir, "conversations").select(line.alias("value")).write.text(path)
+    out = scratch_path(spark, "messages")
+    writer = read_message_log(spark, path, range_bytes=1 << 22).writeStream.format("parquet").option("path", out)
+    writer.option("checkpointLocation", scratch_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
+    back = spark.read.schema("kind string, text string, code string").parquet(out)
+    return back.groupBy("kind").agg(
+        F.count(F.lit(1)).alias("messages"),
+        F.countDistinct("code").alias("sessions"),
+        F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n_chars"),
+        F.max(F.md5("text")).alias("last_digest"),
+    )
+
+
 @query(
     "fl02_fl03_community_filter",
     """SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P' AND CASE WHEN o_custkey % 3 = 0 THEN 0 ELSE o_custkey % 10 END >= coalesce(CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 8 END, 0)

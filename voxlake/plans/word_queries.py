@@ -14,6 +14,8 @@ from voxlake.operators.scans import time_block, whole_text
 from voxlake.plans import sql
 from voxlake.plans.registry import query
 from voxlake.plans.relations import DAY, channel_pairs, frames, table, turns, words
+from voxlake.session import materialize, scratch_path
+from voxlake.sources.document_files import write_files
 
 REC = ["recording_id"]
 W = f"WITH RECURSIVE {sql.WORDS}"
@@ -159,6 +161,36 @@ def sg06_segments(spark, sf_dir):
     return captions.render_markdown_segments(rows, ops.caption_cues(rows, REC), REC)
 
 
+_JSON = """'{"text":"' || string_agg(to_json(word)[2:-2], ' ' ORDER BY word_idx) || '","words":[' || string_agg('{"word":' || to_json(word) ||
+  ',"start":' || start::VARCHAR || ',"end":' || ("end")::VARCHAR || '}', ',' ORDER BY word_idx) || '],"duration":' || max("end")::VARCHAR || '}'"""
+
+
+@query(
+    "sc13_document_files",
+    f"""WITH RECURSIVE {_CUES}, made AS (
+  SELECT recording_id, 'json' AS format, {_JSON} AS body FROM words GROUP BY 1
+  UNION ALL SELECT recording_id, 'txt', string_agg(word, ' ' ORDER BY word_idx) FROM words GROUP BY 1
+  UNION ALL SELECT recording_id, 'md', {_HEAD} || '# Transcript' || chr(10) || chr(10) || string_agg(word, ' ' ORDER BY word_idx) || chr(10) || chr(10)
+    FROM words GROUP BY 1
+  UNION ALL SELECT recording_id, 'srt', string_agg(CASE WHEN cue_idx > 0 THEN chr(10) ELSE '' END || (cue_idx + 1) || chr(10) ||
+    {sql.clock('start', ',')} || ' --> ' || {sql.clock('"end"', ',')} || chr(10) || text || chr(10), '' ORDER BY cue_idx) FROM numbered GROUP BY 1
+  UNION ALL SELECT recording_id, 'vtt', string_agg(CASE WHEN cue_idx = 0 THEN 'WEBVTT' || chr(10) || chr(10) ELSE '' END ||
+    {sql.clock('start', '.')} || ' --> ' || {sql.clock('"end"', '.')} || chr(10) || text || chr(10) || chr(10), '' ORDER BY cue_idx) FROM numbered GROUP BY 1)
+SELECT recording_id || '.' || format AS name, strlen(body) AS n_bytes, md5(body) AS digest FROM made""",
+)
+def sc13_files(spark, sf_dir):
+    """Every recording as a file in each output format, written and read back byte for byte."""
+    rows = materialize(words(spark, sf_dir), "words")
+    parts = captions.render_outputs(rows, ops.caption_cues(rows, REC), REC, ["json", "txt", "srt", "vtt", "md"])
+    named = parts.withColumn("output", F.concat(F.col("recording_id").cast("string"), F.lit("."), F.col("format")))
+    path = scratch_path(spark, "outputs")
+    write_files(named, path, ["section", "part"])
+    back = spark.read.format("binaryFile").load(path)
+    return back.select(
+        F.regexp_extract("path", r"([^/]*)$", 1).alias("name"), F.col("length").alias("n_bytes"), F.md5("content").alias("digest")
+    )
+
+
 @query(
     "tx22_clock_formats",
     f"""{W} SELECT recording_id, word_idx, {sql.clock('start', ',')} AS srt, {sql.clock('start', '.')} AS vtt,

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from voxlake.sources.wav_headers import header_of
 
 # Audio extensions accepted by batch runs.
 EXTENSIONS = ["wav", "mp3", "m4a", "ogg", "flac", "webm"]
-HEADER_BYTES = 4096
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -37,8 +39,12 @@ def sniff_container(content: Column) -> Column:
     )
 
 
-#: As many chunks as fit into the header bytes.
-MAX_CHUNKS = HEADER_BYTES // 8
+#: Chunks that are looked at in the JVM; a content whose format and data come later is walked by a Python function.
+WALKED_CHUNKS = 32
+
+
+_HEADER = T.StructType([T.StructField("rate", T.LongType()), T.StructField("channels", T.IntegerType()), T.StructField("frames", T.LongType())])
+_walked = F.udf(lambda content: header_of(content) if content is not None else None, _HEADER, useArrow=True)
 
 
 def _unsigned(content: Column, at: Column, size: int) -> Column:
@@ -52,40 +58,43 @@ def wav_header(content: Column) -> Column:
     """Struct of rate, channels and frames, null where the bytes are no WAV file with sample data.
 
     A RIFF file is a list of chunks: a name of four bytes, a size, and the content padded to an even size. The walk keeps
-    the place of the next chunk and the format seen last, until it meets the data chunk.
+    the place of the next chunk, until it has met the format and the data. For files in a folder see ``wav_headers``.
     """
-    head = F.substring(content, 1, HEADER_BYTES)
-    riff = (F.hex(F.substring(head, 1, 4)) == "52494646") & (F.hex(F.substring(head, 9, 4)) == "57415645")
+    riff = (F.hex(F.substring(content, 1, 4)) == "52494646") & (F.hex(F.substring(content, 9, 4)) == "57415645")
     none = F.lit(None).cast("bigint")
-    start = F.struct(
-        F.lit(12).cast("bigint").alias("at"), none.alias("rate"), none.alias("channels"), none.alias("bits"), none.alias("size")
-    )
+    names = ("rate", "channels", "bits", "size")
+    start = F.struct(F.lit(12).cast("bigint").alias("at"), *[none.alias(n) for n in names])
 
     def walk(state: Column, _: Column) -> Column:
         at = state["at"]
-        name = F.hex(F.substring(head, at.cast("int") + 1, F.lit(4)))
-        size = _unsigned(head, at + 4, 4)
-        is_format, is_data = name == "666D7420", name == "64617461"
-        done = state["size"].isNotNull() | size.isNull()
+        name = F.hex(F.substring(content, at.cast("int") + 1, F.lit(4)))
+        size = _unsigned(content, at + 4, 4)
+        is_format = (name == "666D7420") & state["rate"].isNull()
+        is_data = (name == "64617461") & state["size"].isNull()
+        done = (state["size"].isNotNull() & state["rate"].isNotNull()) | at.isNull()
         moved = F.struct(
-            (at + 8 + size + size % 2).alias("at"),
-            F.when(is_format, _unsigned(head, at + 12, 4)).otherwise(state["rate"]).alias("rate"),
-            F.when(is_format, _unsigned(head, at + 10, 2)).otherwise(state["channels"]).alias("channels"),
-            F.when(is_format, _unsigned(head, at + 22, 2)).otherwise(state["bits"]).alias("bits"),
-            F.when(is_data, size).alias("size"),
+            (at + 8 + size + size % 2).alias("at"),  # null at the end
+            F.when(is_format, _unsigned(content, at + 12, 4)).otherwise(state["rate"]).alias("rate"),
+            F.when(is_format, _unsigned(content, at + 10, 2)).otherwise(state["channels"]).alias("channels"),
+            F.when(is_format, _unsigned(content, at + 22, 2)).otherwise(state["bits"]).alias("bits"),
+            F.when(is_data, size).otherwise(state["size"]).alias("size"),
         )
         return F.when(done, state).otherwise(moved)
 
     def finish(state: Column) -> Column:
         width = F.floor(state["bits"] / 8) * F.greatest(state["channels"], F.lit(1))
         whole = riff & (width > 0) & (state["rate"] > 0) & state["size"].isNotNull()
-        return F.struct(
+        found = F.struct(
             F.when(whole, state["rate"]).alias("rate"),
             F.when(whole, state["channels"].cast("int")).alias("channels"),
             F.when(whole, F.floor(state["size"] / width)).alias("frames"),
         )
+        open_ = riff & state["at"].isNotNull() & (state["size"].isNull() | state["rate"].isNull())
+        return F.struct(found.alias("found"), F.coalesce(open_, F.lit(False)).alias("open"))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_CHUNKS)), start, walk, finish)
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(WALKED_CHUNKS)), start, walk, finish)
+    rest = _walked(F.when(end["open"], content))
+    return F.when(end["open"], F.coalesce(rest, F.struct(none.alias("rate"), none.cast("int").alias("channels"), none.alias("frames")))).otherwise(end["found"])
 
 
 def pcm_frames(recordings: DataFrame, content: str, *, chunk_ms: int = 100, rate: int = 16_000) -> DataFrame:
