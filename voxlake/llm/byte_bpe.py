@@ -11,6 +11,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -24,8 +25,8 @@ POS_BITS = 31
 NONE = np.int64(1) << 62
 #: Pieces up to this many bytes are merged in batches.
 SHORT = 64
-#: Pieces, and stretches of text, that a worker remembers.
-PIECES = 500_000
+#: Bytes of the pieces and stretches of text that a task remembers, and what an entry takes besides its content.
+HELD_BYTES, ENTRY_BYTES = 1 << 25, 250
 #: Tree nodes of one batch of short pieces.
 BATCH_NODES = 1 << 20
 
@@ -189,25 +190,32 @@ class Encoder:
     def __init__(self, content: bytes, pattern: str):
         self.vocabulary = Vocabulary(content)
         self.pattern = regex.compile(pattern)
-        self.pieces: dict[str, bytes] = {}
-        self.chunks: dict[str, bytes] = {}
-        self.unsafe: set[str] = set()
+        self.forget()
         decimals = [f"{i},".encode() for i in range(self.vocabulary.width)]
         self.decimals = np.array(decimals)
         self.token_list = [self.vocabulary.tokens.get(i, b"") for i in range(self.vocabulary.width)]
 
+    def forget(self) -> None:
+        """Drop what is remembered; the vocabulary stays."""
+        self.pieces: dict[str, bytes] = {}
+        self.chunks: dict[str, bytes] = {}
+        self.unsafe: set[str] = set()
+        self.held = 0
+
     def matches(self, text: str) -> list[str]:
         return self.pattern.findall(text)
 
     def learn(self, pieces: Iterable[str]) -> None:
         new = [p for p in set(pieces) if p not in self.pieces]
         self.pieces.update(zip(new, self.vocabulary.encode_pieces([p.encode() for p in new])))
+        self.held += ENTRY_BYTES * len(new) + 5 * sum(map(len, new))
 
     def whole(self, pieces: list[str]) -> bytes:
         return b"".join(map(self.pieces.__getitem__, pieces))
 
     def learn_chunks(self, new: set[str]) -> None:
         split = {}
+        self.held += ENTRY_BYTES * len(new) + 5 * sum(map(len, new))
         for c in new:
             if not c or (c[0] != "\n" and c[0].isspace()) or (len(c) > 1 and c[-1].isspace()):
                 self.unsafe.add(c)  # white space that the pattern may match across the cut
@@ -220,10 +228,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
-        if len(self.pieces) > PIECES or len(self.chunks) > PIECES:
-            self.pieces.clear()
-            self.chunks.clear()
-            self.unsafe.clear()
+        if self.held > HELD_BYTES:
+            self.forget()
         get, cut, new = self.chunks.get, [], set()
         for t in texts:
             if "\n\n" in t:
@@ -269,15 +275,25 @@ def encoder(content: bytes, pattern: str) -> Encoder:
     return _ENCODERS[key]
 
 
+@contextmanager
+def task_encoder(content: bytes, pattern: str) -> Iterator[Encoder]:
+    """The worker's encoder for the length of a task; the next one finds the vocabulary, not the pieces."""
+    enc = encoder(content, pattern)
+    try:
+        yield enc
+    finally:
+        enc.forget()
+
+
 def encode_documents(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     """``doc_id, ids``: the token ids of every whole text, without special tokens. A null text is the empty text and has no
     tokens. Rows are encoded one by one, so repeated rows and ids are kept; other columns are ignored."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(ranks, pattern)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": pd.Series(enc.encode(pdf["text"].tolist()), dtype=object)})
+        with task_encoder(ranks, pattern) as enc:
+            for pdf in batches:
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "ids": pd.Series(enc.encode(pdf["text"].tolist()), dtype=object)})
 
     return _with_ids(_texts(docs).mapInPandas(run, "doc_id string, ids array<int>"))
 
@@ -287,9 +303,9 @@ def decode_documents(encoded: DataFrame, ranks: bytes, pattern: str) -> DataFram
     small_batches(encoded.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(ranks, pattern)
-        for pdf in batches:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "bytes": [enc.decode(np.asarray(x)) for x in pdf["ids"]]})
+        with task_encoder(ranks, pattern) as enc:
+            for pdf in batches:
+                yield pd.DataFrame({"doc_id": pdf["doc_id"], "bytes": [enc.decode(np.asarray(x)) for x in pdf["ids"]]})
 
     return _with_ids(encoded.select(F.col("doc_id").cast("string").alias("doc_id"), "ids").mapInPandas(run, "doc_id string, bytes binary"))
 
@@ -299,15 +315,15 @@ def token_digests(docs: DataFrame, ranks: bytes, pattern: str) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(ranks, pattern)
-        for pdf in batches:
-            each = enc.encode(pdf["text"].tolist())
-            yield pd.DataFrame({
-                "doc_id": pdf["doc_id"],
-                "n_tokens": [len(x) for x in each],
-                "ids_sha256": [enc.decimal_digest(x) for x in each],
-                "decoded_sha256": [hashlib.sha256(enc.decode(x)).hexdigest() for x in each],
-            })
+        with task_encoder(ranks, pattern) as enc:
+            for pdf in batches:
+                each = enc.encode(pdf["text"].tolist())
+                yield pd.DataFrame({
+                    "doc_id": pdf["doc_id"],
+                    "n_tokens": [len(x) for x in each],
+                    "ids_sha256": [enc.decimal_digest(x) for x in each],
+                    "decoded_sha256": [hashlib.sha256(enc.decode(x)).hexdigest() for x in each],
+                })
 
     return _with_ids(_texts(docs).mapInPandas(run, "doc_id string, n_tokens long, ids_sha256 string, decoded_sha256 string"))
 

@@ -10,12 +10,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of an Arrow batch. Texts may be long, so batches are kept small.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch. Texts may be long, so batches are kept small.
+BATCH_ROWS, BATCH_BYTES = 256, 1 << 22
 #: Bits of a membership table. Its size is fixed, so it may be broadcast whatever the input is.
 MEMBER_BITS = 1 << 22
-#: Entries of a worker's memo of words.
-MEMO = 500_000
+#: Entries of a task's memo of words, and the longest word it keeps: at most about 16 MB a memo.
+MEMO, MEMO_BYTES = 1 << 16, 64
 
 MIX1 = np.uint64(0x9E3779B97F4A7C15)
 MIX2 = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -26,22 +26,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BATCH_SETTINGS = {"spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES}
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch for the Python steps that see whole texts."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Bound the Arrow batches of Python steps that see whole texts and run when the caller asks for the result."""
+    for name, value in _BATCH_SETTINGS.items():
+        spark.conf.set(name, str(value))
 
 
 @contextmanager
-def batch_rows(spark: SparkSession, rows: int = BATCH_ROWS) -> Iterator[None]:
-    """Within, Arrow batches have at most ``rows`` rows; for Python steps that see whole texts and run inside the block."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(rows))
+def batch_rows(spark: SparkSession) -> Iterator[None]:
+    """The same for steps that run inside the block; afterwards the session's settings are as they were."""
+    before = {name: spark.conf.get(name) for name in _BATCH_SETTINGS}
+    small_batches(spark)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def text_chunks(texts: list[bytes], size: int = 1 << 20) -> Iterator[list[bytes]]:
@@ -91,9 +94,11 @@ class Words(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
+        h = xxhash.xxh64_intdigest(word)
+        if len(word) <= MEMO_BYTES:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, text: bytes) -> np.ndarray:

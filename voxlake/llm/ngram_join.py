@@ -38,7 +38,7 @@ from voxlake.session import materialize
 #: Counters of the table behind the global order, in chunks that are added up apart. 4 MB, whatever the input is.
 COUNTERS, CHUNK = 1 << 20, 1 << 14
 #: Bits of the table of repeated prefix n-grams (at most 262144 rows), and n-grams a task holds before it sends them.
-TOKEN_BITS, HELD_TOKENS = 1 << 24, 1 << 22
+TOKEN_BITS, HELD_TOKENS = 1 << 24, 1 << 19
 #: Candidates of one trie.
 TRIE_SETS = 128
 

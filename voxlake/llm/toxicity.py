@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import MEMO, small_batches
+from voxlake.llm.common import MEMO, MEMO_BYTES, small_batches, text_chunks
+from voxlake.session import materialize
 
 #: Labelled rows the word weights are fitted on, in expectation.
 SAMPLE_ROWS = 20_000
@@ -30,6 +31,8 @@ MODEL_FEATURES = 20_000
 SUPPORT, SHARE, STEM_SHARE = 8, 0.8, 0.93
 #: What makes a feature strong: its share of toxic documents, and the part of all toxic documents it is in.
 STRONG_SHARE, STRONG_PART = 0.95, 0.015
+#: Features a task adds up before it sends them, and words whose features it remembers.
+HELD_FEATURES, HELD_WORDS = 1 << 16, 1 << 15
 #: Score of a text without any marked word.
 BASE = 0.02
 
@@ -71,10 +74,11 @@ def trigram_counts(docs: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table, total = class_table(), np.zeros(size, np.int64)
         for pdf in batches:
-            text = " " + " ".join(pdf["text"]) + " "
-            codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
-            c = table[np.minimum(codes, TABLE_SIZE)].astype(np.int32)
-            total += np.bincount((c[:-2] << 12) | (c[1:-1] << 6) | c[2:], minlength=size)
+            for texts in text_chunks(pdf["text"].tolist()):
+                text = " " + " ".join(texts) + " "
+                codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+                c = table[np.minimum(codes, TABLE_SIZE)].astype(np.int32)
+                total += np.bincount((c[:-2] << 12) | (c[1:-1] << 6) | c[2:], minlength=size)
         yield pd.DataFrame({"k": range(pieces), "counts": [zlib.compress(total[i * step : (i + 1) * step].tobytes(), 1) for i in range(pieces)]})
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -217,7 +221,8 @@ def fit_words(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample_rows
     known = labels.filter("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, sample_rows / max(1, known.count()))
     sample = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    # The sample is bounded, and several passes read it.
+    rows = materialize(docs.filter("text is not null").select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "labelled")
     # Copies, also edited ones, mostly share the sentence with the least hash. One of them is enough, or its rare words
     # would look like marks of toxic texts. Edited copies may differ in that sentence, so three hashes are tried.
     sentences = F.filter(F.split("text", r"[.\n]"), lambda s: F.length(s) > 20)
@@ -238,16 +243,21 @@ def fit_words(docs: DataFrame, labels: DataFrame, model: np.ndarray, sample_rows
             for text, toxic in zip(pdf["text"], pdf["toxic"]):
                 found = set()
                 for w in restorer.words(text):
-                    if w not in memo:
-                        memo[w] = features(restorer.word(w.decode("utf-8", "replace")))
-                    found.update(memo[w])
+                    said = memo.get(w)
+                    if said is None:
+                        said = features(restorer.word(w.decode("utf-8", "replace")))
+                        if len(w) <= MEMO_BYTES:
+                            if len(memo) >= HELD_WORDS:
+                                memo.clear()
+                            memo[w] = said
+                    found.update(said)
                 if toxic > 0 and not strong.isdisjoint(found):
                     continue
                 for f in found:
                     seen.setdefault(f, [0, 0])[0 if toxic > 0 else 1] += 1
-            if len(seen) > MEMO:
-                yield pd.DataFrame([(f, p, n) for f, (p, n) in seen.items()], columns=["feature", "pos", "neg"])
-                memo, seen = {}, {}
+                if len(seen) > HELD_FEATURES:
+                    yield pd.DataFrame([(f, p, n) for f, (p, n) in seen.items()], columns=["feature", "pos", "neg"])
+                    seen = {}
         yield pd.DataFrame([(f, p, n) for f, (p, n) in seen.items()], columns=["feature", "pos", "neg"])
 
     def top(found: DataFrame) -> dict[str, float]:
@@ -285,9 +295,11 @@ def score_documents(docs: DataFrame, model: np.ndarray, weights: dict[str, float
                 for w in restorer.words(text) if text else ():
                     x = memo.get(w)
                     if x is None:
-                        if len(memo) >= MEMO:
-                            memo.clear()
-                        x = memo[w] = weight(w)
+                        x = weight(w)
+                        if len(w) <= MEMO_BYTES:
+                            if len(memo) >= MEMO:
+                                memo.clear()
+                            memo[w] = x
                     total += x
                 scores.append(1 - (1 - BASE) * math.exp(-total))
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": scores})
