@@ -17,7 +17,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import compress, groupby
 from operator import itemgetter
 
 import numpy as np
@@ -38,7 +38,7 @@ BLOCK_POSTINGS, BLOCK_BYTES, CHUNK_TERMS, FAN_IN = 1 << 19, 1 << 24, 4096, 64
 #: Characters of input a shard is to hold on average, and the most shards that a run is cut into.
 SHARD_CHARS, MOST_SHARDS = 1 << 23, 1 << 16
 #: Sources of a block of the pair table, and postings of one task of it.
-PAIR_SOURCES, PAIR_POSTINGS = 512, 1 << 21
+PAIR_SOURCES, PAIR_POSTINGS = 512, 1 << 17
 
 RUN_SCHEMA = "lang string, shard int, run long, seq int, terms binary, docs binary, sizes binary, sources array<string>, places binary, counts binary"
 
@@ -129,31 +129,47 @@ def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
     return keys, out
 
 
-def entries(chunks: list[dict]) -> Iterator[tuple[bytes, int, list[str], list[int]]]:
-    """Term, documents, sources and counts of a run, one by one in the order of terms; one chunk is unpacked at a time."""
+def entries(chunks: list[dict], run: int, enough: np.ndarray | None = None) -> Iterator[tuple]:
+    """Term, run, documents, and where its postings are, one by one in the order of terms; one chunk is unpacked at a time.
+    With ``enough``, terms whose hash has no mark there are left out."""
     for c in sorted(chunks, key=itemgetter("seq")):
+        terms = c["terms"].split(b" ")
         docs = np.frombuffer(c["docs"], "<i8").tolist()
         ends = np.cumsum(np.frombuffer(c["sizes"], "<i4")).tolist()
-        names = c["sources"]
-        sources = [names[i] for i in np.frombuffer(c["places"], "<i4").tolist()]
-        counts = np.frombuffer(c["counts"], "<i8").tolist()
-        start = 0
-        for term, n, end in zip(c["terms"].split(b" "), docs, ends):
-            yield term, n, sources[start:end], counts[start:end]
-            start = end
+        kept = zip(terms, docs, [0, *ends], ends)
+        if enough is not None:
+            kept = compress(kept, enough[hashes(terms) & (len(enough) - 1)].tolist())
+        places, counts = np.frombuffer(c["places"], "<i4"), np.frombuffer(c["counts"], "<i8")
+        for term, n, start, end in kept:
+            yield term, run, n, start, end, c["sources"], places, counts
+
+
+def hashes(terms: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, terms), np.int64, len(terms))
+
+
+def possible(runs: list[list[dict]], least_docs: int) -> np.ndarray:
+    """Marks by hash: those under which the runs have ``least_docs`` documents. No term of another hash can have as many."""
+    size = 1 << (4 * sum(len(c["docs"]) // 8 for chunks in runs for c in chunks)).bit_length()
+    total = np.zeros(size, np.int64)
+    for c in (c for chunks in runs for c in chunks):
+        np.add.at(total, hashes(c["terms"].split(b" ")) & (size - 1), np.frombuffer(c["docs"], "<i8"))
+    return total >= least_docs
 
 
 def merged(runs: list[list[dict]], least_docs: int = 0) -> Iterator[tuple[bytes, int, dict[str, int]]]:
     """Heap-merge runs: each term once, its documents and its occurrences by source; terms of too few documents are left out."""
-    for term, same in groupby(heapq.merge(*map(entries, runs), key=itemgetter(0)), key=itemgetter(0)):
+    enough = possible(runs, least_docs) if least_docs else None
+    heap = heapq.merge(*(entries(chunks, i, enough) for i, chunks in enumerate(runs)))  # by term, then by run: no two are equal
+    for term, same in groupby(heap, key=itemgetter(0)):
         same = list(same)
-        docs = sum(e[1] for e in same)
+        docs = sum(e[2] for e in same)
         if docs < least_docs:
             continue
         by: dict[str, int] = {}
-        for _, _, sources, counts in same:
-            for s, n in zip(sources, counts):
-                by[s] = by.get(s, 0) + n
+        for _, _, _, start, end, sources, places, counts in same:
+            for s, n in zip(places[start:end].tolist(), counts[start:end].tolist()):
+                by[sources[s]] = by.get(sources[s], 0) + n
         yield term, docs, by
 
 
