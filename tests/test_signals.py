@@ -5,10 +5,11 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tests.sequential_blocks import Backward, Forward
 from voxlake.operators import folds, windows
 from voxlake.operators import words as ops
 from voxlake.operators.bootstrap import MASK, MULTIPLIER, SEED, bootstrap_sums, draw_indices, wer_interval
-from voxlake.operators.blocks import Backward, Forward, balanced_blocks
+from voxlake.operators.blocks import balanced_blocks
 from voxlake.operators.quantiles import order_statistic, percentiles
 
 
