@@ -111,22 +111,31 @@ def prefix_curve(segments: DataFrame, keys: list[str], targets: list[float], *,
     return scoring.retention(items, ["target"])
 
 
-@query("sg08_block_scores")
+@query(
+    "sg08_block_scores",
+    f"""WITH RECURSIVE {sql.utterances()}, segments AS (SELECT conv_id, turn, len(ref) * 4e-1 AS seconds FROM utt),
+{sql.balanced_blocks("segments", 15, 0, 40)},
+s AS (SELECT conv_id, turn, len(ref) AS n, {sql.error_split('ref', 'hyp')} AS x FROM utt),
+g AS (SELECT conv_id, block_idx, sum(x.s)::BIGINT AS sub, sum(x.i)::BIGINT AS ins, sum(x.e)::BIGINT AS del, sum(n)::BIGINT AS ref_words
+  FROM s JOIN blocks USING (conv_id) WHERE turn BETWEEN first_segment AND last_segment GROUP BY 1, 2)
+SELECT *, {sql.wer('sub + ins + del', 'ref_words')} AS wer FROM g""",
+)
 def sg08(spark, sf_dir):
-    """Continuous runs cut into balanced blocks, each block scored, errors pooled per run and compared with the whole run."""
+    """Continuous runs cut into balanced blocks, each block scored by the errors of its segments."""
     rows = utterances(spark, sf_dir).select(
         "conv_id", "turn", "ref", "hyp", (F.size("ref") * 0.4).alias("seconds")
     )
-    cut = blocks.balanced_blocks(rows, ["conv_id"], "turn", target=15.0, min_len=0.0, max_len=40.0)
+    placed = blocks.assign_blocks(rows, ["conv_id"], "turn", target=15.0, min_len=0.0, max_len=40.0)
     scored = scoring.split_errors(rows).withColumn("ref_words", F.size("ref").cast("bigint"))
-    placed = safe_join(scored, cut.drop("seconds"), ["conv_id"]).filter(
-        (F.col("turn") >= F.col("first_segment")) & (F.col("turn") <= F.col("last_segment"))
-    )
-    sums = placed.groupBy("conv_id", "block_idx").agg(
+    both = safe_join(scored.drop("seconds"), placed.select("conv_id", "turn", "first_position"), ["conv_id", "turn"])
+    sums = both.groupBy("conv_id", "first_position").agg(
         *[F.sum(c).alias(c) for c in ("sub", "ins", "del", "ref_words")]
     )
     errors = F.col("sub") + F.col("ins") + F.col("del")
-    return sums.withColumn("wer", wer_percent(errors, F.col("ref_words")))
+    numbered = blocks.number_blocks(sums, ["conv_id"])
+    return numbered.select(
+        "conv_id", "block_idx", "sub", "ins", "del", "ref_words", wer_percent(errors, F.col("ref_words")).alias("wer")
+    )
 
 
 @query(

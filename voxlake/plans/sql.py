@@ -150,3 +150,21 @@ def quantile(items: str, p: float) -> str:
     hi = f"least({lo} + 1, len({items}) - 1)"
     frac = f"({rank} - floor({rank}))"
     return f"({items}[{lo} + 1] * (1e0 - {frac}) + {items}[{hi} + 1] * {frac})"
+
+
+def balanced_blocks(segments: str, target: float, least: float, most: float) -> str:
+    """CTEs up to ``blocks`` (conv_id, block_idx, first_segment, last_segment, seconds): the least-cost tiling of ``segments``
+    (conv_id, turn, seconds). Of equal ways to a cut the one with the nearest cut before it counts."""
+    length = "c[x[1].i + 1] - c[i + 1]"
+    way = (
+        f"{{'c': CASE WHEN {length} BETWEEN {least - 1e-6:f} AND {most + 1e-6:f} THEN acc[i + 1].c + power({length} - {target:f}, 2) "
+        f"ELSE 'inf'::DOUBLE END, 'i': -i}}"
+    )
+    return f"""lists AS (SELECT conv_id, list(turn ORDER BY turn) AS t, list(seconds ORDER BY turn) AS d FROM {segments} GROUP BY 1),
+sums AS (SELECT conv_id, t, list_prepend(0e0, list_transform(range(1, len(d) + 1), lambda i: list_sum(d[1:i]))) AS c FROM lists),
+ways AS (SELECT *, list_reduce(list_prepend([{{'c': 0e0, 'i': 0}}], list_transform(range(1, len(t) + 1), lambda j: [{{'c': 0e0, 'i': j}}])),
+  lambda acc, x: list_append(acc, list_sort(list_transform(range(0, x[1].i), lambda i: {way}))[1])) AS w FROM sums),
+path AS (SELECT conv_id, len(t) AS hi, -w[len(t) + 1].i AS lo FROM ways WHERE w[len(t) + 1].c < 'inf'::DOUBLE
+  UNION ALL SELECT p.conv_id, p.lo, -y.w[p.lo + 1].i FROM path p JOIN ways y ON y.conv_id = p.conv_id WHERE p.lo > 0),
+blocks AS (SELECT p.conv_id, row_number() OVER (PARTITION BY p.conv_id ORDER BY hi) - 1 AS block_idx, t[lo + 1] AS first_segment, t[hi] AS last_segment,
+  c[hi + 1] - c[lo + 1] AS seconds FROM path p JOIN sums USING (conv_id))"""

@@ -506,10 +506,14 @@ def wn14(spark, sf_dir):
 
 @query(
     "wn16_balanced_blocks",
+    f"""WITH RECURSIVE segments AS (SELECT conv_id, turn, length(text) / 40e0 AS seconds FROM conversations),
+{sql.balanced_blocks("segments", 25, 1, 60)}
+SELECT conv_id, block_idx, first_segment, last_segment, round(seconds, 6) AS seconds FROM blocks""",
 )
 def wn16(spark, sf_dir):
     segments = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") / 40.0).alias("seconds"))
-    return blocks.balanced_blocks(segments, ["conv_id"], "turn", target=25.0, min_len=1.0, max_len=60.0)
+    out = blocks.balanced_blocks(segments, ["conv_id"], "turn", target=25.0, min_len=1.0, max_len=60.0)
+    return out.withColumn("seconds", F.round("seconds", 6))
 
 
 @query(
