@@ -74,6 +74,16 @@ def test_lines(docs, keep_first):
     assert {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in got} == lines_by_hand(pairs, 25, keep_first)
 
 
+def test_lines_of_rows_that_share_an_id(docs):
+    pairs = [(i, f"hot\nown {i}") for i in range(9)] + [(1, "own line\nhot"), (1, "x\nhot"), (1, "x\nhot"), (None, "a\nHot "), (None, "b")]
+    got = line_dedup.dedup_lines(docs(pairs), least_docs=10).collect()
+    assert sorted((str(r.doc_id), r.kept_text) for r in got) == sorted(
+        [(str(i), f"own {i}") for i in range(9)] + [("1", "own line"), ("1", "x"), ("1", "x"), ("None", "a"), ("None", "b")]
+    )
+    kept = line_dedup.dedup_lines(docs([(1, "a\nb"), (1, "b\na"), (2, "a")]), least_docs=2, keep_first=True).collect()
+    assert sum(r.kept_text.split("\n").count("a") for r in kept) == 1 and all("b" in r.kept_text for r in kept if r.doc_id == 1)
+
+
 def test_lines_of_odd_rows(odd_docs, docs):
     got = line_dedup.dedup_lines(odd_docs, least_docs=2).collect()
     assert len(got) == 14 and all(r.n_dropped == 0 for r in got)

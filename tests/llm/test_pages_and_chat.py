@@ -1,4 +1,8 @@
+import functools
 import hashlib
+import math
+import random
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -61,6 +65,84 @@ def test_boilerplate_inside_an_article_s_path_stays(spark):
     assert {r.text for r in got} == {f"Same words everywhere own {i}" for i in range(20)}
 
 
+def extracted(spark, pages, host="s.org"):
+    rows = [(i, f"http://{host}/{i}", page) for i, page in enumerate(pages)]
+    return {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_pages_that_agree_keep_their_text(spark):
+    same = "<body><nav>menu</nav><article><p>the story</p></article></body>"
+    assert set(extracted(spark, [same] * 8).values()) == {"the story"}
+    plain = "<body><div class=a><p>one</p></div><div class=b>two</div></body>"
+    assert set(extracted(spark, [plain] * 8).values()) == {"one two"}
+
+
+def test_what_articles_say_alike_stays(spark):
+    page = "<article><p class=byline>by A. Writer</p><div class=lead>Lead</div><p>one {0}</p><p class='share'>two</p><p class='related search'>three</p></article>"
+    got = extracted(spark, [page.format(i) for i in range(8)])
+    assert got == {i: f"by A. Writer Lead one {i} two three" for i in range(8)}
+    inside = "<main><p>text</p><div class='cookie-notice'>ok?</div><div class=ad>buy</div><div class=comments>me too</div><form>f</form></main>"
+    assert extracted(spark, [inside])[0] == "text"
+
+
+def test_the_tree_alone_finds_menus_and_adverts(spark):
+    """No telling tags, classes or ids: the menu is on every page, an advert of five on each, ids of headings differ."""
+    page = (
+        "<body><div class=xa><a href=1>Home</a> <a href=2>Topics {2}</a></div><div class=xb><p>Buy {1} now</p></div>"
+        "<div class=xc><h2 id='on-{0}'>On {0}</h2><p>The tale of {0}.</p><p>Its end {0}.</p></div><div class=xd>All rights reserved</div></body>"
+    )
+    names = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    got = extracted(spark, [page.format(n, f"thing {i % 5}", "a b c"[2 * (i % 3)]) for i, n in enumerate(names)])
+    assert got == {i: f"On {n} The tale of {n}. Its end {n}." for i, n in enumerate(names)}
+
+
+def test_importance_is_the_plain_one(spark):
+    rng = random.Random(2)
+
+    def some(depth):
+        if depth > 4 or rng.random() < 0.3:
+            return rng.choice(["same", "x", f"own {rng.randrange(99)}", ""])
+        return "".join(f"<div class={rng.choice('abc')}>{some(depth + 1)}</div>{rng.choice(['', 'tail'])}" for _ in range(rng.randint(1, 3)))
+
+    pages = [f"<body>{some(0)}</body>" for _ in range(15)]
+    pages[3] = "<div>" * 100 + "deep" + "</div>" * 100
+    here, styles, said, parent = defaultdict(set), defaultdict(Counter), defaultdict(lambda: defaultdict(Counter)), {}
+    for i, page in enumerate(pages):
+        for e, style, texts in site_style.nodes(site_style.parse(page)):
+            here[e.path].add(i)
+            styles[e.path][style] += 1
+            parent[e.path] = e.above
+            for t in texts:
+                said[e.path][t][i] += 1
+
+    def entropy(counts):
+        total = sum(counts)
+        return -sum(c / total * math.log(c / total) for c in counts)
+
+    @functools.cache
+    def composite(path):
+        n = len(here[path])
+        alone, scale = n < 2, math.log(max(n, 2))
+        # A style is counted by page and style; the same style twice on a page counts twice.
+        own = 1.0 if alone else min(1.0, entropy(styles[path].values()) / scale)
+        below = [composite(p)[0] for p in parent if parent[p] == path]
+        parts = list(below)
+        if alone:
+            parts.append(1.0)
+        elif said[path]:
+            weight = sum(sum(c.values()) for c in said[path].values())
+            parts.append(max(0.0, min(1.0, 1 - sum(sum(c.values()) * entropy(c.values()) for c in said[path].values()) / weight / scale)))
+        keep, mean = site_style.DECAY ** len(styles[path]), sum(parts) / len(parts) if parts else own
+        value = (1 - keep) * own + keep * mean if below else mean
+        return value, max([value, *(composite(p)[1] for p in parent if parent[p] == path)])
+
+    rows = spark.createDataFrame([(i, None, page, "h") for i, page in enumerate(pages)], "page_id long, url string, html string, host string")
+    got = {r.path: (r.importance, r.peak, r.pages) for r in site_style.importance(site_style.page_nodes(rows).filter("kind < 3")).collect()}
+    assert got.keys() == here.keys()
+    for path in here:
+        assert got[path] == (*(pytest.approx(x) for x in composite(path)), len(here[path]))
+
+
 TURNS = [
     (1, 0, "system", "be\\kind"), (1, 1, "user", "hi <|im_end|>\n"), (1, 2, "assistant", "yo <\\| \\"), (1, 3, "user", "more"),
     (1, 4, "assistant", ""), (1, 5, "user", "bye"), (2, 0, "user", None), (3, 0, "assistant", "first"), (3, 0, "assistant", "first"),

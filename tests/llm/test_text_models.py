@@ -207,3 +207,9 @@ def test_stupid_backoff(docs, order):
 def test_stupid_backoff_of_odd_rows(odd_docs, docs):
     assert len(ngram_lm.stupid_backoff(odd_docs).collect()) == 14
     assert ngram_lm.stupid_backoff(docs([])).collect() == []
+
+
+def test_numbers_are_no_letters(docs):
+    model = {"a": b"der die das und nicht", "b": b"the of and to in"}
+    got = language_id.predict_languages(docs([(1, "\u00b2\u00b3 \u00bd"), (2, "\u2460\u2461"), (3, "12_3"), (4, "\u00e9\u00b2 the")]), model).collect()
+    assert {r.doc_id: (r.lang_pred == "und", r.score > 0) for r in got} == {1: (True, False), 2: (True, False), 3: (True, False), 4: (False, True)}

@@ -3,7 +3,7 @@
 Texts become words without case and punctuation. The n-grams of the test items are marked in a bit table of fixed size; one
 pass over the documents keeps the n-grams that may be an item's, and a join finds those that are and in how many documents.
 A passage is the stretch of a document around a diagonal of an item. Its seeds are the rarest n-grams that it has. Where even
-these are common, as in an edited copy that shares its rest with verbatim ones, a passage needs several of the item's n-grams
+these are common, as in an edited copy that shares its rest with verbatim ones, a passage needs two of the item's n-grams
 along its diagonal. Only then is its text read again and the passage, as hashes of its words, joined to the item. The local
 alignment of both says how much of the item is there, word changes, insertions and deletions included.
 """
@@ -23,9 +23,9 @@ from voxlake.session import materialize
 
 #: Words of a seed.
 SEED_WORDS = 3
-#: An n-gram is rare in so many documents, or in one of so many. Without a rare one a passage needs one n-gram of the item for
-#: so many of the item's words.
-RARE_DOCS, RARE_ONE_IN, WORDS_A_SEED = 20, 1000, 8
+#: An n-gram is rare in so many documents, or in one of so many. Without a rare one a passage needs two of the item's n-grams
+#: along its diagonal, or one if the item has no more words than this.
+RARE_DOCS, RARE_ONE_IN, SHORT_ITEM = 20, 1000, 8
 #: Diagonals of one passage. Around the seeds' diagonals a passage reaches as far on both sides.
 BAND = 32
 MATCH, MISMATCH, GAP = 2, -1, 1
@@ -134,7 +134,7 @@ def passages_to_align(found: DataFrame, grams: DataFrame, documents: int) -> Dat
     items where no other is near.
     """
     rare = max(RARE_DOCS, documents // RARE_ONE_IN)
-    needed = F.greatest(F.lit(1), F.floor(F.col("size") / WORDS_A_SEED))
+    needed = F.when(F.col("size") > SHORT_ITEM, 2).otherwise(1)
     spread = found.select("gram", "doc_id", "said").distinct().groupBy("gram").agg((F.count(F.lit(1)) <= rare).alias("rare"))
     least = grams.groupBy("gram").agg(F.min(needed).alias("least"))
     told = found.join(spread.join(least, "gram"), "gram").filter(F.col("rare") | (F.col("near") >= F.col("least")))

@@ -8,10 +8,10 @@ rejected.
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,7 +26,7 @@ BLOCK = 4096
 #: Least gap between the best two sizes, as a share of the best.
 MARGIN = 0.01
 UNKNOWN = "und"
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def fit_dictionaries(labelled: DataFrame, snippets: int = SNIPPETS, chars: int = SNIPPET_CHARS) -> dict[str, bytes]:

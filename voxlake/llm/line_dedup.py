@@ -30,48 +30,49 @@ def line_key(line: Column) -> Column:
 
 
 def occurrences(docs: DataFrame, partitions: int, least_chars: int = 1) -> DataFrame:
-    """Rows ``h1, h2, doc_id, pos``, one for each line whose key has ``least_chars`` code points, in range partitions of
-    (hash, document), sorted by hash, document and position."""
-    lines = docs.select("doc_id", F.posexplode(F.transform(line_array(F.col("text")), line_key)).alias("pos", "key"))
+    """Rows ``h1, h2, doc_id, said, pos``, one for each line whose key has ``least_chars`` code points, in range partitions of
+    (hash, document), sorted by hash, document and position. ``said`` tells texts of the same id apart."""
+    lines = docs.select("doc_id", "said", F.posexplode(F.transform(line_array(F.col("text")), line_key)).alias("pos", "key"))
     hashed = lines.filter(F.length("key") >= least_chars).select(
-        F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "pos"
+        F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"), "doc_id", "said", "pos"
     )
-    return hashed.repartitionByRange(partitions, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
+    return hashed.repartitionByRange(partitions, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "said", "pos")
 
 
 def drop_words(rows: DataFrame, least_docs: int, keep_first: bool) -> DataFrame:
-    """Rows ``doc_id, word, bits``: the lines to drop, 64 to a word.
+    """Rows ``doc_id, said, word, bits``: the lines to drop, 64 to a word.
 
     A line goes if its key is in ``least_docs`` documents. With ``keep_first`` the first occurrence of the lowest document
     id stays.
     """
-    marks = rows.groupBy("h1", "h2", "doc_id", F.shiftright("pos", 6).alias("word")).agg(
+    marks = rows.groupBy("h1", "h2", "doc_id", "said", F.shiftright("pos", 6).alias("word")).agg(
         F.bit_or(bit(F.col("pos"))).alias("bits"), F.min("pos").alias("pos")
     )
     # The row that opens a (hash, document) run has its first position. The partitioning still holds, nothing moves. What
     # comes out is written, so that the frequent lines join it as a table of their own, which adaptive execution broadcasts
     # if it is small, or else splits where a line is hot.
-    first = F.row_number().over(Window.partitionBy("h1", "h2", "doc_id").orderBy("word")) == 1
+    first = F.row_number().over(Window.partitionBy("h1", "h2", "doc_id").orderBy("said", "word")) == 1
     marks = materialize(marks.withColumn("opens", first), "lines")
     seen = marks.filter("opens").groupBy("h1", "h2").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "pos")).alias("first")
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "said", "pos")).alias("first")
     )
     frequent = materialize(seen.filter(F.col("n") >= least_docs), "frequent")
-    dropped = marks.select("h1", "h2", "doc_id", "word", "bits").join(frequent, ["h1", "h2"])
+    dropped = marks.select("h1", "h2", "doc_id", "said", "word", "bits").join(frequent, ["h1", "h2"])
     if keep_first:
-        stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.shiftright("first.pos", 6) == F.col("word"))
+        same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("said") == F.col("first.said"))
+        stays = same & (F.shiftright("first.pos", 6) == F.col("word"))
         dropped = dropped.withColumn("bits", F.when(stays, F.col("bits").bitwiseXOR(bit(F.col("first.pos")))).otherwise(F.col("bits")))
-    return dropped.groupBy("doc_id", "word").agg(F.bit_or("bits").alias("bits"))
+    return dropped.groupBy("doc_id", "said", "word").agg(F.bit_or("bits").alias("bits"))
 
 
 def keep_bitmaps(docs: DataFrame, least_docs: int, keep_first: bool = False, partitions: int | None = None, least_chars: int = 1) -> DataFrame:
-    """Rows ``doc_id, drops``: for documents that lose lines, the sorted (word, bits) pairs of their compressed bitmap.
+    """Rows ``doc_id, said, drops``: for documents that lose lines, the sorted (word, bits) pairs of their compressed bitmap.
 
     The bitmap of a document holds one bit a line, so its size is bounded by the document.
     """
     n = partitions or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = drop_words(occurrences(docs, n, least_chars), least_docs, keep_first)
-    return words.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("drops"))
+    return words.groupBy("doc_id", "said").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("drops"))
 
 
 def is_dropped(pos: Column, dense: Column) -> Column:
@@ -90,7 +91,8 @@ def dense_words(drops: Column) -> Column:
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_dropped`` and the text that is left, ``kept_text``."""
-    joined = docs.join(bitmaps, "doc_id", "left")
+    found = bitmaps.withColumnsRenamed({"doc_id": "_id", "said": "_said"})
+    joined = docs.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("said") == F.col("_said")), "left").drop("_id", "_said")
     counted = joined.withColumn("_n", F.aggregate("drops", F.lit(0), lambda n, x: n + F.bit_count(x["bits"])))
     lines = line_array(F.col("text"))
     left = F.filter(lines, lambda _, i: ~is_dropped(i, F.col("_dense")))
@@ -107,12 +109,12 @@ def drop_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 def dedup_lines(docs: DataFrame, least_docs: int = 10, keep_first: bool = False, least_chars: int = 1) -> DataFrame:
     """Drop lines found in ``least_docs`` documents: ``doc_id, text, n_lines, n_dropped, kept_text``.
 
-    A null or empty text is one empty line. Keys are compared by a 128-bit hash. Documents are told apart by id: repeated
-    rows of an id are one document for the count, and lose the same line positions. Rows with a null id count as one
-    document and keep all their lines. Other columns are ignored.
+    A null or empty text is one empty line. Keys are compared by a 128-bit hash. Documents are counted by id: rows
+    that repeat an id are one document, those with a null id another one. Each row loses its own lines, whatever other rows of
+    its id say; repeated rows lose the same. Other columns are ignored.
     """
-    base = docs.select("doc_id", "text")
-    return drop_lines(base, keep_bitmaps(base, least_docs, keep_first, None, least_chars))
+    base = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("said"))
+    return drop_lines(base, keep_bitmaps(base, least_docs, keep_first, None, least_chars)).drop("said")
 
 
 ORACLE = r"""
