@@ -35,6 +35,18 @@ class Fold:
         """Output rows after the last row."""
         return ()
 
+    def progress(self, state: Any, key: tuple) -> Iterable[tuple]:
+        """In a stream, output rows after the rows that were ready."""
+        return ()
+
+    def deadline(self, state: Any) -> int | None:
+        """In a stream, the event time in milliseconds at which the state ends if no row comes before."""
+        return None
+
+    def expire(self, state: Any, key: tuple) -> tuple[Any, Iterable[tuple]]:
+        """New state and output rows when the deadline has passed."""
+        return state, ()
+
 
 def ordered_fold(
     df: DataFrame, keys: list[str], order: list[str], columns: list[str], fold: Fold, fields: list[T.StructField]
@@ -398,3 +410,60 @@ def decode_steps(chunks: DataFrame, keys: list[str], order: list[str], row_id: s
         T.StructField("over_cap", T.BooleanType()),
     ]
     return ordered_fold(chunks, keys, order, [row_id, "samples"], gate, fields)
+
+
+SESSION_FIELDS = [T.StructField(n, T.LongType()) for n in ("session_start_ms", "messages", "ttfp_ms", "finalization_lag_ms", "version")] + [
+    T.StructField("open", T.BooleanType())
+]
+
+
+class LiveSession(Fold):
+    """Sessions that end ``idle_ms`` after their last message, or with the first message more than ``cap_ms`` after they began.
+
+    Rows are ``(at_ms, type, counted)``. Output are versions of a session; the highest one counts. A session that goes on is
+    shown as open after the rows that were ready, and once more when it has ended.
+    """
+
+    def __init__(self, idle_ms: int, cap_ms: int):
+        self.idle_ms, self.cap_ms = idle_ms, cap_ms
+
+    def start(self, key):
+        return None
+
+    def step(self, state, key, row):
+        at, kind, counted = row
+        out = []
+        if state is not None and (at - state["last"] >= self.idle_ms or at - state["from"] > self.cap_ms):
+            out, state = [self._row(state, False)], None
+        if state is None:
+            state = {"from": at, "last": at, "messages": 0, "sent": None, "partial": None, "final": None, "version": 0}
+        state["last"] = at
+        state["messages"] += 1
+        if kind == "send" and state["sent"] is None:
+            state["sent"] = at
+        if counted and state["partial"] is None:
+            state["partial"] = at
+        if kind == "final":
+            state["final"] = at
+        return state, out
+
+    def progress(self, state, key):
+        if state is None:
+            return []
+        row = self._row(state, True)
+        state["version"] += 1
+        return [row]
+
+    def deadline(self, state):
+        return None if state is None else state["last"] + self.idle_ms
+
+    def expire(self, state, key):
+        return None, [self._row(state, False)]
+
+    def finish(self, state, key):
+        return [] if state is None else [self._row(state, True)]
+
+    @staticmethod
+    def _row(state, still_open):
+        since = lambda at: None if at is None or state["sent"] is None else at - state["sent"]
+        return state["from"], state["messages"], since(state["partial"]), since(state["final"]), state["version"], still_open

@@ -119,34 +119,57 @@ def st07(spark, sf_dir):
 
 @query(
     "st08_st10_live_sessions",
-    """WITH g AS (SELECT user_id, event_type, ts, epoch_us(ts) // 1000 AS t, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOURS
-  THEN 0 ELSE 1 END AS b FROM events),
-s AS (SELECT *, sum(b) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g),
-a AS (SELECT user_id, k, max(ts) AS last_ts, min(t) AS session_start_ms, count(*) AS messages, min(CASE WHEN event_type = 'click' THEN t END) AS st,
-  min(CASE WHEN event_type = 'view' THEN t END) AS fp, max(CASE WHEN event_type = 'purchase' THEN t END) AS fin FROM s GROUP BY 1, 2)
-SELECT user_id, session_start_ms, messages, fp - st AS ttfp_ms, fin - st AS finalization_lag_ms FROM a
-WHERE date_trunc('millisecond', last_ts) + INTERVAL 12 HOURS <= (SELECT date_trunc('millisecond', max(ts)) FROM events)""",
+    """WITH RECURSIVE n AS (SELECT user_id, event_id, event_type, epoch_us(ts) // 1000 AS t, row_number() OVER w AS pos,
+  lag(epoch_us(ts) // 1000) OVER w AS p FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+walk AS (SELECT user_id, pos, t AS s0 FROM n WHERE pos = 1
+  UNION ALL SELECT n.user_id, n.pos, CASE WHEN n.t - n.p >= 43200000 OR n.t - w.s0 > 86400000 THEN n.t ELSE w.s0 END
+  FROM walk w JOIN n ON n.user_id = w.user_id AND n.pos = w.pos + 1),
+a AS (SELECT user_id, s0 AS session_start_ms, max(t) AS last_t, max(pos) AS last_pos, count(*) AS messages,
+  min(CASE WHEN event_type = 'click' THEN t END) AS st, min(CASE WHEN event_type = 'view' THEN t END) AS fp,
+  max(CASE WHEN event_type = 'purchase' THEN t END) AS fin FROM walk JOIN n USING (user_id, pos) GROUP BY 1, 2)
+SELECT user_id, session_start_ms, messages, fp - st AS ttfp_ms, fin - st AS finalization_lag_ms,
+  last_pos = max(last_pos) OVER (PARTITION BY user_id) AND last_t + 43200000 > (SELECT max(t) FROM n) AS open FROM a""",
 )
 def st08(spark, sf_dir):
+    """Sessions of at most a day that end after half a day of silence; those still open are among them."""
     kind = F.col("event_type")
     messages = events_stream(spark, sf_dir).select(
         "user_id",
         "ts",
+        "event_id",
         F.when(kind == "click", "send").when(kind == "view", "partial").when(kind == "purchase", "final").otherwise("ready").alias("type"),
         kind.alias("text"),
     )
-    return live.run_available(live.session_latency(messages, ["user_id"], "ts", gap="12 hours"), "sessions")
+    out = live.session_latency(messages, ["user_id"], "ts", ["event_id"], idle_s=12 * 3600, cap_s=86_400, delay="0 seconds")
+    return live.latest_versions(live.run_available(out, "sessions"), ["user_id", "session_start_ms"])
 
 
 @query(
     "st11_live_rate",
     """WITH h AS (SELECT event_type AS path, epoch_us(ts) // 3600000000 AS step FROM events), s AS (SELECT path, unnest(range(step, step + 6)) AS last FROM h)
-SELECT path, (last + 1) * 3600 AS eval_s, count(*) AS n, count(*) / 21600e0 AS rate FROM s
-WHERE (last + 1) * 3600 <= (SELECT max(epoch_us(ts)) / 1e6 FROM events) GROUP BY 1, 2""",
+SELECT path, (last + 1) * 3600 AS eval_s, count(*) AS n, count(*) / 21600e0 AS rate FROM s GROUP BY 1, 2""",
 )
 def st11(spark, sf_dir):
+    """Every window, also those that are still open at the end."""
     events = events_stream(spark, sf_dir).select("ts", F.col("event_type").alias("path"))
-    return live.run_available(live.event_rate(events, ["path"], "ts", window="6 hours", slide="1 hour"), "rates")
+    return live.run_updates(live.event_rate(events, ["path"], "ts", window="6 hours", slide="1 hour"), "rates", ["path", "eval_s"])
+
+
+@query(
+    "st11_late_rows",
+    """WITH e AS (SELECT event_type, ts, event_id % 4 AS part FROM events),
+m AS (SELECT part, max(ts) AS latest FROM e GROUP BY 1),
+w AS (SELECT p.part, date_trunc('millisecond', max(m.latest) - INTERVAL 10 DAY) AS mark FROM m p JOIN m ON m.part < p.part GROUP BY 1)
+SELECT event_type, epoch(date_trunc('hour', ts))::BIGINT AS hour_s, 'late' AS reason, count(*) AS n FROM e JOIN w USING (part) WHERE ts < mark GROUP BY 1, 2""",
+)
+def st11_late(spark, sf_dir):
+    """Events in four deliveries, each of them over the whole time: what a query with a delay of ten days drops."""
+    path = scratch_path(spark, "deliveries")
+    for part in range(4):  # one after the other, as the stream takes files by their age
+        table(spark, sf_dir, "events").filter(F.col("event_id") % 4 == part).coalesce(1).write.parquet(f"{path}/{part}")
+    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
+    out = live.audit(source.parquet(path), ["event_type"], "ts", "late", delay="10 days")
+    return out.select("event_type", F.unix_seconds("hour").alias("hour_s"), "reason", "n")
 
 
 @query(

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from voxlake.functions.predicates import is_counted_partial
 from voxlake.operators import folds
+from voxlake.operators.joins import latest_per_key
 from voxlake.operators.scans import instant, micros
 from voxlake.session import STATE_STORE, scratch_path
 from voxlake.streaming.ordered import stream_fold
@@ -104,34 +105,88 @@ def settled_files(polls: DataFrame, ts: str, *, settle_polls: int = 2) -> DataFr
     )
 
 
-def session_latency(messages: DataFrame, keys: list[str], ts: str, *, gap: str, delay: str = "0 seconds") -> DataFrame:
-    """First partial and last final of each session, once the watermark has closed it."""
-    timed = messages.withColumn("_ts", instant(F.col(ts))).withWatermark("_ts", delay)
-    counted = is_counted_partial(F.col("type"), F.col("text"))
-    at = F.unix_millis("_ts")
-    sessions = timed.groupBy(*keys, F.session_window("_ts", gap).alias("session")).agg(
-        F.min(F.when(F.col("type") == "send", at)).alias("_started"),
-        F.min(F.when(counted, at)).alias("_partial"),
-        F.max(F.when(F.col("type") == "final", at)).alias("_final"),
-        F.count(F.lit(1)).alias("messages"),
-    )
-    return sessions.select(
-        *keys,
-        F.unix_millis("session.start").alias("session_start_ms"),
-        "messages",
-        (F.col("_partial") - F.col("_started")).alias("ttfp_ms"),
-        (F.col("_final") - F.col("_started")).alias("finalization_lag_ms"),
-    )
+def session_latency(
+    messages: DataFrame, keys: list[str], ts: str, order: list[str], *, idle_s: float, cap_s: float, delay: str = "10 seconds"
+) -> DataFrame:
+    """First partial and last final of each session as versions: open ones while they go on, ended ones for good.
+
+    A session ends ``idle_s`` after its last message, by a timer, or with the first message more than ``cap_s`` after it
+    began. :func:`latest_versions` keeps what counts.
+    """
+    timed = messages.withColumns({"at_ms": F.unix_millis(instant(F.col(ts))), "counted": is_counted_partial(F.col("type"), F.col("text"))})
+    fold = folds.LiveSession(int(idle_s * 1000), int(cap_s * 1000))
+    return stream_fold(timed, keys, ts, order, ["at_ms", "type", "counted"], fold, folds.SESSION_FIELDS, delay=delay)
+
 
+def latest_versions(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of the versions of each key the highest one; an ended one goes before an open one of the same number."""
+    order = F.struct(F.col("version"), (~F.col("open")).alias("ended"))
+    return latest_per_key(rows, keys, order).drop("version")
 
-def event_rate(events: DataFrame, keys: list[str], ts: str, *, window: str, slide: str, delay: str = "0 seconds") -> DataFrame:
-    """Events per sliding window; windows are emitted when the watermark has passed them."""
+
+def event_rate(events: DataFrame, keys: list[str], ts: str, *, window: str, slide: str, delay: str = "10 seconds") -> DataFrame:
+    """Events per sliding window; in update mode a window is shown whenever it has changed, see :func:`run_updates`."""
     timed = events.withColumn("_ts", instant(F.col(ts))).withWatermark("_ts", delay)
     counted = timed.groupBy(*keys, F.window("_ts", window, slide).alias("w")).agg(F.count(F.lit(1)).alias("n"))
     seconds = (F.unix_millis("w.end") - F.unix_millis("w.start")) / 1000.0
     return counted.select(*keys, F.unix_seconds("w.end").alias("eval_s"), "n", (F.col("n") / seconds).alias("rate"))
 
 
+def run_updates(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
+    """Run an aggregation over what is available now in update mode; of the rows of each key the last one counts.
+
+    A batch that is repeated after a failure overwrites its own folder.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    path = scratch_path(spark, label)
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/data/version={batch_id}")
+
+    run = (
+        stream.writeStream.foreachBatch(store)
+        .outputMode("update")
+        .option("checkpointLocation", f"{path}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    run.awaitTermination()
+    schema = T.StructType([*stream.schema.fields, T.StructField("version", T.LongType())])
+    return latest_per_key(spark.read.schema(schema).parquet(f"{path}/data"), keys, F.col("version")).drop("version")
+
+
+def audit(stream: DataFrame, keys: list[str], ts: str, label: str, *, delay: str) -> DataFrame:
+    """Rows that a query with this delay drops or cannot place: ``keys, hour, reason, n``; ``reason`` is ``late`` for rows
+    behind the watermark of the batches before theirs, ``undecodable`` for those without a time (``hour`` is null).
+
+    Each batch stores its counts and its latest time under its number, so a batch that is repeated after a failure counts
+    once, and the watermark is known again after a restart.
+    """
+    spark = stream.sparkSession
+    path = scratch_path(spark, label)
+    at = F.unix_micros(instant(F.col(ts)))
+    late_by = F.expr(f"INTERVAL {delay}")
+
+    def store(batch: DataFrame, batch_id: int) -> None:
+        before = None
+        if batch_id:
+            seen = spark.read.schema("latest bigint, batch bigint").parquet(f"{path}/latest").filter(F.col("batch") < batch_id)
+            before = seen.agg(F.max("latest")).first()[0]
+        # As the engine does, the watermark is cut to milliseconds.
+        mark = F.floor(F.unix_micros(F.timestamp_micros(F.lit(before)) - late_by) / 1000) * 1000 if before is not None else F.lit(None)
+        reason = F.when(at.isNull(), "undecodable").when(at < mark, "late")
+        odd = batch.withColumns({"reason": reason, "hour": F.date_trunc("hour", F.timestamp_micros(at))}).filter("reason is not null")
+        odd.groupBy(*keys, "hour", "reason").agg(F.count(F.lit(1)).alias("n")).write.mode("overwrite").parquet(f"{path}/odd/batch={batch_id}")
+        batch.agg(F.max(at).alias("latest")).write.mode("overwrite").parquet(f"{path}/latest/batch={batch_id}")
+
+    run = stream.writeStream.foreachBatch(store).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    run.awaitTermination()
+    fields = [stream.schema[k] for k in keys] + [T.StructField("hour", T.TimestampType()), T.StructField("reason", T.StringType()), T.StructField("n", T.LongType())]
+    stored = spark.read.schema(T.StructType(fields)).option("recursiveFileLookup", True).parquet(f"{path}/odd")
+    return stored.groupBy(*keys, "hour", "reason").agg(F.sum("n").alias("n"))
+
+
 def active_sessions(changes: DataFrame, keys: list[str], ts: str, row_id: str) -> DataFrame:
     """Open sessions after every change, per server instance or shard named by ``keys``."""
     fields = [changes.schema[row_id], T.StructField("active", T.LongType())]

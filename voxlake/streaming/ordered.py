@@ -1,8 +1,12 @@
 """Event-time ordered folds as keyed streaming state.
 
 Rows may arrive out of order: they wait in state until the watermark passes them and are then folded in order.
-The state of a key is one small fold state plus the rows younger than the watermark. Rows later than the watermark
-are dropped by the engine and counted in its progress (``numRowsDroppedByWatermark``).
+The state of a key is one small fold state plus the rows younger than the watermark, kept by slice of event time. A slice
+has a timer of its own, and a timer reads and writes the slices that are due, not all that waits. Rows later than the
+watermark are dropped by the engine and counted in its progress (``numRowsDroppedByWatermark``); ``audit`` says which.
+
+A fold may also say something between rows: ``progress`` after the rows that were ready, ``deadline`` the event time (in
+milliseconds) at which its state ends if no row comes, and ``expire`` what that gives.
 """
 
 from __future__ import annotations
@@ -21,44 +25,63 @@ from voxlake.operators.folds import Fold
 from voxlake.operators.scans import instant
 
 
+#: Event time of one slice of waiting rows.
+SLICE_MS = 60_000
+
+
 class OrderedFold(StatefulProcessor):
     """Runs a :class:`Fold` behind the watermark."""
 
-    def __init__(self, fold: Fold, names: list[str], order: list[str], columns: list[str], ttl_ms: int | None):
-        self.fold, self.names, self.order, self.columns, self.ttl_ms = fold, names, order, columns, ttl_ms
+    def __init__(self, fold: Fold, names: list[str], order: list[str], columns: list[str], ttl_ms: int | None, slice_ms: int = SLICE_MS):
+        self.fold, self.names, self.order, self.columns, self.ttl_ms, self.slice_ms = fold, names, order, columns, ttl_ms, slice_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "at_ms BIGINT, row STRING")  # rows not folded yet never expire
+        # Rows not folded yet never expire.
+        self.waiting = handle.getMapState("waiting", "slice BIGINT", "rows STRING")
         self.folded = handle.getValueState("folded", "value STRING", self.ttl_ms)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        fresh = []
+        fresh: dict[int, list] = {}
         for pdf in rows:
             order = pdf[self.order].itertuples(index=False, name=None)
             values = pdf[self.columns].itertuples(index=False, name=None)
             for at, o, v in zip(pdf["ev_ms"], order, values):
-                fresh.append((int(at), json.dumps([_plain(o), _plain(v)])))
-        if fresh:
-            self.waiting.appendList(fresh)
-            self.handle.registerTimer(max(min(at for at, _ in fresh), timerValues.getCurrentWatermarkInMs() + 1))
+                fresh.setdefault(int(at) // self.slice_ms, []).append([int(at), _plain(o), _plain(v)])
+        soonest = timerValues.getCurrentWatermarkInMs() + 1
+        for slice_, new in fresh.items():
+            held = json.loads(self.waiting.getValue((slice_,))[0]) if self.waiting.containsKey((slice_,)) else []
+            self.waiting.updateValue((slice_,), (json.dumps(held + new),))
+            self.handle.registerTimer(max(min(at for at, _, _ in new), soonest))
         yield pd.DataFrame(columns=self.names)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         reached = timerValues.getCurrentWatermarkInMs()
-        waiting = list(self.waiting.get())
-        ready = sorted((json.loads(row) for at, row in waiting if at <= reached), key=lambda r: r[0])
-        later = [(at, row) for at, row in waiting if at > reached]
         state = json.loads(self.folded.get()[0]) if self.folded.exists() else self.fold.start(key)
-        out = []
-        for _, values in ready:
-            state, produced = self.fold.step(state, key, tuple(values))
+        out, stepped = [], False
+        for (slice_,) in sorted(tuple(s) for s in self.waiting.keys()):
+            if slice_ * self.slice_ms > reached:
+                break
+            rows = json.loads(self.waiting.getValue((slice_,))[0])
+            for _, _, values in sorted((r for r in rows if r[0] <= reached), key=lambda r: r[1]):
+                state, produced = self.fold.step(state, key, tuple(values))
+                out += [(*key, *r) for r in produced]
+                stepped = True
+            later = [r for r in rows if r[0] > reached]
+            if later:
+                self.waiting.updateValue((slice_,), (json.dumps(later),))
+                self.handle.registerTimer(min(at for at, _, _ in later))
+            else:
+                self.waiting.removeKey((slice_,))
+        ends = self.fold.deadline(state)
+        if ends is not None and ends <= reached:
+            state, produced = self.fold.expire(state, key)
             out += [(*key, *r) for r in produced]
+        elif stepped:
+            out += [(*key, *r) for r in self.fold.progress(state, key)]
+            if ends is not None:
+                self.handle.registerTimer(ends)
         self.folded.update((json.dumps(state),))
-        self.waiting.clear()
-        if later:
-            self.waiting.appendList(later)
-            self.handle.registerTimer(min(at for at, _ in later))
         yield pd.DataFrame(out, columns=self.names)
 
     def close(self) -> None:
@@ -80,6 +103,7 @@ def stream_fold(
     *,
     delay: str = "0 seconds",
     ttl_ms: int | None = None,
+    slice_ms: int = SLICE_MS,
 ) -> DataFrame:
     """Fold ``columns`` of every key along event time and ``order``; output is the keys and ``fields``."""
     schema = T.StructType([stream.schema[k] for k in keys] + fields)
@@ -87,7 +111,7 @@ def stream_fold(
     timed = stream.withColumn("ev_ts", instant(F.col(ts))).withWatermark("ev_ts", delay)
     timed = timed.withColumns({"ev_ms": F.unix_millis("ev_ts"), "ev_us": F.unix_micros("ev_ts")})
     needed = list(dict.fromkeys([*keys, "ev_ts", "ev_ms", "ev_us", *order, *columns]))
-    processor = OrderedFold(fold, schema.names, ["ev_us", *order], columns, ttl_ms)
+    processor = OrderedFold(fold, schema.names, ["ev_us", *order], columns, ttl_ms, slice_ms)
     return timed.select(*needed).groupBy(*keys).transformWithStateInPandas(
         processor, outputStructType=schema, outputMode="Append", timeMode="EventTime"
     )
