@@ -22,6 +22,7 @@ from operator import itemgetter
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -34,13 +35,29 @@ LEAST_DOCS, TOP, SMOOTH, UNIT = 30, 50, 5, 1_000_000_000
 #: A term, in UTF-8 with A-Z lower-cased: letters and all beyond ASCII.
 TERM = re.compile(rb"[a-z\x80-\xff]+")
 #: Memory of a block, in postings and in bytes of its terms; terms of a chunk; runs that are merged at a time.
-BLOCK_POSTINGS, BLOCK_BYTES, CHUNK_TERMS, FAN_IN = 1 << 19, 1 << 24, 4096, 64
+BLOCK_POSTINGS, BLOCK_BYTES, CHUNK_TERMS, FAN_IN = 1 << 20, 1 << 25, 4096, 64
+#: Counters of a shard's documents by hash of the term.
+HASHED = 1 << 20
 #: Characters of input a shard is to hold on average, and the most shards that a run is cut into.
 SHARD_CHARS, MOST_SHARDS = 1 << 23, 1 << 16
 #: Sources of a block of the pair table, and postings of one task of it.
 PAIR_SOURCES, PAIR_POSTINGS = 512, 1 << 17
 
-RUN_SCHEMA = "lang string, shard int, run long, seq int, terms binary, docs binary, sizes binary, sources array<string>, places binary, counts binary"
+RUN_SCHEMA = "lang string, shard int, run long, seq int, sources array<string>, body binary"
+
+
+def pack(terms: list[bytes], *numbers: np.ndarray) -> bytes:
+    """Terms and lists of numbers as one compressed body."""
+    parts = [b" ".join(terms), *(n.astype("<i8").tobytes() for n in numbers)]
+    return zstandard.compress(np.array([len(x) for x in parts], "<i8").tobytes() + b"".join(parts), 1)
+
+
+def unpack(body: bytes) -> tuple:
+    """Terms, documents, numbers of postings, places of their sources, and their counts."""
+    raw = zstandard.decompress(body)
+    cuts = 40 + np.cumsum([0, *np.frombuffer(raw, "<i8", 5).tolist()])
+    terms, *numbers = (raw[a:b] for a, b in zip(cuts, cuts[1:]))
+    return terms.split(b" "), *(np.frombuffer(n, "<i8") for n in numbers)
 
 
 class Block:
@@ -112,12 +129,8 @@ class Block:
                     "shard": int(shard[term[i]]),
                     "run": run,
                     "seq": seq,
-                    "terms": b" ".join(names[order[t]] for t in term[i:j]),
-                    "docs": docs[i:j].astype("<i8").tobytes(),
-                    "sizes": (ends[i:j] - first[i:j]).astype("<i4").tobytes(),
                     "sources": [groups[g][1] for g in used],
-                    "places": at.astype("<i4").tobytes(),
-                    "counts": count[p].astype("<i8").tobytes(),
+                    "body": pack([names[order[t]] for t in term[i:j]], docs[i:j], ends[i:j] - first[i:j], at, count[p]),
                 }
         self.clear()
 
@@ -133,13 +146,11 @@ def entries(chunks: list[dict], run: int, enough: np.ndarray | None = None) -> I
     """Term, run, documents, and where its postings are, one by one in the order of terms; one chunk is unpacked at a time.
     With ``enough``, terms whose hash has no mark there are left out."""
     for c in sorted(chunks, key=itemgetter("seq")):
-        terms = c["terms"].split(b" ")
-        docs = np.frombuffer(c["docs"], "<i8").tolist()
-        ends = np.cumsum(np.frombuffer(c["sizes"], "<i4")).tolist()
-        kept = zip(terms, docs, [0, *ends], ends)
+        terms, docs, sizes, places, counts = unpack(c["body"])
+        ends = np.cumsum(sizes).tolist()
+        kept = zip(terms, docs.tolist(), [0, *ends], ends)
         if enough is not None:
             kept = compress(kept, enough[hashes(terms) & (len(enough) - 1)].tolist())
-        places, counts = np.frombuffer(c["places"], "<i4"), np.frombuffer(c["counts"], "<i8")
         for term, n, start, end in kept:
             yield term, run, n, start, end, c["sources"], places, counts
 
@@ -150,10 +161,10 @@ def hashes(terms: list[bytes]) -> np.ndarray:
 
 def possible(runs: list[list[dict]], least_docs: int) -> np.ndarray:
     """Marks by hash: those under which the runs have ``least_docs`` documents. No term of another hash can have as many."""
-    size = 1 << (4 * sum(len(c["docs"]) // 8 for chunks in runs for c in chunks)).bit_length()
-    total = np.zeros(size, np.int64)
+    total = np.zeros(HASHED, np.int64)
     for c in (c for chunks in runs for c in chunks):
-        np.add.at(total, hashes(c["terms"].split(b" ")) & (size - 1), np.frombuffer(c["docs"], "<i8"))
+        terms, docs, *_ = unpack(c["body"])
+        np.add.at(total, hashes(terms) & (HASHED - 1), docs)
     return total >= least_docs
 
 
@@ -185,12 +196,14 @@ def packed(lang: str, shard: int, run: int, terms: Iterator[tuple[bytes, int, di
             "shard": shard,
             "run": run,
             "seq": seq,
-            "terms": b" ".join(t for t, _, _ in held),
-            "docs": np.array([n for _, n, _ in held], "<i8").tobytes(),
-            "sizes": np.array([len(by) for _, _, by in held], "<i4").tobytes(),
             "sources": names,
-            "places": np.array([at[s] for _, _, by in held for s in by], "<i4").tobytes(),
-            "counts": np.array([n for _, _, by in held for n in by.values()], "<i8").tobytes(),
+            "body": pack(
+                [t for t, _, _ in held],
+                np.array([n for _, n, _ in held], np.int64),
+                np.array([len(by) for _, _, by in held], np.int64),
+                np.array([at[s] for _, _, by in held for s in by], np.int64),
+                np.array([n for _, _, by in held for n in by.values()], np.int64),
+            ),
         }
 
     for term in terms:
