@@ -69,3 +69,14 @@ def test_a_long_recording_spreads(spark):
     sizes = [r["count"] for r in out.withColumn("slice", (out.before / (blocks.SLICE * 20)).cast("long")).groupBy("slice").count().collect()]
     assert len(sizes) > blocks.FAN and max(sizes) < 1000 and sum(sizes) == 60_000
     assert out.groupBy("first_position").agg({"seconds": "sum"}).filter("`sum(seconds)` > 20.00001 or `sum(seconds)` < 4.99999").count() == 0
+
+
+def test_rows_are_numbered_over_partitions(spark):
+    from voxlake.operators.scans import number_rows
+
+    rows = spark.range(500).selectExpr("id % 7 AS k", "(id * 37) % 100 AS v").repartition(5)
+    got = number_rows(rows, ["v"], "n").collect()
+    assert sorted(r.n for r in got) == list(range(1, 501))
+    by = sorted(got, key=lambda r: r.n)
+    assert all(a.v <= b.v for a, b in zip(by, by[1:]))
+    assert number_rows(rows.limit(0), ["v"], "n").collect() == []

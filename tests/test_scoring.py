@@ -86,3 +86,49 @@ def test_quantile_edges(spark):
     row = spark.createDataFrame([([0, 0, 4], 8)], "counts array<bigint>, n bigint")
     q = lambda p: row.select(telemetry.histogram_quantile(p, F.col("counts"), F.col("n"), [1.0, 2.0, 4.0]).alias("q")).first()["q"]
     assert q(0.25) == 3.0 and q(0.99) == 4.0
+
+
+def plain_split(ref, hyp):
+    d = [[i + j if not i or not j else 0 for j in range(len(hyp) + 1)] for i in range(len(ref) + 1)]
+    for i in range(1, len(ref) + 1):
+        for j in range(1, len(hyp) + 1):
+            d[i][j] = min(d[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]), d[i][j - 1] + 1, d[i - 1][j] + 1)
+    i, j, out = len(ref), len(hyp), [0, 0, 0]
+    while i or j:
+        if i and j and ref[i - 1] == hyp[j - 1]:
+            i, j = i - 1, j - 1
+        elif i and j and d[i][j] == d[i - 1][j - 1] + 1:
+            out[0], i, j = out[0] + 1, i - 1, j - 1
+        elif j and d[i][j] == d[i][j - 1] + 1:
+            out[1], j = out[1] + 1, j - 1
+        else:
+            out[2], i = out[2] + 1, i - 1
+    return tuple(out)
+
+
+def test_error_split_is_that_of_the_plain_table():
+    import random
+
+    from voxlake.functions.distance import edit_distance, error_split
+
+    rng = random.Random(8)
+    for _ in range(400):
+        ref, hyp = ([rng.choice("abcde") for _ in range(rng.randint(0, 40))] for _ in range(2))
+        split = error_split(ref, hyp)
+        assert split == plain_split(ref, hyp) and sum(split) == edit_distance(ref, hyp)
+
+
+def test_error_split_of_long_texts_needs_little_memory():
+    import random
+    import tracemalloc
+
+    from voxlake.functions.distance import edit_distance, error_split
+
+    rng = random.Random(9)
+    ref = [f"w{rng.randrange(3000)}" for _ in range(20_000)]
+    hyp = [w if rng.random() < 0.8 else f"x{rng.randrange(50)}" for w in ref if rng.random() < 0.9] + ["more"] * 2000
+    tracemalloc.start()
+    split = error_split(ref, hyp)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 50_000_000 and sum(split) == edit_distance(ref, hyp) and split[1] - split[2] == len(hyp) - len(ref)

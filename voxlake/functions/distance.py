@@ -1,11 +1,12 @@
 """Word-level edit distance with Arrow-batched helpers.
 
-The distance kernel keeps a whole row of the table in one big integer, so a pair of texts costs one pass over
-the shorter side's bit vector per word of the other side. Equal and empty pairs never reach Python.
+The distance kernel keeps a whole column of the table in big integers, so a pair of texts costs one pass over the reference's
+bit vector per word of the hypothesis. Equal and empty pairs never reach Python.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import pandas as pd
@@ -16,54 +17,69 @@ from pyspark.sql import types as T
 SPLIT_TYPE = T.StructType([T.StructField(n, T.IntegerType()) for n in ("sub", "ins", "del")])
 
 
-def _columns(reference: Sequence[str], hypothesis: Sequence[str], keep: bool):
-    """Vertical (+1/-1) and horizontal (+1/-1) step bits for every hypothesis word."""
-    full = (1 << len(reference)) - 1
-    match: dict[str, int] = {}
-    for i, word in enumerate(reference):
-        match[word] = match.get(word, 0) | (1 << i)
-    up, down, distance, top = full, 0, len(reference), 1 << (len(reference) - 1)
-    steps = []
-    for word in hypothesis:
-        eq = match.get(word, 0)
+class _Table:
+    """The edit table of a reference, a column of step bits at a time."""
+
+    def __init__(self, reference: Sequence[str]):
+        self.full = (1 << len(reference)) - 1
+        self.match: dict[str, int] = {}
+        for i, word in enumerate(reference):
+            self.match[word] = self.match.get(word, 0) | (1 << i)
+
+    def column(self, up: int, down: int, word: str) -> tuple[int, int, int, int]:
+        """Vertical (+1/-1) and horizontal (+1/-1) step bits of the column of ``word`` from the vertical ones before it."""
+        full, eq = self.full, self.match.get(word, 0)
         diag = (((eq & up) + up) ^ up) | eq | down
-        plus = down | (full & ~(diag | up))
-        minus = up & diag
-        if plus & top:
-            distance += 1
-        elif minus & top:
-            distance -= 1
-        if keep:
-            steps.append([0, 0, plus, minus])
-        plus, minus = ((plus << 1) | 1) & full, (minus << 1) & full
-        up, down = minus | (full & ~(diag | plus)), plus & diag
-        if keep:
-            steps[-1][:2] = up, down
-    return distance, full, steps
+        across_plus = down | (full & ~(diag | up))
+        across_minus = up & diag
+        plus, minus = ((across_plus << 1) | 1) & full, (across_minus << 1) & full
+        return minus | (full & ~(diag | plus)), plus & diag, across_plus, across_minus
 
 
 def edit_distance(reference: Sequence[str], hypothesis: Sequence[str]) -> int:
     """Levenshtein distance over words."""
     if not len(reference) or not len(hypothesis):
         return max(len(reference), len(hypothesis))
-    return _columns(reference, hypothesis, keep=False)[0]
+    table, distance, top = _Table(reference), len(reference), 1 << (len(reference) - 1)
+    up, down = table.full, 0
+    for word in hypothesis:
+        up, down, plus, minus = table.column(up, down, word)
+        distance += 1 if plus & top else -1 if minus & top else 0
+    return distance
 
 
 def error_split(reference: Sequence[str], hypothesis: Sequence[str]) -> tuple[int, int, int]:
-    """Substitutions, insertions and deletions; ties go to match, substitution, insertion, deletion."""
+    """Substitutions, insertions and deletions; ties go to match, substitution, insertion, deletion.
+
+    The way back needs every column. One column in each stretch of them is kept, and a stretch is made again when the way
+    comes to it, so the bits held grow with the root of the hypothesis times the reference.
+    """
     i, j = len(reference), len(hypothesis)
     if not i or not j:
         return 0, j, i
-    _, full, steps = _columns(reference, hypothesis, keep=True)
+    table, stretch = _Table(reference), math.isqrt(j) + 1
+    up, down, kept = table.full, 0, []
+    for k, word in enumerate(hypothesis):
+        if k % stretch == 0:
+            kept.append((up, down))
+        up, down, _, _ = table.column(up, down, word)
     sub = ins = dele = 0
+    first, columns = j, []
     while i and j:
         if reference[i - 1] == hypothesis[j - 1]:
             i, j = i - 1, j - 1
             continue
-        _, _, plus, minus = steps[j - 1]
+        if j - 1 < first:
+            first = (j - 1) // stretch * stretch
+            up, down = kept[first // stretch]
+            columns = []
+            for word in hypothesis[first:j]:
+                before = up, down
+                up, down, plus, minus = table.column(up, down, word)
+                columns.append((*before, plus, minus))
+        left_up, left_down, plus, minus = columns[j - 1 - first]
         bit = 1 << (i - 1)
         across = 1 if plus & bit else -1 if minus & bit else 0
-        left_up, left_down = steps[j - 2][:2] if j > 1 else (full, 0)
         below = 1 if left_up & bit else -1 if left_down & bit else 0
         if across + below == 1:
             sub, i, j = sub + 1, i - 1, j - 1

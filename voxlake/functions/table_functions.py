@@ -1,13 +1,28 @@
 """Functions for SQL users: scalar functions on Arrow batches and table functions for the window plans.
 
-The table functions are SQL themselves, so the optimizer sees through them. DataFrame code uses ``operators.windows``.
+The window functions are SQL themselves, so the optimizer sees through them. DataFrame code uses ``operators.windows``.
+
+Words, segments and cues are polymorphic functions of a table whose rows come by partition and in order::
+
+    SELECT * FROM natural_segments(TABLE(words) PARTITION BY recording_id ORDER BY (word_idx), 'recording_id')
+
+They stream over the rows of a partition and hold one open word, segment or cue. A recording is one partition there; the
+DataFrame operators of ``operators.words`` spread a long one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Iterator
+from typing import Any
+
+from pyspark.sql import Row, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from voxlake.functions.distance import distance_udf, split_udf
+from voxlake.functions.timing import SECONDS_PER_FRAME
+from voxlake.operators.words import CAPTION_BYTES, CAPTION_WORDS, MAX_SEGMENT_SECONDS, PAUSE_SECONDS, WORD_BOUNDARY
 from voxlake.operators.windows import (
     LABEL_OVERLAP_WORDS,
     LABEL_WINDOW_WORDS,
@@ -40,9 +55,180 @@ WHERE n_words > 0
 """
 
 
+class _Spans:
+    """Rows of one partition in order, put together span by span. A subclass says which columns it needs, when a row begins a
+    new span and what a span gives."""
+
+    needs: tuple[str, ...] = ()
+
+    def __init__(self) -> None:
+        self.span: list[Row] = []
+        self.before: Row | None = None
+        self.keys: list[str] = []
+
+    @classmethod
+    def fields(cls, table: T.StructType) -> list[T.StructField]:
+        raise NotImplementedError
+
+    @classmethod
+    def described(cls, table: AnalyzeArgument, keys: AnalyzeArgument) -> AnalyzeResult:
+        if not table.isTable or not isinstance(keys.value, str):
+            raise ValueError("call it with TABLE(...) PARTITION BY ... ORDER BY ... and the names of the keys")
+        named = [k.strip() for k in keys.value.split(",") if k.strip()]
+        absent = [c for c in (*named, *cls.needs) if c not in table.dataType.names]
+        if absent:
+            raise ValueError(f"the table has no column {', '.join(absent)}")
+        return AnalyzeResult(T.StructType([table.dataType[k] for k in named] + cls.fields(table.dataType)))
+
+    def eval(self, row: Row, keys: str) -> Iterator[tuple]:
+        self.keys = [k.strip() for k in keys.split(",") if k.strip()]
+        yield from self.aside(row)
+        if self.span and self.breaks(row):
+            yield from self.close()
+        self.span.append(row)
+        self.before = row
+
+    def terminate(self) -> Iterator[tuple]:
+        if self.span:
+            yield from self.close()
+
+    def close(self) -> Iterator[tuple]:
+        rows, self.span = self.span, []
+        made = self.made(rows)
+        if made is not None:
+            yield (*(rows[0][k] for k in self.keys), *made)
+
+    def aside(self, row: Row) -> Iterator[tuple]:
+        """Output before a row that belongs to no span."""
+        return iter(())
+
+    def breaks(self, row: Row) -> bool:
+        raise NotImplementedError
+
+    def made(self, rows: list[Row]) -> tuple | None:
+        raise NotImplementedError
+
+
+def _shared(rows: list[Row]) -> Any:
+    speakers = {r["speaker"] for r in rows}
+    return speakers.pop() if len(speakers) == 1 else None
+
+
+def _mean(values: list) -> float | None:
+    known = [v for v in values if v is not None]
+    return sum(known) / len(known) if known else None
+
+
+class SqlWords(_Spans):
+    """Words of pieces ``tok_idx, text, frame, confidence``; see :func:`voxlake.operators.words.tokens_to_words`."""
+
+    needs = ("tok_idx", "text", "frame", "confidence")
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.ordinal = 0
+
+    @classmethod
+    def fields(cls, table: T.StructType) -> list[T.StructField]:
+        kinds = {"word_ord": T.LongType(), "word": T.StringType(), "start": T.DoubleType(), "end": T.DoubleType(), "confidence": T.DoubleType()}
+        return [T.StructField(n, t) for n, t in kinds.items()]
+
+    @staticmethod
+    def analyze(table: AnalyzeArgument, keys: AnalyzeArgument) -> AnalyzeResult:
+        return SqlWords.described(table, keys)
+
+    def breaks(self, row: Row) -> bool:
+        return row["text"].startswith(WORD_BOUNDARY)
+
+    def made(self, rows: list[Row]) -> tuple | None:
+        if rows[0]["text"].startswith(WORD_BOUNDARY):
+            self.ordinal += 1
+        said = [(r["text"].removeprefix(WORD_BOUNDARY), r) for r in rows]
+        said = [(t, r) for t, r in said if t]
+        if not said:
+            return None
+        first, last = (float(said[i][1]["frame"]) * SECONDS_PER_FRAME for i in (0, -1))
+        return self.ordinal, "".join(t for t, _ in said), first, last, _mean([r["confidence"] for _, r in said])
+
+
+class SqlSegments(_Spans):
+    """Segments of words; see :func:`voxlake.operators.words.natural_segments`."""
+
+    needs = ("word_idx", "word", "start", "end", "speaker", "confidence")
+
+    @classmethod
+    def fields(cls, table: T.StructType) -> list[T.StructField]:
+        kinds = {
+            "segment_start": table["word_idx"].dataType, "start": T.DoubleType(), "end": T.DoubleType(), "text": T.StringType(),
+            "n_words": T.LongType(), "speaker": table["speaker"].dataType, "avg_confidence": T.DoubleType(),
+        }
+        return [T.StructField(n, t) for n, t in kinds.items()]
+
+    @staticmethod
+    def analyze(table: AnalyzeArgument, keys: AnalyzeArgument) -> AnalyzeResult:
+        return SqlSegments.described(table, keys)
+
+    def breaks(self, row: Row) -> bool:
+        before = self.before
+        return (
+            row["start"] - before["end"] > PAUSE_SECONDS
+            or row["speaker"] != before["speaker"]
+            or before["word"].rstrip(" ")[-1:] in (".", "!", "?")
+            or row["end"] - self.span[0]["start"] > MAX_SEGMENT_SECONDS
+        )
+
+    def made(self, rows: list[Row]) -> tuple | None:
+        text = " ".join(r["word"] for r in rows)
+        return rows[0]["word_idx"], float(rows[0]["start"]), float(rows[-1]["end"]), text, len(rows), _shared(rows), _mean([r["confidence"] for r in rows])
+
+
+class SqlCues(_Spans):
+    """Caption cues of words; see :func:`voxlake.operators.words.caption_cues`."""
+
+    needs = ("word_idx", "word", "start", "end", "speaker")
+
+    @classmethod
+    def fields(cls, table: T.StructType) -> list[T.StructField]:
+        kinds = {
+            "cue_start": table["word_idx"].dataType, "cue_part": T.IntegerType(), "start": T.DoubleType(), "end": T.DoubleType(),
+            "text": T.StringType(), "n_words": T.LongType(), "speaker": table["speaker"].dataType,
+        }
+        return [T.StructField(n, t) for n, t in kinds.items()]
+
+    @staticmethod
+    def analyze(table: AnalyzeArgument, keys: AnalyzeArgument) -> AnalyzeResult:
+        return SqlCues.described(table, keys)
+
+    @staticmethod
+    def label(row: Row) -> str:
+        return "" if row["speaker"] is None else f"[SPEAKER_{row['speaker']}] "
+
+    @staticmethod
+    def size(rows: list[Row]) -> int:
+        return sum(len(r["word"].encode()) + 1 for r in rows)
+
+    def aside(self, row: Row) -> Iterator[tuple]:
+        changed = self.before is None or row["speaker"] != self.before["speaker"]
+        if changed and self.label(row) and len(self.label(row)) + self.size([row]) > CAPTION_BYTES:
+            if self.span:  # what was open ends before the label
+                yield from self.close()
+            end = row["end"] if self.before is None else self.before["end"]
+            yield (*(row[k] for k in self.keys), row["word_idx"], 0, float(row["start"]), float(end), self.label(row).rstrip(" "), 0, None)
+
+    def breaks(self, row: Row) -> bool:
+        size = len(self.label(self.span[0])) + self.size(self.span) + self.size([row])
+        return row["speaker"] != self.before["speaker"] or size > CAPTION_BYTES + 1 or len(self.span) >= CAPTION_WORDS
+
+    def made(self, rows: list[Row]) -> tuple | None:
+        text = (self.label(rows[0]) + " ".join(r["word"] for r in rows)).rstrip(" ")
+        return rows[0]["word_idx"], 1, float(rows[0]["start"]), float(rows[-1]["end"]), text, len(rows), _shared(rows)
+
+
 def register_sql(spark: SparkSession) -> None:
     """Make the functions available to SQL."""
     spark.udf.register("word_edit_distance", distance_udf)
     spark.udf.register("word_errors", split_udf)
+    for name, function in (("tokens_to_words", SqlWords), ("natural_segments", SqlSegments), ("caption_cues", SqlCues)):
+        spark.udtf.register(name, udtf(function))
     spark.sql(AUDIO_WINDOWS)
     spark.sql(LABEL_WINDOWS)

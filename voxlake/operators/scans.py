@@ -13,6 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from voxlake.session import materialize
+
 BLOCK = "_block"
 BLOCK_ROWS = 1 << 16
 
@@ -141,6 +143,25 @@ def scan(
     return joined.select(*kept, *[c.alias(n) for n, c in done.items()])
 
 
+def number_rows(df: DataFrame, order: list[Column | str], name: str) -> DataFrame:
+    """``df`` with ``name``, the row's number along ``order`` over the whole table, from one.
+
+    The order is cut into range partitions that are sorted apart. A row's number is its place in its partition after the rows
+    of the partitions before, of which the driver sees one count each.
+    """
+    place = F.monotonically_increasing_id()  # partition and, in its lower 33 bits, the place in it
+    dealt = materialize(df.withColumn("_row", place), "rows").repartitionByRange(*order, "_row").sortWithinPartitions(*order, "_row")
+    placed = materialize(dealt.drop("_row").withColumn("_place", place).withColumn("_part", F.shiftright("_place", 33)), "numbered")
+    sizes = {r["_part"]: r["n"] for r in placed.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    before, rows = [], 0
+    for part in sorted(sizes):
+        before.append((part, rows))
+        rows += sizes[part]
+    offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
+    within = F.col("_place") - F.call_function("shiftleft", F.col("_part"), F.lit(33))
+    return placed.join(offsets, "_part").withColumn(name, F.col("_before") + within + 1).drop("_place", "_part", "_before")
+
+
 def islands(
     df: DataFrame,
     keys: list[str],

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from voxlake.functions import predicates, timing
 from voxlake.functions.expr import words_of
+from voxlake.functions.table_functions import register_sql
 from voxlake.operators import blocks, captions, scoring, windows
 from voxlake.operators import words as ops
 from voxlake.operators.joins import safe_join
 from voxlake.operators.scans import time_block, whole_text
 from voxlake.plans import sql
-from voxlake.plans.registry import query
+from voxlake.plans.registry import ORACLES, query
 from voxlake.plans.relations import DAY, channel_pairs, frames, table, turns, words
 from voxlake.session import materialize, scratch_path
 from voxlake.sources.document_files import write_files
@@ -99,6 +100,28 @@ def sg03(spark, sf_dir):
     return ops.caption_cues(words(spark, sf_dir), REC)
 
 
+def _from_sql(spark, sf_dir, rows: DataFrame, function: str, order: str) -> DataFrame:
+    register_sql(spark)
+    rows.createOrReplaceTempView("voxlake_rows")
+    return spark.sql(f"SELECT * FROM {function}(TABLE(voxlake_rows) PARTITION BY recording_id ORDER BY ({order}), 'recording_id')")
+
+
+@query("ud05_sql_words", ORACLES["sg01_tokens_to_words"])
+def ud05_words(spark, sf_dir):
+    out = _from_sql(spark, sf_dir, pieces(spark, sf_dir), "tokens_to_words", "tok_idx")
+    return out.withColumn("confidence", F.round("confidence", 6))
+
+
+@query("ud05_sql_segments", ORACLES["sg02_natural_segments"])
+def ud05_segments(spark, sf_dir):
+    return _from_sql(spark, sf_dir, words(spark, sf_dir), "natural_segments", "word_idx").drop("avg_confidence")
+
+
+@query("ud05_sql_cues", ORACLES["sg03_caption_cues"])
+def ud05_cues(spark, sf_dir):
+    return _from_sql(spark, sf_dir, words(spark, sf_dir), "caption_cues", "word_idx")
+
+
 @query(
     "sg04_segment_speaker",
     f"""{W} SELECT recording_id, floor(start / 30)::BIGINT AS slot, CASE WHEN min(speaker) = max(speaker) THEN min(speaker) END AS speaker

@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from voxlake.functions.expr import SPACES, is_blank, trimmed
 from voxlake.operators.joins import safe_join
-from voxlake.operators.scans import index_block, scan
+from voxlake.operators.scans import number_rows
 
 AUDIO_SUFFIXES = ["wav", "flac", "mp3", "opus"]
 SHARD_SAMPLES = 50_000
@@ -217,9 +217,7 @@ def write_manifest(samples: DataFrame, path: str, header: dict[str, str | int],
 
     A manifest holds at most ``shard`` samples; a larger set becomes several manifests that read back as one.
     """
-    numbered = scan(
-        samples.withColumn("_all", F.lit(0)), ["_all"], [order], index_block(order, shard), row_number="_rn"
-    ).withColumn("_shard", F.floor((F.col("_rn") - 1) / shard))
+    numbered = number_rows(samples, [order], "_rn").withColumn("_shard", F.floor((F.col("_rn") - 1) / shard))
     fields = [c for c in ("filename", "reference", "duration") if c in samples.columns]
     packed = numbered.groupBy("_shard").agg(F.array_sort(F.collect_list(F.struct("_rn", *fields))).alias("_s"))
     listed = F.transform("_s", lambda s: F.struct(*[s[f].alias(f) for f in fields])).alias("samples")
