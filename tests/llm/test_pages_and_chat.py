@@ -177,5 +177,22 @@ def test_whole_examples_hold_all_context(examples):
     assert total[1] == sum(len(r.text) for r in first) and total[2] == 0
 
 
+def test_parts_of_examples_are_the_whole_ones(spark, monkeypatch):
+    monkeypatch.setattr(chat_format, "BLOCK_ROWS", 4)
+    rng = random.Random(4)
+    turns = [(c, t, rng.choice(["user", "assistant", "assistant", "tool"]), "x" * rng.randint(0, 30) + "é<|") for c in (1, 2, None) for t in range(60)]
+    frame = spark.createDataFrame([*turns, (3, 0, "user", "no reply")], "conv_id long, turn long, role string, text string").repartition(3)
+    examples = chat_format.expand_turns(frame)
+    whole = {(r.conv_id, r.part, r.seq): (r.text, r.loss_start, r.loss_end) for r in chat_format.whole_examples(examples).collect()}
+    parts: dict = {}
+    for r in chat_format.example_parts(examples).orderBy("block_part", "block").collect():
+        text, _, _ = parts.get((r.conv_id, r.part, r.seq), ("", None, None))
+        before = None if r.loss_start is None else len(text)
+        parts[r.conv_id, r.part, r.seq] = (text + r.text, before and before + r.loss_start or r.loss_start, before and before + r.loss_end or r.loss_end)
+    assert parts == whole and len(whole) == sum(t[2] == "assistant" for t in turns)
+    chars = {r.conv_id: r.formatted_chars for r in chat_format.read_back(examples).collect()}
+    assert chars == {c: sum(len(t) for (k, _, _), (t, _, _) in whole.items() if k == c) for c in (1, 2, 3, None)}
+
+
 def test_no_conversations(examples):
     assert chat_format.read_back(examples.limit(0)).collect() == []

@@ -1,10 +1,10 @@
 """Chat formatting by prefix-target expansion.
 
 Every assistant turn becomes an example of its own: all preceding turns are its context, and only that reply is trainable.
-The contexts of a conversation are prefixes of one another, so an example is written as what it adds to the one before: the
-turns since the previous reply, then the reply. The whole text of an example is the ``added`` of all rows up to its own
-(``whole_examples`` puts it together). The output is as long as the input, where written-out contexts grow with the square
-of a conversation's length.
+The contexts of a conversation are prefixes of one another, so what an example adds to the one before is made first: the turns
+since the previous reply, then the reply. ``example_parts`` joins blocks of these to the examples they are context of, so each
+example comes with its whole context in parts of bounded size. That output grows with the square of a conversation's length;
+no task holds a conversation or an example.
 
 Turns are put in order by range partitions of (conversation, turn), so that a long conversation spreads over many tasks.
 """
@@ -21,11 +21,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxlake.llm.common import small_batches
+from voxlake.operators.joins import safe_join
+from voxlake.session import materialize
 
 START, END, TARGET = "<|im_start|>", "<|im_end|>", "assistant"
 TURN = re.compile(re.escape(START) + r"([^\n]*)\n(.*?)" + re.escape(END) + r"\n", re.S)
 #: Context after which a row is written though no reply has come yet.
 ROW_CHARS = 1 << 16
+#: Rows of a block of context.
+BLOCK_ROWS = 32
 
 
 def escape(text: Column) -> Column:
@@ -108,6 +112,34 @@ def expand_turns(conversations: DataFrame) -> DataFrame:
     return ordered.select("conv_id", "role", "head", "body").mapInArrow(run, EXAMPLES)
 
 
+def example_parts(examples: DataFrame) -> DataFrame:
+    """``conv_id, part, seq, block_part, block, text, loss_start, loss_end``: every example with all its context, a row for
+    each block of BLOCK_ROWS rows of :func:`expand_turns`. Its texts, in order of (block_part, block), are the example; the
+    loss span, in code points of the text, is in the last one.
+    """
+    keyed = examples.withColumn("block", F.floor(F.col("seq") / BLOCK_ROWS))
+    within = Window.partitionBy("conv_id", "part", "block").orderBy("seq")
+    keyed = keyed.withColumn("added_chars", F.length("added")).withColumn("upto", F.sum("added_chars").over(within))
+    keyed = materialize(keyed, "examples")
+    texts = keyed.groupBy("conv_id", "part", "block").agg(F.sort_array(F.collect_list(F.struct("seq", "added"))).alias("rows"))
+    texts = texts.select("conv_id", F.col("part").alias("block_part"), "block", F.array_join("rows.added", "").alias("whole"))
+    # A conversation's parts are range partitions, so there are no more of them than partitions.
+    parts = keyed.groupBy("conv_id", "part").agg(F.min("block").alias("low"), F.max("block").alias("high"))
+    parts = parts.groupBy("conv_id").agg(F.collect_list(F.struct("part", "low", "high")).alias("parts"))
+    asked = safe_join(keyed.filter("loss_start is not null").drop("added"), parts, ["conv_id"]).withColumnRenamed("block", "own")
+    asked = asked.withColumn("p", F.explode(F.filter("parts", lambda p: p["part"] <= F.col("part")))).drop("parts")
+    upto = F.when(F.col("p.part") == F.col("part"), F.col("own")).otherwise(F.col("p.high"))
+    asked = asked.withColumn("block", F.explode(F.sequence(F.col("p.low"), upto))).withColumn("block_part", F.col("p.part"))
+    joined = safe_join(asked.drop("p"), texts, ["conv_id", "block_part", "block"])
+    last = (F.col("block_part") == F.col("part")) & (F.col("block") == F.col("own"))
+    text = F.when(last, F.substring(F.col("whole"), F.lit(1), F.col("upto").cast("int"))).otherwise(F.col("whole"))
+    own = F.col("upto") - F.col("added_chars")
+    return joined.select(
+        "conv_id", "part", "seq", "block_part", "block", text.alias("text"),
+        *(F.when(last, own + F.col(c)).cast("int").alias(c) for c in ("loss_start", "loss_end")),
+    )
+
+
 def whole_examples(examples: DataFrame) -> DataFrame:
     """``conv_id, part, seq, text, loss_start, loss_end``: each example written out with its whole context.
 
@@ -120,12 +152,12 @@ def whole_examples(examples: DataFrame) -> DataFrame:
     return whole.filter("loss_start is not null").withColumns(shifted).drop("_before", "added")
 
 
-DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string"
 
 
 def read_back(examples: DataFrame) -> DataFrame:
     """What the examples of each conversation say: its turns, the text under the loss masks, and the code points of all
-    its examples, each with its whole context.
+    its examples, each with its whole context, counted on :func:`example_parts`.
 
     A digest of a whole conversation is sequential by nature; its rows stream through one task in constant memory.
     """
@@ -133,13 +165,13 @@ def read_back(examples: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def fresh(conv):
-            return {"conv": conv, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "n": 0, "loss_n": 0, "chars": 0, "sum": 0}
+            return {"conv": conv, "turns": hashlib.sha256(), "loss": hashlib.sha256(), "n": 0, "loss_n": 0}
 
         def batch(done):
-            cols = [[x[k] for x in done] for k in ("conv", "n", "turns", "loss_n", "loss", "sum")]
+            cols = [[x[k] for x in done] for k in ("conv", "n", "turns", "loss_n", "loss")]
             cols[2], cols[4] = [x.hexdigest() for x in cols[2]], [x.hexdigest() for x in cols[4]]
             names = [f.split()[0] for f in DIGESTS.split(", ")]
-            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+            types = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], names)
 
         state = None
@@ -153,17 +185,18 @@ def read_back(examples: DataFrame) -> DataFrame:
                 for m in TURN.finditer(added):
                     state["n"] += 1
                     state["turns"].update(f"{unescape_role(m[1])}\n{unescape(m[2])}\n".encode())
-                state["chars"] += len(added)
                 if start is not None:
                     reply = unescape(added[start:end])
                     state["loss"].update(reply.encode())
                     state["loss_n"] += len(reply)
-                    state["sum"] += state["chars"]
             yield batch(done)
         if state is not None:
             yield batch([state])
 
-    return examples.repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq").mapInArrow(run, DIGESTS)
+    examples = materialize(examples, "turns")
+    said = examples.repartition("conv_id").sortWithinPartitions("conv_id", "part", "seq").mapInArrow(run, DIGESTS)
+    written = example_parts(examples).groupBy("conv_id").agg(F.sum(F.length("text")).alias("formatted_chars"))
+    return safe_join(said, written, ["conv_id"], "left").fillna(0, ["formatted_chars"])
 
 
 ORACLE = """
