@@ -80,3 +80,24 @@ def test_rows_are_numbered_over_partitions(spark):
     by = sorted(got, key=lambda r: r.n)
     assert all(a.v <= b.v for a, b in zip(by, by[1:]))
     assert number_rows(rows.limit(0), ["v"], "n").collect() == []
+
+
+def test_a_crowded_day_spreads(spark):
+    """A user with a third of all events in one second meets in no single block, and the scan is the window's."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from voxlake.operators.scans import range_blocks, scan
+
+    rows = spark.range(6000).selectExpr("IF(id % 3 = 0, 1, id % 50) AS user_id", "IF(id % 3 = 0, 7L, id % 97) AS ts", "id", "IF(id % 5 = 0, id, NULL) AS v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the rows are few
+    try:
+        placed, block = range_blocks(rows, ["user_id"], ["ts", "id"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = scan(placed, ["user_id"], ["ts", "id"], block, lasts={"latest": F.col("v")}, row_number="n")
+    w = Window.partitionBy("user_id").orderBy("ts", "id")
+    want = rows.withColumns({"latest": F.last("v", True).over(w), "n": F.row_number().over(w)})
+    assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    sizes = placed.filter("user_id = 1 AND ts = 7").groupBy("_range").count().collect()
+    assert len(sizes) > 1 and max(r["count"] for r in placed.groupBy("_range").count().collect()) < 3000

@@ -40,6 +40,15 @@ def time_block(ts: str, seconds: int) -> Column:
     return F.floor(micros(F.col(ts)) / (seconds * 1_000_000))
 
 
+def range_blocks(df: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, Column]:
+    """``df`` and a block number for scans along ``order``: the range partition of (keys, order) that a row falls into.
+
+    The bounds are sampled from the data, so a block has a bounded share of the rows however they crowd in time.
+    """
+    dealt = df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id().cast("bigint"))
+    return materialize(dealt, "ranges"), F.col("_range")
+
+
 def scan(
     df: DataFrame,
     keys: list[str],

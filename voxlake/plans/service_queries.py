@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from voxlake.functions import predicates, timing
 from voxlake.operators import folds, telemetry
-from voxlake.operators.scans import micros, time_block
+from voxlake.operators.scans import micros, range_blocks, time_block
 from voxlake.plans.registry import query
 from voxlake.plans.relations import DAY, job_events, requests, table
 
@@ -182,9 +182,8 @@ SELECT user_id, (fp - st)::DOUBLE AS ttfp_ms, CASE WHEN fp - st - 36e5 >= 0 THEN
   empty_partials, n_lags, max_lag_ms, fp IS NULL AS no_partial FROM s""",
 )
 def st08(spark, sf_dir):
-    out = telemetry.session_latency(
-        messages(spark, sf_dir), ["user_id"], ["ts", "event_id"], time_block("ts", DAY), onset_s=F.lit(3600.0)
-    )
+    rows, block = range_blocks(messages(spark, sf_dir), ["user_id"], ["ts", "event_id"])
+    out = telemetry.session_latency(rows, ["user_id"], ["ts", "event_id"], block, onset_s=F.lit(3600.0))
     return out.withColumns({c: F.col(c).cast("double") for c in ("ttfp_ms", "finalization_lag_ms")})
 
 

@@ -11,10 +11,10 @@ from voxlake.functions.table_functions import register_sql
 from voxlake.operators import blocks, captions, scoring, windows
 from voxlake.operators import words as ops
 from voxlake.operators.joins import safe_join
-from voxlake.operators.scans import time_block, whole_text
+from voxlake.operators.scans import range_blocks, whole_text
 from voxlake.plans import sql
 from voxlake.plans.registry import ORACLES, query
-from voxlake.plans.relations import DAY, channel_pairs, frames, table, turns, words
+from voxlake.plans.relations import channel_pairs, frames, table, turns, words
 from voxlake.session import materialize, scratch_path
 from voxlake.sources.document_files import write_files
 
@@ -523,7 +523,8 @@ def wn14(spark, sf_dir):
     rows = table(spark, sf_dir, "events").select(
         "event_id", "user_id", "ts", F.when(kind.isin("click", "view"), F.length(kind)).alias("speaker")
     )
-    out = windows.latest_speaker(rows, ["user_id"], ["ts", "event_id"], time_block("ts", DAY))
+    rows, block = range_blocks(rows, ["user_id"], ["ts", "event_id"])
+    out = windows.latest_speaker(rows, ["user_id"], ["ts", "event_id"], block)
     return out.select("event_id", "live_speaker")
 
 
