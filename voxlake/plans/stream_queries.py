@@ -164,11 +164,12 @@ SELECT event_type, epoch(date_trunc('hour', ts))::BIGINT AS hour_s, 'late' AS re
 )
 def st11_late(spark, sf_dir):
     """Events in four deliveries, each of them over the whole time: what a query with a delay of ten days drops."""
-    path = scratch_path(spark, "deliveries")
-    for part in range(4):  # one after the other, as the stream takes files by their age
-        table(spark, sf_dir, "events").filter(F.col("event_id") % 4 == part).coalesce(1).write.parquet(f"{path}/{part}")
-    source = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True)
-    out = live.audit(source.parquet(path), ["event_type"], "ts", "late", delay="10 days")
+    path, kept = scratch_path(spark, "deliveries"), scratch_path(spark, "late")
+    events = table(spark, sf_dir, "events")
+    source = spark.readStream.schema(events.schema).option("recursiveFileLookup", True)
+    for part in range(4):  # each run takes up where the one before ended
+        events.filter(F.col("event_id") % 4 == part).write.parquet(f"{path}/{part}")
+        out = live.audit(source.parquet(path), ["event_type"], "ts", "late", delay="10 days", path=kept)
     return out.select("event_type", F.unix_seconds("hour").alias("hour_s"), "reason", "n")
 
 

@@ -156,15 +156,15 @@ def run_updates(stream: DataFrame, label: str, keys: list[str]) -> DataFrame:
     return latest_per_key(spark.read.schema(schema).parquet(f"{path}/data"), keys, F.col("version")).drop("version")
 
 
-def audit(stream: DataFrame, keys: list[str], ts: str, label: str, *, delay: str) -> DataFrame:
+def audit(stream: DataFrame, keys: list[str], ts: str, label: str, *, delay: str, path: str | None = None) -> DataFrame:
     """Rows that a query with this delay drops or cannot place: ``keys, hour, reason, n``; ``reason`` is ``late`` for rows
     behind the watermark of the batches before theirs, ``undecodable`` for those without a time (``hour`` is null).
 
     Each batch stores its counts and its latest time under its number, so a batch that is repeated after a failure counts
-    once, and the watermark is known again after a restart.
+    once, and the watermark is known again after a restart. ``path`` names the folder of an audit to go on with.
     """
     spark = stream.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     at = F.unix_micros(instant(F.col(ts)))
     late_by = F.expr(f"INTERVAL {delay}")
 
