@@ -140,3 +140,40 @@ def test_a_timer_reads_what_is_due():
             out += next(iter(processor.handleExpiredTimer(("k",), Times(mark), None)))["n"].tolist()
     assert out == sorted(range(2000), key=lambda i: times[i] * 1000 + i)
     assert handle.read < 3 * 2000 and not handle.slices
+
+
+class Maps(Handle):
+    """State of one slot: a map of its own for each name."""
+
+    def __init__(self):
+        super().__init__()
+        self.maps, self.calls = {}, 0
+
+    def getMapState(self, name, *_):
+        self.maps[name] = Handle()
+        return self.maps[name]
+
+    def registerTimer(self, at_ms):
+        self.calls += 1
+        super().registerTimer(at_ms)
+
+
+def test_keys_share_a_slot():
+    """A slot folds each key's rows in order and is woken once, however many keys and times wait."""
+    import pandas as pd
+
+    handle = Maps()
+    processor = ordered.SlotFold(folds.RunningGauge(), ["key", "n", "active"], ["ev_us"], ["n", "delta"])
+    processor.init(handle)
+    rng = random.Random(2)
+    times = [rng.randrange(10**9) for _ in range(3000)]
+    rows = pd.DataFrame({"ev_ms": times, "ev_us": [t * 1000 for t in times], "n": range(3000), "delta": 1, "slot_key": [f"[{i % 300}]" for i in range(3000)]})
+    for i in (0, 1500):
+        list(processor.handleInputRows((7,), iter([rows[i : i + 1500]]), Times(-1)))
+    assert handle.calls == 2
+    out = pd.concat(processor.handleExpiredTimer((7,), Times(5 * 10**8), None))
+    out = pd.concat([out, *processor.handleExpiredTimer((7,), Times(10**9), None)])
+    for key, got in out.groupby("key"):
+        assert got["n"].tolist() == sorted(range(int(key), 3000, 300), key=lambda i: times[i])
+        assert got["active"].tolist() == list(range(1, 11))
+    assert not handle.maps["waiting"].slices
