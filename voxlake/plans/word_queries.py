@@ -658,8 +658,10 @@ SELECT vec_id, 0 AS part, trim(string_agg(CASE WHEN id = 20 THEN '' WHEN id % 3
 FROM v WHERE id BETWEEN 0 AND 39 AND id NOT IN (20, 21) GROUP BY 1""",
 )
 def tx20(spark, sf_dir):
+    # Whole numbers would make the product double, in which a value next to a boundary falls on the other side of it.
+    forty = F.lit(40).cast("float")
     ids = table(spark, sf_dir, "embeddings").select(
-        "vec_id", F.posexplode(F.transform("embedding", lambda x: F.floor(x * 40).cast("int") + 20)).alias("tok_idx", "token_id")
+        "vec_id", F.posexplode(F.transform("embedding", lambda x: F.floor(x * forty).cast("int") + 20)).alias("tok_idx", "token_id")
     )
     # The vocabulary: forty pieces, 20 blank, 21 unknown, every third one opening a word.
     number = F.col("id").cast("int")
