@@ -17,9 +17,14 @@ from voxlake.streaming.ordered import stream_fold
 
 
 def read_table_stream(spark: SparkSession, folder: str, file: str, schema: T.StructType, batch_files: int = 256) -> DataFrame:
-    """Parquet files of ``folder`` that match ``file`` as a stream, so many files a batch."""
-    source = spark.readStream.schema(schema).option("pathGlobFilter", file).option("maxFilesPerTrigger", batch_files)
-    return source.parquet(folder)
+    """Parquet files of ``folder`` that match ``file`` as a stream, so many files a batch. A table ``file`` may also be a
+    folder of files, as Spark writes them."""
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", batch_files)
+    if "*" not in file:
+        files = spark.read.schema(schema).parquet(f"{folder}/{file}").inputFiles()
+        if not any(f.endswith(f"/{file}") for f in files):
+            return source.parquet(f"{folder}/{file}")
+    return source.option("pathGlobFilter", file).parquet(folder)
 
 
 def run_available(stream: DataFrame, label: str) -> DataFrame:
@@ -203,10 +208,12 @@ def ingest(
     """
     spark = source.sparkSession
     path = scratch_path(spark, label)
+    schema, stored = process(source).schema, []
 
     def store(batch: DataFrame, batch_id: int) -> None:
         rows = batch.dropDuplicates(keys) if keys else batch
         process(rows).write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
+        stored.append(batch_id)
 
     run = (
         source.writeStream.foreachBatch(store)
@@ -215,4 +222,6 @@ def ingest(
         .start()
     )
     run.awaitTermination()
-    return spark.read.parquet(f"{path}/data").drop("batch")
+    if not stored:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/data").select(*schema.names)
