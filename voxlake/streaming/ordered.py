@@ -19,7 +19,7 @@ import heapq
 import json
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import count
 from typing import Any
 
@@ -102,9 +102,8 @@ class OrderedFold(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         soonest = timerValues.getCurrentWatermarkInMs() + 1
         for pdf in rows:
-            order = pdf[self.order].itertuples(index=False, name=None)
-            values = pdf[self.columns].itertuples(index=False, name=None)
-            self.waiting.put([[int(at), _plain(o), _plain(v)] for at, o, v in zip(pdf["ev_ms"], order, values)], soonest)
+            order, values = _plain(pdf, self.order), _plain(pdf, self.columns)
+            self.waiting.put([[int(at), o, v] for at, o, v in zip(pdf["ev_ms"], order, values)], soonest)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -148,9 +147,8 @@ class SlotFold(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         soonest = timerValues.getCurrentWatermarkInMs() + 1
         for pdf in rows:
-            order = pdf[self.order].itertuples(index=False, name=None)
-            values = pdf[self.columns].itertuples(index=False, name=None)
-            self.waiting.put([[int(at), _plain(o), k, _plain(v)] for at, o, k, v in zip(pdf["ev_ms"], order, pdf["slot_key"], values)], soonest)
+            order, values = _plain(pdf, self.order), _plain(pdf, self.columns)
+            self.waiting.put([[int(at), o, k, v] for at, o, k, v in zip(pdf["ev_ms"], order, pdf["slot_key"], values)], soonest)
         return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
@@ -177,8 +175,10 @@ class SlotFold(StatefulProcessor):
         """Nothing is held outside the state store."""
 
 
-def _plain(values: Iterable) -> list:
-    return [None if v is None or v != v else v.item() if hasattr(v, "item") else v for v in values]
+def _plain(pdf: pd.DataFrame, columns: list[str]) -> Iterator[tuple]:
+    """Rows of ``columns`` as JSON takes them."""
+    plain = [pdf[c].tolist() if pdf[c].notna().all() else pdf[c].astype(object).where(pdf[c].notna(), None).tolist() for c in columns]
+    return zip(*plain)
 
 
 def stream_fold(
