@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 import pyarrow.parquet as pq
+from pyspark.sql import functions as F
 
 from tests.compare import differences
 from voxlake.plans import catalog
@@ -41,3 +42,44 @@ def test_runs_meet_all_later_runs(spark, tmp_path):
     assert differences(spark, con, str(tmp_path), query, catalog.ORACLES["tx29_dual_gate"]) == []
     pairs = {(r.freeze_run, r.post_run) for r in run(spark, tmp_path, "tx29_dual_gate").collect()}
     assert pairs == {("A", "N"), ("A", "R"), ("N", "R")}
+
+
+def test_subwords_of_odd_texts(spark):
+    """Null, empty and repeated words; Python gets Arrow arrays, not lists of all words of a batch."""
+    from voxlake.operators import vocab
+
+    known = {"[UNK]": 0, "a": 1, "##b": 2, "ab": 3}
+    docs = spark.createDataFrame([(1, "ab abb ab ?"), (2, None), (3, ""), (4, "a ab")], "doc_id bigint, text string").coalesce(1)
+    out = docs.select("doc_id", vocab.subword_ids(F.col("text"), known).alias("w"))
+    assert {r.doc_id: r.w for r in out.collect()} == {1: [[3], [3, 2], [3], [0]], 2: None, 3: [], 4: [[1], [3]]}
+    assert vocab.token_counts(docs, "doc_id", "text", known).filter("doc_id = 1").first()["n_tokens"] == 5
+    assert ", 250" in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_distances_of_many_pairs(spark):
+    from voxlake.functions import distance
+
+    rows = [(i, ["a"] * (i % 5), ["a", "b"] * (i % 3)) for i in range(300)] + [(300, None, ["a"])]
+    pairs = spark.createDataFrame(rows, "i int, r array<string>, h array<string>").coalesce(1)
+    got = pairs.select("i", distance.word_edit_distance(F.col("r"), F.col("h")).alias("d"), distance.word_errors(F.col("r"), F.col("h")).alias("e"))
+    for row in got.filter("i < 300").collect():
+        r, h = rows[row.i][1:]
+        assert row.d == distance.edit_distance(r, h) and tuple(row.e) == distance.error_split(r, h)
+    assert "250" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_model_results_are_handed_on():
+    import pandas as pd
+
+    from voxlake.operators import corpus
+
+    class Work:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, run, _):
+            return run
+
+    run_ = corpus.run_model(Work(), lambda: lambda text: (text.upper(), 1), ["text"])
+    parts = list(run_(iter([pd.DataFrame({"cache_key": range(1000), "text": "a"})])))
+    assert max(map(len, parts)) <= 256 and pd.concat(parts)["cache_key"].tolist() == list(range(1000))
