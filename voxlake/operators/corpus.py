@@ -26,6 +26,10 @@ RESULT_SCHEMA = T.StructType(
 )
 
 
+#: Results of a model that are held at a time.
+ROWS = 256
+
+
 def cache_key(engine: str, config: str | None, content: Column) -> Column:
     """Identity of a result: engine, settings and content."""
     parts = [F.lit(engine), *([F.lit(config)] if config else []), F.sha2(content, 256)]
@@ -67,13 +71,15 @@ def run_model(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
-        for pdf in batches:
+        for batch in batches:
             model = model or make_model()
-            rows = [
-                (key, *attempt(model, values))
-                for key, values in zip(pdf["cache_key"], pdf[columns].itertuples(index=False, name=None))
-            ]
-            yield pd.DataFrame(rows, columns=RESULT_SCHEMA.names)
+            for begin in range(0, len(batch), ROWS):  # results are handed on before the next rows are run
+                pdf = batch.iloc[begin : begin + ROWS]
+                rows = [
+                    (key, *attempt(model, values))
+                    for key, values in zip(pdf["cache_key"], pdf[columns].itertuples(index=False, name=None))
+                ]
+                yield pd.DataFrame(rows, columns=RESULT_SCHEMA.names)
 
     return work.select("cache_key", *columns).mapInPandas(run, RESULT_SCHEMA)
 
