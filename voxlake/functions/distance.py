@@ -7,9 +7,9 @@ bit vector per word of the hypothesis. Equal and empty pairs never reach Python.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -90,15 +90,24 @@ def error_split(reference: Sequence[str], hypothesis: Sequence[str]) -> tuple[in
     return sub, ins + j, dele + i
 
 
-@F.pandas_udf(T.IntegerType())
-def distance_udf(reference: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    return pd.Series([0 if r is None else edit_distance(r, h) for r, h in zip(reference, hypothesis)], dtype="int32")
+#: Pairs whose words are Python objects at a time; the rest of a batch stays in Arrow's form.
+PAIRS = 64
 
 
-@F.pandas_udf(SPLIT_TYPE)
-def split_udf(reference: pd.Series, hypothesis: pd.Series) -> pd.DataFrame:
-    rows = [(0, 0, 0) if r is None else error_split(r, h) for r, h in zip(reference, hypothesis)]
-    return pd.DataFrame(rows, columns=["sub", "ins", "del"], dtype="int32")
+def _pairs(reference: pa.Array, hypothesis: pa.Array) -> Iterator[tuple]:
+    for i in range(0, len(reference), PAIRS):
+        yield from zip(reference.slice(i, PAIRS).to_pylist(), hypothesis.slice(i, PAIRS).to_pylist())
+
+
+@F.arrow_udf(T.IntegerType())
+def distance_udf(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    return pa.array([0 if r is None else edit_distance(r, h) for r, h in _pairs(reference, hypothesis)], pa.int32())
+
+
+@F.arrow_udf(SPLIT_TYPE)
+def split_udf(reference: pa.Array, hypothesis: pa.Array) -> pa.Array:
+    rows = [(0, 0, 0) if r is None else error_split(r, h) for r, h in _pairs(reference, hypothesis)]
+    return pa.StructArray.from_arrays([pa.array([row[k] for row in rows], pa.int32()) for k in range(3)], SPLIT_TYPE.names)
 
 
 def word_edit_distance(reference: Column, hypothesis: Column) -> Column:
