@@ -101,3 +101,16 @@ def test_a_crowded_day_spreads(spark):
     assert sorted(map(tuple, got.select(want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
     sizes = placed.filter("user_id = 1 AND ts = 7").groupBy("_range").count().collect()
     assert len(sizes) > 1 and max(r["count"] for r in placed.groupBy("_range").count().collect()) < 3000
+
+
+@pytest.mark.parametrize(
+    "seconds, band, want",
+    [
+        ([24 * 0.4, 28 * 0.4, 24 * 0.4], (15.0, 0.0, 40.0), [(1, 2), (3, 3)]),
+        ([n / 40.0 for n in (75, 931, 23, 224, 152, 505, 125)], (25.0, 1.0, 60.0), [(1, 2), (3, 7)]),
+    ],
+)
+def test_equal_ways_are_told_apart_by_the_sums_themselves(spark, seconds, band, want):
+    """Ways that are equal on paper: the roundings of the running sums decide, as they do in the SQL."""
+    target, lo, hi = band
+    assert plan(spark, {"a": seconds, "b": [1.0, *seconds[1:]]}, target=target, min_len=lo, max_len=hi)["a"] == want

@@ -180,7 +180,8 @@ def assign_blocks(
     rows = segments.select(*keys, order, F.coalesce(F.col("seconds").cast("double"), F.lit(0.0)).alias("seconds"))
     block = F.floor(F.col(order) / 65_536)
     numbered = scan(rows, keys, [order], block, row_number="_position", sums={"_through": F.col("seconds")})
-    numbered = numbered.withColumn("_before", F.greatest(F.col("_through") - F.col("seconds"), F.lit(0.0)))
+    # A cut is at one and the same time for both its segments: a difference would be off by a rounding, which decides between equals.
+    numbered = scan(numbered, keys, ["_position"], index_block("_position"), lags={"_before": F.col("_through")}).fillna(0.0, ["_before"])
     numbered = materialize(numbered.withColumn("slice", F.floor(F.col("_before") / span)), "segments")
 
     own = numbered.select(*keys, "slice", "_position", "_before", "_through", F.lit(True).alias("own"))
