@@ -70,6 +70,11 @@ def extracted(spark, pages, host="s.org"):
     return {r.page_id: r.text for r in site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
 
+def test_the_tree_judges_pages_that_mark_their_article(spark):
+    pages = [f"<body><main><p>story {i}</p></main><article><p>Read our magazine</p></article></body>" for i in range(20)]
+    assert extracted(spark, pages) == {i: f"story {i}" for i in range(20)}
+
+
 def test_pages_that_agree_keep_their_text(spark):
     same = "<body><nav>menu</nav><article><p>the story</p></article></body>"
     assert set(extracted(spark, [same] * 8).values()) == {"the story"}

@@ -7,14 +7,16 @@ differs from page to page scores high; a text found on many pages scores low, on
 importance of a node mixes its own with that of its children, the less the more styles it has. Branches of low importance
 are removed from each page, together with elements that say themselves what they are (menus, footers, forms and so on).
 
-A page that marks its article has the article, less what in it calls itself a notice, an advert, a form and the like: what
-many articles say alike (a byline, a lead) is still theirs. On other pages the tree decides. Where it would leave nothing,
+All pages make the tree, and all are judged by it. A page that marks its article has the article, less what in it calls itself
+a notice, an advert, a form and the like: what many articles say alike (a byline, a lead) is still theirs. The tree decides on
+what stands outside of it, and on all of a page without such a mark. Where it would leave nothing,
 because a site's pages agree in all, it says nothing.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
@@ -23,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxlake.llm.common import batch_rows, members
+from voxlake.llm.common import batch_rows
 from voxlake.session import materialize
 
 #: Weight of the children per style, and the composite importance below which a branch goes.
@@ -32,6 +34,8 @@ DECAY, LEAST_IMPORTANCE = 0.9, 0.5
 DEPTH = 32
 #: Pages of a site from which on its statistics say anything.
 LEAST_PAGES = 5
+#: Sums of tree nodes that a task holds.
+HELD_NODES = 1 << 16
 
 RAW = "script|style|noscript|template|textarea|title|iframe|xmp"
 TOKEN = re.compile(
@@ -251,51 +255,49 @@ def main_text(root: Element, low: set[int]) -> str:
     return ""
 
 
-def has_main(root: Element) -> bool:
-    """Whether the tree has no say in the page's text."""
-    return bool(with_main(root))
-
-
-NODE_SCHEMA = "page_id long, host string, path long, parent long, depth int, kind int, feature long, n int, url string, text string"
+NODE_SCHEMA = "host string, path long, parent long, depth int, kind int, feature long, n double, parts double, pages long"
 
 
 def page_nodes(pages: DataFrame) -> DataFrame:
-    """Per page and tree node: a row of kind 0 (it is there), of kind 1 for its styles, of kind 2 for its texts; and for each
-    row whose text the tree does not change, one of kind 3 with the text, for each other one of kind 4. ``pages``: ``page_id,
-    url, html, host``."""
+    """The nodes of all pages' trees, added up over what a task has read: rows of kind 0 for the nodes, of kind 1 for their
+    styles, of kind 2 for their texts, with how often (``n``), the sum of n log n over the pages (``parts``) and the pages.
+    ``pages``: ``html, host``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def h(x: str) -> int:
             return xxhash.xxh64_intdigest(x.encode("utf-8", "replace")) - (1 << 63)
 
+        def rows() -> pd.DataFrame:
+            return pd.DataFrame([(*key, *sums) for key, sums in held.items()], columns=names)
+
+        names = [x.split()[0] for x in NODE_SCHEMA.split(", ")]
+        held: dict[tuple, list] = {}
         for pdf in batches:
-            rows = []
-            for page, url, source, host in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["host"]):
-                root = parse(source)
-                if page is None or has_main(root):
-                    rows.append((page, None, None, None, None, 3, None, None, url, main_text(root, set())))
-                else:
-                    rows.append((page, None, None, None, None, 4, None, None, None, None))
-                if page is None:
-                    continue
-                seen: dict = {}
-                for e, style, said in nodes(root):
-                    seen[e.path, e.above, e.depth, 0, 0] = 1
-                    for key in [(e.path, e.above, e.depth, 1, h(style)), *((e.path, e.above, e.depth, 2, h(t)) for t in said)]:
+            for source, host in zip(pdf["html"], pdf["host"]):
+                seen: dict[tuple, int] = {}
+                for e, style, said in nodes(parse(source)):
+                    at = host, e.path, e.above, e.depth
+                    seen[*at, 0, 0] = 1
+                    for key in [(*at, 1, h(style)), *((*at, 2, h(t)) for t in said)]:
                         seen[key] = seen.get(key, 0) + 1
-                rows += [(page, host, *key, n, None, None) for key, n in seen.items()]
-            yield pd.DataFrame(rows, columns=["page_id", "host", "path", "parent", "depth", "kind", "feature", "n", "url", "text"], dtype=object)
+                for key, n in seen.items():
+                    sums = held.setdefault(key, [0, 0.0, 0])
+                    sums[0] += n
+                    sums[1] += n * math.log(n)
+                    sums[2] += 1
+            if len(held) > HELD_NODES:
+                yield rows()
+                held = {}
+        if held:
+            yield rows()
 
-    named = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "host")
-    made = named.mapInPandas(run, NODE_SCHEMA.replace("page_id long", "page_id string"))
-    return made.withColumn("page_id", F.col("page_id").cast("long"))
+    return pages.select("html", "host").mapInPandas(run, NODE_SCHEMA)
 
 
 def node_counts(found: DataFrame) -> DataFrame:
     """``host, path, parent, depth, pages`` and the entropies of every node of every site's style tree, a row a node."""
-    n = F.col("n").cast("double")
     by_feature = found.groupBy("host", "path", "parent", "depth", "kind", "feature").agg(
-        F.sum(n).alias("total"), F.sum(n * F.log(n)).alias("parts"), F.count(F.lit(1)).alias("pages")
+        F.sum("n").alias("total"), F.sum("parts").alias("parts"), F.sum("pages").alias("pages")
     )
     # Per text: its entropy over the pages. Per node: the entropy of its styles, the mean over its texts.
     spread = F.log("total") - F.col("parts") / F.col("total")
@@ -355,26 +357,19 @@ def extract(pages: DataFrame, least: float = LEAST_IMPORTANCE) -> DataFrame:
     host = F.regexp_replace(F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^\w+://(?:[^/@]*@)?([^/:?#]*)", 1)), r"^www\.", "")
     base = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), host.alias("host"))
     with batch_rows(spark):
-        found = materialize(page_nodes(base), "nodes")
-    done = found.filter("kind = 3").select("page_id", "url", "text")
-    asked = materialize(found.filter("kind = 4").select("page_id").distinct(), "asked")
-    if asked.isEmpty():
-        return done
-    tree = found.filter("kind < 3").drop("url", "text")
-    low = importance(tree).filter((F.col("peak") < least) & (F.col("pages") >= LEAST_PAGES)).select("host", "path")
-    drops = tree.filter("kind = 0").join(asked, "page_id").join(low, ["host", "path"])
-    drops = asked.join(drops.groupBy("page_id").agg(F.collect_set("path").alias("low")), "page_id", "left")
+        tree = importance(page_nodes(base.filter("page_id is not null")))
+    low = tree.filter((F.col("peak") < least) & (F.col("pages") >= LEAST_PAGES))
+    low = materialize(low.groupBy("host").agg(F.collect_set("path").alias("low")), "low")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
             for page, url, source, low_ in zip(pdf["page_id"], pdf["url"], pdf["html"], pdf["low"]):
-                root = parse(source)
-                if not has_main(root):
-                    rows.append((page, url, main_text(root, set() if low_ is None else set(low_))))
+                rows.append((page, url, main_text(parse(source), set() if page is None or low_ is None else set(low_))))
             yield pd.DataFrame(rows, columns=["page_id", "url", "text"])
 
-    open_ = members(base.filter("page_id is not null"), F.col("page_id"), asked, F.col("page_id")).join(drops, "page_id")
+    # Ids pass through Python as text: numbers beside nulls would turn into floating point.
+    judged = base.join(low, "host", "left").select(F.col("page_id").cast("string").alias("page_id"), "url", "html", "low")
     with batch_rows(spark):
-        judged = open_.select("page_id", "url", "html", "low").mapInPandas(run, "page_id long, url string, text string")
-        return done.unionByName(materialize(judged, "judged"))
+        texts = materialize(judged.mapInPandas(run, "page_id string, url string, text string"), "judged")
+    return texts.withColumn("page_id", F.col("page_id").cast("long"))
