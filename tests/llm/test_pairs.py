@@ -106,3 +106,18 @@ def test_text_chunks():
     texts = [b"a" * n for n in (3, 4, 50, 0, 2, 9)]
     assert [[len(t) for t in c] for c in text_chunks(texts, 10)] == [[3, 4], [50], [0, 2], [9]]
     assert list(text_chunks([])) == []
+
+
+def test_frequent_words_outlast_the_bound(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(byte_bpe, "HELD_BYTES", 100_000)
+    enc = byte_bpe.Encoder(byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    first, encoded = enc.encode(["so qzfrequentword"])[0].tolist(), []
+    encode = enc.vocabulary.encode_pieces
+    monkeypatch.setattr(enc.vocabulary, "encode_pieces", lambda pieces: encoded.extend(pieces) or encode(pieces))
+    for i in range(40):
+        got = enc.encode(["so qzfrequentword", "so " + " ".join(f"w{i}x{j}" for j in range(50))])
+        assert got[0].tolist() == first and enc.held <= 100_000
+    assert encoded and b" qzfrequentword" not in encoded
+    assert len(enc.chunks) + len(enc.old_chunks) < 500

@@ -25,8 +25,9 @@ POS_BITS = 31
 NONE = np.int64(1) << 62
 #: Pieces up to this many bytes are merged in batches.
 SHORT = 64
-#: Bytes of the pieces and stretches of text that a task remembers, and what an entry takes besides its content.
-HELD_BYTES, ENTRY_BYTES = 1 << 25, 250
+#: Bytes of the pieces and stretches of text that a task remembers, half of them met since the last turn, and what an entry
+#: takes besides its content.
+HELD_BYTES, ENTRY_BYTES = 1 << 26, 250
 #: Tree nodes of one batch of short pieces.
 BATCH_NODES = 1 << 20
 
@@ -200,6 +201,13 @@ class Encoder:
         self.pieces: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
         self.unsafe: set[str] = set()
+        self.turn()
+        self.turn()
+
+    def turn(self) -> None:
+        """Drop what has not been met since the last turn. What is met again moves on, so frequent words stay."""
+        self.old_pieces, self.old_chunks, self.pieces, self.chunks = self.pieces, self.chunks, {}, {}
+        self.unsafe.intersection_update(self.old_chunks)
         self.held = 0
 
     def matches(self, text: str) -> list[str]:
@@ -207,7 +215,9 @@ class Encoder:
 
     def learn(self, pieces: Iterable[str]) -> None:
         new = [p for p in set(pieces) if p not in self.pieces]
-        self.pieces.update(zip(new, self.vocabulary.encode_pieces([p.encode() for p in new])))
+        self.pieces.update((p, self.old_pieces[p]) for p in new if p in self.old_pieces)
+        unknown = [p for p in new if p not in self.old_pieces]
+        self.pieces.update(zip(unknown, self.vocabulary.encode_pieces([p.encode() for p in unknown])))
         self.held += ENTRY_BYTES * len(new) + 5 * sum(map(len, new))
 
     def whole(self, pieces: list[str]) -> bytes:
@@ -217,7 +227,9 @@ class Encoder:
         split = {}
         self.held += ENTRY_BYTES * len(new) + 5 * sum(map(len, new))
         for c in new:
-            if not c or (c[0] != "\n" and c[0].isspace()) or (len(c) > 1 and c[-1].isspace()):
+            if c in self.old_chunks:
+                self.chunks[c] = self.old_chunks[c]
+            elif not c or (c[0] != "\n" and c[0].isspace()) or (len(c) > 1 and c[-1].isspace()):
                 self.unsafe.add(c)  # white space that the pattern may match across the cut
                 self.chunks[c] = b""
             else:
@@ -228,8 +240,8 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Token ids of each text."""
-        if self.held > HELD_BYTES:
-            self.forget()
+        if 2 * self.held > HELD_BYTES:
+            self.turn()
         get, cut, new = self.chunks.get, [], set()
         for t in texts:
             if "\n\n" in t:
