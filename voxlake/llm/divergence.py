@@ -14,8 +14,8 @@ from __future__ import annotations
 
 import heapq
 import math
-import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import compress, groupby
 from operator import itemgetter
@@ -32,8 +32,8 @@ from voxlake.session import materialize
 
 #: Documents a kept term is in, ranks of the term report, smoothing of a count, units of a share.
 LEAST_DOCS, TOP, SMOOTH, UNIT = 30, 50, 5, 1_000_000_000
-#: A term, in UTF-8 with A-Z lower-cased: letters and all beyond ASCII.
-TERM = re.compile(rb"[a-z\x80-\xff]+")
+#: A byte of UTF-8 as part of a term, A-Z lower-cased: letters and all beyond ASCII stay, others are blanks between terms.
+TERM_BYTES = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256)).lower()
 #: Memory of a block, in postings and in bytes of its terms; terms of a chunk; runs that are merged at a time.
 BLOCK_POSTINGS, BLOCK_BYTES, CHUNK_TERMS, FAN_IN = 1 << 20, 1 << 25, 4096, 64
 #: Counters of a shard's documents by hash of the term.
@@ -60,6 +60,17 @@ def unpack(body: bytes) -> tuple:
     return terms.split(b" "), *(np.frombuffer(n, "<i8") for n in numbers)
 
 
+class Terms(dict):
+    """Numbers of terms, given out as they are met, and the bytes they take."""
+
+    bytes = 0
+
+    def __missing__(self, term: bytes) -> int:
+        self.bytes += len(term) + 64
+        self[term] = n = len(self)
+        return n
+
+
 class Block:
     """Postings in memory: for terms of each language the documents and the occurrences by source."""
 
@@ -67,35 +78,32 @@ class Block:
         self.clear()
 
     def clear(self) -> None:
-        self.terms: dict[bytes, int] = {}
+        self.terms = Terms()
         self.groups: dict[tuple[str, str], int] = {}
         self.langs: dict[str, int] = {}
         self.held: list[tuple[np.ndarray, np.ndarray]] = []  # (group, term) keys and counts
         self.docs: list[tuple[np.ndarray, np.ndarray]] = []  # (language, term) keys and documents
-        self.size, self.bytes = 0, 0
+        self.size = 0
 
     def add(self, texts: list[bytes], langs: list[str], sources: list[str]) -> None:
-        """One batch: its words as numbers, counted by (group, term); each document's distinct terms by (language, term)."""
-        ids, keys = [], []
+        """One batch: the words of each document counted, its terms as numbers, added up by (group, term) and by (language, term)."""
+        ids, keys, counts = [], [], []
         for text, lang, source in zip(texts, langs, sources):
-            words = TERM.findall(text.lower())
-            for w in words:
-                if w not in self.terms:
-                    self.terms[w] = len(self.terms)
-                    self.bytes += len(w) + 64
+            words = Counter(text.translate(TERM_BYTES).split())
             own = np.fromiter(map(self.terms.__getitem__, words), np.int64, len(words))
             group = self.groups.setdefault((lang, source), len(self.groups))
             keys.append(own + (group << 32))
-            ids.append(np.unique(own) + (self.langs.setdefault(lang, len(self.langs)) << 32))
-        for held, each in ((self.held, keys), (self.docs, ids)):
-            held.append(np.unique(np.concatenate(each), return_counts=True))
+            counts.append(np.fromiter(words.values(), np.int64, len(words)))
+            ids.append(own + (self.langs.setdefault(lang, len(self.langs)) << 32))
+        self.held.append(_added(list(zip(keys, counts))))
+        self.docs.append(np.unique(np.concatenate(ids), return_counts=True))
         self.size += len(self.held[-1][0]) + len(self.docs[-1][0])
         if self.size > BLOCK_POSTINGS:  # what batches have in common is added up before the block counts as full
             self.held, self.docs = [_added(self.held)], [_added(self.docs)]
             self.size = len(self.held[0][0]) + len(self.docs[0][0])
 
     def full(self) -> bool:
-        return 2 * self.size > BLOCK_POSTINGS or self.bytes > BLOCK_BYTES
+        return 2 * self.size > BLOCK_POSTINGS or self.terms.bytes > BLOCK_BYTES
 
     def spill(self, run: int, shards: int) -> Iterator[dict]:
         """The chunks of a run, by language, shard and term, and the block is empty again."""
@@ -136,10 +144,11 @@ class Block:
 
 
 def _added(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys, place = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
-    out = np.zeros(len(keys), np.int64)
-    np.add.at(out, place, np.concatenate([n for _, n in held]))
-    return keys, out
+    keys, counts = (np.concatenate(x) for x in zip(*held))
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[len(keys) > 0, keys[1:] != keys[:-1]])
+    return keys[first], np.add.reduceat(counts[order], first) if len(first) else counts
 
 
 def entries(chunks: list[dict], run: int, enough: np.ndarray | None = None) -> Iterator[tuple]:
