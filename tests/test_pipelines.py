@@ -62,3 +62,30 @@ def test_token_histogram_adds_up(spark):
     tokens = catalog.QUERIES["tx21_subword_tokens"](spark, SF_DIR).agg(F.sum("n")).first()[0]
     counts = catalog.QUERIES["tx21_subword_counts"](spark, SF_DIR).agg(F.sum("n_tokens")).first()[0]
     assert tokens == counts > 0
+
+
+def test_readable_text_of_windows_shuffles_stretches(spark):
+    """Over the edge of a part, with failed windows and labels too few; no join and no row per word."""
+    said = [f"w{i}" for i in range(66_000)]
+    said[210 * 5] = said[210 * 312] = "stop"
+
+    def make():
+        def label(words):
+            if words[0] == "stop":
+                raise RuntimeError("no labels")
+            return ["UPPER_COMMA" if w.endswith("7") else "LOWER_O" for w in words][:240]
+
+        return label
+
+    wanted = []
+    last = -(-(len(said) - 250) // 210)
+    for i, word in enumerate(said):
+        window = 0 if i < 230 else min((i - 20) // 210, last)
+        labelled = said[window * 210] != "stop" and i - window * 210 < 240
+        wanted.append(word.capitalize() + "," if labelled and word.endswith("7") else word)
+    df = spark.createDataFrame([(1, " ".join(said)), (2, "a b7"), (3, ""), (4, None)], "k long, text string")
+    out = pipelines.restore_readable(df, ["k"], make, itn=False)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    rows = {(r["k"], r["part"]): r["text"] for r in out.collect()}
+    assert rows == {(1, 0): " ".join(wanted[:65536]), (1, 1): " " + " ".join(wanted[65536:]), (2, 0): "a B7,"}

@@ -4,44 +4,44 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from voxlake.functions.expr import words_of
+from voxlake.functions.expr import let, words_of
 from voxlake.functions.numbers import apply_itn
 from voxlake.functions.text import apply_label, normalize_for_wer, normalize_verbatim
 from voxlake.operators import bootstrap, scoring
 from voxlake.operators.joins import safe_join
-from voxlake.operators.scans import gather_text
-from voxlake.operators.windows import label_windows, splice_labels
+from voxlake.operators.scans import BLOCK_ROWS, gather_text
+from voxlake.operators.windows import label_windows
 from voxlake.session import materialize
 
-LABEL_FIELDS = [T.StructField("offset", T.LongType()), T.StructField("label", T.StringType())]
+#: Windows that go through a labeller at a time.
+LABEL_ROWS = 256
 
 
 def label_words(windows: DataFrame, keys: list[str], make_labeller: Callable[[], Callable]) -> DataFrame:
-    """Run a labeller over word windows ``window_idx, words``; a window whose labelling fails yields no rows.
+    """``windows`` with ``labels``, one for each of a window's ``words``; null for a window whose labelling fails.
 
     The labeller takes a list of words and returns one label per word.
     """
-    schema = T.StructType([windows.schema[k] for k in (*keys, "window_idx")] + LABEL_FIELDS)
+    schema = T.StructType([*windows.schema.fields, T.StructField("labels", T.ArrayType(T.StringType()))])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = make_labeller()
-        for pdf in batches:
-            for row in pdf.to_dict("records"):
-                try:
-                    labels = list(labeller(list(row["words"])))
-                except Exception:  # noqa: BLE001
-                    continue
-                out = pd.DataFrame({"offset": range(len(labels)), "label": labels})
-                for k in (*keys, "window_idx"):
-                    out[k] = row[k]
-                yield out[schema.names]
+        for batch in batches:
+            for at in range(0, batch.num_rows, LABEL_ROWS):
+                some, made = batch.slice(at, LABEL_ROWS), []
+                for words in some.column("words").to_pylist():
+                    try:
+                        made.append(list(labeller(words)))
+                    except Exception:  # noqa: BLE001
+                        made.append(None)
+                yield pa.RecordBatch.from_arrays([*some.columns, pa.array(made, pa.list_(pa.string()))], names=schema.names)
 
-    return windows.select(*keys, "window_idx", "words").mapInPandas(run, schema)
+    return windows.mapInArrow(run, schema)
 
 
 def restore_readable(
@@ -49,18 +49,32 @@ def restore_readable(
 ) -> DataFrame:
     """Numbers to digits, then casing and punctuation from window labels: ``keys, part, text``.
 
-    Words of failed windows come back bare; an empty text stays empty.
+    Words of failed windows come back bare; an empty text stays empty. A window shows the words it keeps by itself, so
+    stretches of text are shuffled, not words.
     """
     body = apply_itn(F.col(text)) if itn else F.col(text)
     worded = materialize(transcripts.select(*keys, words_of(body).alias("_words")), "readable-words")
     sizes = worded.select(*keys, F.size("_words").cast("bigint").alias("n_words"), "_words")
     plan = label_windows(sizes, "n_words")
     cut = F.slice("_words", (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int"))
-    labels = label_words(plan.withColumn("words", cut), keys, make_labeller)
-    rows = worded.select(*keys, F.posexplode("_words").alias("word_idx", "word"))
-    labelled = splice_labels(rows, plan.drop("_words"), labels, keys)
-    shown = apply_label(F.col("word"), F.coalesce("label", F.lit("LOWER_O")))
-    return gather_text(labelled, keys, ["word_idx"], shown, " ", index="word_idx")
+    cut_plan = plan.select(*keys, "start", "keep_start", "keep_end", cut.alias("words"))
+    labelled = label_words(cut_plan, keys, make_labeller)
+    # What a window keeps may go over the edge of a part.
+    part = F.explode(F.sequence(F.floor(F.col("keep_start") / BLOCK_ROWS), F.floor((F.col("keep_end") - 1) / BLOCK_ROWS)))
+    placed = labelled.withColumn("_part", part).withColumn("_at", F.greatest("keep_start", F.col("_part") * BLOCK_ROWS))
+    offset = (F.col("_at") - F.col("start")).cast("int")
+    n = (F.least("keep_end", (F.col("_part") + 1) * BLOCK_ROWS) - F.col("_at")).cast("int")
+
+    def shown(word: Column, label: Column) -> Column:
+        # Most words stay as they are.
+        return F.when(F.coalesce(label, F.lit("LOWER_O")) == "LOWER_O", word).otherwise(let(label, lambda x: apply_label(word, x)))
+
+    stretches = placed.select(
+        *keys, "_at", F.slice("words", offset + 1, n).alias("_said"), F.slice("labels", offset + 1, n).alias("_labels")
+    )
+    # A labeller may give too few labels; a failed window has none.
+    stretch = F.array_join(F.coalesce(F.zip_with("_said", "_labels", shown), F.col("_said")), " ")
+    return gather_text(stretches.select(*keys, "_at", stretch.alias("_text")), keys, ["_at"], F.col("_text"), " ", index="_at")
 
 
 def rescore(results: DataFrame, keys: list[str], order: str, block: Column) -> DataFrame:
