@@ -53,3 +53,41 @@ def test_wrong_calls_are_told(spark, spoken):
     spoken.drop("speaker").createOrReplaceTempView("bare")
     with pytest.raises(Exception, match="no column speaker"):
         spark.sql("SELECT * FROM natural_segments(TABLE(bare) PARTITION BY who ORDER BY (word_idx), 'who')").collect()
+
+
+def test_sql_cues_read_no_row_by_name():
+    """A lookup by name for every row costs more than the packing; the size of a cue is a running one."""
+    from pyspark.sql import Row
+
+    from voxlake.functions.table_functions import SqlCues
+
+    class Plain(Row):
+        def __getitem__(self, item):
+            assert not isinstance(item, str)
+            return tuple.__getitem__(self, item)
+
+    names, rng, rows = ["recording_id", "word_idx", "word", "start", "end", "speaker"], random.Random(3), []
+    for i in range(400):
+        rows.append((7, i, "ж" * rng.choice([1, 3, 9, 39]), float(i), i + 0.5, rng.choice([0, 0, 0, 1, None])))
+    fold, got = SqlCues(), []
+    for values in rows:
+        row = Plain(*values)
+        row.__fields__ = names
+        got += fold.eval(row, "recording_id")
+    got += fold.terminate()
+
+    wanted, cue, before = [], [], None
+    label = lambda r: "" if r[5] is None else f"[SPEAKER_{r[5]}] "
+    done = lambda: wanted.append((cue[0][1], 1, (label(cue[0]) + " ".join(r[2] for r in cue)).rstrip(" "), len(cue)))
+    for r in rows:
+        changed = before is None or r[5] != before[5]
+        if cue and (changed or len(cue) == 14 or len((label(cue[0]) + " ".join(x[2] for x in [*cue, r])).encode()) > 80):
+            done()
+            cue = []
+        if changed and label(r) and len((label(r) + r[2]).encode()) + 1 > 80:
+            wanted.append((r[1], 0, label(r).rstrip(" "), 0))
+        cue.append(r)
+        before = r
+    done()
+    assert [(g[1], g[2], g[5], g[6]) for g in got] == wanted
+    assert {g[0] for g in got} == {7}

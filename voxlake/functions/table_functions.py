@@ -13,6 +13,7 @@ DataFrame operators of ``operators.words`` spread a long one.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from operator import itemgetter
 from typing import Any
 
 from pyspark.sql import Row, SparkSession
@@ -57,14 +58,15 @@ WHERE n_words > 0
 
 class _Spans:
     """Rows of one partition in order, put together span by span. A subclass says which columns it needs, when a row begins a
-    new span and what a span gives."""
+    new span and what a span gives. Rows are plain tuples of the columns in ``needs``: a lookup by name costs more than the rest."""
 
     needs: tuple[str, ...] = ()
 
     def __init__(self) -> None:
-        self.span: list[Row] = []
-        self.before: Row | None = None
-        self.keys: list[str] = []
+        self.span: list[tuple] = []
+        self.before: tuple | None = None
+        self.key: tuple | None = None
+        self.pick: itemgetter | None = None
 
     @classmethod
     def fields(cls, table: T.StructType) -> list[T.StructField]:
@@ -81,36 +83,46 @@ class _Spans:
         return AnalyzeResult(T.StructType([table.dataType[k] for k in named] + cls.fields(table.dataType)))
 
     def eval(self, row: Row, keys: str) -> Iterator[tuple]:
-        self.keys = [k.strip() for k in keys.split(",") if k.strip()]
-        yield from self.aside(row)
+        values = tuple(row)
+        if self.pick is None:
+            names = row.__fields__
+            self.pick = itemgetter(*[names.index(c) for c in self.needs])
+            # The rows of a partition share their keys.
+            self.key = tuple(values[names.index(k.strip())] for k in keys.split(",") if k.strip())
+        made = self.step(self.pick(values))
+        if made:
+            yield from made
+
+    def step(self, row: tuple) -> list[tuple]:
+        """Take a row; what it ends and what belongs to no span."""
+        out = self.aside(row)
         if self.span and self.breaks(row):
-            yield from self.close()
+            out = out + self.close()
         self.span.append(row)
         self.before = row
+        return out
 
     def terminate(self) -> Iterator[tuple]:
         if self.span:
             yield from self.close()
 
-    def close(self) -> Iterator[tuple]:
+    def close(self) -> list[tuple]:
         rows, self.span = self.span, []
         made = self.made(rows)
-        if made is not None:
-            yield (*(rows[0][k] for k in self.keys), *made)
+        return [] if made is None else [(*self.key, *made)]
 
-    def aside(self, row: Row) -> Iterator[tuple]:
+    def aside(self, row: tuple) -> list[tuple]:
         """Output before a row that belongs to no span."""
-        return iter(())
+        return []
 
-    def breaks(self, row: Row) -> bool:
+    def breaks(self, row: tuple) -> bool:
         raise NotImplementedError
 
-    def made(self, rows: list[Row]) -> tuple | None:
+    def made(self, rows: list[tuple]) -> tuple | None:
         raise NotImplementedError
 
 
-def _shared(rows: list[Row]) -> Any:
-    speakers = {r["speaker"] for r in rows}
+def _shared(speakers: set) -> Any:
     return speakers.pop() if len(speakers) == 1 else None
 
 
@@ -137,18 +149,19 @@ class SqlWords(_Spans):
     def analyze(table: AnalyzeArgument, keys: AnalyzeArgument) -> AnalyzeResult:
         return SqlWords.described(table, keys)
 
-    def breaks(self, row: Row) -> bool:
-        return row["text"].startswith(WORD_BOUNDARY)
+    def breaks(self, row: tuple) -> bool:
+        return row[1].startswith(WORD_BOUNDARY)
 
-    def made(self, rows: list[Row]) -> tuple | None:
-        if rows[0]["text"].startswith(WORD_BOUNDARY):
+    def made(self, rows: list[tuple]) -> tuple | None:
+        if rows[0][1].startswith(WORD_BOUNDARY):
             self.ordinal += 1
-        said = [(r["text"].removeprefix(WORD_BOUNDARY), r) for r in rows]
-        said = [(t, r) for t, r in said if t]
+        said = [(text.removeprefix(WORD_BOUNDARY), frame) for _, text, frame, _ in rows]
+        said = [x for x in said if x[0]]
         if not said:
             return None
-        first, last = (float(said[i][1]["frame"]) * SECONDS_PER_FRAME for i in (0, -1))
-        return self.ordinal, "".join(t for t, _ in said), first, last, _mean([r["confidence"] for _, r in said])
+        first, last = (float(said[i][1]) * SECONDS_PER_FRAME for i in (0, -1))
+        known = [r[3] for r in rows if r[1].removeprefix(WORD_BOUNDARY)]
+        return self.ordinal, "".join(t for t, _ in said), first, last, _mean(known)
 
 
 class SqlSegments(_Spans):
@@ -168,18 +181,19 @@ class SqlSegments(_Spans):
     def analyze(table: AnalyzeArgument, keys: AnalyzeArgument) -> AnalyzeResult:
         return SqlSegments.described(table, keys)
 
-    def breaks(self, row: Row) -> bool:
-        before = self.before
+    def breaks(self, row: tuple) -> bool:
+        _, word, _, end, speaker, _ = self.before
         return (
-            row["start"] - before["end"] > PAUSE_SECONDS
-            or row["speaker"] != before["speaker"]
-            or before["word"].rstrip(" ")[-1:] in (".", "!", "?")
-            or row["end"] - self.span[0]["start"] > MAX_SEGMENT_SECONDS
+            row[2] - end > PAUSE_SECONDS
+            or row[4] != speaker
+            or word.rstrip(" ")[-1:] in (".", "!", "?")
+            or row[3] - self.span[0][2] > MAX_SEGMENT_SECONDS
         )
 
-    def made(self, rows: list[Row]) -> tuple | None:
-        text = " ".join(r["word"] for r in rows)
-        return rows[0]["word_idx"], float(rows[0]["start"]), float(rows[-1]["end"]), text, len(rows), _shared(rows), _mean([r["confidence"] for r in rows])
+    def made(self, rows: list[tuple]) -> tuple | None:
+        text = " ".join([r[1] for r in rows])
+        speaker = _shared({r[4] for r in rows})
+        return rows[0][0], float(rows[0][2]), float(rows[-1][3]), text, len(rows), speaker, _mean([r[5] for r in rows])
 
 
 class SqlCues(_Spans):
@@ -187,6 +201,11 @@ class SqlCues(_Spans):
 
     needs = ("word_idx", "word", "start", "end", "speaker")
 
+    def __init__(self) -> None:
+        super().__init__()
+        # Bytes of the open cue with its label and a space after each word.
+        self.bytes = 0
+
     @classmethod
     def fields(cls, table: T.StructType) -> list[T.StructField]:
         kinds = {
@@ -200,28 +219,31 @@ class SqlCues(_Spans):
         return SqlCues.described(table, keys)
 
     @staticmethod
-    def label(row: Row) -> str:
-        return "" if row["speaker"] is None else f"[SPEAKER_{row['speaker']}] "
-
-    @staticmethod
-    def size(rows: list[Row]) -> int:
-        return sum(len(r["word"].encode()) + 1 for r in rows)
-
-    def aside(self, row: Row) -> Iterator[tuple]:
-        changed = self.before is None or row["speaker"] != self.before["speaker"]
-        if changed and self.label(row) and len(self.label(row)) + self.size([row]) > CAPTION_BYTES:
-            if self.span:  # what was open ends before the label
-                yield from self.close()
-            end = row["end"] if self.before is None else self.before["end"]
-            yield (*(row[k] for k in self.keys), row["word_idx"], 0, float(row["start"]), float(end), self.label(row).rstrip(" "), 0, None)
-
-    def breaks(self, row: Row) -> bool:
-        size = len(self.label(self.span[0])) + self.size(self.span) + self.size([row])
-        return row["speaker"] != self.before["speaker"] or size > CAPTION_BYTES + 1 or len(self.span) >= CAPTION_WORDS
-
-    def made(self, rows: list[Row]) -> tuple | None:
-        text = (self.label(rows[0]) + " ".join(r["word"] for r in rows)).rstrip(" ")
-        return rows[0]["word_idx"], 1, float(rows[0]["start"]), float(rows[-1]["end"]), text, len(rows), _shared(rows)
+    def label(row: tuple) -> str:
+        return "" if row[4] is None else f"[SPEAKER_{row[4]}] "
+
+    def step(self, row: tuple) -> list[tuple]:
+        out = super().step(row)
+        if len(self.span) == 1:
+            self.bytes = len(self.label(row))
+        self.bytes += len(row[1].encode()) + 1
+        return out
+
+    def aside(self, row: tuple) -> list[tuple]:
+        changed = self.before is None or row[4] != self.before[4]
+        if not changed or not self.label(row) or len(self.label(row)) + len(row[1].encode()) + 1 <= CAPTION_BYTES:
+            return []
+        # What was open ends before the label.
+        out = self.close() if self.span else []
+        end = row[3] if self.before is None else self.before[3]
+        return [*out, (*self.key, row[0], 0, float(row[2]), float(end), self.label(row).rstrip(" "), 0, None)]
+
+    def breaks(self, row: tuple) -> bool:
+        return row[4] != self.before[4] or len(self.span) >= CAPTION_WORDS or self.bytes + len(row[1].encode()) + 1 > CAPTION_BYTES + 1
+
+    def made(self, rows: list[tuple]) -> tuple | None:
+        text = (self.label(rows[0]) + " ".join([r[1] for r in rows])).rstrip(" ")
+        return rows[0][0], 1, float(rows[0][2]), float(rows[-1][3]), text, len(rows), _shared({r[4] for r in rows})
 
 
 def register_sql(spark: SparkSession) -> None:
