@@ -85,6 +85,22 @@ def test_mel_blocks_equal_whole_signal(spark):
     np.testing.assert_allclose(np.array([r["mel"] for r in out]), whole, atol=1e-4)
 
 
+def test_mel_rows_are_handed_on_in_arrow_batches(spark):
+    rng = np.random.default_rng(2)
+    signals = {("a", 1): rng.normal(size=900), ("a", 2): rng.normal(size=100), (None, 3): rng.normal(size=1700)}
+    rows = [(k, c, s, x[s : s + 400].astype("float32").tolist()) for (k, c), x in signals.items() for s in range(0, len(x), 400)]
+    df = spark.createDataFrame(rows, "recording_id string, channel int, start_sample bigint, samples array<float>")
+    keys = ["recording_id", "channel"]
+    out = audio.mel_features(audio.sample_blocks(df, keys, size=480), keys, size=480)
+    assert "MapInArrow" in out._jdf.queryExecution().executedPlan().toString()
+    got = out.orderBy("frame").collect()
+    for (k, c), x in signals.items():
+        whole = audio.mel_frames(x.astype("float32"))
+        mine = [r for r in got if (r["recording_id"], r["channel"]) == (k, c)]
+        assert [r["frame"] for r in mine] == list(range(len(whole)))
+        np.testing.assert_allclose(np.array([r["mel"] for r in mine]), whole, atol=1e-4)
+
+
 def test_resample_doubles():
     assert audio.resample_line(np.array([0.0, 1.0, 2.0]), 8000).tolist() == [0, 16383, 32767, 32767, 32767, 32767]
 
