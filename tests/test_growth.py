@@ -18,3 +18,22 @@ def test_a_dictionary_is_folded(spark):
 def test_text_tables_are_dealt_to_several_tasks_a_core(spark):
     cores = spark.sparkContext.defaultParallelism
     assert relations.table(spark, "/root/testdata/sf0.01", "orders").rdd.getNumPartitions() == 4 * cores
+
+
+def test_labels_are_spliced_by_window(spark):
+    # Windows are joined, not words: nothing of the size of the words is shuffled.
+    sizes = spark.createDataFrame([(k, n) for k, n in enumerate([0, 1, 9, 10, 11, 14, 15, 47])], "k long, n long")
+    plan = windows.label_windows(sizes, "n", window=10, overlap=4)
+    offsets = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("end") - F.col("start") - 1), lambda o: F.col("window_idx") * 100 + o)
+    labels = plan.filter("window_idx <> 1").select("k", "window_idx", offsets.alias("labels"))
+    out = windows.splice_labels(plan, labels, ["k"])
+    want = {}
+    for k, n in [(r.k, r.n) for r in sizes.collect()]:
+        for w in range(n):
+            i = 0 if w < 8 else (w - 2) // 6
+            i = min(i, max(-(-(n - 10) // 6), 0))
+            want[k, w] = None if i == 1 else i * 100 + w - i * 6
+    got = out.collect()
+    assert out.columns == ["k", "word_idx", "label"] and len(got) == len(want)
+    assert {(r.k, r.word_idx): r.label for r in got} == want
+    assert "hashpartitioning(word_idx" not in out._jdf.queryExecution().executedPlan().toString()

@@ -350,17 +350,13 @@ w AS (SELECT doc_id, unnest(range(0, n_words)) AS word_idx FROM sizes)
 SELECT w.doc_id, w.word_idx, k.label FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id AND k.word_idx = w.word_idx""",
 )
 def wn03(spark, sf_dir):
-    sizes = _doc_sizes(spark, sf_dir)
-    plan = windows.label_windows(sizes, "n_words")
+    plan = materialize(windows.label_windows(_doc_sizes(spark, sf_dir), "n_words"), "label-plan")
+    offsets = F.sequence(F.lit(0).cast("bigint"), F.col("end") - F.col("start") - 1)
     # Every fifth window from the fourth on counts as failed.
-    labelled = plan.filter(F.col("window_idx") % 5 != 3).select(
-        "doc_id", "window_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("end") - F.col("start") - 1)).alias("offset")
+    labels = plan.filter(F.col("window_idx") % 5 != 3).select(
+        "doc_id", "window_idx", F.transform(offsets, lambda o: F.col("window_idx") * 1000 + o).alias("labels")
     )
-    labels = labelled.withColumn("label", F.col("window_idx") * 1000 + F.col("offset"))
-    rows = sizes.filter("n_words > 0").select(
-        "doc_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_words") - 1)).alias("word_idx")
-    )
-    return windows.splice_labels(rows, plan, labels, ["doc_id"])
+    return windows.splice_labels(plan, labels, ["doc_id"])
 
 
 @query(
