@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from voxlake.functions.expr import lookup
 from voxlake.operators import windows
+from voxlake.operators import words as ops
 from voxlake.plans import relations
 
 
@@ -37,3 +38,14 @@ def test_labels_are_spliced_by_window(spark):
     assert out.columns == ["k", "word_idx", "label"] and len(got) == len(want)
     assert {(r.k, r.word_idx): r.label for r in got} == want
     assert "hashpartitioning(word_idx" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cues_take_words_once(spark):
+    words = spark.createDataFrame(
+        [(1, i, w, i * 1.0, i + 0.5, i // 3) for i, w in enumerate(["a", None, "b" * 90, "c" * 90, None, "d"])],
+        "recording_id long, word_idx long, word string, start double, end double, speaker int",
+    )
+    cues = ops.caption_cues(words, ["recording_id"])
+    assert "Union" not in cues._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r.cue_start, r.cue_part, r.end, r.text) for r in cues.orderBy("cue_start", "cue_part").collect()]
+    assert (3, 0, 2.5, "[SPEAKER_1]") in got and (3, 1, 3.5, "[SPEAKER_1] " + "c" * 90) in got

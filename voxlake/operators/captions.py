@@ -12,6 +12,7 @@ from voxlake.functions.timing import format_hms, format_srt_time, format_vtt_tim
 from voxlake.operators.joins import safe_join
 from voxlake.operators.scans import BLOCK_ROWS, gather_text
 from voxlake.operators.words import number_cues
+from voxlake.session import materialize
 
 # The headers of the formats.
 VTT_HEADER = "WEBVTT\n\n"
@@ -141,6 +142,8 @@ def render_json(words: DataFrame, keys: list[str]) -> DataFrame:
 
 def render_outputs(words: DataFrame, cues: DataFrame, keys: list[str], formats: list[str]) -> DataFrame:
     """``keys, format, section, part, document`` in each of ``formats``: json, txt, srt, vtt, md."""
+    if {"srt", "vtt"} <= set(formats):
+        cues = materialize(number_cues(cues, keys), "numbered-cues")
     made = {
         "json": lambda: render_json(words, keys),
         "txt": lambda: render_txt(words, keys),

@@ -86,11 +86,17 @@ def greedy_spans(
     *,
     forced: Column,
     span: str = "span_start",
+    gather: Callable[[pa.RecordBatch, np.ndarray], list[pa.Array]] | None = None,
+    fields: list[T.StructField] | None = None,
 ) -> DataFrame:
     """Add ``span``: the ``order`` value of the row that opens each row's span.
 
     ``forced`` marks rows that start a span regardless of the limits; the first row of a key must be one.
     ``order`` is an integer and ``block`` must not decrease along it.
+
+    With ``gather`` the rows of a span are put together where they are found, so that spans move on and not rows. It takes
+    a batch and the offsets of the runs in it, and gives an array for each of ``fields``. Output is ``keys, span, piece,
+    fields``: a span has a row for each block that it touches, and ``piece`` is the ``order`` of the first row there.
     """
     rows = materialize(df.withColumns({"_forced": F.coalesce(forced, F.lit(True)), BLOCK: block}), "span-rows")
     entries = _block_entries(rows, keys, order, limits)
@@ -102,7 +108,8 @@ def greedy_spans(
     )
     names = schema.names[:-1]
 
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def located(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        """Batches, the span of each row, and whether another block begins with it."""
         group, opened, open_at = None, None, -1
         for batch in batches:
             if not batch.num_rows:
@@ -124,10 +131,37 @@ def greedy_spans(
                     out[i:following] = open_at
                     i = following
             group = tuple(groups[:, -1])
-            columns = [batch.column(n) for n in names] + [pa.array(out)]
-            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(n) for n in names], names=names), out, changed
 
-    return placed.mapInArrow(finish, schema)
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, out, _ in located(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], names=schema.names)
+
+    if gather is None:
+        return placed.mapInArrow(finish, schema)
+    long = T.LongType()
+    piece_schema = T.StructType([schema[k] for k in keys] + [T.StructField(span, long), T.StructField("piece", long), *fields])
+
+    def made(batch: pa.RecordBatch, out: np.ndarray, offsets: np.ndarray) -> pa.RecordBatch:
+        first = pa.array(offsets[:-1])
+        columns = [*[batch.column(k).take(first) for k in keys], pa.array(out[offsets[:-1]]), batch.column(order).take(first).cast("int64")]
+        return pa.RecordBatch.from_arrays(columns + gather(batch, offsets), names=piece_schema.names)
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, held_out = None, None  # the last run, which the next batch may go on with
+        for batch, out, changed in located(batches):
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+                out, changed = np.concatenate([held_out, out]), np.concatenate([np.zeros(len(held_out), "bool"), changed])
+            opens = np.flatnonzero(changed[1:] | (out[1:] != out[:-1])) + 1
+            last = int(opens[-1]) if len(opens) else 0
+            if last:
+                yield made(batch.slice(0, last), out, np.concatenate([[0], opens]))
+            held, held_out = batch.slice(last), out[last:]
+        if held is not None:
+            yield made(held, held_out, np.array([0, len(held_out)]))
+
+    return placed.mapInArrow(gathered, piece_schema)
 
 
 def _block_entries(rows: DataFrame, keys: list[str], order: str, limits: list[Limit]) -> DataFrame:

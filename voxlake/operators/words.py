@@ -5,8 +5,12 @@ Words are rows ``recording_id, word_idx, word, start, end, confidence, speaker``
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voxlake.functions.timing import SAMPLE_RATE, frame_to_seconds
 from voxlake.operators.joins import lookup_join, safe_join
@@ -218,8 +222,52 @@ def span_text(word: str = "word", order: str = "word_idx") -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, word))), lambda p: p[word]), " ")
 
 
+def _gather_words(batch: pa.RecordBatch, offsets: np.ndarray) -> list[pa.Array]:
+    """Start, end, text and number of words, and the speaker, of the runs of a batch; the words of a run share their speaker."""
+    first, last = pa.array(offsets[:-1]), pa.array(offsets[1:] - 1)
+    word, cuts = batch.column("word"), offsets
+    if word.null_count:
+        cuts = np.concatenate([[0], np.cumsum(word.is_valid().to_numpy(zero_copy_only=False))])[offsets]
+        word = word.drop_null()
+    text = pc.binary_join(pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), word), " ")
+    return [
+        batch.column("start").take(first),
+        batch.column("end").take(last),
+        pc.if_else(pa.array(np.diff(cuts) > 0), text, pa.scalar(None, text.type)),
+        pa.array(np.diff(offsets)),
+        batch.column("speaker").take(first),
+    ]
+
+
+def _word_fields(words: DataFrame) -> list[T.StructField]:
+    kinds = words.schema
+    return [kinds["start"], kinds["end"], T.StructField("text", T.StringType()), T.StructField("n_words", T.LongType()), kinds["speaker"]]
+
+
+def _put_together(pieces: DataFrame, keys: list[str], **more: Column) -> DataFrame:
+    """Spans from their pieces, of which nearly all have one."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("piece", "text"))), lambda p: p["text"])
+    return pieces.groupBy(*keys, "span_start").agg(
+        F.min_by("start", "piece").alias("start"),
+        F.max_by("end", "piece").alias("end"),
+        F.array_join(texts, " ").alias("text"),
+        F.sum("n_words").alias("n_words"),
+        F.min_by("speaker", "piece").alias("speaker"),
+        *[c.alias(n) for n, c in more.items()],
+    )
+
+
+def _gather_segment(batch: pa.RecordBatch, offsets: np.ndarray) -> list[pa.Array]:
+    confidence, run = batch.column("confidence"), np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    known = confidence.is_valid().to_numpy(zero_copy_only=False)
+    # Added one after the other, as an average over rows does.
+    total = np.bincount(run, weights=confidence.fill_null(0.0).to_numpy(), minlength=len(offsets) - 1)
+    return [*_gather_words(batch, offsets), pa.array(total), pa.array(np.bincount(run[known], minlength=len(offsets) - 1))]
+
+
 def natural_segments(words: DataFrame, keys: list[str]) -> DataFrame:
     """Segments that break on a pause, a speaker change, a sentence end, or after thirty seconds."""
+    words = words.select(*keys, "word_idx", "word", "start", "end", "speaker", F.col("confidence").cast("double").alias("confidence"))
     looked = scan(
         words,
         keys,
@@ -233,23 +281,23 @@ def natural_segments(words: DataFrame, keys: list[str]) -> DataFrame:
         | ~F.col("speaker").eqNullSafe(F.col("_speaker"))
         | F.rtrim("_word").rlike("[.!?]$")
     )
-    flagged = looked.withColumn("_break", breaks).drop("_end", "_speaker", "_word", "_seen")
-    spans = greedy_spans(
-        flagged,
+    pieces = greedy_spans(
+        looked.withColumn("_break", breaks).drop("_end", "_speaker", "_word", "_seen"),
         keys,
         "word_idx",
         index_block("word_idx"),
         [Limit("end", "start", MAX_SEGMENT_SECONDS)],
         forced=F.col("_break"),
+        gather=_gather_segment,
+        fields=[*_word_fields(words), T.StructField("total", T.DoubleType()), T.StructField("known", T.LongType())],
     )
-    return spans.groupBy(*keys, F.col("span_start").alias("segment_start")).agg(
-        F.min_by("start", "word_idx").alias("start"),
-        F.max_by("end", "word_idx").alias("end"),
-        span_text().alias("text"),
-        F.count(F.lit(1)).alias("n_words"),
-        common_speaker().alias("speaker"),
-        F.avg("confidence").alias("avg_confidence"),
-    )
+    mean = F.when(F.sum("known") > 0, F.sum("total") / F.sum("known"))
+    return _put_together(pieces, keys, avg_confidence=mean).withColumnRenamed("span_start", "segment_start")
+
+
+def _gather_cue(batch: pa.RecordBatch, offsets: np.ndarray) -> list[pa.Array]:
+    first = pa.array(offsets[:-1])
+    return [*_gather_words(batch, offsets), batch.column("_alone").take(first), batch.column("_alone_end").take(first)]
 
 
 def caption_cues(
@@ -260,59 +308,78 @@ def caption_cues(
     A first word that does not fit behind its speaker label leaves a cue with the label alone, which ends where
     the word before it ended.
     """
+    words = words.select(*keys, "word_idx", "word", "start", "end", "speaker")
     size = F.octet_length("word").cast("bigint")
     label = F.when(F.col("speaker").isNotNull(), F.concat(F.lit("[SPEAKER_"), F.col("speaker"), F.lit("] ")))
     looked = scan(
-        words.withColumn("_label", label),
+        words,
         keys,
         ["word_idx"],
         index_block("word_idx"),
         sums={"_bytes": size + 1},
         lags={"_prev_end": F.col("end"), "_speaker": F.col("speaker"), "_seen": F.lit(True)},
     )
-    label_size = F.coalesce(F.octet_length("_label"), F.lit(0))
+    label_size = F.coalesce(F.octet_length(label), F.lit(0))
     changed = F.col("_seen").isNull() | ~F.col("speaker").eqNullSafe(F.col("_speaker"))
+    alone = changed & label.isNotNull() & (label_size + 1 + size > max_bytes) & F.lit(max_bytes > 0)
     prepared = looked.withColumns(
         {
             "_changed": changed,
             "_byte_anchor": F.col("_bytes") - size - 1 - label_size,
             "_count": F.col("word_idx") + 1,
-            "_alone": changed & F.col("_label").isNotNull() & (label_size + 1 + size > max_bytes) & F.lit(max_bytes > 0),
+            "_alone": F.coalesce(alone, F.lit(False)),
+            "_alone_end": F.when(alone, F.coalesce("_prev_end", "end")),
         }
-    )
+    ).drop("_prev_end", "_speaker", "_seen")
     limits = []
     if max_bytes > 0:
         limits.append(Limit("_bytes", "_byte_anchor", max_bytes + 1))
     if max_words > 0:
         limits.append(Limit("_count", "word_idx", max_words))
     if limits:
-        spans = greedy_spans(prepared, keys, "word_idx", index_block("word_idx"), limits, forced=F.col("_changed"))
+        fields = [*_word_fields(words), T.StructField("_alone", T.BooleanType()), T.StructField("_alone_end", words.schema["end"].dataType)]
+        pieces = greedy_spans(
+            prepared, keys, "word_idx", index_block("word_idx"), limits, forced=F.col("_changed"), gather=_gather_cue, fields=fields
+        )
+        first = {n: F.min_by(n, "piece") for n in ("_alone", "_alone_end")}
+        cues = _put_together(pieces, keys, **first)
     else:
         spans = islands(
             prepared, keys, ["word_idx"], index_block("word_idx"), look_back={}, starts=F.col("_changed"), island="span_start"
         )
-    cues = spans.groupBy(*keys, F.col("span_start").alias("cue_start")).agg(
+        cues = spans.groupBy(*keys, "span_start").agg(
+            F.min_by("start", "word_idx").alias("start"),
+            F.max_by("end", "word_idx").alias("end"),
+            span_text().alias("text"),
+            F.count(F.lit(1)).alias("n_words"),
+            common_speaker().alias("speaker"),
+            F.min_by("_alone", "word_idx").alias("_alone"),
+            F.min_by("_alone_end", "word_idx").alias("_alone_end"),
+        )
+    # The words of a cue share their speaker.
+    cue = F.struct(
         F.lit(1).alias("cue_part"),
-        F.min_by("start", "word_idx").alias("start"),
-        F.max_by("end", "word_idx").alias("end"),
-        F.concat(F.coalesce(F.min_by("_label", "word_idx"), F.lit("")), span_text()).alias("text"),
-        F.count(F.lit(1)).alias("n_words"),
-        common_speaker().alias("speaker"),
+        "start",
+        "end",
+        F.rtrim(F.concat(F.coalesce(label, F.lit("")), F.col("text"))).alias("text"),
+        "n_words",
+        "speaker",
     )
-    alone = prepared.filter("_alone").select(
-        *keys,
-        F.col("word_idx").alias("cue_start"),
+    label_only = F.struct(
         F.lit(0).alias("cue_part"),
         "start",
-        F.coalesce("_prev_end", "end").alias("end"),
-        F.rtrim("_label").alias("text"),
+        F.col("_alone_end").alias("end"),
+        F.rtrim(label).alias("text"),
         F.lit(0).cast("bigint").alias("n_words"),
-        F.lit(None).cast("int").alias("speaker"),
+        F.lit(None).cast(words.schema["speaker"].dataType).alias("speaker"),
     )
-    return cues.withColumn("text", F.rtrim("text")).unionByName(alone)
+    made = F.when(F.col("_alone"), F.array(label_only, cue)).otherwise(F.array(cue))
+    return cues.select(*keys, F.col("span_start").alias("cue_start"), F.inline(made))
 
 
 def number_cues(cues: DataFrame, keys: list[str]) -> DataFrame:
-    """Cues with a dense zero-based ``cue_idx``."""
+    """Cues with a dense zero-based ``cue_idx``; cues that have it stay as they are."""
+    if "cue_idx" in cues.columns:
+        return cues
     numbered = scan(materialize(cues, "cues"), keys, ["cue_start", "cue_part"], index_block("cue_start"), row_number="_rn")
     return numbered.withColumn("cue_idx", F.col("_rn") - 1).drop("_rn")

@@ -22,6 +22,11 @@ REC = ["recording_id"]
 W = f"WITH RECURSIVE {sql.WORDS}"
 
 
+def kept_words(spark, sf_dir) -> DataFrame:
+    """Words for several passes: texts are split and numbered once."""
+    return materialize(words(spark, sf_dir), "words")
+
+
 def pieces(spark, sf_dir) -> DataFrame:
     """Words cut into pieces of three letters, one frame each, ten frames per word."""
     rows = words(spark, sf_dir)
@@ -75,7 +80,7 @@ SELECT k.recording_id, k.seg AS segment_start, min(f.start) AS start, max(f."end
 FROM walk k JOIN flagged f ON f.recording_id = k.recording_id AND f.word_idx = k.word_idx GROUP BY 1, 2""",
 )
 def sg02(spark, sf_dir):
-    return ops.natural_segments(words(spark, sf_dir), REC).drop("avg_confidence")
+    return ops.natural_segments(kept_words(spark, sf_dir), REC).drop("avg_confidence")
 
 
 _CUES = f"""{sql.WORDS},
@@ -97,7 +102,7 @@ numbered AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY cue
 
 @query("sg03_caption_cues", f"WITH RECURSIVE {_CUES} SELECT * FROM cues")
 def sg03(spark, sf_dir):
-    return ops.caption_cues(words(spark, sf_dir), REC)
+    return ops.caption_cues(kept_words(spark, sf_dir), REC)
 
 
 def _from_sql(spark, sf_dir, rows: DataFrame, function: str, order: str) -> DataFrame:
@@ -140,7 +145,7 @@ SELECT recording_id, cue_idx // 65536 AS part, string_agg(CASE WHEN cue_idx > 0
 FROM numbered GROUP BY 1, 2""",
 )
 def sg05(spark, sf_dir):
-    return captions.render_srt(ops.caption_cues(words(spark, sf_dir), REC), REC)
+    return captions.render_srt(ops.caption_cues(kept_words(spark, sf_dir), REC), REC)
 
 
 @query(
@@ -151,7 +156,7 @@ SELECT recording_id, cue_idx // 65536 AS part, string_agg(CASE WHEN cue_idx = 0
 FROM numbered GROUP BY 1, 2""",
 )
 def sg05_vtt(spark, sf_dir):
-    return captions.render_vtt(ops.caption_cues(words(spark, sf_dir), REC), REC)
+    return captions.render_vtt(ops.caption_cues(kept_words(spark, sf_dir), REC), REC)
 
 
 _HEAD = """'---' || chr(10) || 'duration: ' || regexp_replace((max("end"))::VARCHAR, '\\.0$', '') || chr(10) || 'language: ru' || chr(10)
@@ -180,7 +185,7 @@ SELECT recording_id, cue_idx // 65536 AS part, string_agg(CASE WHEN cue_idx = 0
   '' ORDER BY cue_idx) AS document FROM numbered JOIN heads USING (recording_id) GROUP BY 1, 2""",
 )
 def sg06_segments(spark, sf_dir):
-    rows = words(spark, sf_dir)
+    rows = kept_words(spark, sf_dir)
     return captions.render_markdown_segments(rows, ops.caption_cues(rows, REC), REC)
 
 
@@ -203,7 +208,7 @@ SELECT recording_id || '.' || format AS name, strlen(body) AS n_bytes, md5(body)
 )
 def sc13_files(spark, sf_dir):
     """Every recording as a file in each output format, written and read back byte for byte."""
-    rows = materialize(words(spark, sf_dir), "words")
+    rows = kept_words(spark, sf_dir)
     parts = captions.render_outputs(rows, ops.caption_cues(rows, REC), REC, ["json", "txt", "srt", "vtt", "md"])
     named = parts.withColumn("output", F.concat(F.col("recording_id").cast("string"), F.lit("."), F.col("format")))
     path = scratch_path(spark, "outputs")
@@ -307,7 +312,7 @@ SELECT recording_id, row_number() OVER (PARTITION BY recording_id ORDER BY seg)
   ' ' || text AS text, round(greatest(least(c - 1, 0), -1), 6) AS avg_logprob FROM segs""",
 )
 def tx27_verbose(spark, sf_dir):
-    out = captions.verbose_segments(ops.natural_segments(words(spark, sf_dir), REC), REC)
+    out = captions.verbose_segments(ops.natural_segments(kept_words(spark, sf_dir), REC), REC)
     return out.withColumn("avg_logprob", F.round("avg_logprob", 6))
 
 
