@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from voxlake.operators import captions
 from voxlake.sources import files
-from voxlake.sources.document_files import write_files
+from voxlake.plans import catalog
+from voxlake.sources import document_files
+from voxlake.sources.document_files import Written, read_files, write_files
 from voxlake.sources.message_log import read_message_log, whole_lines
 from voxlake.sources.wav_headers import read_wav_headers, walk_chunks
 
@@ -97,6 +99,52 @@ def test_documents_are_files(spark, tmp_path):
     assert below(path) == ["_SUCCESS", "d0/0.txt", "z.bin"] and (tmp_path / "out/z.bin").read_bytes() == b"\xff\0"
 
 
+def test_files_are_read_without_a_listing_in_the_driver(spark, tmp_path):
+    path = tmp_path / "out"
+    assert read_files(spark, str(path)).count() == 0
+    want = {"a": b"x" * 5_000_000, "b.gz": b"", "d/1.bin": bytes(range(256)) * 100, "d/e/f.txt": "é".encode(), "g/1.bin": b"z"}
+    hidden = {"_SUCCESS": b"", ".a.crc": b"1", "_temporary-1/3/a": b"2", "d/.b": b"3", "d/_e/f": b"4"}
+    for name, content in {**want, **hidden}.items():
+        (path / name).parent.mkdir(parents=True, exist_ok=True)
+        (path / name).write_bytes(content)
+    for given in (str(path), f"file://{path}"):
+        got = [(os.path.relpath(r.path, path), r.length, bytes(r.content)) for r in read_files(spark, given).collect()]
+        assert sorted(got) == sorted((n, len(c), c) for n, c in want.items())
+    assert [bytes(r.content) for r in read_files(spark, str(path / "d/e/f.txt")).collect()] == ["é".encode()]
+    # An index of files is held by the driver.
+    back = catalog.QUERIES["sc13_document_files"](spark, "/root/testdata/sf0.001")
+    assert "binaryFile" not in back._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("bits", [64, 1])
+def test_commits_know_names_by_their_hash(tmp_path, monkeypatch, bits):
+    plain = document_files._hash
+    monkeypatch.setattr(document_files, "_hash", lambda n: plain(n) if bits == 64 else bytes([len(n) % 2]) + bytes(7))
+    root = tmp_path / "out"
+
+    def written(writer, tasks):
+        for t, names in enumerate(tasks):
+            for n in names:
+                (at := root / f"_temporary-{writer.job}/{t}/{n}").parent.mkdir(parents=True, exist_ok=True)
+                at.write_text(f"{t} {n}")
+        made = [Written(f"{root}/_temporary-{writer.job}/{t}", b"".join(map(document_files._hash, names))) for t, names in enumerate(tasks)]
+        assert all(len(w.hashes) == 8 * len(names) for w, names in zip(made, tasks))
+        return [*made, None]
+
+    def commit(overwrite, *tasks):
+        writer = document_files.DocumentFileWriter(str(root), overwrite)
+        writer.commit(written(writer, tasks))
+        return {n: (root / n).read_text() for n in below(root) if n != "_SUCCESS"}
+
+    first = commit(False, ["a", "d/b"], [], ["cc", "d/e"])
+    assert first == {"a": "0 a", "d/b": "0 d/b", "cc": "2 cc", "d/e": "2 d/e"}
+    with pytest.raises(ValueError, match="two tasks: d/b"):
+        commit(False, ["x", "d/b"], ["zz", "z"], ["d/b", "y"])
+    assert commit(False, []) == first
+    assert commit(True, ["q"], ["a", "d/b"]) == {"q": "0 q", "a": "1 a", "d/b": "1 d/b"}
+    assert commit(True) == {}
+
+
 def test_failed_writes_leave_nothing(spark, tmp_path):
     path = str(tmp_path / "out")
     rows = spark.createDataFrame([(f"{i}.txt", "x") for i in range(40)], "output string, document string")
